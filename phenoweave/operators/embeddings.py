@@ -115,13 +115,14 @@ def _tiles(points: DataFrame, eps: float) -> DataFrame:
         .select(F.transform("c", lambda s: s["x"]).alias("centre"))
     )
     gap = lambda u, v: F.sqrt(F.aggregate(F.zip_with(u, v, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    near = points.withColumn("_t1", gap(F.col("vec"), centre.scalar()))
+    near = points.withColumn("_c", centre.scalar()).withColumn("_t1", gap(F.col("vec"), F.col("_c"))).drop("_c")
     far = near.agg(F.max_by("vec", F.struct("_t1", "id")).alias("far"))
     celled = durable(
-        near.withColumn("_t2", gap(F.col("vec"), far.scalar()))
+        near.withColumn("_far", far.scalar())
+        .withColumn("_t2", gap(F.col("vec"), F.col("_far")))
         .withColumn("c1", F.floor(F.col("_t1") / eps))
         .withColumn("c2", F.floor(F.col("_t2") / eps))
-        .drop("_t1", "_t2"),
+        .drop("_far", "_t1", "_t2"),
         "dbscan-cells",
     )
     sizes = celled.groupBy("c1", "c2").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("blocks"))

@@ -78,23 +78,16 @@ def chunked(
     return out.drop("_okey", "_splits")
 
 
-def running(
-    df: DataFrame,
+def scan(
+    base: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     measures: dict[str, tuple[str, Column]],
     inclusive: bool = True,
     totals: dict[str, tuple[str, Column]] | None = None,
-    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Running sum/min/max per key in ``order``, parallel inside a key.
-
-    ``measures`` maps an output name to (``sum``/``min``/``max``, expression);
-    ``order`` must identify a row within its key. With ``inclusive=False`` the
-    row itself is left out. ``totals`` adds whole-key aggregates as well.
-    """
-    keys, totals = list(keys), totals or {}
-    base = chunked(df, keys, order, chunk_rows)
+    """Running sum/min/max over a :func:`chunked` frame; keeps ``_chunk`` for further scans."""
+    keys, totals, columns = list(keys), totals or {}, base.columns
     for name, (_, expr) in measures.items():
         base = base.withColumn(f"_m_{name}", expr)
     for name, (_, expr) in totals.items():
@@ -119,14 +112,9 @@ def running(
         "*",
         *[_COMBINE[kind][0](f"_m_{n}").over(inside).alias(f"_i_{n}") for n, (kind, _) in measures.items()],
     )
-    joined = _attach(
-        scanned,
-        carry,
-        [*keys, "_chunk"],
-        [f"_p_{n}" for n in measures] + list(totals),
-    )
+    joined = _attach(scanned, carry, [*keys, "_chunk"], [f"_p_{n}" for n in measures] + list(totals))
     return joined.select(
-        *df.columns,
+        *columns,
         *[
             _COMBINE[kind][1](F.col(f"_p_{n}"), F.col(f"_i_{n}")).alias(n)
             for n, (kind, _) in measures.items()
@@ -135,6 +123,26 @@ def running(
     )
 
 
+def running(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    measures: dict[str, tuple[str, Column]],
+    inclusive: bool = True,
+    totals: dict[str, tuple[str, Column]] | None = None,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Running sum/min/max per key in ``order``, parallel inside a key.
+
+    ``measures`` maps an output name to (``sum``/``min``/``max``, expression);
+    ``order`` must identify a row within its key. With ``inclusive=False`` the
+    row itself is left out. ``totals`` adds whole-key aggregates as well. For
+    several scans in a row, write a :func:`chunked` frame once and use
+    :func:`scan`.
+    """
+    return scan(chunked(df, keys, order, chunk_rows), keys, order, measures, inclusive, totals).drop("_chunk")
+
+
 def positions(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position",
     chunk_rows: int = CHUNK_ROWS,

@@ -247,9 +247,8 @@ def row_profile(runs: DataFrame, boxes: DataFrame, keys=("image_id",)) -> DataFr
         *keys, "box_id", "x1", "y1", "x2",
         F.explode(F.sequence(F.col("y1").cast("bigint"), F.col("y2").cast("bigint") - 1)).alias("y"),
     )
-    inside = F.greatest(
-        F.least(F.col("x_end") + 1, F.col("x2")) - F.greatest(F.col("x_start"), F.col("x1")), F.lit(0)
-    )
+    shared = F.least(F.col("x_end") + 1, F.col("x2")) - F.greatest(F.col("x_start"), F.col("x1"))
+    inside = F.when(F.col("x_start").isNotNull(), F.greatest(shared, F.lit(0)))
     return (
         rows.join(runs, [*keys, "y"], "left")
         .groupBy(*keys, "box_id", (F.col("y") - F.col("y1")).alias("row"))

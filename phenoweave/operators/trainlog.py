@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from phenoweave.functions.numeric import relative_improvement
-from phenoweave.operators.ordering import framed, running
+from phenoweave.operators.ordering import chunked, framed, running, scan
+from phenoweave.session import durable
 
 PATIENCE = 15
 ROLLING_ROWS = 10
@@ -94,27 +95,27 @@ def _accepted(records: DataFrame, run: str, order: str, value: str, min_delta: f
     )
 
 
-def with_improvements(
-    log: DataFrame, run: str = "run_id", order: str = "epoch", value: str = "val_loss", mode: str = "min",
-    min_delta: float = 0.0, relative: float = 0.0,
+def _improvements(
+    log: DataFrame, run: str, order: str, value: str, mode: str, min_delta: float, relative: float
 ) -> DataFrame:
-    """Add ``position``, ``best_before``, ``improved`` and ``stalled`` (rows since improving).
-
-    Without a margin an improvement is a new record. With one it is found by a
-    fold over the records only.
-    """
+    """:func:`with_improvements`, keeping the chunk column for further scans."""
     if mode not in ("min", "max"):
         raise ValueError(f"mode must be min or max, not {mode}")
     if relative and mode == "max":
         raise ValueError("a relative threshold applies to falling values")
     sign = 1.0 if mode == "min" else -1.0
-    one = F.lit(1).cast("bigint")
-    scored = log.withColumn("_v", F.col(value) * sign)
-    seen = running(
-        scored, [run], [order], {"position": ("sum", one), "best_before": ("min", F.col("_v"))}, inclusive=False
+    # Several scans follow, so the chunks are placed once and written.
+    base = durable(chunked(log, [run], [order]), "training-log")
+    seen = scan(
+        base.withColumn("_v", F.col(value) * sign),
+        [run],
+        [order],
+        {"position": ("sum", F.lit(1).cast("bigint")), "best_before": ("min", F.col("_v"))},
+        inclusive=False,
     )
     record = F.col("best_before").isNull() | (F.col("_v") < F.col("best_before"))
     if min_delta or relative:
+        seen = durable(seen, "training-log")
         accepted = _accepted(seen.filter(record), run, order, "_v", min_delta, relative)
         seen = seen.join(accepted.withColumn("_ok", F.lit(True)), [run, order], "left").withColumn(
             "improved", F.coalesce("_ok", F.lit(False))
@@ -122,14 +123,24 @@ def with_improvements(
     else:
         seen = seen.withColumn("improved", record)
     marked = seen.select(
-        *log.columns, "position", (F.col("best_before") * sign).alias("best_before"), "improved"
-    )
-    last = running(
-        marked, [run], [order], {"_last": ("max", F.when(F.col("improved"), F.col("position")))}
+        *base.columns, "position", (F.col("best_before") * sign).alias("best_before"), "improved"
     )
+    last = scan(marked, [run], [order], {"_last": ("max", F.when(F.col("improved"), F.col("position")))})
     return last.withColumn("stalled", F.col("position") - F.col("_last")).drop("_last")
 
 
+def with_improvements(
+    log: DataFrame, run: str = "run_id", order: str = "epoch", value: str = "val_loss", mode: str = "min",
+    min_delta: float = 0.0, relative: float = 0.0,
+) -> DataFrame:
+    """Add ``position``, ``best_before``, ``improved`` and ``stalled`` (rows since improving).
+
+    Without a margin an improvement is a new record. With one it is found by a
+    fold over the records only.
+    """
+    return _improvements(log, run, order, value, mode, min_delta, relative).drop("_chunk")
+
+
 def early_stopping(
     log: DataFrame, patience: int = PATIENCE, run: str = "run_id", order: str = "epoch", value: str = "val_loss",
     mode: str = "min", min_delta: float = 0.0,
@@ -162,9 +173,9 @@ def plateau_learning_rate(
     Within a stall every ``patience + 1``-th row cuts the rate, so the number of
     earlier cuts is a running sum and the rate a power of the factor.
     """
-    seen = with_improvements(log, run, order, value, relative=threshold)
+    seen = _improvements(log, run, order, value, "min", 0.0, threshold)
     cut = ((F.col("stalled") > 0) & (F.col("stalled") % (patience + 1) == 0)).cast("bigint")
-    counted = running(seen, [run], [order], {"_cuts": ("sum", cut)}, inclusive=False)
+    counted = scan(seen, [run], [order], {"_cuts": ("sum", cut)}, inclusive=False)
     rate = F.greatest(F.lit(initial) * F.pow(F.lit(factor), F.col("_cuts")), F.lit(minimum))
     return counted.select(*log.columns, rate.alias("replayed_rate"))
 
