@@ -55,12 +55,17 @@ def list_images(spark: SparkSession, base_dir: str, suffixes: Sequence[str] = SU
     return catalogue_columns(listing, base_dir, suffixes)
 
 
+def source_path() -> Column:
+    """Plain path of the file a row came from; the metadata path is URI-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_rasters(spark: SparkSession, base_dir: str) -> DataFrame:
     """(path, height, width, channels, data) per decodable file; others have a null ``data``."""
     raw = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(base_dir)
     valid = F.col("image.height") > 0
     return raw.select(
-        F.col("image.origin").alias("path"),
+        source_path().alias("path"),
         *[F.when(valid, F.col(f"image.{c}")).alias(n) for c, n in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "data"))],
     )
 
@@ -178,14 +183,12 @@ def read_box_sidecars(spark: SparkSession, mask_dir: str) -> DataFrame:
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "strip_*_box.txt")
         .text(mask_dir, wholetext=True)
-        .select("value", F.col("_metadata.file_path").alias("path"))
+        .select("value", source_path().alias("path"))
     )
-    # The metadata path is URI-encoded.
-    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     box = F.regexp_extract("value", r"(?m)^Box:\s*(.*?)\s*$", 1)
     return raw.select(
-        F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("image_id"),
-        parse.strip_number(parse.file_name(path)).alias("strip_id"),
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("image_id"),
+        parse.strip_number(parse.file_name(F.col("path"))).alias("strip_id"),
         F.nullif(box, F.lit("")).alias("box_coords"),
         F.regexp_extract("value", r"(?m)^Score:\s*(\S+)", 1).try_cast("double").alias("sam_score"),
     )
