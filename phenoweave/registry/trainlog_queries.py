@@ -98,10 +98,11 @@ register(
                 F.col("value").alias("loss"),
                 (F.col("event_id") % 16 + 1).alias("batch_size"),
             )
-        )
+        ),
+        8,
     ),
-    """SELECT user_id AS run_id, CAST(day(ts) AS INTEGER) AS epoch, round(sum(value * (event_id % 16 + 1)) / sum(event_id % 16 + 1), 6) AS weighted_mean,
-      round(avg(value), 6) AS batch_mean FROM events GROUP BY 1, 2""",
+    """SELECT user_id AS run_id, CAST(day(ts) AS INTEGER) AS epoch, round(sum(value * (event_id % 16 + 1)) / sum(event_id % 16 + 1), 8) AS weighted_mean,
+      round(avg(value), 8) AS batch_mean FROM events GROUP BY 1, 2""",
 )
 register(
     "loss_histogram",

@@ -54,8 +54,16 @@ def test_open_and_close(masks, frames):
     compare(runs.open_(masks, frames, 5, 5), lambda m: rasters.dilate(rasters.erode(m, 5, 5), 5, 5))
 
 
-def test_clean_green_mask(masks, frames):
-    compare(runs.clean_green_mask(masks, frames), rasters.clean)
+@pytest.mark.parametrize("tile_height", [5, 17, 256])
+def test_clean_green_mask(masks, frames, tile_height):
+    compare(runs.clean_green_mask(masks, frames, tile_height=tile_height), rasters.clean)
+
+
+def test_cleaning_equals_the_chained_operators(masks, frames):
+    closed = runs.close(runs.merge_runs(masks), frames, 15, 15, 2)
+    chained = runs.open_(runs.close(closed, frames, 25, 5), frames, 5, 5)
+    want = sorted(map(tuple, chained.collect()))
+    assert sorted(map(tuple, runs.clean_green_mask(masks, frames).collect())) == want
 
 
 def test_fill_holes(masks, frames):
