@@ -48,7 +48,9 @@ def _labels(predicted: DataFrame, key: str) -> DataFrame:
 def kmeans(df: DataFrame, key: str, vector: str = "embedding", n_clusters: int = 5, seed: int = 42, n_init: int = 10):
     """k-means; the lowest training cost of ``n_init`` seeded runs."""
     data = _vectors(df, key, vector)
-    models = [KMeans(k=n_clusters, seed=seed + i).fit(data) for i in range(n_init)]
+    cached = data.persist()
+    models = [KMeans(k=n_clusters, seed=seed + i).fit(cached) for i in range(n_init)]
+    cached.unpersist()
     best = min(models, key=lambda m: m.summary.trainingCost)
     return _labels(best.transform(data), key)
 

@@ -84,7 +84,8 @@ def stopping_rules(
     """Per epoch: early-stopping counter, stop flag and the learning rate in force.
 
     State per run is seven numbers. Epochs at or before the last one seen are
-    dropped as duplicates; rows of a micro-batch are taken in epoch order.
+    dropped as duplicates. The rows of a run in one micro-batch are sorted by
+    epoch in memory; the reader's ``max_files`` bounds a micro-batch.
     """
     key_type = log.schema[run].dataType.simpleString()
     output = f"{run} {key_type}, epoch int, val_loss double, best double, stalled int, stopped boolean, rate double"
