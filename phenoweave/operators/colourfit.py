@@ -121,17 +121,25 @@ def patch_index(y: Column, x: Column, height: Column, width: Column, card: dict
     return row * COLUMNS + col
 
 
-def patch_means(pixels: DataFrame, frames: DataFrame, card: dict = CARD, straight: dict = STRAIGHT) -> DataFrame:
-    """Mean colour per (image, patch); pixels outside the windows are dropped first."""
+def card_pixels(pixels: DataFrame, frames: DataFrame, card: dict = CARD, straight: dict = STRAIGHT) -> DataFrame:
+    """The pixels inside the 24 windows, with their ``patch_idx``."""
     return (
         pixels.join(frames.select("image_id", "height", "width"), "image_id")
         .withColumn("patch_idx", patch_index(F.col("y"), F.col("x"), F.col("height"), F.col("width"), card, straight))
         .filter("patch_idx is not null")
-        .groupBy("image_id", "patch_idx")
-        .agg(F.avg("r").alias("r"), F.avg("g").alias("g"), F.avg("b").alias("b"))
+        .drop("height", "width")
     )
 
 
+def window_means(inside: DataFrame) -> DataFrame:
+    return inside.groupBy("image_id", "patch_idx").agg(F.avg("r").alias("r"), F.avg("g").alias("g"), F.avg("b").alias("b"))
+
+
+def patch_means(pixels: DataFrame, frames: DataFrame, card: dict = CARD, straight: dict = STRAIGHT) -> DataFrame:
+    """Mean colour per (image, patch); pixels outside the windows are dropped first."""
+    return window_means(card_pixels(pixels, frames, card, straight))
+
+
 def normal_sums(patches: DataFrame, method: str = "linear") -> DataFrame:
     """Long XtX and Xty sums per image: (image_id, i, j, value); j >= p addresses Xty."""
     features = method_features(method)
@@ -181,10 +189,11 @@ def fit(patches: DataFrame, method: str = "linear") -> DataFrame:
             # Rows of zeros stand for missing patches; they leave the fit unchanged.
             values = np.zeros((len(pdf), 24, 6))
             present = np.zeros((len(pdf), 24, 1))
-            for k, flat in enumerate(pdf["flat"]):
-                rows = np.asarray(flat, float).reshape(-1, 6) / 255.0
-                values[k, : len(rows)] = rows
-                present[k, : len(rows)] = 1.0
+            sizes = pdf["flat"].str.len().to_numpy() // 6
+            image = np.repeat(np.arange(len(pdf)), sizes)
+            slot = np.arange(len(image)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            values[image, slot] = np.concatenate(pdf["flat"].to_numpy()).reshape(-1, 6) / 255.0
+            present[image, slot] = 1.0
             x = np.prod(values[:, :, None, :3] ** exponents[None, None, :, :], axis=3) * present
             solution = np.linalg.pinv(x) @ values[:, :, 3:]
             coef = (solution * rescale[None, :, None]).transpose(0, 2, 1)

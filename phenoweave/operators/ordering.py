@@ -108,7 +108,9 @@ def scan(
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
-    scanned = base.select(
+    # Spread by chunk explicitly: a frame already partitioned by the keys alone
+    # would satisfy the window and keep a hot key in one task.
+    scanned = base.repartition(*keys, "_chunk").select(
         "*",
         *[_COMBINE[kind][0](f"_m_{n}").over(inside).alias(f"_i_{n}") for n, (kind, _) in measures.items()],
     )
@@ -180,7 +182,7 @@ def framed(
     )
     spread = df.withColumn("_home", home).withColumn("_block", F.explode(targets))
     spec = Window.partitionBy(*keys, "_block").orderBy(position)
-    framed_rows = spread.select("*", *[make(spec).alias(n) for n, make in columns.items()])
+    framed_rows = spread.repartition(*keys, "_block").select("*", *[make(spec).alias(n) for n, make in columns.items()])
     return framed_rows.filter(F.col("_block") == F.col("_home")).drop("_home", "_block")
 
 

@@ -36,20 +36,19 @@ def column_heights(runs: DataFrame) -> DataFrame:
 def measure_strips(runs: DataFrame, masks: DataFrame | None = None) -> DataFrame:
     """Height statistics and area per strip; masks without pixels measure zero.
 
-    The median buffer of a strip holds one entry per distinct height, which the
-    image height bounds.
+    Columns are counted per height first, so a strip's median sees one row per
+    distinct height, which the image height bounds.
     """
-    measured = (
-        column_heights(runs)
-        .groupBy("image_id", "strip_id")
-        .agg(
-            F.avg("height").alias("mean_height_px"),
-            F.percentile("height", F.lit(0.5)).alias("median_height_px"),
-            F.min("height").cast("double").alias("min_height_px"),
-            F.max("height").cast("double").alias("max_height_px"),
-            (F.max("height") - F.min("height")).cast("double").alias("height_range_px"),
-            F.sum("pixels").alias("area_px"),
-        )
+    by_height = column_heights(runs).groupBy("image_id", "strip_id", "height").agg(
+        F.count(F.lit(1)).alias("columns"), F.sum("pixels").alias("pixels")
+    )
+    measured = by_height.groupBy("image_id", "strip_id").agg(
+        (F.sum(F.col("height") * F.col("columns")) / F.sum("columns")).alias("mean_height_px"),
+        F.percentile("height", F.lit(0.5), F.col("columns")).alias("median_height_px"),
+        F.min("height").cast("double").alias("min_height_px"),
+        F.max("height").cast("double").alias("max_height_px"),
+        (F.max("height") - F.min("height")).cast("double").alias("height_range_px"),
+        F.sum("pixels").alias("area_px"),
     )
     if masks is None:
         return measured

@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from phenoweave.session import durable
+
 RESIDUAL = "Residual"
 
 
@@ -33,7 +35,11 @@ def quadratic_forms(
     Index 0 is the residual, 1..k the factors. Rows with a missing factor are
     left out; a missing phenotype only leaves out its own row.
     """
-    base = _complete(df, factors, score, score_digits)
+    # Three aggregations follow; the narrow input is computed once and written.
+    base = durable(
+        _complete(df, factors, score, score_digits).select(*phenotypes, *[f"_f_{f}" for f in factors]),
+        "variance-input",
+    )
     index = {f: i + 1 for i, f in enumerate(factors)}
     stack = lambda frame, make: frame.select(
         "*", F.explode(F.array(*[make(k, p) for k, p in enumerate(phenotypes)])).alias("_p")

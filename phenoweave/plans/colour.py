@@ -8,7 +8,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from phenoweave.functions.colour import background_zero, zscore
-from phenoweave.operators.colourfit import CARD, STRAIGHT, apply_transform, fit, mean_delta_e, patch_means
+from phenoweave.operators.colourfit import (
+    CARD,
+    STRAIGHT,
+    apply_transform,
+    card_pixels,
+    fit,
+    mean_delta_e,
+    patch_means,
+    window_means,
+)
+from phenoweave.session import durable
 
 COMPARED = ("linear", "polynomial2", "polynomial3", "cheung2004", "finlayson2015", "vandermonde")
 
@@ -19,6 +29,7 @@ def compare_methods(patches: DataFrame, methods: Sequence[str] = COMPARED) -> Da
     Patches are corrected as means; correcting only them keeps the pixels of the
     photographs out of the plan.
     """
+    patches = durable(patches, "card-patches")
     scored = [mean_delta_e(patches).withColumn("method", F.lit("original"))]
     for method in methods:
         corrected = apply_transform(patches, fit(patches, method), method)
@@ -29,12 +40,17 @@ def compare_methods(patches: DataFrame, methods: Sequence[str] = COMPARED) -> Da
 def compare_methods_on_pixels(
     pixels: DataFrame, frames: DataFrame, methods: Sequence[str] = COMPARED, card: dict = CARD, straight: dict = STRAIGHT
 ) -> DataFrame:
-    """As :func:`compare_methods`, re-measuring the patches on corrected pixels."""
-    measured = patch_means(pixels, frames, card, straight)
+    """As :func:`compare_methods`, re-measuring the patches on corrected pixels.
+
+    The photographs are read once: only pixels inside the card's windows are
+    kept, corrected by each method and measured again.
+    """
+    inside = durable(card_pixels(pixels, frames, card, straight), "card-pixels")
+    measured = durable(window_means(inside), "card-patches")
     scored = [mean_delta_e(measured).withColumn("method", F.lit("original"))]
     for method in methods:
-        corrected = apply_transform(pixels, fit(measured, method), method)
-        scored.append(mean_delta_e(patch_means(corrected, frames, card, straight)).withColumn("method", F.lit(method)))
+        corrected = window_means(apply_transform(inside, fit(measured, method), method))
+        scored.append(mean_delta_e(corrected).withColumn("method", F.lit(method)))
     return reduce(DataFrame.unionByName, scored).select("image_id", "method", "mean_delta_e")
 
 

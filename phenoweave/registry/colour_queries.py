@@ -250,12 +250,42 @@ register(
       SELECT image_id, patch_idx, max(v) FILTER (WHERE channel = 0) AS r, max(v) FILTER (WHERE channel = 1) AS g,
         max(v) FILTER (WHERE channel = 2) AS b FROM out GROUP BY 1, 2""",
 )
-for _method in ("polynomial2", "polynomial3", "cheung2004", "finlayson2015", "vandermonde"):
+
+
+def _fit_sql(method: str) -> str:
+    """Normal equations of any feature list on unit-scaled channels, solved by elimination."""
+    features, scale = colourfit.METHODS[method]
+    p = len(features)
+    term = lambda e: " * ".join([c for c, n in zip(("ur", "ug", "ub"), e) for _ in range(n)]) or "1::DOUBLE"
+    columns = [*map(term, features), "ref_r / 255", "ref_g / 255", "ref_b / 255"]
+    names = ", ".join(f"sum(({columns[i]}) * ({columns[j]}))" for i in range(p) for j in range(p + 3))
+    factors = ", ".join(repr(scale ** (1 - sum(e))) + "::DOUBLE" for e in features)
+    return f"""WITH unit AS (SELECT *, r / 255 AS ur, g / 255 AS ug, b / 255 AS ub FROM patches JOIN reference USING (patch_idx)),
+  packed AS (SELECT image_id, [{names}] AS v FROM unit GROUP BY 1),
+  sums AS (SELECT image_id, k // {p + 3} AS i, k % {p + 3} AS j, value FROM (
+    SELECT image_id, unnest(range({p * (p + 3)})) AS k, unnest(v) AS value FROM packed)),
+  {_gauss_jordan(p, 3)}
+  SELECT image_id, '{method}' AS method, CAST(j - {p} AS INTEGER) AS channel, CAST(i AS INTEGER) AS feature,
+    round(value * [{factors}][i + 1], 5) AS coef FROM g{p} WHERE j >= {p}"""
+
+
+for _method in ("polynomial1", "polynomial2", "cheung2004", "finlayson2015", "vandermonde"):
     register(
         f"{_method}_colour_fit",
-        lambda t, m=_method: rounded(colourfit.coefficients(colourfit.fit(t.patches, m)), 6),
+        lambda t, m=_method: rounded(colourfit.coefficients(colourfit.fit(t.patches, m)), 5),
+        _fit_sql(_method),
     )
-register("corrected_pixels", lambda t: colourfit.apply_transform(t.pixels, colourfit.fit(t.patches, "linear"), "linear"))
+register(
+    "polynomial3_colour_fit", lambda t: rounded(colourfit.coefficients(colourfit.fit(t.patches, "polynomial3")), 6)
+)
+register(
+    "corrected_pixels",
+    lambda t: colourfit.apply_transform(t.pixels, colourfit.fit(t.patches, "linear"), "linear"),
+    f"""WITH {_FITTED}, {_WIDE}, flat AS (SELECT image_id, list([c0, c1, c2, c3] ORDER BY channel) AS m FROM wide GROUP BY 1)
+      SELECT image_id, y, x, {", ".join(
+          f"CAST(floor(least(greatest(m[{k}][1] * r + m[{k}][2] * g + m[{k}][3] * b + m[{k}][4], 0), 255)) AS INTEGER) AS {c}"
+          for k, c in ((1, "r"), (2, "g"), (3, "b")))}, in_mask FROM pixels JOIN flat USING (image_id)""",
+)
 _PATCH_LAB = (
     "matched AS (SELECT * FROM patches JOIN reference USING (patch_idx)), "
     + _lab_ctes("matched", "measured")

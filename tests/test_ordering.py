@@ -76,3 +76,16 @@ def test_result_does_not_depend_on_the_layout(skewed):
     a = ordering.positions(skewed.repartition(3), ["k"], ["v", "id"], chunk_rows=40).select("id", "position")
     b = ordering.positions(skewed.coalesce(1), ["k"], ["v", "id"], chunk_rows=40).select("id", "position")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_a_hot_key_leaves_a_keyed_layout(skewed):
+    """Even when the input is already partitioned by the key, its chunks spread."""
+    keyed = skewed.repartition(8, "k")
+    out = ordering.positions(keyed, ["k"], ["v", "id"], chunk_rows=50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert any("hashpartitioning(k" in line and "_chunk" in line for line in plan.splitlines())
+    per_task = (
+        ordering.chunked(keyed, ["k"], ["v", "id"], chunk_rows=50).repartition(8, "k", "_chunk")
+        .filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    )
+    assert len(per_task) == 8
