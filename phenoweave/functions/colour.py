@@ -118,7 +118,8 @@ def add_rgb_from_lab(
         a_in = F.least(F.greatest(a_in, F.lit(-128.0)), F.lit(127.0))
         b_in = F.least(F.greatest(b_in, F.lit(-128.0)), F.lit(127.0))
     if encoding == "opencv8":
-        l_in, a_in, b_in = l_in * (100.0 / 255.0), a_in - 128.0, b_in - 128.0
+        # 8-bit values are whole numbers.
+        l_in, a_in, b_in = F.floor(l_in) * (100.0 / 255.0), F.floor(a_in) - 128.0, F.floor(b_in) - 128.0
     step = df.select("*", ((l_in + 16.0) / 116.0).alias("_fy"), a_in.alias("_a"), b_in.alias("_b"))
     unf = lambda t: F.when(t > 6.0 / 29.0, t * t * t).otherwise((t - 16.0 / 116.0) / 7.787)
     step = step.select(

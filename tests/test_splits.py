@@ -113,3 +113,20 @@ def test_evenly_spaced_follows_the_slice(images):
     for n in (5, 7, 10_000):
         got = sorted(r[0] for r in topk.evenly_spaced(rows, ["image_id"], n).collect())
         assert got == names[:: max(1, len(names) // n)][:n]
+
+
+def test_worker_functions_travel_without_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from phenoweave.operators import runs
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(runs._filter_bands))
+    code = (
+        "import pickle, numpy as np; f = pickle.load(open('f.pkl', 'rb'));"
+        "print(f(np.ones((1, 9, 9), bool), (('close', 3, 3, 1),)).sum())"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "81", out.stderr
