@@ -7,7 +7,7 @@ over one box is bounded by the raster's height.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -220,25 +220,30 @@ def valley_row(
 ) -> DataFrame:
     """Middle valley of the row projection with enough prominence, per box.
 
-    A group is one box's projection, at most one value per raster row.
+    A projection becomes one array of at most one value per raster row; many
+    boxes are then searched in each Arrow batch.
     """
     keys = list(keys)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row)
-        peaks = _prominent_peaks(-pdf[value].to_numpy(float), float(pdf[width].iloc[0]) * prominence)
-        out = pdf[keys].head(1).copy()
-        out["valley_row"] = pdf[row].iloc[peaks[len(peaks) // 2]] if peaks else -1
-        return out
-
-    fields = {f.name: f.dataType.simpleString() for f in profile.schema.fields}
-    schema = ", ".join([f"{k} {fields[k]}" for k in keys] + ["valley_row int"])
-    return (
-        profile.select(*keys, row, value, width)
-        .groupBy(*keys)
-        .applyInPandas(pick, schema)
-        .filter("valley_row >= 0")
+    types = {f.name: f.dataType.simpleString() for f in profile.schema.fields}
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for signal, wide in zip(pdf["_signal"], pdf["_width"]):
+                peaks = _prominent_peaks(-np.asarray(signal, float), wide * prominence)
+                found.append(peaks[len(peaks) // 2] if peaks else -1)
+            yield pdf[keys].assign(_at=found)
+
+    arrays = profile.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(row).alias("r"), F.col(value).alias("v")))).alias("_rows"),
+        F.max(width).cast("double").alias("_width"),
     )
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["_at int"])
+    found = arrays.select(
+        *keys, "_width", F.transform("_rows", lambda s: s["v"].cast("double")).alias("_signal")
+    ).mapInPandas(pick, schema)
+    # Projections are dense, so the position in the array is the row.
+    return found.filter("_at >= 0").select(*keys, F.col("_at").alias("valley_row"))
 
 
 def split_at(boxes: DataFrame, split_y: Column, margin: float = 0.0, keys: Sequence[str] = ("image_id",)) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from phenoweave.operators.graph import connected_components
 from phenoweave.operators.ordering import positions
+from phenoweave.operators.runs import smallest_labels
 from phenoweave.operators.topk import most_common, top_k_per_group
 from phenoweave.session import durable
 
@@ -204,17 +205,7 @@ def dbscan(df: DataFrame, key: str, vector: str = "embedding", eps: float = 0.5,
         rows, cols = np.nonzero(close)
         cols = cols + shift
         both = core[rows] & core[cols] & (rows != cols)
-        # Smallest index of each core group in this tile, by repeated minima.
-        label = np.arange(size)
-        u, v = rows[both], cols[both]
-        while True:
-            lower = label.copy()
-            np.minimum.at(lower, u, label[v])
-            np.minimum.at(lower, v, label[u])
-            lower = lower[lower]
-            if (lower == label).all():
-                break
-            label = lower
+        label = smallest_labels(size, rows[both], cols[both])
         star = [(ids[i], ids[label[i]], False) for i in range(size) if core[i] and label[i] != i]
         edge = core[rows] != core[cols]
         fringe = {

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from phenoweave.operators.graph import connected_components
+from phenoweave.session import durable
 
 BLOCK = 64
 
@@ -120,6 +121,23 @@ TILE_HEIGHT = 256
 TILE_CELLS = 2_000_000
 
 
+def _whole_groups(batches: Iterator[pd.DataFrame], group: list[str], work) -> Iterator[pd.DataFrame]:
+    """Feed ``work`` frames of complete groups from batches sorted by group.
+
+    The last group of a batch may go on in the next one, so it is held back;
+    the groups here (bands of a mask) are bounded.
+    """
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        last = (pdf[group] == pdf[group].iloc[-1]).all(axis=1).to_numpy()
+        held = pdf[last]
+        if not last.all():
+            yield from work(pdf[~last].reset_index(drop=True))
+    if held is not None and len(held):
+        yield from work(held.reset_index(drop=True))
+
+
 def _near(mask: np.ndarray, radius: int, axis: int) -> np.ndarray:
     """Whether any cell within ``radius`` along ``axis`` is set, by prefix counts."""
     size = mask.shape[axis]
@@ -203,21 +221,11 @@ def clean_green_mask(
                 out["y"], out["x_start"], out["x_end"] = y[core], start[core], end[core]
                 yield out
 
-    def clean_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            # The last band may go on in the next batch; a band is bounded.
-            same = (pdf[[*keys, "_band"]] == pdf[[*keys, "_band"]].iloc[-1]).all(axis=1).to_numpy()
-            held = pdf[same]
-            if not same.all():
-                yield from clean(pdf[~same].reset_index(drop=True))
-        if held is not None and len(held):
-            yield from clean(held.reset_index(drop=True))
-
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["y int", "x_start bigint", "x_end bigint"])
     return (
-        banded.repartition(*keys, "_band").sortWithinPartitions(*keys, "_band").mapInPandas(clean_sorted, schema)
+        banded.repartition(*keys, "_band")
+        .sortWithinPartitions(*keys, "_band")
+        .mapInPandas(lambda batches: _whole_groups(batches, [*keys, "_band"], clean), schema)
     )
 
 
@@ -257,14 +265,78 @@ def run_adjacency(runs: DataFrame, keys=("image_id",), diagonal: bool = True) ->
     )
 
 
-def components(runs: DataFrame, keys=("image_id",), diagonal: bool = True) -> DataFrame:
-    """Merged runs with ``component``: the smallest run id of the connected region."""
-    tagged = runs.withColumn("run_id", run_id())
-    labels = connected_components(run_adjacency(runs, keys, diagonal), keys)
+def smallest_labels(size: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Smallest index reachable from each index over the edges u - v."""
+    label = np.arange(size)
+    while True:
+        lower = label.copy()
+        np.minimum.at(lower, u, label[v])
+        np.minimum.at(lower, v, label[u])
+        # Hooking the old label's root as well keeps long chains short.
+        np.minimum.at(lower, label[u], lower[u])
+        np.minimum.at(lower, label[v], lower[v])
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def _band_roots(runs: DataFrame, keys: list[str], slack: int, band_height: int) -> DataFrame:
+    """Runs with ``_root``: the smallest run id they reach inside their band of rows."""
+    types = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
+    group = [*keys, "_band"]
+
+    def label(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        fresh = (pdf[group] != pdf[group].shift()).any(axis=1).to_numpy()
+        y, start, end = (pdf[c].to_numpy(np.int64) for c in ("y", "x_start", "x_end"))
+        # One number line for all rows of all bands, with gaps between them.
+        width = int(end.max()) + 4
+        line = (np.cumsum(fresh) * (band_height + 1) + y % band_height) * width + 2
+        low = np.searchsorted(line + end, line + width + start - slack, "left")
+        high = np.searchsorted(line + start, line + width + end + slack, "right")
+        count = np.maximum(high - low, 0)
+        u = np.repeat(np.arange(len(pdf)), count)
+        v = np.arange(len(u)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        root = smallest_labels(len(pdf), u, v)
+        out = pdf.drop(columns="_band")
+        out["_root"] = (y[root] << 32) + start[root]
+        yield out
+
+    columns = [*keys, "y", "x_start", "x_end"]
+    schema = ", ".join([f"{c} {types[c]}" for c in columns] + ["_root bigint"])
+    return (
+        runs.select(*columns, F.floor(F.col("y") / band_height).alias("_band"))
+        .repartition(*group)
+        .sortWithinPartitions(*group, "y", "x_start")
+        .mapInPandas(lambda batches: _whole_groups(batches, group, label), schema)
+    )
+
+
+def components(
+    runs: DataFrame, keys=("image_id",), diagonal: bool = True, band_height: int = TILE_HEIGHT
+) -> DataFrame:
+    """Merged runs with ``component``: the smallest run id of the connected region.
+
+    Bands of rows are labelled inside tasks; only the regions that meet at the
+    seams between bands go through the distributed component search.
+    """
+    keys = list(keys)
+    rooted = durable(_band_roots(runs, keys, 1 if diagonal else 0, band_height), "band-roots")
+    seam = rooted.filter((F.col("y") % band_height == band_height - 1) | (F.col("y") % band_height == 0))
+    crossing = run_adjacency(seam, keys, diagonal).filter(
+        F.shiftright(F.col("src"), 32) % band_height == band_height - 1
+    )
+    root_of = lambda name: seam.select(*keys, run_id().alias(name), F.col("_root").alias(f"_{name}"))
+    edges = (
+        crossing.join(root_of("src"), [*keys, "src"])
+        .join(root_of("dst"), [*keys, "dst"])
+        .select(*keys, F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    )
+    labels = connected_components(edges, keys).withColumnRenamed("node", "_root")
     return (
-        tagged.join(labels.withColumnRenamed("node", "run_id"), [*keys, "run_id"], "left")
-        .withColumn("component", F.coalesce("component", "run_id"))
-        .drop("run_id")
+        rooted.join(labels, [*keys, "_root"], "left")
+        .withColumn("component", F.coalesce("component", "_root"))
+        .select(*keys, "y", "x_start", "x_end", "component")
     )
 
 

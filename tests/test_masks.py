@@ -70,9 +70,9 @@ def test_fill_holes(masks, frames):
     compare(runs.fill_holes(masks, frames), rasters.fill)
 
 
-@pytest.mark.parametrize("diagonal", [True, False])
-def test_components(masks, diagonal):
-    labelled = runs.components(masks, diagonal=diagonal).collect()
+@pytest.mark.parametrize("diagonal,band_height", [(True, 256), (False, 256), (True, 7), (False, 7), (True, 1)])
+def test_components(masks, diagonal, band_height):
+    labelled = runs.components(masks, diagonal=diagonal, band_height=band_height).collect()
     for name, mask in SHAPES.items():
         want = rasters.label(mask, diagonal)
         pairs = {(r["component"], want[r["y"], r["x_start"]]) for r in labelled if r["image_id"] == name}
