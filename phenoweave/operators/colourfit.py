@@ -159,6 +159,17 @@ def normal_sums(patches: DataFrame, method: str = "linear") -> DataFrame:
     )
 
 
+def _least_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least squares of a stack of systems; minimum norm where one lacks rank."""
+    q, r = np.linalg.qr(x)
+    diagonal = np.abs(np.diagonal(r, axis1=1, axis2=2))
+    full = diagonal.min(axis=1) > 1e-12 * diagonal.max(axis=1)
+    out = np.empty((len(x), x.shape[2], y.shape[2]))
+    out[full] = np.linalg.solve(r[full], q[full].transpose(0, 2, 1) @ y[full])
+    out[~full] = np.linalg.pinv(x[~full]) @ y[~full]
+    return out
+
+
 def fit(patches: DataFrame, method: str = "linear") -> DataFrame:
     """Per-image least squares measured -> reference: (image_id, method, coef).
 
@@ -195,7 +206,7 @@ def fit(patches: DataFrame, method: str = "linear") -> DataFrame:
             values[image, slot] = np.concatenate(pdf["flat"].to_numpy()).reshape(-1, 6) / 255.0
             present[image, slot] = 1.0
             x = np.prod(values[:, :, None, :3] ** exponents[None, None, :, :], axis=3) * present
-            solution = np.linalg.pinv(x) @ values[:, :, 3:]
+            solution = _least_squares(x, values[:, :, 3:])
             coef = (solution * rescale[None, :, None]).transpose(0, 2, 1)
             yield pd.DataFrame(
                 {"image_id": pdf["image_id"], "method": method, "coef": [c.tolist() for c in coef]}

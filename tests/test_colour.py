@@ -118,3 +118,14 @@ def test_reference_scores_zero(spark):
 def test_unknown_method_is_refused(patches):
     with pytest.raises(ValueError):
         colourfit.fit(patches[1], "spline")
+
+
+def test_rank_deficient_systems_take_the_smallest_solution():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3, 24, 4))
+    x[1, :, 3] = x[1, :, 0]
+    x[2, 3:] = 0
+    y = rng.normal(size=(3, 24, 3))
+    got = colourfit._least_squares(x, y)
+    for k in range(3):
+        assert got[k] == pytest.approx(np.linalg.lstsq(x[k], y[k], rcond=None)[0])
