@@ -9,10 +9,12 @@ weighted Jaccard similarity. Points come in order of time and a shingle stops
 when its next point is later than all registers.
 
 Equal word sequences are one node. Nodes that agree in a band of registers meet
-in a bucket; each is verified against the bucket's smallest node. Buckets whose
-members still belong to different classes are searched again, exactly, by the
-rarest shingles two similar multisets must share; only pairs of different classes
-are made there. Classes are the connected components of verified links.
+in a bucket and are verified against its smallest multiset, the pivot. Those not
+linked to it get a pivot of their own, a few rounds long. A link that a pivot
+does not show joins two nodes of which one is not linked to the pivot; as neither
+is smaller than the pivot, both must share an element outside it. So such pairs
+are found by those elements alone, which members of one large group do not have
+in common, and verified in turn. Classes are the connected components of links.
 
 Defined cases: documents without words are equal if their texts are; a null text
 is alone; repeated rows are copies; a null id never is a class id, unless all
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from phenoweave.llm.words import WordHasher, mix, slices, text_buffer, windows_of_rows
 from phenoweave.operators.graph import connected_components
@@ -35,6 +37,7 @@ from phenoweave.session import durable
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5  # a link of similarity 0.8 is missed by all bands once in 14,000
+ROUNDS = 3  # of pivots
 PAIRS_PER_COPY = 64  # pairs of one pivot that one copy of its shingles serves
 NO_ID = -(1 << 63)
 
@@ -123,7 +126,7 @@ def _hashed(column: pa.Array, hasher: WordHasher) -> Iterator[tuple[int, int, np
 
 
 def sign_documents(documents: DataFrame, doc_id: str, text: str, size: int = SHINGLE) -> DataFrame:
-    """(id, node, bands) of every document; bands are null without words, the node of a null text too."""
+    """(id, node, size, bands) of every document; bands are null without words, the node of a null text too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -131,9 +134,10 @@ def sign_documents(documents: DataFrame, doc_id: str, text: str, size: int = SHI
             for i, j, words, bounds, names in _hashed(batch.column(1), hasher):
                 table = signatures(words, bounds, size=size)
                 bands = pa.array([row if b > a else None for row, a, b in zip(table.tolist(), bounds, bounds[1:])], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names, pa.binary()), bands], ["id", "node", "bands"])
+                count = pa.array(np.maximum(np.diff(bounds) - size + 1, 1), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names, pa.binary()), count, bands], ["id", "node", "size", "bands"])
 
-    return documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, node binary, bands array<long>")
+    return documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, node binary, size long, bands array<long>")
 
 
 def _node_shingles(documents: DataFrame, nodes: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
@@ -167,8 +171,8 @@ def bag_overlap(a: bytes, b: bytes) -> tuple[int, int]:
     return common, len(x) + len(y) - common
 
 
-def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """The distinct (src, dst) ``pairs`` whose multisets are similar enough.
+def _with_bags(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """``pairs`` (src, dst, ...) plus src_bag and dst_bag.
 
     The bag of a ``src`` with many partners is copied, so its pairs part.
     """
@@ -178,69 +182,104 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     )
     right = pairs.join(copies, "src").withColumn("copy", F.pmod(F.xxhash64("dst"), F.col("copies")).cast("int"))
     right = right.join(bags.withColumnsRenamed({"node": "dst", "bag": "dst_bag"}), "dst")
+    return left.join(right, ["src", "copy"]).select(*pairs.columns, "src_bag", "dst_bag")
+
+
+def tested(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst, linked): whether the multisets of each pair are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked = []
             for a, b in zip(batch.column(2), batch.column(3)):
                 common, union = bag_overlap(a.as_buffer(), b.as_buffer())
-                keep.append(common >= threshold * union - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+                linked.append(common >= threshold * union - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["src", "dst", "linked"])
 
-    return left.join(right, ["src", "copy"]).select("src", "dst", "src_bag", "dst_bag").mapInArrow(run, "src binary, dst binary")
+    return _with_bags(pairs.select("src", "dst"), bags).mapInArrow(run, "src binary, dst binary, linked boolean")
 
 
-def _prefix_pairs(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of ``nodes`` (node, class) of different classes that share an element both must share one of.
+def elements_outside(pivot: np.ndarray, bag: np.ndarray, threshold: float) -> np.ndarray:
+    """Elements (shingle and occurrence) of ``bag`` outside ``pivot`` of which a partner must share one.
 
-    Elements are shingles with their occurrence number; two multisets of
-    similarity ``threshold`` share one of the ``n - ceil(threshold * n) + 1`` elements
-    that come first in any common order. The rarest come first here.
+    A partner shares at least ``ceil(threshold * size)`` elements, at most the common
+    part of bag and pivot lies inside, so of those outside, in a common order, the
+    first ``outside - missing + 1`` are enough.
     """
+    at = np.arange(len(bag)) - np.searchsorted(bag, bag)
+    inside = np.searchsorted(pivot, bag, "right") - np.searchsorted(pivot, bag, "left")
+    outer = at >= inside
+    element = np.sort(mix(bag[outer] + at[outer].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+    missing = int(np.ceil(threshold * len(bag) - 1e-9)) - (len(bag) - len(element))
+    return element[: len(element) - max(missing, 1) + 1]
+
+
+def _hidden_pairs(open_pairs: DataFrame, bags: DataFrame, threshold: float, both: bool) -> DataFrame:
+    """Pairs that may be linked though their pivot does not show it.
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    One node is not linked to the pivot; the other is, or with ``both`` is not either.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, kind, bag in zip(batch.column(0), batch.column(1), batch.column(2)):
-                x = np.frombuffer(bag.as_buffer(), np.uint64)
-                first = np.searchsorted(x, x)
-                element = mix(x + (np.arange(len(x)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                n = len(x)
-                take = n - int(np.ceil(threshold * n - 1e-9)) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * n, pa.binary()), pa.array([kind.as_py()] * n, pa.binary()), pa.array(np.full(n, take), pa.int32()), pa.array(element)], ["node", "class", "take", "element"])
-
-    elements = durable(nodes.join(bags, "node").select("node", "class", "bag").mapInArrow(spread, "node binary, class binary, take int, element long"), "near-elements")
-    common = elements.groupBy("element").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b"))
-    # Elements of one class alone still hold their place in the order, but lead to no pair.
-    ranked = elements.join(common, "element").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("n", "element")))
-    chosen = ranked.filter("rank <= take and a <> b").select("node", "class", "element")
-    other = chosen.withColumnsRenamed({"node": "other", "class": "other_class"})
-    return chosen.join(other, "element").filter("class < other_class").select(F.col("node").alias("src"), F.col("other").alias("dst")).distinct()
+            for src, dst, linked, a, b in zip(*batch.columns):
+                found = elements_outside(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), threshold)
+                n = len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([src.as_py()] * n, pa.binary()), pa.array([dst.as_py()] * n, pa.binary()), pa.array([linked.as_py()] * n, pa.bool_()), pa.array(found)],
+                    ["pivot", "node", "linked", "element"],
+                )
+
+    spread = durable(_with_bags(open_pairs, bags).mapInArrow(run, "pivot binary, node binary, linked boolean, element long"), "near-elements")
+    # Elements that lead to no pair go before the join.
+    useful = spread.groupBy("pivot", "element").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("far"))
+    useful = useful.filter("far > 0 and n > 1" if both else "far > 0 and n > far").select("pivot", "element")
+    rows = spread.join(useful, ["pivot", "element"])
+    far = rows.filter("not linked").select("pivot", "element", F.col("node").alias("src"))
+    other = rows.withColumnRenamed("node", "dst").select("pivot", "element", "dst", "linked")
+    met = far.join(other if both else other.filter("linked"), ["pivot", "element"])
+    return met.filter("linked or src < dst").select("src", "dst").distinct()
+
+
+def _links(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (src, dst) among ``members`` (bucket, node, size) of the same bucket."""
+    rest, links = members, []
+    for turn in range(ROUNDS):
+        pivots = durable(
+            rest.groupBy("bucket").agg(F.min(F.struct("size", "node")).alias("least"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("least.node").alias("src")),
+            "near-pivots",
+        )
+        met = durable(rest.join(pivots, "bucket").filter("src <> node").select("bucket", "src", F.col("node").alias("dst"), "size"), "near-met")
+        seen = durable(tested(met.select("src", "dst").distinct(), bags, threshold), "near-tested")
+        links.append(seen.filter("linked").select("src", "dst"))
+        rest = durable(met.join(seen.filter("not linked"), ["src", "dst"]).select("bucket", F.col("dst").alias("node"), "size"), "near-rest")
+        if rest.isEmpty():
+            break
+        last = turn == ROUNDS - 1
+        far = seen.groupBy("src").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("far"))
+        far = far.filter("far > 0 and n > 1" if last else "far > 0 and n > far").select("src")
+        hidden = durable(_hidden_pairs(seen.join(far, "src").select("src", "dst", "linked"), bags, threshold, last), "near-hidden")
+        links.append(tested(hidden, bags, threshold).filter("linked").select("src", "dst"))
+    found = links[0]
+    for more in links[1:]:
+        found = found.unionByName(more)
+    return durable(found, "near-links")
 
 
 def near_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """(id, node, class_id, kept) of every document; one (id, node) of each class is kept, that of the smallest id."""
     signed = durable(sign_documents(documents, doc_id, text, size), "near-signed")
     nodes = durable(
-        signed.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("id"), F.first("bands", True).alias("bands")),
+        signed.filter("node is not null").groupBy("node")
+        .agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("id"), F.first("size").alias("size"), F.first("bands", True).alias("bands")),
         "near-nodes",
     )
-    members = nodes.filter("bands is not null").select("node", F.explode("bands").alias("bucket"))
-    buckets = durable(members.groupBy("bucket").agg(F.min("node").alias("src"), F.count("*").alias("n")).filter("n > 1"), "near-buckets")
-    met = durable(members.join(buckets.select("bucket", "src"), "bucket").select("bucket", "src", "node"), "near-met")
-    pairs = durable(met.filter("src <> node").select("src", F.col("node").alias("dst")).distinct(), "near-pairs")
-    wanted = met.select("node").distinct().join(nodes.select("id", "node"), "node").select("id", "node")
+    spread = nodes.filter("bands is not null").select("node", "size", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    members = durable(spread.join(shared, "bucket"), "near-members")
+    wanted = members.select("node").distinct().join(nodes.select("id", "node"), "node").select("id", "node")
     bags = durable(_node_shingles(documents, wanted, doc_id, text, size), "near-bags")
-    links = durable(verified(pairs, bags, threshold), "near-links")
-    classes = durable(connected_components(links), "near-components")
-    # Buckets that still hold several classes.
-    classed = met.join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    mixed = classed.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("bucket")
-    left = durable(classed.join(mixed, "bucket").select("node", "class").distinct(), "near-mixed")
-    if not left.isEmpty():
-        more = durable(_prefix_pairs(left, bags, threshold).join(pairs, ["src", "dst"], "left_anti"), "near-pairs")
-        found = durable(verified(more, bags, threshold), "near-links")
-        if not found.isEmpty():
-            classes = durable(connected_components(links.unionByName(found)), "near-components")
+    classes = durable(connected_components(_links(members, bags, threshold)), "near-components")
     whole = signed.select("id", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = whole.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
     return whole.join(best, "component", "left").select(
