@@ -251,11 +251,11 @@ def _routed(documents: DataFrame, shards: DataFrame, count: int, least: int, doc
 
     lines = documents.select(key["id"].alias("id"), key["text"].alias("hash"), F.col(text).alias("text")).mapInArrow(cut, "id long, hash long, index long, fingerprint long")
     refs = lines.select(
-        F.pmod("index", F.lit(count)).alias("shard"), F.pmod(F.xxhash64("id", "hash"), F.lit(COPIES)).alias("copy"), F.lit(1).alias("kind"),
+        F.pmod("index", F.lit(count)).cast("long").alias("shard"), F.pmod(F.xxhash64("id", "hash"), F.lit(COPIES)).cast("long").alias("copy"), F.lit(1).alias("kind"),
         F.lit(None).cast("binary").alias("data"), "id", "hash", "index", "fingerprint",
     )
     copies = shards.select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).cast("long").alias("copy"), F.lit(0).alias("kind"), "data",
+        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long"))).alias("copy"), F.lit(0).alias("kind"), "data",
         *[F.lit(None).cast("long").alias(c) for c in ("id", "hash", "index", "fingerprint")],
     )
 
