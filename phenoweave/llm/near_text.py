@@ -9,12 +9,11 @@ weighted Jaccard similarity. Points come in order of time and a shingle stops
 when its next point is later than all registers.
 
 Equal word sequences are one node. Nodes that agree in a band of registers meet
-in a bucket and are verified against its smallest multiset, the pivot. Those not
-linked to it get a pivot of their own, a few rounds long. A link that a pivot
-does not show joins two nodes of which one is not linked to the pivot; as neither
-is smaller than the pivot, both must share an element outside it. So such pairs
-are found by those elements alone, which members of one large group do not have
-in common, and verified in turn. Classes are the connected components of links.
+in a bucket and are verified against its smallest node, the pivot. Nodes that are
+not linked to their pivot are compared with all nodes that met it, in tiles of
+bounded blocks; a tile returns a spanning forest of its links, never pairs. Two
+nodes that are both linked to the pivot need no comparison, they are of one class.
+Classes are the connected components of verified links.
 
 Defined cases: documents without words are equal if their texts are; a null text
 is alone; repeated rows are copies; a null id never is a class id, unless all
@@ -37,7 +36,8 @@ from phenoweave.session import durable
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5  # a link of similarity 0.8 is missed by all bands once in 14,000
-ROUNDS = 3  # of pivots
+FAR_BLOCK, NEAR_BLOCK = 128, 256  # nodes on the two sides of a tile
+COLUMNS = 4096  # shared elements of a tile multiplied at once
 PAIRS_PER_COPY = 64  # pairs of one pivot that one copy of its shingles serves
 NO_ID = -(1 << 63)
 
@@ -126,7 +126,7 @@ def _hashed(column: pa.Array, hasher: WordHasher) -> Iterator[tuple[int, int, np
 
 
 def sign_documents(documents: DataFrame, doc_id: str, text: str, size: int = SHINGLE) -> DataFrame:
-    """(id, node, size, bands) of every document; bands are null without words, the node of a null text too."""
+    """(id, node, bands) of every document; bands are null without words, the node of a null text too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -134,10 +134,9 @@ def sign_documents(documents: DataFrame, doc_id: str, text: str, size: int = SHI
             for i, j, words, bounds, names in _hashed(batch.column(1), hasher):
                 table = signatures(words, bounds, size=size)
                 bands = pa.array([row if b > a else None for row, a, b in zip(table.tolist(), bounds, bounds[1:])], pa.list_(pa.int64()))
-                count = pa.array(np.maximum(np.diff(bounds) - size + 1, 1), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names, pa.binary()), count, bands], ["id", "node", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names, pa.binary()), bands], ["id", "node", "bands"])
 
-    return documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, node binary, size long, bands array<long>")
+    return documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, node binary, bands array<long>")
 
 
 def _node_shingles(documents: DataFrame, nodes: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
@@ -199,71 +198,69 @@ def tested(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return _with_bags(pairs.select("src", "dst"), bags).mapInArrow(run, "src binary, dst binary, linked boolean")
 
 
-def elements_outside(pivot: np.ndarray, bag: np.ndarray, threshold: float) -> np.ndarray:
-    """Elements (shingle and occurrence) of ``bag`` outside ``pivot`` of which a partner must share one.
-
-    A partner shares at least ``ceil(threshold * size)`` elements, at most the common
-    part of bag and pivot lies inside, so of those outside, in a common order, the
-    first ``outside - missing + 1`` are enough.
-    """
-    at = np.arange(len(bag)) - np.searchsorted(bag, bag)
-    inside = np.searchsorted(pivot, bag, "right") - np.searchsorted(pivot, bag, "left")
-    outer = at >= inside
-    element = np.sort(mix(bag[outer] + at[outer].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
-    missing = int(np.ceil(threshold * len(bag) - 1e-9)) - (len(bag) - len(element))
-    return element[: len(element) - max(missing, 1) + 1]
-
-
-def _hidden_pairs(open_pairs: DataFrame, bags: DataFrame, threshold: float, both: bool) -> DataFrame:
-    """Pairs that may be linked though their pivot does not show it.
-
-    One node is not linked to the pivot; the other is, or with ``both`` is not either.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for src, dst, linked, a, b in zip(*batch.columns):
-                found = elements_outside(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), threshold)
-                n = len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([src.as_py()] * n, pa.binary()), pa.array([dst.as_py()] * n, pa.binary()), pa.array([linked.as_py()] * n, pa.bool_()), pa.array(found)],
-                    ["pivot", "node", "linked", "element"],
-                )
-
-    spread = durable(_with_bags(open_pairs, bags).mapInArrow(run, "pivot binary, node binary, linked boolean, element long"), "near-elements")
-    # Elements that lead to no pair go before the join.
-    useful = spread.groupBy("pivot", "element").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("far"))
-    useful = useful.filter("far > 0 and n > 1" if both else "far > 0 and n > far").select("pivot", "element")
-    rows = spread.join(useful, ["pivot", "element"])
-    far = rows.filter("not linked").select("pivot", "element", F.col("node").alias("src"))
-    other = rows.withColumnRenamed("node", "dst").select("pivot", "element", "dst", "linked")
-    met = far.join(other if both else other.filter("linked"), ["pivot", "element"])
-    return met.filter("linked or src < dst").select("src", "dst").distinct()
+def tile_links(bags: list[np.ndarray], cut: int, threshold: float) -> list[tuple[int, int]]:
+    """Spanning forest of the links between the first ``cut`` multisets and the others."""
+    sizes = np.array([len(b) for b in bags])
+    occurrence = [np.arange(len(b)) - np.searchsorted(b, b) for b in bags]
+    elements = np.concatenate([mix(b + o.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for b, o in zip(bags, occurrence)])
+    _, column, counts = np.unique(elements, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(bags)), sizes)
+    shared = counts[column] > 1  # only they add to an overlap
+    number = np.cumsum(counts > 1) - 1
+    row, column = row[shared], number[column[shared]]
+    common = np.zeros((cut, len(bags) - cut), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(bags), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        common += part[:cut] @ part[cut:].T
+    union = sizes[:cut, None] + sizes[None, cut:] - common
+    parent, out = list(range(len(bags))), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, j in zip(*(x.tolist() for x in np.nonzero(common >= threshold * union - 1e-6))):
+        x, y = root(i), root(cut + j)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((i, cut + j))
+    return out
 
 
 def _links(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (src, dst) among ``members`` (bucket, node, size) of the same bucket."""
-    rest, links = members, []
-    for turn in range(ROUNDS):
-        pivots = durable(
-            rest.groupBy("bucket").agg(F.min(F.struct("size", "node")).alias("least"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("least.node").alias("src")),
-            "near-pivots",
-        )
-        met = durable(rest.join(pivots, "bucket").filter("src <> node").select("bucket", "src", F.col("node").alias("dst"), "size"), "near-met")
-        seen = durable(tested(met.select("src", "dst").distinct(), bags, threshold), "near-tested")
-        links.append(seen.filter("linked").select("src", "dst"))
-        rest = durable(met.join(seen.filter("not linked"), ["src", "dst"]).select("bucket", F.col("dst").alias("node"), "size"), "near-rest")
-        if rest.isEmpty():
-            break
-        last = turn == ROUNDS - 1
-        far = seen.groupBy("src").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("far"))
-        far = far.filter("far > 0 and n > 1" if last else "far > 0 and n > far").select("src")
-        hidden = durable(_hidden_pairs(seen.join(far, "src").select("src", "dst", "linked"), bags, threshold, last), "near-hidden")
-        links.append(tested(hidden, bags, threshold).filter("linked").select("src", "dst"))
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
-    return durable(found, "near-links")
+    """Links (src, dst) among ``members`` (bucket, node) of the same bucket that span their classes."""
+    pivots = members.groupBy("bucket").agg(F.min("node").alias("src"))
+    met = members.join(pivots, "bucket").filter("src <> node").select("src", F.col("node").alias("dst")).distinct()
+    seen = durable(tested(durable(met, "near-met"), bags, threshold), "near-tested")
+    star = seen.filter("linked").select("src", "dst")
+    # Blocks of the far nodes of a pivot, and of all nodes that met it.
+    far = seen.groupBy("src").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("far")).filter("far > 0 and n > 1").select(
+        "src", F.ceil(F.col("far") / FAR_BLOCK).cast("int").alias("far_blocks"), F.ceil(F.col("n") / NEAR_BLOCK).cast("int").alias("near_blocks")
+    )
+    rows = durable(seen.join(far, "src"), "near-far")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda seed, n: F.pmod(F.xxhash64("dst", F.lit(seed)), F.col(n)).cast("int")
+    left = rows.filter("not linked").select("src", "dst", F.lit(0).alias("side"), block(1, "far_blocks").alias("i"), every("near_blocks").alias("j"))
+    right = rows.select("src", "dst", F.lit(1).alias("side"), every("far_blocks").alias("i"), block(2, "near_blocks").alias("j"))
+    filled = left.unionByName(right).join(bags.withColumnRenamed("node", "dst"), "dst")
+
+    def compare(key, table):
+        side = table.column("side").to_numpy()
+        order = np.argsort(side, kind="stable")
+        cut = int((side == 0).sum())
+        nodes, bags = table.column("dst").to_pylist(), table.column("bag").to_pylist()
+        found = tile_links([np.frombuffer(bags[k], np.uint64) for k in order], cut, threshold) if 0 < cut < len(order) else []
+        pairs = [(nodes[order[a]], nodes[order[b]]) for a, b in found if nodes[order[a]] != nodes[order[b]]]
+        return pa.table({"src": pa.array([p[0] for p in pairs], pa.binary()), "dst": pa.array([p[1] for p in pairs], pa.binary())})
+
+    tiles = filled.select("src", "i", "j", "side", "dst", "bag").groupBy("src", "i", "j").applyInArrow(compare, "src binary, dst binary")
+    return durable(star.unionByName(tiles), "near-links")
 
 
 def near_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
@@ -271,10 +268,10 @@ def near_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     signed = durable(sign_documents(documents, doc_id, text, size), "near-signed")
     nodes = durable(
         signed.filter("node is not null").groupBy("node")
-        .agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("id"), F.first("size").alias("size"), F.first("bands", True).alias("bands")),
+        .agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("id"), F.first("bands", True).alias("bands")),
         "near-nodes",
     )
-    spread = nodes.filter("bands is not null").select("node", "size", F.explode("bands").alias("bucket"))
+    spread = nodes.filter("bands is not null").select("node", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = durable(spread.join(shared, "bucket"), "near-members")
     wanted = members.select("node").distinct().join(nodes.select("id", "node"), "node").select("id", "node")

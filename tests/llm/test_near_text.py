@@ -94,17 +94,26 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(found) - want) < 4 * np.sqrt(want * (1 - want) / (40 * 120))
 
 
-def test_outside_elements_find_every_hidden_link():
+@pytest.mark.parametrize("columns", [4096, 16])
+def test_tiles_find_every_link(monkeypatch, columns):
+    monkeypatch.setattr(near_text, "COLUMNS", columns)
     random.seed(2)
-    for _ in range(300):
-        p = Counter(random.choices(range(30), k=25))
-        change = lambda c, k: Counter([x if random.random() > k / 40 else random.randrange(200) for x in c.elements()] + random.choices(range(200), k=random.randint(0, 4)))
-        x = change(p, random.randint(2, 12))
-        y = change(x, random.randint(0, 4))
-        if min(sum(x.values()), sum(y.values())) < sum(p.values()) or similarity(x, p) >= 0.8 or similarity(x, y) < 0.8:
-            continue
-        arrays = [np.sort(np.array(list(c.elements()), np.uint64)) for c in (p, x, y)]
-        assert set(near_text.elements_outside(arrays[0], arrays[1], 0.8)) & set(near_text.elements_outside(arrays[0], arrays[2], 0.8))
+    base = [random.randrange(60) for _ in range(40)]
+    bags = [Counter([x if random.random() > k / 300 else random.randrange(200) for x in base]) for k in range(24)]
+    arrays = [np.sort(np.array(list(c.elements()), np.uint64)) for c in bags]
+    parent = list(range(24))
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for a in range(10):
+        for b in range(10, 24):
+            if similarity(bags[a], bags[b]) >= 0.8:
+                parent[root(a)] = root(b)
+    want = [root(x) for x in range(24)]
+    links = near_text.tile_links(arrays, 10, 0.8)
+    parent = list(range(24))
+    for a, b in links:
+        assert a < 10 <= b and similarity(bags[a], bags[b]) >= 0.8 and root(a) != root(b)
+        parent[root(a)] = root(b)
+    assert len(set(want)) == len({root(x) for x in range(24)}) < 24
 
 
 def test_overlap_counts_repeats():
