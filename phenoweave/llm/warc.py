@@ -1,8 +1,9 @@
 """WARC archives, and a capture index merged from locally sorted runs.
 
-Records are written by Spark's text sink: a record is one value and its closing
-blank lines are the line separator, so the files are plain WARC. Archives are
-read back whole, one bounded file at a time, and parsed by Content-Length. Each
+Records are written by Spark's text sink with gzip: a record is one value and its
+closing blank lines are the line separator, so the unpacked files are plain WARC.
+Archives are read back whole, one bounded file at a time, and parsed by
+Content-Length; offsets are those of the unpacked archive. Each
 archive yields a run of captures sorted by URL key and time. The runs are cut at
 common key bounds, and every key range is merged from its slices by a loser tree
 into a globally ordered index. Runs and index are tables in the shared folder.
@@ -15,6 +16,7 @@ empty index; line breaks in URLs are percent-encoded; extra columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import math
 import re
@@ -86,16 +88,15 @@ def records(revisited: DataFrame, key: str, url: str, time: str, payload: str) -
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", time: str = "time", payload: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write a record per row of ``pages`` into ``.warc`` text files under ``path``.
+    """Write a record per row of ``pages`` into archives under ``path``.
 
-    Rows are dealt out by a hash of the row, so archives are near ``archive_bytes``;
-    one longer than that holds a longer page.
+    A task begins a new archive after as many records as make ``archive_bytes`` on
+    average.
     """
     plain = pages.select(F.col(key).cast("long").alias(key), F.col(url).cast("string").alias(url), F.col(time).alias(time), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias(payload))
-    total = plain.agg(F.sum(F.octet_length(payload) + 600)).head()[0] or 0
-    made = with_revisits(plain, key, payload)
-    dealt = made.repartition(max(1, math.ceil(total / archive_bytes)), F.xxhash64(key, url, "digest"))
-    records(dealt, key, url, time, payload).write.option("lineSep", "\r\n\r\n").text(path)
+    mean = plain.agg(F.avg(F.octet_length(payload) + 600)).head()[0] or archive_bytes
+    made = records(with_revisits(plain, key, payload), key, url, time, payload)
+    made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, int(archive_bytes / mean))).text(path)
 
 
 def parse_archive(data: memoryview) -> Iterator[tuple[dict, int, int, memoryview]]:
@@ -133,7 +134,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
                 rows, run = [], path.as_py().rsplit("/", 1)[-1]
-                for headers, offset, length, block in parse_archive(memoryview(content.as_buffer())):
+                for headers, offset, length, block in parse_archive(memoryview(gzip.decompress(content.as_buffer()))):
                     cut = bytes(block[:4096]).find(b"\r\n\r\n") + 4
                     declared = int(re.search(rb"Content-Length: (\d+)", bytes(block[:cut]))[1])
                     digest, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
