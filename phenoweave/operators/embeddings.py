@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from phenoweave.operators.graph import connected_components
 from phenoweave.operators.ordering import positions
@@ -42,26 +42,42 @@ def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
 
 
+def _ordered_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Vectors dealt out and sorted by key, written once: fits do not depend on the input's layout."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(_vectors(df, key, vector).repartition(n, key).sortWithinPartitions(key), "vectors")
+
+
 def _labels(predicted: DataFrame, key: str) -> DataFrame:
-    return predicted.select(key, F.col("prediction").cast("int").alias("cluster"))
+    """Cluster numbers in the order of the clusters' smallest keys."""
+    first = predicted.groupBy("prediction").agg(F.min(key).alias("_first"))
+    # One row per cluster: their number is a parameter.
+    ranked = first.select("prediction", (F.row_number().over(Window.orderBy("_first")) - 1).cast("int").alias("cluster"))
+    return predicted.join(F.broadcast(ranked), "prediction").select(key, "cluster")
 
 
-def kmeans(df: DataFrame, key: str, vector: str = "embedding", n_clusters: int = 5, seed: int = 42, n_init: int = 10):
+def kmeans(
+    df: DataFrame, key: str, vector: str = "embedding", n_clusters: int = 5, seed: int = 42, n_init: int = 10,
+    max_iter: int = 300, tol: float = 1e-4,
+):
     """k-means; the lowest training cost of ``n_init`` seeded runs."""
-    data = _vectors(df, key, vector)
-    cached = data.persist()
-    models = [KMeans(k=n_clusters, seed=seed + i).fit(cached) for i in range(n_init)]
-    cached.unpersist()
+    data = _ordered_vectors(df, key, vector)
+    if data.isEmpty():
+        return data.select(key, F.lit(None).cast("int").alias("cluster"))
+    models = [KMeans(k=n_clusters, seed=seed + i, maxIter=max_iter, tol=tol).fit(data) for i in range(n_init)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return _labels(best.transform(data), key)
 
 
 def gaussian_mixture(
-    df: DataFrame, key: str, vector: str = "embedding", n_clusters: int = 5, seed: int = 42, components: int = 16
+    df: DataFrame, key: str, vector: str = "embedding", n_clusters: int = 5, seed: int = 42, components: int | None = None
 ):
-    """Gaussian mixture on the leading principal components (full covariances)."""
-    reduced = principal_components(df, key, vector, components)[0]
-    data = _vectors(reduced, key, "components")
+    """Gaussian mixture with full covariances over all dimensions, or over ``components`` principal ones."""
+    if components is not None:
+        df, vector = principal_components(df, key, vector, components)[0], "components"
+    data = _ordered_vectors(df, key, vector)
+    if data.isEmpty():
+        return data.select(key, F.lit(None).cast("int").alias("cluster"))
     return _labels(GaussianMixture(k=n_clusters, seed=seed).fit(data).transform(data), key)
 
 
@@ -77,7 +93,14 @@ def principal_components(df: DataFrame, key: str, vector: str = "embedding", k:
     The sign of a component makes its largest loading positive.
     """
     data = _vectors(df, key, vector)
-    dimension = data.select("features").head()[0].size
+    first = data.select("features").head()
+    ratios_schema = "component int, explained_variance_ratio double"
+    if first is None:
+        return (
+            data.select(key, F.lit(None).cast("array<double>").alias("components")),
+            df.sparkSession.createDataFrame([], ratios_schema),
+        )
+    dimension = first[0].size
     k = min(k, dimension)
     centred = StandardScaler(inputCol="features", outputCol="centred", withMean=True, withStd=False)
     ready = centred.fit(data).transform(data)
@@ -90,7 +113,7 @@ def principal_components(df: DataFrame, key: str, vector: str = "embedding", k:
     )
     ratios = df.sparkSession.createDataFrame(
         [(i + 1, float(r)) for i, r in enumerate(model.explainedVariance.toArray())],
-        "component int, explained_variance_ratio double",
+        ratios_schema,
     )
     return out, ratios
 

@@ -16,9 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from phenoweave.session import durable
 
 
-def connected_components(
-    edges: DataFrame, keys: Sequence[str] = (), max_rounds: int = 200
-) -> DataFrame:
+def connected_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, node, component) for every node that has an edge.
 
     ``edges`` has the key columns plus ``src`` and ``dst``; components never
@@ -33,8 +31,6 @@ def connected_components(
     )
     maps: list[DataFrame] = []
     while not current.isEmpty():
-        if len(maps) >= max_rounds:
-            raise RuntimeError("connected components did not converge")
         seed = F.lit(len(maps))
         both = current.unionByName(
             current.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))

@@ -51,7 +51,7 @@ def curve_features(
     return out.select(
         *log.columns,
         gap.alias("gap"),
-        F.when(gap > 0, "overfitting").otherwise("underfitting").alias("fit"),
+        F.when(gap > 0, "overfitting").when(gap <= 0, "underfitting").alias("fit"),
         "improvement",
         "smoothed_improvement",
         F.when(F.col("epochs") >= rolling, F.col("_std")).alias("rolling_std"),

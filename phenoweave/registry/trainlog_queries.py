@@ -13,7 +13,7 @@ register(
     "training_curves",
     lambda t: rounded(trainlog.curve_features(t.training_log), 8),
     f"""SELECT run_id, epoch, round(train_loss, 8) AS train_loss, round(val_loss, 8) AS val_loss, round(val_loss - train_loss, 8) AS gap,
-      CASE WHEN val_loss - train_loss > 0 THEN 'overfitting' ELSE 'underfitting' END AS fit,
+      CASE WHEN val_loss - train_loss > 0 THEN 'overfitting' WHEN val_loss - train_loss <= 0 THEN 'underfitting' END AS fit,
       round(imp, 8) AS improvement,
       CASE WHEN count(imp) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 5 THEN
         round(avg(imp) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 8) END AS smoothed_improvement,
