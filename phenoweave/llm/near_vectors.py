@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from phenoweave.operators.graph import connected_components
@@ -178,28 +177,56 @@ def near_vectors(
     )
     filled = tiles.join(placed.select("node", "n", "vector", "keys"), "node")
 
-    def compare(key, table):
-        bucket, low, high = key[0].as_py(), key[2].as_py(), key[3].as_py()
-        table = table.take(pc.sort_indices(table, [("own", "ascending"), ("node", "ascending")])).combine_chunks()
-        nodes, n = table.column("node").to_pylist(), table.column("n").to_numpy()
-        unit = normalised(np.stack([np.frombuffer(v, np.float64) for v in table.column("vector").to_pylist()]))
-        keys = [np.array(k, np.int64) for k in table.column("keys").to_pylist()]
-        cut = int((table.column("own").to_numpy() == low).sum())
+    def compare(nodes, n, unit, keys, own, bucket, low, high):
+        order = sorted(range(len(nodes)), key=lambda i: (own[i] != low, nodes[i]))
+        nodes, keys, unit, n = [nodes[i] for i in order], [keys[i] for i in order], unit[order], n[order]
+        cut = sum(o == low for o in own)
         if low == high:
             pairs = compare_blocks(unit, keys, unit, keys, bucket, True, threshold)
         else:
             pairs = compare_blocks(unit[:cut], keys[:cut], unit[cut:], keys[cut:], bucket, False, threshold)
             pairs[:, 1] += cut
+        if not len(pairs):
+            return [], [], []
         counts = np.bincount(pairs[:, 0], n[pairs[:, 1]], len(nodes)) + np.bincount(pairs[:, 1], n[pairs[:, 0]], len(nodes))
-        linked = np.flatnonzero(counts)
-        forest = _forest(len(nodes), pairs)
-        return pa.table({
-            "src": pa.array([nodes[i] for i in linked] + [nodes[a] for a, _ in forest], pa.binary()),
-            "dst": pa.array([None] * len(linked) + [nodes[b] for _, b in forest], pa.binary()),
-            "links": pa.array([int(counts[i]) for i in linked] + [0] * len(forest), pa.int64()),
-        })
-
-    found = durable(filled.groupBy("bucket", "dim", "low", "high").applyInArrow(compare, "src binary, dst binary, links long"), "vector-links")
+        linked, forest = np.flatnonzero(counts), _forest(len(nodes), pairs)
+        return (
+            [nodes[i] for i in linked] + [nodes[x] for x, _ in forest],
+            [None] * len(linked) + [nodes[y] for _, y in forest],
+            [int(counts[i]) for i in linked] + [0] * len(forest),
+        )
+
+    def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Compare tile by tile; a tile's rows follow each other and may go on in the next batch."""
+        waiting, tile = [], None
+
+        def finish():
+            nodes, n, vectors, keys, own = zip(*waiting)
+            if len(nodes) < 2:
+                return [], [], []
+            unit = normalised(np.stack([np.frombuffer(v) for v in vectors]))
+            return compare(nodes, np.array(n), unit, [np.array(k, np.int64) for k in keys], own, tile[0], tile[2], tile[3])
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], ["src", "dst", "links"])
+
+        for batch in batches:
+            out = ([], [], [])
+            for *at, node, n, vector, keys, own in zip(*(batch.column(c).to_pylist() for c in range(9))):
+                if at != tile:
+                    if waiting:
+                        for whole, part in zip(out, finish()):
+                            whole.extend(part)
+                    waiting, tile = [], at
+                waiting.append((node, n, vector, keys, own))
+            yield batch_of(out)
+        if waiting:
+            yield batch_of(finish())
+
+    tile = ["bucket", "dim", "low", "high"]
+    # Many tiles are small: they are told apart within a sorted partition, not each grouped for Python.
+    sorted_tiles = filled.select(*tile, "node", "n", "vector", "keys", "own").repartition(*tile).sortWithinPartitions(*tile)
+    found = durable(sorted_tiles.mapInArrow(tiles_of, "src binary, dst binary, links long"), "vector-links")
     links = found.filter("dst is null").groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
     components = connected_components(found.filter("dst is not null").select("src", "dst"))
     node_rows = placed.select("node", "n").join(links, "node", "left").join(components, "node", "left").select(
