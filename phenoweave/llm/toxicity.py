@@ -253,7 +253,7 @@ def fit(documents: DataFrame, labels: DataFrame, counts: np.ndarray, doc_id: str
     return weights, b
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.2, rounds: int = 40) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.02, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by Newton steps; the constant is not penalised."""
     z = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
     ridge = np.full(z.shape[1], penalty)
