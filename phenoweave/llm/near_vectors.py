@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 from phenoweave.operators.graph import connected_components
 from phenoweave.session import durable
 
-TABLES, HASHES, PROBES, BLOCK = 12, 2, 3, 256
+TABLES, HASHES, PROBES, BLOCK = 10, 3, 4, 1024
 THRESHOLD = 0.95
+PAIRS_AT_ONCE = 16_384
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -106,37 +107,47 @@ def _nodes(embeddings: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def _placed(nodes: DataFrame, tables: int, hashes: int, probes: int) -> DataFrame:
-    """(node, n, vector, keys, dim) with the sorted distinct buckets of each node."""
+    """(node, n, vector, keys, dim): ``keys`` holds the buckets of each node, tables x probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = [np.frombuffer(v.as_buffer()) for v in batch.column(2)]
-            dims = np.array([len(v) for v in vectors])
-            keys: list = [None] * len(vectors)
+            dims = np.array([len(v) for v in vectors], np.int32)
+            keys = np.zeros((len(vectors), tables * probes), np.int64)
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
                 for i in range(0, len(rows), 2048):
                     part = rows[i : i + 2048]
-                    found = buckets(normalised(np.stack([vectors[r] for r in part])), tables, hashes, probes).reshape(len(part), -1)
-                    for r, f in zip(part, found):
-                        keys[r] = np.unique(f).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(dims, pa.int32())],
-                ["node", "n", "vector", "keys", "dim"],
-            )
+                    keys[part] = buckets(normalised(np.stack([vectors[r] for r in part])), tables, hashes, probes).reshape(len(part), -1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists, pa.array(dims)], ["node", "n", "vector", "keys", "dim"])
 
     return nodes.select("node", "n", "vector").mapInArrow(run, "node binary, n long, vector binary, keys array<long>, dim int")
 
 
-def compare_blocks(unit_a: np.ndarray, keys_a: list, unit_b: np.ndarray, keys_b: list, bucket: int, same: bool, threshold: float) -> np.ndarray:
+def first_shared(keys_a: np.ndarray, keys_b: np.ndarray, bucket: int) -> np.ndarray:
+    """For each pair of rows (pairs x tables x probes): no bucket below ``bucket`` is shared.
+
+    A bucket number begins with its table, so only the tables up to that of ``bucket`` can hold one.
+    """
+    tables = (bucket >> 56) + 1
+    out = np.ones(len(keys_a), bool)
+    for i in range(0, len(keys_a), PAIRS_AT_ONCE):
+        a, b = keys_a[i : i + PAIRS_AT_ONCE, :tables], keys_b[i : i + PAIRS_AT_ONCE, :tables]
+        shared = np.zeros(len(a), bool)
+        for p in range(a.shape[2]):
+            shared |= ((a[:, :, p, None] == b) & (a[:, :, p, None] < bucket)).any((1, 2))
+        out[i : i + PAIRS_AT_ONCE] = ~shared
+    return out
+
+
+def compare_blocks(unit_a: np.ndarray, keys_a: np.ndarray, unit_b: np.ndarray, keys_b: np.ndarray, bucket: int, same: bool, threshold: float) -> np.ndarray:
     """Pairs (i, j) of at least ``threshold`` for which ``bucket`` is the first both share."""
     close = unit_a @ unit_b.T >= threshold
-    if same:
-        close &= np.arange(len(unit_a))[:, None] < np.arange(len(unit_b))[None, :]
-    i, j = np.nonzero(close)
-    own = [set(k[: np.searchsorted(k, bucket)].tolist()) for k in keys_a]
-    other = [set(k[: np.searchsorted(k, bucket)].tolist()) for k in keys_b]
-    first = np.array([own[a].isdisjoint(other[b]) for a, b in zip(i.tolist(), j.tolist())], bool)
+    i, j = np.nonzero(np.triu(close, 1) if same else close)
+    if not len(i):
+        return np.zeros((0, 2), np.int64)
+    first = first_shared(keys_a[i], keys_b[j], bucket)
     return np.stack([i[first], j[first]], 1)
 
 
@@ -167,7 +178,8 @@ def near_vectors(
     rows = durable(_nodes(embeddings, vec_id, vector), "vectors")
     groups = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.first("vector").alias("vector"))
     placed = durable(_placed(groups, tables, hashes, probes), "vector-buckets")
-    spread = placed.select("node", "n", F.explode("keys").alias("bucket"), "dim")
+    # Two probes may fall into one bucket.
+    spread = placed.select("node", F.explode(F.array_distinct("keys")).alias("bucket"), "dim")
     sizes = spread.groupBy("bucket", "dim").agg(F.count("*").alias("size")).filter("size > 1")
     blocks = F.ceil(F.col("size") / block).cast("int")
     # A node goes to one block of its bucket and meets every block of it.
@@ -177,55 +189,58 @@ def near_vectors(
     )
     filled = tiles.join(placed.select("node", "n", "vector", "keys"), "node")
 
-    def compare(nodes, n, unit, keys, own, bucket, low, high):
-        order = sorted(range(len(nodes)), key=lambda i: (own[i] != low, nodes[i]))
-        nodes, keys, unit, n = [nodes[i] for i in order], [keys[i] for i in order], unit[order], n[order]
-        cut = sum(o == low for o in own)
-        if low == high:
+    def links_of_tile(bucket, cut, same, nodes, n, unit, keys):
+        """Link counts and spanning forest of one tile whose first ``cut`` rows are the low block."""
+        if same:
             pairs = compare_blocks(unit, keys, unit, keys, bucket, True, threshold)
         else:
             pairs = compare_blocks(unit[:cut], keys[:cut], unit[cut:], keys[cut:], bucket, False, threshold)
             pairs[:, 1] += cut
         if not len(pairs):
             return [], [], []
-        counts = np.bincount(pairs[:, 0], n[pairs[:, 1]], len(nodes)) + np.bincount(pairs[:, 1], n[pairs[:, 0]], len(nodes))
-        linked, forest = np.flatnonzero(counts), _forest(len(nodes), pairs)
+        counts = np.bincount(pairs[:, 0], n[pairs[:, 1]], len(n)) + np.bincount(pairs[:, 1], n[pairs[:, 0]], len(n))
+        linked, forest = np.flatnonzero(counts).tolist(), _forest(len(n), pairs)
         return (
-            [nodes[i] for i in linked] + [nodes[x] for x, _ in forest],
-            [None] * len(linked) + [nodes[y] for _, y in forest],
+            [nodes[i].as_py() for i in linked] + [nodes[x].as_py() for x, _ in forest],
+            [None] * len(linked) + [nodes[y].as_py() for _, y in forest],
             [int(counts[i]) for i in linked] + [0] * len(forest),
         )
 
     def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Compare tile by tile; a tile's rows follow each other and may go on in the next batch."""
-        waiting, tile = [], None
-
-        def finish():
-            nodes, n, vectors, keys, own = zip(*waiting)
-            if len(nodes) < 2:
-                return [], [], []
-            unit = normalised(np.stack([np.frombuffer(v) for v in vectors]))
-            return compare(nodes, np.array(n), unit, [np.array(k, np.int64) for k in keys], own, tile[0], tile[2], tile[3])
-
-        def batch_of(out):
+        """Compare tile by tile; a tile's rows follow each other, its last ones may come with the next batch."""
+
+        def compared(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+            out: tuple[list, list, list] = ([], [], [])
+            bucket, dim, low, high, own, n = (rows.column(c).to_numpy() for c in ("bucket", "dim", "low", "high", "own", "n"))
+            nodes, vectors, lists = (rows.column(c).combine_chunks() for c in ("node", "vector", "keys"))
+            keys = lists.flatten().to_numpy().reshape(len(n), tables, probes)
+            for a, b in zip(cuts, cuts[1:]):
+                if b - a < 2 or low[a] != high[a] and own[a] == own[b - 1]:
+                    continue
+                unit = normalised(np.frombuffer(b"".join(v.as_buffer() for v in vectors[a:b])).reshape(b - a, dim[a]))
+                cut = int((own[a:b] == low[a]).sum())
+                for whole, part in zip(out, links_of_tile(int(bucket[a]), cut, low[a] == high[a], nodes[a:b], n[a:b], unit, keys[a:b])):
+                    whole.extend(part)
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], ["src", "dst", "links"])
 
+        rest = None
         for batch in batches:
-            out = ([], [], [])
-            for *at, node, n, vector, keys, own in zip(*(batch.column(c).to_pylist() for c in range(9))):
-                if at != tile:
-                    if waiting:
-                        for whole, part in zip(out, finish()):
-                            whole.extend(part)
-                    waiting, tile = [], at
-                waiting.append((node, n, vector, keys, own))
-            yield batch_of(out)
-        if waiting:
-            yield batch_of(finish())
+            rows = pa.Table.from_batches([batch])
+            if rest is not None:
+                rows = pa.concat_tables([rest, rows])
+            if not rows.num_rows:
+                continue
+            of = [rows.column(c).to_numpy() for c in ("bucket", "dim", "low", "high")]
+            starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in of], axis=0)]))
+            rest = rows.slice(starts[-1])
+            if len(starts) > 1:
+                yield compared(rows.slice(0, starts[-1]), starts)
+        if rest is not None:
+            yield compared(rest, np.array([0, rest.num_rows]))
 
     tile = ["bucket", "dim", "low", "high"]
     # Many tiles are small: they are told apart within a sorted partition, not each grouped for Python.
-    sorted_tiles = filled.select(*tile, "node", "n", "vector", "keys", "own").repartition(*tile).sortWithinPartitions(*tile)
+    sorted_tiles = filled.select(*tile, "node", "n", "vector", "keys", "own").repartition(*tile).sortWithinPartitions(*tile, "own")
     found = durable(sorted_tiles.mapInArrow(tiles_of, "src binary, dst binary, links long"), "vector-links")
     links = found.filter("dst is null").groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
     components = connected_components(found.filter("dst is not null").select("src", "dst"))
