@@ -9,11 +9,11 @@ weighted Jaccard similarity. Points come in order of time and a shingle stops
 when its next point is later than all registers.
 
 Equal word sequences are one node. Nodes that agree in a band of registers meet
-in a bucket and are verified against its smallest node, the pivot. Nodes that are
-not linked to their pivot are compared with all nodes that met it, in tiles of
-bounded blocks; a tile returns a spanning forest of its links, never pairs. Two
-nodes that are both linked to the pivot need no comparison, they are of one class.
-Classes are the connected components of verified links.
+in a bucket and are verified against its smallest node, the pivot. The links to all
+pivots give first classes; two nodes of one class need no further comparison. Of the
+nodes that met a pivot, those outside their largest first class are compared with all
+of them, in tiles of bounded blocks; a tile returns a spanning forest of its links,
+never pairs. Classes are the connected components of verified links.
 
 Defined cases: documents without words are equal if their texts are; a null text
 is alone; repeated rows are copies; a null id never is a class id, unless all
@@ -239,14 +239,18 @@ def _links(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     met = members.join(pivots, "bucket").filter("src <> node").select("src", F.col("node").alias("dst")).distinct()
     seen = durable(tested(durable(met, "near-met"), bags, threshold), "near-tested")
     star = seen.filter("linked").select("src", "dst")
-    # Blocks of the far nodes of a pivot, and of all nodes that met it.
-    far = seen.groupBy("src").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("far")).filter("far > 0 and n > 1").select(
-        "src", F.ceil(F.col("far") / FAR_BLOCK).cast("int").alias("far_blocks"), F.ceil(F.col("n") / NEAR_BLOCK).cast("int").alias("near_blocks")
+    # Nodes of one class by the pivots' own links need no comparison; the largest such class of a pivot is its home.
+    known = durable(connected_components(star), "near-known").withColumnsRenamed({"node": "dst"})
+    named = durable(seen.join(known, "dst", "left").select("src", "dst", F.coalesce("component", "dst").alias("component")), "near-named")
+    sizes = named.groupBy("src", "component").agg(F.count("*").alias("n"))
+    far = sizes.groupBy("src").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("home")).filter("n > home.n").select(
+        "src", F.col("home.component").alias("home"), F.ceil((F.col("n") - F.col("home.n")) / FAR_BLOCK).cast("int").alias("far_blocks"),
+        F.ceil(F.col("n") / NEAR_BLOCK).cast("int").alias("near_blocks"),
     )
-    rows = durable(seen.join(far, "src"), "near-far")
+    rows = durable(named.join(far, "src"), "near-far")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     block = lambda seed, n: F.pmod(F.xxhash64("dst", F.lit(seed)), F.col(n)).cast("int")
-    left = rows.filter("not linked").select("src", "dst", F.lit(0).alias("side"), block(1, "far_blocks").alias("i"), every("near_blocks").alias("j"))
+    left = rows.filter("component <> home").select("src", "dst", F.lit(0).alias("side"), block(1, "far_blocks").alias("i"), every("near_blocks").alias("j"))
     right = rows.select("src", "dst", F.lit(1).alias("side"), every("far_blocks").alias("i"), block(2, "near_blocks").alias("j"))
     filled = left.unionByName(right).join(bags.withColumnRenamed("node", "dst"), "dst")
 
