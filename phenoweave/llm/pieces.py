@@ -4,10 +4,11 @@ Pairs of adjacent symbols wait in an agenda ordered by the score of the piece
 they would form, then by position; the best pair that is still adjacent is
 merged until the agenda is empty. Characters left over without a piece become
 byte pieces. No piece of such a vocabulary has a space mark behind another
-character, none holds a line break, and most stops stand next to no letter in any
-piece, so a text falls apart into segments that never merge with each other; each distinct segment is encoded once per worker
-process while a bounded cache has room. Every newly encoded segment is compared
-with the sentencepiece library, a batch at a time; a difference is an error.
+character, none holds a line break, and no piece has certain stops behind certain letters,
+so a text falls apart into segments that never merge with each other; each
+distinct segment is encoded once per worker process while a bounded cache has
+room. The ids of every whole text are compared with the sentencepiece library's;
+a difference is an error.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text;
 repeated rows are encoded alike; extra columns are not looked at.
@@ -20,12 +21,14 @@ import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from phenoweave.llm.merging import MergeTable
 
 MARK = "▁"
+STOPS = ",.;:!?"
 #: Segments remembered by one worker process; the cache starts anew beyond it.
 CACHE = 300_000
 #: Segments longer than this many characters are not remembered.
@@ -60,12 +63,14 @@ class PieceModel:
                 if a is not None and b is not None:
                     best[(a, b)] = (rank, i)
         self.table = MergeTable(best)
-        # Stops that no piece has next to a letter part words from punctuation.
-        joined = {p[k + d] for p in self.ids for k in range(len(p)) if p[k].isalpha() for d in (-1, 1) if 0 <= k + d < len(p)}
-        stops = "".join(c for c in ",.;:!?" if c not in joined)
-        ends = f"[{stops}{MARK}\n]|$"
-        self.segments = re.compile(f"{MARK}*[^\\W\\d_]+(?={ends})|\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-        self.cache: dict[str, tuple[int, bytes, str]] = {}
+        # Words are cut before a stop. No piece has a stop behind a character of the class that words are read with:
+        # a stop behind a letter parts nothing, and what else the class matches (² in '².') is taken out of it.
+        before = {c: {p[k - 1] for p in self.ids for k in range(1, len(p)) if p[k] == c} for c in STOPS}
+        stops = [c for c in STOPS if not any(x.isalpha() for x in before[c])]
+        outside = "".join(sorted({re.escape(x) for c in stops for x in before[c] if re.match(r"[^\W\d_]", x)}))
+        ends = f"[{''.join(stops)}{MARK}\n]|$"
+        self.segments = re.compile(f"{MARK}*[^\\W\\d_{outside}]+(?={ends})|\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+        self.cache: dict[str, tuple[int, bytes, str, bytes]] = {}
 
     def normalise(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
@@ -99,34 +104,31 @@ class PieceModel:
         return "".join(out).replace(MARK, " ")
 
     def learn(self, texts: list[list[str]]) -> list[str]:
-        """Encode the segments not yet known and compare them with the library in one call; returns them."""
+        """Encode the segments not yet known; returns them."""
         known = self.cache
         new = list(dict.fromkeys([s for segments in texts for s in segments if s not in known]))
-        asked, skip = [], []
-        for s in new:
-            # The library puts a mark in front of each text: segments without one are asked for behind a line break.
-            marked = s[0] == MARK
-            asked.append(s[1:].replace(MARK, " ") if marked else "\n" + s)
-            skip.append(0 if marked else 2)
-        for s, text, start, theirs, ids in zip(new, asked, skip, self.library.encode(asked, num_threads=1), self.merge(new)):
-            decoded = self.decode_segment(ids)
-            if s == MARK:  # the library gives no token for an empty text
-                theirs = [self.ids[MARK]]
-            if ids != theirs[start:] or (decoded[1:] if not start else "\n" + decoded) != text:
-                raise ValueError(f"differs from the library: {s!r}: {ids} and {theirs}")
-            known[s] = (len(ids), ",".join(map(str, ids)).encode(), decoded)
+        for s, ids in zip(new, self.merge(new)):
+            known[s] = (len(ids), ",".join(map(str, ids)).encode(), self.decode_segment(ids), np.array(ids, np.int32).tobytes())
         return new
 
-    def encode_batch(self, texts: list[str]) -> Iterator[list[tuple[int, bytes, str]]]:
-        """Per text its segments' (tokens, ids joined by commas, decoded text)."""
+    def verify(self, text: str, parts: list[tuple]) -> None:
+        """Compare a whole text's ids and decoded text with the library's ids and the text."""
+        theirs = self.library.encode(text)
+        if b"".join([p[3] for p in parts]) != np.array(theirs, np.int32).tobytes() or "".join([p[2] for p in parts])[1:] != text.replace(MARK, " "):
+            raise ValueError(f"differs from the library: {text[:1000]!r}: {[p[1].decode() for p in parts[:100]]} and {theirs[:100]}")
+
+    def encode_batch(self, texts: list[str]) -> Iterator[list[tuple[int, bytes, str, bytes]]]:
+        """Per text its segments' (tokens, ids joined by commas, decoded text, ids as 32-bit numbers)."""
         known = self.cache
         if len(known) > CACHE:
             for s in list(itertools.islice(known, CACHE // 2)):
                 del known[s]
         split = [self.segments.findall(self.normalise(t)) for t in texts]
         new = self.learn(split)
-        for segments in split:
-            yield [known[s] for s in segments]
+        for text, segments in zip(texts, split):
+            parts = [known[s] for s in segments]
+            self.verify(text, parts)
+            yield parts
         for s in new:
             if len(s) > CACHED_LENGTH:
                 del known[s]

@@ -44,6 +44,32 @@ def test_pieces_of_random_strings():
         assert "".join(p[2] for p in parts)[1:] == model.library.decode(ids)
 
 
+def test_stops_behind_number_signs_are_not_cut_off():
+    model = pieces.PieceModel(PIECES)
+    random.seed(4)
+    texts = ["an area of 5 km². Then", "m².", "x² = m².", "½. ¾! x³, Ⅳ; ①: ²?", "².m".join("ab")]
+    texts += ["".join(random.choice("abm²³¹½¾①Ⅳ٣१,.;:!? ▁\n") for _ in range(random.randint(1, 60))) for _ in range(600)]
+    for text, parts in zip(texts, model.encode_batch(texts)):
+        assert [int(i) for p in parts for i in p[1].split(b",")] == model.library.encode(text), repr(text)
+
+
+def test_no_piece_holds_a_cut():
+    model = pieces.PieceModel(PIECES)
+    for piece in model.ids:
+        for text in (piece, f"a{piece}", f"{piece}a", f"²{piece}"):
+            cuts = [m.end() for m in model.segments.finditer(text)][:-1]
+            assert all(text[a:b] not in model.ids for c in cuts for a in range(c) for b in range(c + 1, len(text) + 1)), text
+
+
+def test_a_difference_between_whole_texts_is_an_error():
+    import re
+
+    model = pieces.PieceModel(PIECES)
+    model.segments = re.compile("[^.]+|[.]")
+    with pytest.raises(ValueError, match="differs from the library"):
+        list(model.encode_batch(["an area of 5 km². Then"]))
+
+
 def test_a_difference_from_the_library_is_an_error():
     model = pieces.PieceModel(PIECES)
     model.table = merging.MergeTable({})
