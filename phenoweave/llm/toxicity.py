@@ -4,8 +4,9 @@ A character 4-gram model is counted over all documents. Tokens that look
 disguised (letters next to digits or signs that imitate letters, a letter three
 times in a row, single letters in a row) become lattices of what each character
 may stand for; a Viterbi search under noisy-channel costs and the language model
-restores the word. Hashed words and word beginnings of the text and of its
-restored words feed a logistic model.
+restores the word. Words and word beginnings of the text and of its restored
+words, known by 64-bit hashes, feed a logistic model: a word that is no feature
+adds nothing to a score, however many of them a text has.
 
 The classifier is fitted on a bounded sample of labelled rows (``sample``
 parameter); everything else covers all documents.
@@ -30,7 +31,6 @@ from phenoweave.session import durable
 
 ORDER = 4
 LETTER = 5  # bits of a folded character: 0 boundary, 1-26 letters, 27 others
-BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
 SAMPLE = 20_000  # labelled rows the classifier is fitted on
 FEATURES = 512
@@ -170,8 +170,8 @@ class Deobfuscator:
         return found
 
 
-def text_features(column: pa.Array, hasher: WordHasher, deobfuscator: Deobfuscator) -> Iterator[tuple[int, np.ndarray, list]]:
-    """(row, distinct feature buckets, [(token, restored)]) of each text."""
+def text_features(column: pa.Array, hasher: WordHasher, deobfuscator: Deobfuscator, keys: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, list]]:
+    """(row, distinct feature hashes, [(token, restored)]) of each text; with sorted ``keys`` the features' places among them instead."""
     raw_all, offsets_all = text_buffer(column)
     for i, j in slices(offsets_all, 1 << 20):
         raw, offsets = raw_all[offsets_all[i] : offsets_all[j]], offsets_all[i : j + 1] - offsets_all[i]
@@ -189,10 +189,27 @@ def text_features(column: pa.Array, hasher: WordHasher, deobfuscator: Deobfuscat
             more, owners = _hashed(words, s, e, hasher)
             features = np.concatenate([features, more])
             rows.append(np.array([row for row, _ in extra])[owners])
-        key = np.unique((np.concatenate(rows).astype(np.int64) << 20) | (features % np.uint64(BUCKETS)).astype(np.int64))
-        cuts = np.searchsorted(key, np.arange(j - i + 1, dtype=np.int64) << 20)
+        owner = np.concatenate(rows)
+        if keys is not None:
+            features, hit = _places(features, keys)
+            owner = owner[hit]
+        order = np.lexsort((features, owner))
+        features, owner = features[order], owner[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (features[1:] != features[:-1]) | (owner[1:] != owner[:-1])
+        features, owner = features[new], owner[new]
+        cuts = np.searchsorted(owner, np.arange(j - i + 1))
         for row in range(j - i):
-            yield i + row, key[cuts[row] : cuts[row + 1]] & (BUCKETS - 1), restored.get(row, [])
+            yield i + row, features[cuts[row] : cuts[row + 1]], restored.get(row, [])
+
+
+def _places(features: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places among the sorted ``keys`` of the features that are there, and which these are."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.searchsorted(keys, features)
+    hit = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == features)
+    return at[hit], hit
 
 
 def _hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
@@ -210,8 +227,8 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(True))
 
 
-def fit(documents: DataFrame, labels: DataFrame, counts: np.ndarray, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Weights by feature bucket and the constant, learnt from at most about ``sample`` labelled rows."""
+def fit(documents: DataFrame, labels: DataFrame, counts: np.ndarray, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted feature hashes, their weights and the constant, learnt from at most about ``sample`` labelled rows."""
     spark = documents.sparkSession
     usable = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     n = usable.count()
@@ -223,25 +240,24 @@ def fit(documents: DataFrame, labels: DataFrame, counts: np.ndarray, doc_id: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, deobfuscator = WordHasher(), _deobfuscator(shared.value)
         for batch in batches:
-            rows = [f.tolist() for _, f, _ in text_features(batch.column(2), hasher, deobfuscator)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["id", "y", "features"])
+            rows = [f.view(np.int64) for _, f, _ in text_features(batch.column(2), hasher, deobfuscator)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int64()))], ["id", "y", "features"])
 
     rows = durable(
         documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
-        .mapInArrow(run, f"id {usable.schema['id'].dataType.simpleString()}, y int, features array<int>"),
+        .mapInArrow(run, f"id {usable.schema['id'].dataType.simpleString()}, y int, features array<long>"),
         "toxic-sample",
     )
     kinds = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     positive, negative = sum(v for k, v in kinds.items() if k), kinds.get(0, 0)
     if not positive or not negative:
-        return np.zeros(BUCKETS, np.float32), -math.inf
+        return np.zeros(0, np.uint64), np.zeros(0, np.float32), -math.inf
     base = positive / (positive + negative)
     seen = rows.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("p"), F.count("*").alias("n"))
     # Signed root of the surplus of positives: features with a chance surplus stay below the bar.
     surplus = (F.col("p") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
     best = seen.withColumn("z", surplus).filter("p >= 4 and z > 5").orderBy(F.desc("z"), "f").limit(FEATURES).select("f", "z").collect()
     features = np.array([r["f"] for r in best], np.int64)
-    weights = np.zeros(BUCKETS, np.float32)
     column = {int(f): k for k, f in enumerate(features)}
     data = rows.select("id", "y", F.filter("features", lambda f: f.isin([int(f) for f in features]) if len(features) else F.lit(False)).alias("f")).orderBy("id").toArrow()
     x = np.zeros((data.num_rows, len(features)), np.float32)
@@ -249,8 +265,9 @@ def fit(documents: DataFrame, labels: DataFrame, counts: np.ndarray, doc_id: str
         x[k, [column[f] for f in found]] = 1
     y = (data.column("y").to_numpy() > 0).astype(np.float32)
     w, b = _logistic(x, y)
-    weights[features] = w
-    return weights, b
+    keys = features.view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], w[order], b
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.2, centre: float = 0.7, rounds: int = 100) -> tuple[np.ndarray, float]:
@@ -301,12 +318,12 @@ def _deobfuscator(state: dict) -> Deobfuscator:
 def _scorer(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int):
     """A function from a string column to (scores, restored tokens), to be called in tasks."""
     counts = count_ngrams(documents, text)
-    weights, constant = fit(documents, labels, counts, doc_id, text, label, sample)
-    shared = documents.sparkSession.sparkContext.broadcast({"counts": counts, "weights": weights, "constant": constant})
+    keys, weights, constant = fit(documents, labels, counts, doc_id, text, label, sample)
+    shared = documents.sparkSession.sparkContext.broadcast({"counts": counts, "keys": keys, "weights": weights, "constant": constant})
 
     def score(column: pa.Array, hasher: WordHasher) -> tuple[list[float], list[list]]:
         state, scores, restored = shared.value, [], []
-        for _, features, found in text_features(column, hasher, _deobfuscator(state)):
+        for _, features, found in text_features(column, hasher, _deobfuscator(state), state["keys"]):
             total = float(state["weights"][features].sum(dtype=np.float64)) + state["constant"]
             scores.append(1 / (1 + math.exp(-total)) if total > -700 else 0.0)
             restored.append(found)

@@ -139,6 +139,25 @@ def test_disguised_words_are_restored(corpus, make_documents, odd_texts):
     assert sum(r.predicted for r in got.values()) >= 3
 
 
+@pytest.fixture(scope="module")
+def fitted(corpus):
+    documents, labels = corpus
+    return toxicity.fit(documents, labels, toxicity.count_ngrams(documents)), toxicity.count_ngrams(documents)
+
+
+def test_a_large_vocabulary_alone_is_clean(spark, fitted, corpus, monkeypatch):
+    """A text of 50,000 distinct words without any feature scores like a text without words."""
+    model, counts = fitted
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **k: model)
+    monkeypatch.setattr(toxicity, "count_ngrams", lambda *a, **k: counts)
+    rng = random.Random(7)
+    words = {"".join(rng.choice("qxzjkvw") for _ in range(9)) for _ in range(60_000)}
+    docs = spark.createDataFrame([(1, " ".join(sorted(words)[:50_000])), (2, ""), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, corpus[1]).collect()}
+    assert got[1] == got[2] == got[3] < 0.5
+    assert toxicity.remove_toxic(docs, corpus[1]).count() == 3
+
+
 def test_odd_inputs(spark, make_documents, odd_texts, corpus):
     _, labels = corpus
     docs = make_documents(odd_texts)
