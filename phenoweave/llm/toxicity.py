@@ -1,10 +1,11 @@
 """Toxicity scores of deobfuscated text.
 
 A character 4-gram model is counted over all documents. Tokens that look
-disguised (letters next to digits or signs that imitate letters, a letter three
-times in a row, single letters in a row) become lattices of what each character
-may stand for; a Viterbi search under noisy-channel costs and the language model
-restores the word. Words and word beginnings of the text and of its restored
+disguised (letters next to digits or signs that imitate letters, a letter twice in
+a row, three or more single letters or signs in a row with gaps of a few bytes)
+become lattices of what each character may stand for and, between single letters,
+of where words end; a Viterbi search under noisy-channel costs and the language
+model restores the words. Words and word beginnings of the text and of its restored
 words, known by 64-bit hashes, feed a logistic model: a word that is no feature
 adds nothing to a score, however many of them a text has.
 
@@ -34,10 +35,14 @@ LETTER = 5  # bits of a folded character: 0 boundary, 1-26 letters, 27 others
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
 SAMPLE = 20_000  # labelled rows the classifier is fitted on
 FEATURES = 512
+CONTEXT = (1 << (LETTER * (ORDER - 1))) - 1
 # Letters that digits and signs imitate.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SUBSTITUTED, REPEATED, DROPPED = 1.0, 0.4, 2.0  # channel costs in nats
+WAYS, MARGIN = 4, 8.0  # restorations of a token that count: so many, and so many nats behind the best
+GAP = 5  # bytes between single letters of one run
 RESTORED = 200_000  # restored tokens remembered by one worker process
+REMEMBERED_LENGTH = 64  # longer tokens are not remembered
 
 
 def folded(raw: np.ndarray) -> np.ndarray:
@@ -84,35 +89,50 @@ class CharacterModel:
         smooth = np.full(n, 1 / 28)
         for level in (four.sum((0, 1, 2)), four.sum((0, 1)), four.sum(0), four):
             smooth = (level + 4.0 * smooth) / (level.sum(-1, keepdims=True) + 4.0)
-        self.log = np.log(smooth).astype(np.float32)
+        self.log = np.log(smooth).astype(np.float32).ravel().tolist()
 
-    def restore(self, token: str) -> str:
-        """Most likely word behind a token of ASCII letters, digits and imitating signs."""
+    def restore(self, token: str, spaced: bool = False) -> list[str]:
+        """Likely words behind a token of ASCII letters, digits and imitating signs, or texts of words behind a ``spaced`` one; the best first."""
         log = self.log
-        states = {(0, 0, 0): (0.0, "")}
+        # By the last three symbols: the best few (cost, word as a chain of its letters).
+        states: dict[int, list[tuple]] = {0: [(0.0, None)]}
         previous = ""
         for c in token.lower():
-            options = [(c, 0.0)] if c.isalpha() else [(o, SUBSTITUTED) for o in LEET.get(c, "")]
-            if not c.isalpha() and c not in LEET:
+            plain = "a" <= c <= "z"
+            if not plain and c not in LEET:
                 continue  # a separator of single letters
+            options = [(c, 0.0)] if plain else [(o, SUBSTITUTED) for o in LEET[c]]
+            if spaced:  # a word may end here
+                for context, ways in list(states.items()):
+                    extra = log[context << LETTER]
+                    ended = [(cost - extra, (word, " ")) for cost, word in ways if word and word[1] != " "]
+                    if ended:
+                        states.setdefault((context << LETTER) & CONTEXT, []).extend(ended)
             fresh: dict = {}
-            for (a, b, d), (cost, word) in states.items():
-                if word and c == previous:  # the character repeats the one before
-                    kept = fresh.get((a, b, d))
-                    if kept is None or cost + REPEATED < kept[0]:
-                        fresh[(a, b, d)] = (cost + REPEATED, word)
-                elif c in "!|+$":  # plain punctuation
-                    kept = fresh.get((a, b, d))
-                    if kept is None or cost + DROPPED < kept[0]:
-                        fresh[(a, b, d)] = (cost + DROPPED, word)
-                for o, extra in options:
-                    s = ord(o) - 96
-                    total = cost + extra - float(log[a, b, d, s])
-                    kept = fresh.get((b, d, s))
-                    if kept is None or total < kept[0]:
-                        fresh[(b, d, s)] = (total, word + o)
-            states, previous = fresh, c
-        return min((cost - float(log[a, b, d, 0]), word) for (a, b, d), (cost, word) in states.items())[1]
+            for context, ways in states.items():
+                for cost, word in _best(ways):
+                    if word and word[1] != " " and c == previous:  # the character repeats the one before
+                        fresh.setdefault(context, []).append((cost + REPEATED, word))
+                    elif c in "!|+$":  # plain punctuation
+                        fresh.setdefault(context, []).append((cost + DROPPED, word))
+                    for o, extra in options:
+                        s = (context << LETTER) | (ord(o) - 96)
+                        fresh.setdefault(s & CONTEXT, []).append((cost + extra - log[s], (word, o)))
+            states, previous = {context: _best(ways) for context, ways in fresh.items()}, c
+        ends = sorted([(cost - log[context << LETTER], word) for context, ways in states.items() for cost, word in ways], key=lambda x: x[0])
+        texts = []
+        for cost, word in ends[:WAYS]:
+            if cost <= ends[0][0] + MARGIN:
+                letters = []
+                while word:
+                    word, o = word
+                    letters.append(o)
+                texts.append("".join(reversed(letters)).strip())
+        return list(dict.fromkeys(texts))
+
+
+def _best(ways: list[tuple]) -> list[tuple]:
+    return ways if len(ways) == 1 else sorted(ways, key=lambda x: x[0])[:WAYS]
 
 
 class Deobfuscator:
@@ -124,54 +144,75 @@ class Deobfuscator:
         self.letter = ((code >= 65) & (code <= 90)) | ((code >= 97) & (code <= 122))
         self.sign = np.isin(code, [ord(c) for c in LEET])
 
-    def tokens(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
-        """(byte position, token) of each disguised token; words are given by ``starts`` and ``ends``."""
-        if len(raw) < 3:
-            return []
+    def joined(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte starts and ends of the disguised tokens without gaps; ``offsets`` bound the rows."""
+        if len(raw) < 2:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         letter, sign = self.letter[raw], self.sign[raw]
         member = letter | sign
         lower = np.where(letter, raw | 32, raw)
-        mark = np.zeros(len(raw), bool)
-        mark[:-1] = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
-        mark[:-2] |= letter[:-2] & (lower[:-2] == lower[1:-1]) & (lower[1:-1] == lower[2:])
-        out = []
-        if mark.any():
-            edge = member.copy()
-            edge[1:] &= ~member[:-1]
-            rows = offsets[:-1][offsets[:-1] < len(raw)]
-            edge[rows] = member[rows]
-            begin = np.flatnonzero(edge)
-            close = member.copy()
-            close[:-1] &= ~member[1:]
-            lasts = offsets[1:][offsets[1:] > 0] - 1
-            close[lasts] = member[lasts]
-            end = np.flatnonzero(close) + 1
-            for k in np.unique(np.searchsorted(begin, np.flatnonzero(mark), "right") - 1):
-                out.append((int(begin[k]), bytes(raw[begin[k] : end[k]]).decode()))
-        # Four or more single letters, each one byte apart.
-        single = (ends - starts == 1) & letter[starts] if len(starts) else np.zeros(0, bool)
-        joined = single[:-1] & single[1:] & (starts[1:] - ends[:-1] == 1) if len(starts) else single
-        if joined.any():
-            # Rows never share a run: the next row's first word starts a row.
-            row = np.searchsorted(offsets, starts, "right")
-            joined &= row[1:] == row[:-1]
-            change = np.diff(np.concatenate([[0], joined.astype(np.int8), [0]]))
-            for a, b in zip(np.flatnonzero(change == 1), np.flatnonzero(change == -1)):
-                if b - a >= 3:
-                    out.append((int(starts[a]), bytes(raw[starts[a : b + 1]]).decode()))
-        return out
-
-    def restore(self, token: str) -> str:
-        found = self.known.get(token)
+        mark = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:]) | (letter[:-1] & (lower[:-1] == lower[1:]))
+        begin, end = _runs(member, offsets)
+        chosen = np.unique(np.searchsorted(begin, np.flatnonzero(mark), "right") - 1)
+        return begin[chosen], end[chosen]
+
+    def spaced(self, raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte starts and ends of the runs of three or more single letters or signs."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        word = is_word[raw]
+        # Punctuation of two and three bytes parts letters, as ASCII punctuation does.
+        two = np.flatnonzero(raw[:-1] == 0xC2)
+        three = np.flatnonzero((raw[:-2] == 0xE2) & ((raw[1:-1] == 0x80) | (raw[1:-1] == 0x81)))
+        for at in (two, two + 1, three, three + 1, three + 2):
+            word[at] = False
+        begin, end = _runs(word, offsets)
+        lone = begin[(end - begin == 1) & (self.letter | self.sign)[raw[begin]]]
+        if not len(lone):
+            return none
+        long = word.copy()
+        long[lone] = False
+        sign = self.sign[raw] & ~word
+        beside = np.zeros(len(raw), bool)
+        beside[1:] |= long[:-1]
+        beside[:-1] |= long[1:]
+        at = np.union1d(lone, np.flatnonzero(sign & ~beside))
+        passed = np.cumsum(long)
+        row = np.searchsorted(offsets, at, "right")
+        near = (np.diff(at) <= GAP + 1) & (passed[at[1:]] == passed[at[:-1]]) & (row[1:] == row[:-1])
+        first = np.flatnonzero(np.concatenate([[True], ~near]))
+        last = np.append(first[1:], len(at)) - 1
+        letters = np.concatenate([[0], np.cumsum(self.letter[raw[at]])])
+        runs = (last - first >= 2) & (letters[last + 1] > letters[first])
+        return at[first[runs]], at[last[runs]] + 1
+
+    def restore(self, token: str, spaced: bool) -> str:
+        """The words that may be behind a token, but itself."""
+        found = self.known.get((token, spaced))
         if found is None:
-            if len(self.known) >= RESTORED:
-                self.known.clear()
-            found = self.known[token] = self.model.restore(token)
+            texts = self.model.restore(token, spaced)
+            if spaced:  # the letters may also be one word, as they stand or restored
+                texts += ["".join(c for c in token.lower() if "a" <= c <= "z"), *self.model.restore(token)]
+            found = " ".join(dict.fromkeys(w for text in texts for w in text.split() if w != token.lower()))
+            if len(token) <= REMEMBERED_LENGTH:
+                if len(self.known) >= RESTORED:
+                    self.known.clear()
+                self.known[token, spaced] = found
         return found
 
 
-def text_features(column: pa.Array, hasher: WordHasher, deobfuscator: Deobfuscator, keys: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, list]]:
-    """(row, distinct feature hashes, [(token, restored)]) of each text; with sorted ``keys`` the features' places among them instead."""
+def _runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values; runs end at row ends."""
+    start, end = member.copy(), member.copy()
+    start[1:] &= ~member[:-1]
+    end[:-1] &= ~member[1:]
+    firsts, lasts = offsets[:-1][offsets[:-1] < len(member)], offsets[1:][offsets[1:] > 0] - 1
+    start[firsts], end[lasts] = member[firsts], member[lasts]
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def text_features(column: pa.Array, hasher: WordHasher, deobfuscator: Deobfuscator, keys: np.ndarray | None = None, keep: bool = False) -> Iterator[tuple[int, np.ndarray, list]]:
+    """(row, distinct feature hashes, [(token, restored)]) of each text; with sorted ``keys`` the features' places among
+    them instead, tokens only with ``keep``."""
     raw_all, offsets_all = text_buffer(column)
     for i, j in slices(offsets_all, 1 << 20):
         raw, offsets = raw_all[offsets_all[i] : offsets_all[j]], offsets_all[i : j + 1] - offsets_all[i]
@@ -179,16 +220,30 @@ def text_features(column: pa.Array, hasher: WordHasher, deobfuscator: Deobfuscat
         features, owners = _hashed(raw, starts, ends, hasher)
         rows = [np.searchsorted(bounds, owners, "right") - 1]
         restored: dict[int, list] = {}
-        for at, token in deobfuscator.tokens(raw, starts, ends, offsets):
-            word = deobfuscator.restore(token)
-            restored.setdefault(int(np.searchsorted(offsets, at, "right")) - 1, []).append((token, word))
-        extra = [(row, w) for row, found in restored.items() for _, w in found]
-        if extra:
-            words = np.frombuffer(" ".join(w for _, w in extra).encode(), np.uint8)
-            s, e, _ = hasher.spans(words, np.array([0, len(words)]))
+        for spaced in (False, True):
+            begin, end = deobfuscator.spaced(raw, offsets, hasher.is_word) if spaced else deobfuscator.joined(raw, offsets)
+            if not len(begin):
+                continue
+            # Each distinct token is restored and hashed once.
+            _, first, token = np.unique(hasher.hashes(raw, begin, end), return_index=True, return_inverse=True)
+            found = [deobfuscator.restore(bytes(raw[begin[k] : end[k]]).decode("utf-8", "replace"), spaced) for k in first]
+            row = np.searchsorted(offsets, begin, "right") - 1
+            if keep:
+                for k in np.flatnonzero(np.array([bool(w) for w in found])[token]):
+                    seen = bytes(raw[begin[k] : end[k]]).decode("utf-8", "replace")
+                    restored.setdefault(int(row[k]), []).extend([(seen, w) for w in found[token[k]].split()])
+            words = np.frombuffer("".join(found).encode(), np.uint8)
+            ends = np.concatenate([[0], np.cumsum([len(w) for w in found])])
+            s, e, firsts = hasher.spans(words, ends)
             more, owners = _hashed(words, s, e, hasher)
-            features = np.concatenate([features, more])
-            rows.append(np.array([row for row, _ in extra])[owners])
+            of = np.searchsorted(firsts, owners, "right") - 1
+            order = np.argsort(of, kind="stable")
+            cut = np.searchsorted(of[order], np.arange(len(found) + 1))
+            pair = np.unique((row.astype(np.int64) << 32) | token)
+            at = pair & 0xFFFFFFFF
+            n = cut[at + 1] - cut[at]
+            features = np.concatenate([features, more[order][np.repeat(cut[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]])
+            rows.append(np.repeat(pair >> 32, n))
         owner = np.concatenate(rows)
         if keys is not None:
             features, hit = _places(features, keys)
@@ -315,7 +370,7 @@ def _deobfuscator(state: dict) -> Deobfuscator:
     return state["deobfuscator"]
 
 
-def _scorer(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int):
+def _scorer(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int, keep: bool = False):
     """A function from a string column to (scores, restored tokens), to be called in tasks."""
     counts = count_ngrams(documents, text)
     keys, weights, constant = fit(documents, labels, counts, doc_id, text, label, sample)
@@ -323,7 +378,7 @@ def _scorer(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, lab
 
     def score(column: pa.Array, hasher: WordHasher) -> tuple[list[float], list[list]]:
         state, scores, restored = shared.value, [], []
-        for _, features, found in text_features(column, hasher, _deobfuscator(state), state["keys"]):
+        for _, features, found in text_features(column, hasher, _deobfuscator(state), state["keys"], keep):
             total = float(state["weights"][features].sum(dtype=np.float64)) + state["constant"]
             scores.append(1 / (1 + math.exp(-total)) if total > -700 else 0.0)
             restored.append(found)
@@ -336,7 +391,7 @@ def toxicity(
     documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, keep: bool = False
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each document; with ``keep`` also its ``restored`` tokens."""
-    score = _scorer(documents, labels, doc_id, text, label, sample)
+    score = _scorer(documents, labels, doc_id, text, label, sample, keep)
     ident = documents.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -158,6 +158,21 @@ def test_a_large_vocabulary_alone_is_clean(spark, fitted, corpus, monkeypatch):
     assert toxicity.remove_toxic(docs, corpus[1]).count() == 3
 
 
+def test_spaced_and_doubled_words_are_restored(fitted):
+    deobfuscator, hasher = toxicity.Deobfuscator(toxicity.CharacterModel(fitted[1])), toxicity.WordHasher()
+    texts = {
+        "such a m0r0n here": "moron", "you are an 1d10t": "idiot", "what a l o s e r is": "loser", "stuuupiiid thing": "stupid", "w0rthle$$ stuff": "worthless",
+        "you are a m o r o n": "moron", "a m 0 r o n": "moron", "so an i d 1 o t": "idiot", "what l  o  s  e  r it is": "loser", "a l - o - s - e - r!": "loser",
+        "l.o.s.e.r": "loser", "l·o·s·e·r": "loser", "L\u2009O\u2009S\u2009E\u2009R": "loser", "stuppid": "stupid", "iiddiioott": "idiot", "": "", "f u n": "fun", "an a s s": "ass", "(a-s-s)": "ass", "c l a s s": "class",
+    }
+    found = {row: {w for _, w in r} for row, _, r in toxicity.text_features(toxicity.pa.array(list(texts)), hasher, deobfuscator, keep=True)}
+    assert not [t for row, (t, w) in enumerate(texts.items()) if w and w not in found[row]], found
+    # Rows do not share a run, and tables of numbers are none.
+    rows = toxicity.pa.array(["a l o", "s e r", "1 2 3 4", None])
+    got = list(toxicity.text_features(rows, hasher, deobfuscator, keep=True))
+    assert [row for row, _, _ in got] == [0, 1, 2, 3] and "loser" not in {w for _, _, r in got for _, w in r} and not got[2][2]
+
+
 def test_odd_inputs(spark, make_documents, odd_texts, corpus):
     _, labels = corpus
     docs = make_documents(odd_texts)
