@@ -24,17 +24,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from phenoweave.llm.words import WordHasher, slices, text_buffer
+from phenoweave.llm.words import WordHasher, mix, slices, text_buffer
 from phenoweave.session import durable
 
 ORDER = 4
 LETTER = 5  # bits of a folded character: 0 boundary, 1-26 letters, 27 others
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
 SAMPLE = 20_000  # labelled rows the classifier is fitted on
-FEATURES = 512
+SIGNATURE, BANDS, ALIKE = 32, 16, 0.5  # near copies among these rows: minima, bands of them, share of equal ones
 CONTEXT = (1 << (LETTER * (ORDER - 1))) - 1
 # Letters that digits and signs imitate.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -295,66 +296,134 @@ def fit(documents: DataFrame, labels: DataFrame, counts: np.ndarray, doc_id: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, deobfuscator = WordHasher(), _deobfuscator(shared.value)
         for batch in batches:
-            rows = [f.view(np.int64) for _, f, _ in text_features(batch.column(2), hasher, deobfuscator)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int64()))], ["id", "y", "features"])
-
-    rows = durable(
+            rows = [f for _, f, _ in text_features(batch.column(2), hasher, deobfuscator)]
+            columns = [
+                batch.column(0), batch.column(1), pa.array([f.view(np.int64) for f in rows], pa.list_(pa.int64())),
+                pa.array([_signature(f).view(np.int64) for f in rows], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "y", "features", "signature"])
+
+    ident = usable.schema["id"].dataType.simpleString()
+    every = durable(
         documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
-        .mapInArrow(run, f"id {usable.schema['id'].dataType.simpleString()}, y int, features array<long>"),
+        .mapInArrow(run, f"id {ident}, y int, features array<long>, signature array<long>"),
         "toxic-sample",
     )
-    kinds = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    positive, negative = sum(v for k, v in kinds.items() if k), kinds.get(0, 0)
+    rows = every.select("id", "y", "features", F.xxhash64("signature").alias("copy"))
+    # Rows with the same or nearly the same features and the same label count together as one row.
+    kinds_of = every.select("y", F.xxhash64("signature").alias("copy"), "signature").groupBy("y", "copy").agg(F.count("*").alias("n"), F.first("signature").alias("signature")).orderBy("y", "copy").toArrow()
+    shares = _shares(kinds_of)
+    rows = durable(rows.join(F.broadcast(spark.createDataFrame(shares, "y int, copy long, share double")), ["y", "copy"]).drop("copy"), "toxic-sample")
+    kinds = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum("share").alias("n")).collect()}
+    positive, negative = sum(v for k, v in kinds.items() if k > 0), sum(v for k, v in kinds.items() if k <= 0)
     if not positive or not negative:
         return np.zeros(0, np.uint64), np.zeros(0, np.float32), -math.inf
     base = positive / (positive + negative)
-    seen = rows.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("p"), F.count("*").alias("n"))
-    # Signed root of the surplus of positives: features with a chance surplus stay below the bar.
-    surplus = (F.col("p") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
-    best = seen.withColumn("z", surplus).filter("p >= 4 and z > 5").orderBy(F.desc("z"), "f").limit(FEATURES).select("f", "z").collect()
-    features = np.array([r["f"] for r in best], np.int64)
-    column = {int(f): k for k, f in enumerate(features)}
-    data = rows.select("id", "y", F.filter("features", lambda f: f.isin([int(f) for f in features]) if len(features) else F.lit(False)).alias("f")).orderBy("id").toArrow()
-    x = np.zeros((data.num_rows, len(features)), np.float32)
-    for k, found in enumerate(data.column("f").to_pylist()):
-        x[k, [column[f] for f in found]] = 1
-    y = (data.column("y").to_numpy() > 0).astype(np.float32)
-    w, b = _logistic(x, y)
-    keys = features.view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], w[order], b
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.2, centre: float = 0.7, rounds: int = 100) -> tuple[np.ndarray, float]:
-    """Logistic regression by projected Newton steps; the constant is not penalised.
-
+    seen = durable(
+        rows.select("y", "share", F.explode("features").alias("f")).groupBy("f")
+        .agg(F.sum(F.when(F.col("y") > 0, F.col("share")).otherwise(0.0)).alias("p"), F.sum("share").alias("n")).filter("p > 0"),
+        "toxic-features",
+    )
+    # Signed root of the surplus of positives: features with a chance surplus stay below the bar. The root says little of
+    # fewer than four positives: these need Chernoff's bound on the chance of such a surplus among all features tried.
+    z = (F.col("p") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
+    part = F.least(F.col("p") / F.col("n"), F.lit(1.0))
+    surplus = F.col("p") * F.log(part / base) + F.when(part < 1, (F.col("n") - F.col("p")) * F.log((1 - part) / (1 - base))).otherwise(0.0)
+    bar = math.log(max(seen.count(), 1))
+    keys = np.sort(seen.filter((F.col("p") > 3.999) & (z > 5) | (part > base) & (surplus > bar)).select("f").toArrow().column("f").to_numpy().view(np.uint64))
+    known = spark.sparkContext.broadcast(keys)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_places(np.array(f, np.int64).view(np.uint64), known.value)[0] for f in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["id", "y", "share", "f"])
+
+    data = rows.select("id", "y", "share", "features").mapInArrow(place, f"id {ident}, y int, share double, f array<long>").orderBy("id").toArrow()
+    counts_of = np.array([len(f) for f in data.column("f").to_pylist()], np.int64)
+    at = np.array([k for f in data.column("f").to_pylist() for k in f], np.int64)
+    y = (data.column("y").to_numpy() > 0).astype(np.float64)
+    w, b = _logistic(np.repeat(np.arange(len(y)), counts_of), at, len(keys), y, data.column("share").to_numpy())
+    return keys, w, b
+
+
+def _signature(features: np.ndarray) -> np.ndarray:
+    """Minima of the features under fixed permutations."""
+    if not len(features):
+        return np.zeros(SIGNATURE, np.uint64)
+    return np.array([mix(features ^ mix(np.array([k + 1], np.uint64))).min() for k in range(SIGNATURE)], np.uint64)
+
+
+def _shares(signatures: pa.Table) -> pd.DataFrame:
+    """(y, copy, share): one over the rows of the near copies of (y, copy), which has ``n`` rows with one signature."""
+    y, n = signatures.column("y").to_numpy(), signatures.column("n").to_numpy()
+    minima = np.array(signatures.column("signature").to_pylist(), np.int64).reshape(len(y), SIGNATURE)
+    parent = list(range(len(y)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for band in np.split(minima, BANDS, axis=1):
+        first: dict[tuple, int] = {}
+        for k, key in enumerate(map(tuple, band.tolist())):
+            other = first.setdefault((y[k], *key), k)
+            if other != k and (minima[k] == minima[other]).mean() >= ALIKE:
+                parent[root(k)] = root(other)
+    group = np.array([root(k) for k in range(len(y))], np.int64)
+    total = np.bincount(group, weights=n, minlength=len(y)) if len(y) else np.zeros(0)
+    return pd.DataFrame({"y": y.astype(np.int32), "copy": signatures.column("copy").to_numpy(), "share": 1.0 / total[group] if len(y) else np.zeros(0)})
+
+
+def _logistic(rows: np.ndarray, columns: np.ndarray, width: int, y: np.ndarray, share: np.ndarray, penalty: float = 0.2, centre: float = 0.7, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Logistic regression by projected Newton steps, each solved by conjugate gradients; the constant is not penalised.
+
+    Row ``rows[k]`` has feature ``columns[k]``; a row counts ``share`` times.
     Words that mostly come together would share one word's weight, and one alone would not be enough. So the ridge
     pulls a weight towards ``centre`` times the log odds of its feature alone, and no weight is negative, as
     features are chosen for their surplus of positives.
     """
-    positive, negative = y.sum(), len(y) - y.sum()
-    p, n = x[y > 0].sum(axis=0) + 1.0, x[y == 0].sum(axis=0) + 1.0
+    positive, negative = float(share @ y), float(share @ (1 - y))
+    p = np.bincount(columns, (share * y)[rows], width) + 1.0
+    n = np.bincount(columns, (share * (1 - y))[rows], width) + 1.0
     goal = np.append(np.maximum(centre * np.log(p / (positive + 2) / (n / (negative + 2))), 0), 0)
-    z = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
-    ridge = np.full(z.shape[1], penalty)
+    ridge = np.full(width + 1, penalty)
     ridge[-1] = 1e-6
-    least = np.zeros(z.shape[1])
+    least = np.zeros(width + 1)
     least[-1] = -np.inf
 
+    def times(beta: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, beta[columns], len(y)) + beta[-1]
+
+    def back(values: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(columns, values[rows], width), values.sum())
+
     def loss(beta: np.ndarray) -> float:
-        t = z @ beta
-        return float(np.logaddexp(0, t).sum() - y @ t + 0.5 * (ridge * (beta - goal) ** 2).sum())
+        t = times(beta)
+        return float(share @ (np.logaddexp(0, t) - y * t) + 0.5 * (ridge * (beta - goal) ** 2).sum())
 
     beta = goal.copy()
     beta[-1] = math.log(positive / negative)
     now = loss(beta)
     for _ in range(rounds):
-        chance = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        gradient = ridge * (beta - goal) - z.T @ (y - chance)
+        chance = 1 / (1 + np.exp(-np.clip(times(beta), -30, 30)))
+        gradient = ridge * (beta - goal) - back(share * (y - chance))
         free = (beta > least) | (gradient < 0)
-        part = z[:, free]
-        step = np.zeros_like(beta)
-        step[free] = np.linalg.solve((part * (chance * (1 - chance))[:, None]).T @ part + np.diag(ridge[free]), gradient[free])
+        curve = share * chance * (1 - chance)
+        scale = np.where(free, ridge + back(curve), 1.0)
+        # Conjugate gradients over the free weights, scaled by the diagonal.
+        step, rest = np.zeros_like(beta), np.where(free, gradient, 0.0)
+        way = scaled = rest / scale
+        size, enough = rest @ scaled, 1e-16 * (rest @ rest)
+        for _ in range(10 * (width + 1)):
+            if rest @ rest <= enough:
+                break
+            bent = np.where(free, ridge * way + back(curve * times(way)), 0.0)
+            length = size / (way @ bent)
+            step, rest = step + length * way, rest - length * bent
+            scaled = rest / scale
+            size, before = rest @ scaled, size
+            way = scaled + size / before * way
         size = 1.0
         while (then := loss(moved := np.maximum(beta - size * step, least))) > now and size > 1e-6:
             size /= 2

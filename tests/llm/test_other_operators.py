@@ -158,6 +158,34 @@ def test_a_large_vocabulary_alone_is_clean(spark, fitted, corpus, monkeypatch):
     assert toxicity.remove_toxic(docs, corpus[1]).count() == 3
 
 
+def test_many_rare_features_are_learnt(spark):
+    """700 insults, each in a few toxic rows only, and a toxic text with 40 near copies that fill no model."""
+    rng = random.Random(5)
+    letters = "bcdfghjklmnprstvw"
+    name = lambda: "".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(2))[:3]
+    insults = sorted({name() for _ in range(4000)})[:700]
+    plain = [f"w{k}q" for k in range(3000)]
+    rows, labels = [], []
+    for k in range(14_000):
+        bad = k < 1000
+        rows.append((k, " ".join(rng.sample(plain, 12) + [insults[(10 * k + i) % 700] for i in range(10 * bad)])))
+        labels.append((k, int(bad)))
+    for k in range(40):
+        rows.append((20_000 + k, " ".join([f"copied{c}" for c in letters] + [f"x{k}x"])))
+        labels.append((20_000 + k, 1))
+    documents, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    keys, weights, constant = toxicity.fit(documents, marks, toxicity.count_ngrams(documents))
+    hasher = toxicity.WordHasher()
+
+    def weight(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        at, _ = toxicity._places(hasher.hashes(raw, np.array([0]), np.array([len(raw)])), keys)
+        return float(weights[at].sum())
+
+    assert len(insults) == 700 and sum(weight(w) > 0 for w in insults) >= 690
+    assert weight("copiedb") == 0
+
+
 def test_spaced_and_doubled_words_are_restored(fitted):
     deobfuscator, hasher = toxicity.Deobfuscator(toxicity.CharacterModel(fitted[1])), toxicity.WordHasher()
     texts = {
