@@ -1,9 +1,11 @@
 """Quotation linking with DataFrame operations only.
 
 A line's quote level is the number of ``>`` marks in front of it. Neighbouring
-lines of one level are a passage. Normalised passages are hashed; a quoted passage
-links to the earliest message of its conversation that says it in its own words,
-before the quoting message. A message replies to the message its least deeply
+lines of one level are a passage. Normalised passages, their paragraphs (parted by
+blank lines) and their single lines are hashed; a quoted passage links to the
+earliest message of its conversation that says all of it in its own words, before
+the quoting message, or else says a paragraph or a line of it: of several such
+messages the one that says most of its lines, then the earliest. A message replies to the message its least deeply
 quoted linked passage comes from (of several the latest). Threads are the trees of
 replies; conversations are ordered by thread and turn, so that a reply comes after
 what it answers, and lose their quotes.
@@ -25,9 +27,14 @@ QUOTE = r"^(?:[ \t]*>)+"
 NO_KEY = -(1 << 63)
 
 
+def _normal(text):
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def passages(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """(conv, turn, level, passage, hash, lines) of each passage, numbered in order.
+    """(conv, turn, level, passage, normal, lines, parts) of each passage, numbered in order.
 
+    ``parts`` are the (normal, lines) of its paragraphs and lines that have words.
     Long texts are worked on as arrays of lines within their row.
     """
     line = lambda x: F.struct(
@@ -46,19 +53,22 @@ def passages(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn"
         F.slice("lines", i, F.coalesce(F.get("starts", k + 1), F.size("lines") + 1) - i).alias("lines"),
     )
     rows = cut.select("conv", "turn", F.posexplode(F.transform("starts", run)).alias("passage", "run"))
-    words = F.trim(F.regexp_replace(F.lower(F.array_join(F.transform("run.lines", lambda x: x["words"]), " ")), r"[^\p{L}\p{N}]+", " "))
-    return rows.select("conv", "turn", F.col("run.level").alias("level"), "passage", words.alias("normal"), F.size("run.lines").alias("lines"))
+    said = rows.select("conv", "turn", F.col("run.level").alias("level"), "passage", F.transform("run.lines", lambda x: x["words"]).alias("said"))
+    part = lambda normal, lines: F.struct(normal.alias("normal"), lines.alias("lines"))
+    worded = lambda x: F.size(F.filter(F.split(x, "\n"), lambda y: _normal(y) != ""))
+    paragraphs = F.transform(F.split(F.array_join("said", "\n"), r"\n(?:[ \t\r]*\n)+"), lambda x: part(_normal(x), worded(x)))
+    single = F.transform("said", lambda x: part(_normal(x), F.lit(1)))
+    return said.select(
+        "conv", "turn", "level", "passage", _normal(F.array_join("said", " ")).alias("normal"), F.size("said").alias("lines"),
+        F.filter(F.concat(paragraphs, single), lambda x: x["normal"] != "").alias("parts"),
+    )
 
 
 def own_paragraphs(conversations: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
-    """(conv, hash, source): the earliest turn that says a passage or a single line of it unquoted."""
-    every = passages(conversations, conv, turn, text).filter("level = 0 and normal <> ''").select("conv", "turn", "normal")
-    lines = conversations.select(
-        F.coalesce(F.col(conv).cast("long"), F.lit(NO_KEY)).alias("conv"), F.coalesce(F.col(turn).cast("long"), F.lit(NO_KEY)).alias("turn"),
-        F.explode(F.split(F.col(text), "\n")).alias("line"),
-    ).filter(~F.col("line").rlike(QUOTE))
-    single = lines.select("conv", "turn", F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " ")).alias("normal")).filter("normal <> ''")
-    return every.unionByName(single).groupBy("conv", F.sha2("normal", 256).alias("hash")).agg(F.min("turn").alias("source"))
+    """(conv, hash, source): the earliest turn that says a passage, a paragraph or a single line of it unquoted."""
+    every = passages(conversations, conv, turn, text).filter("level = 0 and normal <> ''")
+    said = every.select("conv", "turn", F.explode(F.array_union(F.array("normal"), F.transform("parts", lambda x: x["normal"]))).alias("normal"))
+    return said.groupBy("conv", F.sha2("normal", 256).alias("hash")).agg(F.min("turn").alias("source"))
 
 
 def without_quotes(text):
@@ -68,11 +78,20 @@ def without_quotes(text):
 
 def link_quotations(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """(conv, turn, n_quotes, n_linked, reply_to) of each message with quotes."""
-    quoted = passages(conversations, conv, turn, text).filter("level > 0 and normal <> ''").select("conv", "turn", "level", F.sha2("normal", 256).alias("hash"))
-    counted = quoted.groupBy("conv", "turn", "hash").agg(F.min("level").alias("level"), F.count("*").alias("n"))
-    linked = counted.join(own_paragraphs(conversations, conv, turn, text), ["conv", "hash"], "left").withColumn(
-        "source", F.when(F.col("source") < F.col("turn"), F.col("source"))
+    quoted = passages(conversations, conv, turn, text).filter("level > 0 and normal <> ''")
+    # Equal passages of a turn are one row that counts ``n`` times, whatever their line breaks.
+    counted = durable(
+        quoted.groupBy("conv", "turn", F.sha2("normal", 256).alias("whole")).agg(F.min("level").alias("level"), F.count("*").alias("n"), F.max("parts").alias("parts")), "quoted"
+    )
+    pieces = counted.select("conv", "turn", "whole", F.col("whole").alias("hash"), F.lit(None).cast("int").alias("lines")).unionByName(
+        counted.select("conv", "turn", "whole", F.explode("parts").alias("part")).select("conv", "turn", "whole", F.sha2("part.normal", 256).alias("hash"), F.col("part.lines").alias("lines"))
+    )
+    found = pieces.join(own_paragraphs(conversations, conv, turn, text), ["conv", "hash"]).filter("source < turn")
+    votes = found.groupBy("conv", "turn", "whole", "source").agg(F.max(F.col("lines").isNull()).alias("all"), F.sum("lines").alias("lines"))
+    sources = votes.groupBy("conv", "turn", "whole").agg(F.max(F.struct("all", "lines", (-F.col("source")).alias("back"))).alias("said")).select(
+        "conv", "turn", "whole", (-F.col("said.back")).alias("source")
     )
+    linked = counted.drop("parts").join(sources, ["conv", "turn", "whole"], "left")
     # The smallest (level, -source) among linked passages is the message answered.
     best = F.min(F.when(F.col("source").isNotNull(), F.struct("level", (-F.col("source")).alias("back"))))
     return linked.groupBy("conv", "turn").agg(

@@ -280,6 +280,21 @@ def test_quotations_link_and_order(spark):
     assert quotations.reply_ordered(df.limit(0)).count() == 0
 
 
+def test_parts_of_messages_link(spark):
+    first = "Opening words here.\n\nA second paragraph\nof three lines\nand no more.\n\nThe closing words."
+    rows = [
+        (1, 0, first), (1, 1, "Something else.\nof three lines"),
+        (1, 2, "> A second paragraph\n> of three lines\n> and no more.\nYes."), (1, 3, "> of three lines\n> and no more.\nHm."),
+        (1, 4, "> Opening words here.\n>\n> The closing words.\nNo."), (1, 5, "> Opening words here.\n> A second paragraph\n> and no more.\nOne left out."),
+        (1, 6, "> Said by nobody\n> at all"), (1, 7, "> A second paragraph of three\n> lines and no more.\nWrapped anew."), (1, 8, "> Said by nobody\n> Something else.\nHalf."),
+        (2, 0, "> Opening words here.\n> and no more."),
+    ]
+    got = quotations.reply_ordered(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()
+    about = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.reply_to) for r in got}
+    assert [about[1, t] for t in range(2, 9)] == [(1, 1, 0), (1, 1, 0), (1, 1, 0), (1, 1, 0), (1, 0, None), (1, 1, 0), (1, 1, 1)]
+    assert about[2, 0] == (1, 0, None)
+
+
 def test_long_reply_chains(spark):
     rows = [(1, i, "user", (f"> message number {i - 1}\n" if i else "") + f"message number {i}") for i in range(70)]
     got = quotations.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
