@@ -112,17 +112,21 @@ def write_lab_statistics(statistics: DataFrame, path: str, channels=("L", "a", "
 
 
 def write_clusters(clusters: DataFrame, method: str, parameters: dict, assignment_path: str, summary_path: str) -> None:
-    """Assignments as Parquet; sizes as JSON, nested in one document when they are few."""
+    """Assignments as Parquet; sizes as JSON, nested in one document when they are few.
+
+    Beyond that each cluster is a line, which also has the method and the parameters.
+    """
     clusters.write.mode("overwrite").parquet(assignment_path)
     sizes = durable(cluster_sizes(clusters.sparkSession.read.parquet(assignment_path)), "cluster-sizes")
+    about = F.struct(*[F.lit(v).alias(k) for k, v in {"method": method, **parameters}.items()]).alias("parameters")
     if sizes.limit(MAX_DOCUMENT_ENTRIES + 1).count() > MAX_DOCUMENT_ENTRIES:
-        sizes.write.mode("overwrite").json(summary_path)
+        sizes.select(F.lit(method).alias("method"), about, "*").write.mode("overwrite").json(summary_path)
         return
     (
         sizes.agg(
             F.lit(method).alias("method"),
             F.max("n_clusters").alias("n_clusters"),
-            F.struct(*[F.lit(v).alias(k) for k, v in {"method": method, **parameters}.items()]).alias("parameters"),
+            about,
             F.map_from_entries(
                 F.sort_array(F.collect_list(F.struct(F.col("cluster").cast("string"), "images")))
             ).alias("cluster_sizes"),

@@ -69,6 +69,13 @@ def test_cluster_summary(spark, tables, tmp_path):
     assert summary["parameters"] == {"method": "kmeans", "n_clusters": 5, "eps": 0.5, "min_samples": 5}
 
 
+def test_many_clusters_keep_method_and_parameters(tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "MAX_DOCUMENT_ENTRIES", 2)
+    sinks.write_clusters(tables.clusters, "kmeans", {"n_clusters": 5}, str(tmp_path / "c"), str(tmp_path / "s"))
+    lines = documents(tmp_path / "s")
+    assert sum(x["images"] for x in lines) == 500 and all(x["method"] == "kmeans" and x["parameters"]["n_clusters"] == 5 for x in lines)
+
+
 def test_cluster_size_golden(spark):
     # Golden: sizes of the five published clusters sum to the corpus.
     sizes = {0: 1182, 1: 1550, 2: 11, 3: 3131, 4: 76}
