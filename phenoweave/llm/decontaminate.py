@@ -52,16 +52,14 @@ def item_windows(benchmark: DataFrame, n: int, item_id: str = "item_id", text: s
     return named.mapInArrow(cut, WINDOW_SCHEMA).distinct()
 
 
-def _blocks(benchmark: DataFrame, n: int, item_id: str, text: str, per_block: int) -> list:
-    """Broadcast n-gram sets of bounded size that together hold every window."""
+def _blocks(benchmark: DataFrame, n: int, item_id: str, text: str, per_block: int) -> Iterator[tuple[object, bool]]:
+    """Broadcast n-gram sets of bounded size that together hold every window, each fetched when asked for, and whether it is the last."""
     spark = benchmark.sparkSession
     windows = durable(item_windows(benchmark, n, item_id, text), "benchmark-windows")
     count = max(1, math.ceil(windows.count() / per_block))
-    out = []
     for i in range(count):
         rows = windows.filter(F.pmod(F.xxhash64("item", "words"), F.lit(count)) == i).toArrow()
-        out.append(spark.sparkContext.broadcast({"table": rows}))
-    return out
+        yield spark.sparkContext.broadcast({"table": rows}), i == count - 1
 
 
 def _index(shared: dict) -> dict[int, tuple]:
@@ -167,7 +165,6 @@ def _collect_spans(
         name += "_"
     at = documents.columns.index(text)
     current = documents.withColumn(name, F.lit(None).cast(SPANS))
-    blocks = _blocks(benchmark, n, item_id, item_text, per_block)
 
     def gather(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +175,12 @@ def _collect_spans(
 
         return run
 
-    for block in blocks[:-1]:
+    for block, last in _blocks(benchmark, n, item_id, item_text, per_block):
+        if last:
+            break
         current = durable(current.mapInArrow(gather(block), current.schema), "decontaminate")
-    return current, blocks[-1]
+        block.destroy()  # its hits are written
+    return current, block
 
 
 def remove_contaminated(

@@ -73,3 +73,22 @@ def test_empty_tables(spark, make_documents, benchmark):
     assert remove_contaminated(make_documents([]), benchmark).count() == 0
     with pytest.raises(ValueError):
         remove_contaminated(make_documents([]), benchmark, mode="other")
+
+
+def test_one_block_of_windows_at_a_time(spark, make_documents, monkeypatch):
+    events, broadcast = [], type(spark.sparkContext).broadcast
+
+    def sent(context, value):
+        block = broadcast(context, value)
+        if isinstance(value, dict) and "table" in value:
+            events.append("sent")
+            destroy = block.destroy
+            block.destroy = lambda *a: (events.append("gone"), destroy(*a))
+        return block
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", sent)
+    benchmark = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(30))) for k in range(5)], "item_id long, text string")
+    docs = make_documents([(k, f"so w{k}x" + f" w{k}x".join(map(str, range(30)))) for k in range(7)])
+    got = contamination(docs, benchmark, windows_per_block=40).collect()
+    assert events == ["sent", "gone"] * (len(events) // 2) + ["sent"] and len(events) >= 5
+    assert {r.doc_id: (r.n_hit, r.items) for r in got} == {k: (30, [str(k)]) if k < 5 else (0, []) for k in range(7)}
