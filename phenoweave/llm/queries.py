@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoweave.llm import decontaminate, line_dedup, near_text, near_vectors, pieces, quotations, sharding, token_counts, toxicity, warc
+from phenoweave.llm import decontaminate, line_dedup, near_text, near_vectors, pieces, quotations, sharding, stream_dedup, token_counts, toxicity, warc
 
 TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files; read by the driver
 
@@ -71,11 +71,17 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.reply_ordered(_table(spark, sf_dir, "conversations"))
 
 
+def op13_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stream_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_sentencepiece, op3_hilbert_shards, op4_warc_index, op5_token_counts,
         op6_toxicity, op7_line_dedup, op8_bag_minhash, op9_cross_polytope, op10_quotation_links,
+        op13_stream_dedup,
     )
 }
 
@@ -142,4 +148,8 @@ c AS (SELECT r, coalesce(least(min(w.vec_id), any_value(v.vec_id)), any_value(v.
 d AS (SELECT a r, count(*) n_links FROM l GROUP BY a)
 SELECT v.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) n_links, component_id, v.vec_id = component_id kept
 FROM v JOIN c USING (r) LEFT JOIN d USING (r)""",
+    "op13_stream_dedup": """
+WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(text, '') t FROM documents),
+g AS (SELECT t, max(doc_id) keep_id, count(*) group_size, arg_max(r, coalesce(doc_id, -9223372036854775808)) keeper FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, r = keeper kept, sha256(t) text_sha256 FROM d JOIN g USING (t)""",
 }
