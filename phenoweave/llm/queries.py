@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoweave.llm import decontaminate, line_dedup, near_text, near_vectors, pieces, quotations, sharding, stream_dedup, token_counts, toxicity, warc
+from phenoweave.llm import decontaminate, divergence, hard_negatives, line_dedup, near_text, near_vectors, pieces, quotations, sharding, stream_dedup, token_counts, toxicity, warc
 
 TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files; read by the driver
 
@@ -71,6 +71,16 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.reply_ordered(_table(spark, sf_dir, "conversations"))
 
 
+def op11_segment_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(moved, F.col("vec_id") % 100 == 0)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def op13_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stream_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
@@ -81,7 +91,7 @@ QUERIES = {
     for f in (
         op1_benchmark_decontamination, op2_sentencepiece, op3_hilbert_shards, op4_warc_index, op5_token_counts,
         op6_toxicity, op7_line_dedup, op8_bag_minhash, op9_cross_polytope, op10_quotation_links,
-        op13_stream_dedup,
+        op11_segment_summaries, op12_source_divergence, op13_stream_dedup,
     )
 }
 
@@ -148,6 +158,42 @@ c AS (SELECT r, coalesce(least(min(w.vec_id), any_value(v.vec_id)), any_value(v.
 d AS (SELECT a r, count(*) n_links FROM l GROUP BY a)
 SELECT v.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) n_links, component_id, v.vec_id = component_id kept
 FROM v JOIN c USING (r) LEFT JOIN d USING (r)""",
+    "op11_segment_summaries": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END l,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS MATERIALIZED (
+  SELECT a.vec_id a, b.vec_id b, a.l = b.l same, CAST(coalesce(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])), 0) AS BIGINT) s
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a anchor_id, p.b positive_id, CAST(row_number() OVER w AS INTEGER) AS "rank", n.b negative_id, p.s positive_score, n.s negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) QUALIFY row_number() OVER w <= 10""",
+    "op12_source_divergence": f"""
+WITH d AS (SELECT row_number() OVER () r, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') terms FROM documents),
+t AS (SELECT r, lang, source, unnest(terms) w FROM d),
+k AS MATERIALIZED (SELECT lang, w FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, w, count(*) n FROM t GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT lang, source, w, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) p,
+         1 + (1000000000::HUGEINT * (sum(n) OVER (PARTITION BY lang, w) + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) q
+  FROM (SELECT g.lang, g.source, k.w, coalesce(n, 0) n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.w = k.w) JOIN v USING (lang)
+),
+s AS (SELECT a.lang, a.source, b.source item, sum(abs(a.p - b.p)) f FROM p a JOIN p b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY ALL),
+o AS (
+  SELECT g.lang, g.source, 'pair' part, h.source item, coalesce(f, 0) f FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+  UNION ALL SELECT lang, source, 'term', w, p - q FROM p WHERE n > 0 AND p > q
+)
+SELECT * FROM (
+  SELECT lang, source, part, item, CAST(f AS BIGINT) AS "value", CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY f DESC, item) AS INTEGER) AS "rank" FROM o
+) WHERE part = 'pair' OR "rank" <= 50""",
     "op13_stream_dedup": """
 WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(text, '') t FROM documents),
 g AS (SELECT t, max(doc_id) keep_id, count(*) group_size, arg_max(r, coalesce(doc_id, -9223372036854775808)) keeper FROM d GROUP BY t)
