@@ -34,6 +34,8 @@ STATE_CONF = {
     # All stores of an executor share one bounded cache and its write buffers.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # A store would reserve some 4 MB of disk ahead of what it holds.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 BATCH_BYTES = 256 << 30  # of files in one micro-batch
 BROADCAST_HITS = 1_000_000  # digests of 32 bytes that are sent to all executors; more are joined by a shuffle
