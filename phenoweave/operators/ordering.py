@@ -1,14 +1,14 @@
 """Ordered computations that never place a whole group in one task.
 
 A window partitioned by a key runs a key's rows in one task, so one hot key (or
-no key at all) defeats it. The functions here cut every key's ordered rows into
-chunks at split points drawn from the rows themselves, scan the chunks in
-parallel and carry the totals of earlier chunks over a window of at most a few
-thousand chunk rows per key.
-
-The split points come from a hash sample of the order values: the same rows are
-picked whatever the task layout, so a recomputed stage sees the same chunks.
-Sampling only places the cuts; no row is dropped.
+no key at all) defeats it. Here the rows are written once, range-partitioned
+and sorted by key and order (:func:`aligned`). The partitions cut every key's
+ordered rows into parts; parts are scanned in parallel and the totals of a key's earlier
+parts are carried over a window of one row per key and partition. A row's
+number in its partition is in the file, so positions need no window over rows.
+
+Quantiles are found by radix selection: values become 64-bit integers of the
+same order, and counts of leading digits narrow each wanted rank down to a small bucket.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CHUNK_ROWS = 4096
-MAX_CHUNKS = 1024
+from phenoweave.session import durable
+
+BLOCK_ROWS = 4096
+DIGIT = 16  # bits of an order key that one pass of the selection reads
+BUCKET_ROWS = 100_000  # rows of one value range that a task may rank
+ROW_BITS = 33  # of an identifier: the row's number in its partition
 
 _COMBINE = {
     "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
@@ -27,101 +31,65 @@ _COMBINE = {
 }
 
 
-def _attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Add per-key columns: a join on the keys, a scalar subquery when there are none."""
-    if keys:
-        on = None
-        right = per_key.select(
-            *[F.col(k).alias(f"_r_{k}") for k in keys], *columns
-        )
-        for k in keys:
-            equal = df[k].eqNullSafe(right[f"_r_{k}"])
-            on = equal if on is None else on & equal
-        return df.join(right, on, "left").drop(*[f"_r_{k}" for k in keys])
-    packed = per_key.select(F.struct(*columns).alias("_s")).scalar()
-    return df.withColumn("_packed", packed).select(
-        "*", *[F.col("_packed")[c].alias(c) for c in columns]
-    ).drop("_packed")
+def _packed(keys: Sequence[str]) -> Column:
+    """The keys as one value that is never null, so that null keys join as well."""
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
 
 
-def chunked(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunk_rows: int = CHUNK_ROWS,
-    max_chunks: int = MAX_CHUNKS,
-) -> DataFrame:
-    """Add ``_chunk``: the chunk of the row in its key's order, 0, 1, 2, ...
+def aligned(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``df`` written once in the order of ``keys`` and ``order``, with ``_key``, ``_part`` and ``_at``.
 
-    Chunks hold about ``max(chunk_rows, n / max_chunks)`` rows of distinct order
-    values; equal order values always share a chunk.
+    ``_at`` rises with the order and has no gaps inside a part; ``parts`` sets how many there are, otherwise
+    the session does.
     """
-    order_key = F.struct(*[F.col(c) for c in order])
-    base = df.withColumn("_okey", order_key)
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    step = F.greatest(F.lit(chunk_rows), F.floor(F.col("_n") / max_chunks).cast("bigint"))
-    sampled = _attach(base.select(*keys, "_okey"), counts, keys, ["_n"]).filter(
-        F.pmod(F.xxhash64("_okey", F.lit(7)), step) == 0
+    by = [*keys, *order]
+    spread = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    written = durable(spread.sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    return written.withColumn("_part", F.shiftright("_at", ROW_BITS)).withColumn("_key", _packed(keys))
+
+
+def _starts(base: DataFrame, carried: dict[str, tuple[str, Column]], totals: dict[str, tuple[str, Column]]) -> DataFrame:
+    """One row per key and part: its first row, the rows and measures of the key's earlier parts, and the key's totals."""
+    per_part = base.groupBy("_key", "_part").agg(
+        F.min("_at").alias("_first"),
+        F.count(F.lit(1)).alias("_rows"),
+        *[_COMBINE[kind][0](expr).alias(f"_c_{n}") for n, (kind, expr) in carried.items()],
+        *[_COMBINE[kind][0](expr).alias(f"_u_{n}") for n, (kind, expr) in totals.items()],
+    )
+    # Bounded: at most a row per key and partition.
+    whole = Window.partitionBy("_key")
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return durable(
+        per_part.select(
+            "_key", "_part", "_first",
+            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+            F.sum("_rows").over(whole).alias("_total"),
+            *[_COMBINE[kind][0](f"_c_{n}").over(before).alias(f"_p_{n}") for n, (kind, _) in carried.items()],
+            *[_COMBINE[kind][0](f"_u_{n}").over(whole).alias(f"_w_{n}") for n, (kind, _) in totals.items()],
+        ),
+        "ordered-starts",
     )
-    splits = sampled.groupBy(*keys).agg(F.array_sort(F.collect_set("_okey")).alias("_splits"))
-    out = _attach(base, splits, keys, ["_splits"])
-    # Binary search for the number of split points <= the row.
-    levels = [1 << i for i in range((4 * max_chunks).bit_length(), -1, -1)]
-
-    def descend(low: Column, level: Column) -> Column:
-        probe = low + level
-        below = F.try_element_at("_splits", probe) <= F.col("_okey")
-        return F.when((probe <= F.size("_splits")) & below, probe).otherwise(low)
-
-    search = F.aggregate(F.array(*[F.lit(v) for v in levels]), F.lit(0), descend)
-    out = out.withColumn("_chunk", F.when(F.col("_splits").isNull(), 0).otherwise(search))
-    return out.drop("_okey", "_splits")
 
 
 def scan(
     base: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
     measures: dict[str, tuple[str, Column]],
     inclusive: bool = True,
     totals: dict[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
-    """Running sum/min/max over a :func:`chunked` frame; keeps ``_chunk`` for further scans."""
-    keys, totals, columns = list(keys), totals or {}, base.columns
-    for name, (_, expr) in measures.items():
-        base = base.withColumn(f"_m_{name}", expr)
-    for name, (_, expr) in totals.items():
-        base = base.withColumn(f"_t_{name}", expr)
-    per_chunk = base.groupBy(*keys, "_chunk").agg(
-        *[_COMBINE[kind][0](f"_m_{n}").alias(f"_c_{n}") for n, (kind, _) in measures.items()],
-        *[_COMBINE[kind][0](f"_t_{n}").alias(f"_u_{n}") for n, (kind, _) in totals.items()],
-    )
-    # Bounded: at most a few thousand chunk rows per key.
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_chunk.select(
-        *keys,
-        "_chunk",
-        *[_COMBINE[kind][0](f"_c_{n}").over(before).alias(f"_p_{n}") for n, (kind, _) in measures.items()],
-        *[_COMBINE[kind][0](f"_u_{n}").over(whole).alias(n) for n, (kind, _) in totals.items()],
-    )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
+    """Running sum/min/max over an :func:`aligned` frame, whose columns stay for further scans."""
+    totals, columns = totals or {}, base.columns
+    starts = _starts(base, measures, totals)
+    inside = Window.partitionBy("_key", "_part").orderBy("_at").rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
-    # Spread by chunk explicitly: a frame already partitioned by the keys alone
-    # would satisfy the window and keep a hot key in one task.
-    scanned = base.repartition(*keys, "_chunk").select(
-        "*",
-        *[_COMBINE[kind][0](f"_m_{n}").over(inside).alias(f"_i_{n}") for n, (kind, _) in measures.items()],
+    scanned = base.select(
+        "*", *[_COMBINE[kind][0](expr).over(inside).alias(f"_i_{n}") for n, (kind, expr) in measures.items()]
     )
-    joined = _attach(scanned, carry, [*keys, "_chunk"], [f"_p_{n}" for n in measures] + list(totals))
-    return joined.select(
+    return scanned.join(starts, ["_key", "_part"]).select(
         *columns,
-        *[
-            _COMBINE[kind][1](F.col(f"_p_{n}"), F.col(f"_i_{n}")).alias(n)
-            for n, (kind, _) in measures.items()
-        ],
-        *totals,
+        *[_COMBINE[kind][1](F.col(f"_p_{n}"), F.col(f"_i_{n}")).alias(n) for n, (kind, _) in measures.items()],
+        *[F.col(f"_w_{n}").alias(n) for n in totals],
     )
 
 
@@ -132,27 +100,35 @@ def running(
     measures: dict[str, tuple[str, Column]],
     inclusive: bool = True,
     totals: dict[str, tuple[str, Column]] | None = None,
-    chunk_rows: int = CHUNK_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Running sum/min/max per key in ``order``, parallel inside a key.
 
     ``measures`` maps an output name to (``sum``/``min``/``max``, expression);
     ``order`` must identify a row within its key. With ``inclusive=False`` the
     row itself is left out. ``totals`` adds whole-key aggregates as well. For
-    several scans in a row, write a :func:`chunked` frame once and use
-    :func:`scan`.
+    several scans in a row, use :func:`aligned` once and :func:`scan`.
     """
-    return scan(chunked(df, keys, order, chunk_rows), keys, order, measures, inclusive, totals).drop("_chunk")
+    base = aligned(df, keys, order, parts)
+    return scan(base, measures, inclusive, totals).drop("_key", "_part", "_at")
+
+
+def with_positions(base: DataFrame, name: str = "position", total: str | None = None) -> DataFrame:
+    """An :func:`aligned` frame with each row's zero-based position in its key and, if named, the key's row count.
+
+    The number of a row in its part is known, so rows only meet the starts of the parts.
+    """
+    joined = base.join(_starts(base, {}, {}), ["_key", "_part"])
+    position = (F.col("_before") + F.col("_at") - F.col("_first")).cast("bigint")
+    return joined.select(*base.columns, position.alias(name), *([F.col("_total").alias(total)] if total else []))
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position",
-    chunk_rows: int = CHUNK_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", total: str | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Zero-based row position per key in ``order`` (a unique order) as a BIGINT."""
-    return running(
-        df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, inclusive=False, chunk_rows=chunk_rows
-    )
+    """Zero-based row position per key in ``order`` (a unique order) as a BIGINT; ``total`` names the key's row count."""
+    return with_positions(aligned(df, keys, order, parts), name, total).drop("_key", "_part", "_at")
 
 
 def framed(
@@ -162,7 +138,7 @@ def framed(
     before: int,
     after: int,
     columns,
-    block_rows: int = CHUNK_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Window expressions over a bounded ROWS frame, cut into overlapping blocks.
 
@@ -186,39 +162,84 @@ def framed(
     return framed_rows.filter(F.col("_block") == F.col("_home")).drop("_home", "_block")
 
 
+def order_key(value: Column) -> Column:
+    """A BIGINT that orders like the DOUBLE ``value``; equal values, both zeros included, have equal keys.
+
+    Below the sign it is the number's exponent and fraction, computed exactly: scaling by powers of two loses nothing.
+    """
+    size = F.abs(value)
+    guess = F.greatest(F.floor(F.log2(size)), F.lit(-1022))
+    # A logarithm can be off by a hair beside a power of two.
+    exponent = guess + F.when(size >= F.pow(F.lit(2.0), guess) * 2.0, 1).when((size < F.pow(F.lit(2.0), guess)) & (guess > -1022), -1).otherwise(0)
+    fraction = ((size / F.pow(F.lit(2.0), exponent) - 1.0) * 2.0**52).cast("bigint")
+    tiny = (size * 2.0**537 * 2.0**537).cast("bigint")
+    key = (
+        F.when(F.isnan(size), F.lit(0x7FF8 << 48))
+        .when(size == float("inf"), F.lit(0x7FF << 52))
+        .when(size < 2.0**-1022, tiny)
+        .otherwise(F.shiftleft((exponent + 1023).cast("bigint"), 52) + fraction)
+    )
+    return F.when((value < 0) & ~F.isnan(value), -key).otherwise(key)
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probabilities: dict[str, float],
-    chunk_rows: int = CHUNK_ROWS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key, one output column per name.
 
-    Equal values are counted first; the ranks then come from a parallel running
-    sum, so no key's values are ever held in one aggregation buffer.
+    Each pass counts the next digit of the values' order keys inside the buckets that hold a wanted rank, until no such
+    bucket has more than ``bucket_rows`` rows or it is one value; ranks are taken inside these only. A pass
+    shuffles counts of digits, never values.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running(
-        counted,
-        keys,
-        [value],
-        {"_after": ("sum", F.col("_n"))},
-        totals={"_total": ("sum", F.col("_n"))},
-        chunk_rows=chunk_rows,
-    ).withColumn("_before", F.col("_after") - F.col("_n"))
-    picks = []
-    for name, p in probabilities.items():
-        rank = F.lit(float(p)) * (F.col("_total") - 1)
-        for side, r in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            hit = (F.col("_before") <= r) & (r < F.col("_after"))
-            picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}_{name}"))
-        picks.append(F.max(rank - F.floor(rank)).alias(f"_f_{name}"))
-    edges = ranked.groupBy(*keys).agg(*picks)
+    rows = durable(
+        df.select(_packed(keys).alias("_key"), F.col(value).cast("double").alias("_v")).filter("_v is not null").withColumn("_o", order_key(F.col("_v"))),
+        "quantile-rows",
+    )
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probabilities.items()]))
+    rank = F.col("_w.p") * (F.col("_n") - 1)
+    # One row per key and wanted rank: its place in the bucket of the keys with the leading bits ``_b``.
+    targets = durable(
+        rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).withColumn("_w", wanted)
+        .select("_key", F.col("_w.name").alias("_name"), (rank - F.floor(rank)).alias("_f"), F.explode(F.array_distinct(F.array(F.floor(rank), F.ceil(rank)))).alias("_rank"), F.col("_n").alias("_size"))
+        .select("*", F.col("_rank").alias("_place"), F.lit(0).cast("bigint").alias("_b")),
+        "quantile-targets",
+    )
+    bits = 0
+    while bits < 64 and not targets.filter(F.col("_size") > bucket_rows).isEmpty():
+        bits += DIGIT
+        digit = F.shiftright("_o", 64 - bits)
+        above = F.lit(0).cast("bigint") if bits == DIGIT else F.shiftright("_o", 64 - bits + DIGIT)
+        hit = rows.withColumn("_b", above).join(targets.select("_key", "_b").distinct(), ["_key", "_b"], "left_semi")
+        counts = hit.groupBy("_key", "_b", digit.alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+        # At most 2 ** DIGIT rows per bucket.
+        after = F.sum("_c").over(Window.partitionBy("_key", "_b").orderBy("_d"))
+        found = counts.withColumn("_after", after).join(targets, ["_key", "_b"]).filter((F.col("_after") - F.col("_c") <= F.col("_place")) & (F.col("_place") < F.col("_after")))
+        targets = durable(
+            found.select("_key", "_name", "_f", "_rank", F.col("_c").alias("_size"), (F.col("_place") - F.col("_after") + F.col("_c")).alias("_place"), F.col("_d").alias("_b")),
+            "quantile-targets",
+        )
+    bucket = F.lit(0).cast("bigint") if not bits else F.shiftright("_o", 64 - bits)
+    hit = rows.withColumn("_b", bucket).join(targets.select("_key", "_b").distinct(), ["_key", "_b"], "left_semi")
+    # A bucket holds few rows, or many that are equal: counted by value it is small.
+    counted = hit.groupBy("_key", "_b", "_o").agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_v"))
+    after = F.sum("_c").over(Window.partitionBy("_key", "_b").orderBy("_o"))
+    picked = counted.withColumn("_after", after).join(targets, ["_key", "_b"]).filter((F.col("_after") - F.col("_c") <= F.col("_place")) & (F.col("_place") < F.col("_after")))
+    # Of the two neighbouring ranks the lower one comes first; they may be the same.
+    edges = picked.groupBy("_key").agg(
+        *[e for n in probabilities for e in (
+            F.min(F.when(F.col("_name") == n, F.struct("_rank", "_v"))).alias(f"_lo_{n}"),
+            F.max(F.when(F.col("_name") == n, F.struct("_rank", "_v"))).alias(f"_hi_{n}"),
+            F.max(F.when(F.col("_name") == n, F.col("_f"))).alias(f"_f_{n}"),
+        )]
+    )
     return edges.select(
-        *keys,
+        *[F.col("_key")[k].alias(k) for k in keys],
         *[
-            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)
+            (F.col(f"_lo_{n}")["_v"] + (F.col(f"_hi_{n}")["_v"] - F.col(f"_lo_{n}")["_v"]) * F.col(f"_f_{n}")).alias(n)
             for n in probabilities
         ],
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from phenoweave.operators.ordering import running
+from phenoweave.operators.ordering import positions, running
 
 TRAIN_RATIO = 0.70
 VAL_RATIO = 0.15
@@ -97,6 +97,4 @@ def leaking_groups(df: DataFrame, group: str) -> DataFrame:
 def group_lists(assigned: DataFrame, group: str) -> DataFrame:
     """(split, group, position): the sorted distinct groups of each split."""
     distinct = assigned.select("split", group).distinct()
-    return running(
-        distinct, ["split"], [group], {"position": ("sum", F.lit(1).cast("bigint"))}, inclusive=False
-    )
+    return positions(distinct, ["split"], [group])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from phenoweave.operators.ordering import quantiles, running
+from phenoweave.operators.ordering import positions, quantiles
 
 PHENOTYPES = (
     "mean_height_px",
@@ -81,7 +81,4 @@ def leaf_totals(strips: DataFrame) -> DataFrame:
 
 def number_boxes(boxes: DataFrame) -> DataFrame:
     """Strip ids from top to bottom within an image, starting at zero."""
-    return running(
-        boxes, ["image_id"], ["y1", "x1", "y2", "x2"], {"strip_id": ("sum", F.lit(1).cast("bigint"))},
-        inclusive=False,
-    )
+    return positions(boxes, ["image_id"], ["y1", "x1", "y2", "x2"], "strip_id")

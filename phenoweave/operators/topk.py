@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from phenoweave.operators.ordering import quantiles, running
+from phenoweave.operators.ordering import positions, quantiles
+from phenoweave.session import durable
 
 
 def value_counts(df: DataFrame, category: str) -> DataFrame:
@@ -49,14 +50,7 @@ def distinct_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str], ap
 
 def evenly_spaced(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """Every ``max(1, N div n)``-th row in order, the first n of them."""
-    ranked = running(
-        df,
-        [],
-        list(order),
-        {"_pos": ("sum", F.lit(1).cast("bigint"))},
-        inclusive=False,
-        totals={"_n": ("sum", F.lit(1).cast("bigint"))},
-    )
+    ranked = positions(df, [], list(order), "_pos", "_n")
     step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("_n") / n))
     return ranked.filter((F.col("_pos") % step == 0) & (F.col("_pos") < step * n)).select(*df.columns)
 
@@ -117,20 +111,21 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def box_plot_numbers(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles and 1.5 IQR whiskers per group, exact, without gathering a group."""
-    quartiles = quantiles(df, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    # One row per group; the next scan of the rows takes it along.
+    quartiles = durable(quantiles(df, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}), "quartiles")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = lambda keep: F.when(keep, F.col(value))
     whiskers = (
         df.filter(F.col(value).isNotNull())
         .join(quartiles, group)
-        .groupBy(group)
+        .groupBy(group, "q1", "median", "q3")
         .agg(
             F.min(inside(F.col(value) >= F.col("q1") - reach)).alias("low_whisker"),
             F.max(inside(F.col(value) <= F.col("q3") + reach)).alias("high_whisker"),
             F.count(F.lit(1)).alias("n"),
         )
     )
-    return quartiles.join(whiskers, group).select(
+    return whiskers.select(
         group,
         "n",
         F.least("low_whisker", "q1").alias("low_whisker"),

@@ -1,7 +1,7 @@
 """Training-log analysis: curves, best epochs, early stopping, learning rates.
 
 A log is (run_id, epoch, train_loss, val_loss, ...), one row per run and epoch.
-Row frames and running values go through the chunked operators, so a run of
+Row frames and running values go through the ordered operators, so a run of
 any length is analysed in parallel.
 """
 
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from phenoweave.functions.numeric import relative_improvement
-from phenoweave.operators.ordering import chunked, framed, running, scan
+from phenoweave.operators.ordering import aligned, framed, positions, scan
 from phenoweave.session import durable
 
 PATIENCE = 15
@@ -31,10 +31,7 @@ def curve_features(
     the row and up to ``rolling`` earlier ones, for runs of that many rows.
     """
     half = smooth // 2
-    one = F.lit(1).cast("bigint")
-    indexed = running(
-        log, [run], [order], {"position": ("sum", one)}, inclusive=False, totals={"epochs": ("sum", one)}
-    )
+    indexed = positions(log, [run], [order], "position", "epochs")
     out = framed(
         indexed,
         [run],
@@ -98,24 +95,24 @@ def _accepted(records: DataFrame, run: str, order: str, value: str, min_delta: f
 def _improvements(
     log: DataFrame, run: str, order: str, value: str, mode: str, min_delta: float, relative: float
 ) -> DataFrame:
-    """:func:`with_improvements`, keeping the chunk column for further scans."""
+    """:func:`with_improvements` over an aligned frame, for further scans."""
     if mode not in ("min", "max"):
         raise ValueError(f"mode must be min or max, not {mode}")
     if relative and mode == "max":
         raise ValueError("a relative threshold applies to falling values")
     sign = 1.0 if mode == "min" else -1.0
-    # Several scans follow, so the chunks are placed once and written.
-    base = durable(chunked(log, [run], [order]), "training-log")
-    seen = scan(
-        base.withColumn("_v", F.col(value) * sign),
-        [run],
-        [order],
-        {"position": ("sum", F.lit(1).cast("bigint")), "best_before": ("min", F.col("_v"))},
-        inclusive=False,
+    # Several scans follow: the rows are ordered once, and what a scan found is written for the next.
+    base = aligned(log, [run], [order])
+    seen = durable(
+        scan(
+            base.withColumn("_v", F.col(value) * sign),
+            {"position": ("sum", F.lit(1).cast("bigint")), "best_before": ("min", F.col("_v"))},
+            inclusive=False,
+        ),
+        "training-log",
     )
     record = F.col("best_before").isNull() | (F.col("_v") < F.col("best_before"))
     if min_delta or relative:
-        seen = durable(seen, "training-log")
         accepted = _accepted(seen.filter(record), run, order, "_v", min_delta, relative)
         seen = seen.join(accepted.withColumn("_ok", F.lit(True)), [run, order], "left").withColumn(
             "improved", F.coalesce("_ok", F.lit(False))
@@ -125,7 +122,9 @@ def _improvements(
     marked = seen.select(
         *base.columns, "position", (F.col("best_before") * sign).alias("best_before"), "improved"
     )
-    last = scan(marked, [run], [order], {"_last": ("max", F.when(F.col("improved"), F.col("position")))})
+    if min_delta or relative:
+        marked = durable(marked, "training-log")
+    last = scan(marked, {"_last": ("max", F.when(F.col("improved"), F.col("position")))})
     return last.withColumn("stalled", F.col("position") - F.col("_last")).drop("_last")
 
 
@@ -138,7 +137,7 @@ def with_improvements(
     Without a margin an improvement is a new record. With one it is found by a
     fold over the records only.
     """
-    return _improvements(log, run, order, value, mode, min_delta, relative).drop("_chunk")
+    return _improvements(log, run, order, value, mode, min_delta, relative).drop("_key", "_part", "_at")
 
 
 def early_stopping(
@@ -173,9 +172,9 @@ def plateau_learning_rate(
     Within a stall every ``patience + 1``-th row cuts the rate, so the number of
     earlier cuts is a running sum and the rate a power of the factor.
     """
-    seen = _improvements(log, run, order, value, "min", 0.0, threshold)
+    seen = durable(_improvements(log, run, order, value, "min", 0.0, threshold), "training-log")
     cut = ((F.col("stalled") > 0) & (F.col("stalled") % (patience + 1) == 0)).cast("bigint")
-    counted = scan(seen, [run], [order], {"_cuts": ("sum", cut)}, inclusive=False)
+    counted = scan(seen, {"_cuts": ("sum", cut)}, inclusive=False)
     rate = F.greatest(F.lit(initial) * F.pow(F.lit(factor), F.col("_cuts")), F.lit(minimum))
     return counted.select(*log.columns, rate.alias("replayed_rate"))
 

@@ -17,8 +17,8 @@ def skewed(spark):
     return spark.createDataFrame(pdf, "k string, id bigint, v double").repartition(8)
 
 
-@pytest.mark.parametrize("chunk_rows", [50, 4096])
-def test_running_values_equal_a_plain_window(skewed, chunk_rows):
+@pytest.mark.parametrize("parts", [60, None])
+def test_running_values_equal_a_plain_window(skewed, parts):
     w = Window.partitionBy("k").orderBy("v", "id")
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
     want = skewed.select(
@@ -28,32 +28,64 @@ def test_running_values_equal_a_plain_window(skewed, chunk_rows):
     got = ordering.running(
         skewed, ["k"], ["v", "id"],
         {"p": ("sum", F.lit(1).cast("bigint")), "m": ("min", F.col("id") % 977)},
-        inclusive=False, totals={"t": ("max", F.col("v"))}, chunk_rows=chunk_rows,
+        inclusive=False, totals={"t": ("max", F.col("v"))}, parts=parts,
     ).select("id", "p", "m", "t")
     assert sorted(got.collect()) == sorted(want.collect())
 
 
-def test_hot_key_is_cut_into_many_chunks(skewed):
-    chunks = ordering.chunked(skewed, ["k"], ["v", "id"], chunk_rows=50).filter("k = 'hot'").groupBy("_chunk").count()
-    sizes = [r["count"] for r in chunks.collect()]
-    assert len(sizes) > 40 and max(sizes) < 600
-
-
-def test_chunk_count_is_bounded(skewed):
-    chunks = ordering.chunked(skewed, [], ["id"], chunk_rows=1, max_chunks=16).select("_chunk").distinct().count()
-    assert chunks < 64
+def test_hot_key_is_cut_into_many_parts(skewed):
+    parts = ordering.aligned(skewed, ["k"], ["v", "id"], parts=60).filter("k = 'hot'").groupBy("_part").count()
+    sizes = [r["count"] for r in parts.collect()]
+    assert len(sizes) > 30 and max(sizes) < 600
 
 
 def test_global_positions(skewed):
-    got = ordering.positions(skewed, [], ["v", "id"], chunk_rows=64).orderBy("v", "id").select("position").collect()
-    assert [r[0] for r in got] == list(range(6000))
-
-
-@pytest.mark.parametrize("chunk_rows", [20, 4096])
-def test_quantiles_match_linear_interpolation(skewed, chunk_rows):
+    got = ordering.positions(skewed, [], ["v", "id"], total="n", parts=90).orderBy("v", "id").select("position", "n").collect()
+    assert [tuple(r) for r in got] == [(i, 6000) for i in range(6000)]
+
+
+def test_plans_read_the_rows_once(spark, skewed):
+    """Two scans, of the rows and of the starts of the parts, and few exchanges; without broadcasts as well."""
+    measures = {"p": ("sum", F.lit(1).cast("bigint"))}
+    positioned = ordering.positions(skewed, ["k"], ["v", "id"])
+    plans = {
+        "running": (ordering.running(skewed, ["k"], ["v", "id"], measures), 2),
+        "positions": (positioned, 2),
+        "framed": (ordering.framed(positioned, ["k"], "position", 3, 3, {"s": lambda w: F.sum("id").over(w.rowsBetween(-3, 3))}), 3),
+        "quantiles": (ordering.quantiles(skewed, ["k"], "v", {"m": 0.5}), 8),
+    }
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, (df, most) in plans.items():
+            plan = df.select("*")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert plan.count("Exchange ") <= most, (name, plan)
+            assert plan.count("FileScan") <= (3 if name == "quantiles" else 2), (name, plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_order_keys_order_like_the_doubles(spark):
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    random = bits.view(np.float64)
+    powers = 2.0 ** np.arange(-1074, 1024)
+    near = np.concatenate([np.nextafter(powers, 0), powers, np.nextafter(powers, np.inf)])
+    values = np.concatenate([random[~np.isnan(random)], near, -near, [0.0, np.inf, -np.inf, 5e-324, -5e-324, 1.7976931348623157e308]])
+    got = spark.createDataFrame(pd.DataFrame({"v": values})).select("v", ordering.order_key(F.col("v")).alias("o")).toPandas()
+    raw = np.abs(got.v.to_numpy()).view(np.int64)
+    assert (got.o.to_numpy() == np.where(got.v < 0, -raw, raw)).all()
+    odd = spark.createDataFrame([(float("nan"),), (-0.0,), (0.0,), (None,)], "v double").select(ordering.order_key(F.col("v"))).collect()
+    assert odd[0][0] > 0x7FF << 52 and odd[1][0] == odd[2][0] == 0 and odd[3][0] is None
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 20, 100_000])
+def test_quantiles_match_linear_interpolation(skewed, bucket_rows):
     wanted = {"q1": 0.25, "med": 0.5, "q9": 0.937, "hi": 1.0}
-    got = ordering.quantiles(skewed, ["k"], "v", wanted, chunk_rows=chunk_rows).toPandas()
-    pdf = skewed.toPandas()
+    mixed = skewed.withColumn("v", F.when(F.col("id") % 5 == 0, -F.col("v") * 1e-9).when(F.col("id") % 7 == 0, F.lit(3.25)).otherwise(F.col("v")))
+    got = ordering.quantiles(mixed, ["k"], "v", wanted, bucket_rows=bucket_rows).toPandas()
+    pdf = mixed.toPandas()
+    assert len(got) == pdf.k.nunique(dropna=False)
     for _, row in got.iterrows():
         values = pdf[pdf.k.isna() if row.k is None else pdf.k == row.k].v
         for name, p in wanted.items():
@@ -73,19 +105,19 @@ def test_framed_windows_cross_block_edges(skewed):
 
 
 def test_result_does_not_depend_on_the_layout(skewed):
-    a = ordering.positions(skewed.repartition(3), ["k"], ["v", "id"], chunk_rows=40).select("id", "position")
-    b = ordering.positions(skewed.coalesce(1), ["k"], ["v", "id"], chunk_rows=40).select("id", "position")
+    a = ordering.positions(skewed.repartition(3), ["k"], ["v", "id"], parts=40).select("id", "position")
+    b = ordering.positions(skewed.coalesce(1), ["k"], ["v", "id"], parts=7).select("id", "position")
     assert sorted(a.collect()) == sorted(b.collect())
 
 
 def test_a_hot_key_leaves_a_keyed_layout(skewed):
-    """Even when the input is already partitioned by the key, its chunks spread."""
+    """Even when the input is already partitioned by the key, its parts spread."""
     keyed = skewed.repartition(8, "k")
-    out = ordering.positions(keyed, ["k"], ["v", "id"], chunk_rows=50)
+    out = ordering.running(keyed, ["k"], ["v", "id"], {"p": ("sum", F.lit(1).cast("bigint"))}, parts=50)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert any("hashpartitioning(k" in line and "_chunk" in line for line in plan.splitlines())
+    assert any("hashpartitioning(_key" in line and "_part" in line for line in plan.splitlines())
     per_task = (
-        ordering.chunked(keyed, ["k"], ["v", "id"], chunk_rows=50).repartition(8, "k", "_chunk")
+        ordering.aligned(keyed, ["k"], ["v", "id"], parts=50).repartition(8, "_key", "_part")
         .filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
     )
     assert len(per_task) == 8

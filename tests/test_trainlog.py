@@ -30,10 +30,11 @@ def frame(spark, logs):
     return spark.createDataFrame(logs, "run_id int, epoch int, train_loss double, val_loss double").repartition(5)
 
 
-@pytest.fixture(params=[16, ordering.CHUNK_ROWS])
-def chunks(request, monkeypatch):
-    """Small chunks force the split path on short runs as well."""
-    monkeypatch.setattr(ordering.chunked, "__defaults__", (request.param, ordering.MAX_CHUNKS))
+@pytest.fixture(params=[40, None])
+def parts(request, monkeypatch):
+    """Many parts force the split path on short runs as well."""
+    monkeypatch.setattr(ordering.aligned, "__defaults__", (request.param,))
+    monkeypatch.setattr(ordering.positions, "__defaults__", ("position", None, request.param))
     return request.param
 
 
@@ -47,7 +48,7 @@ def sequential_stop(values, patience, delta, mode):
 
 
 @pytest.mark.parametrize("delta,mode", [(0.0, "min"), (0.0, "max"), (0.07, "min"), (0.07, "max")])
-def test_improvements_follow_the_sequential_rule(frame, logs, chunks, delta, mode):
+def test_improvements_follow_the_sequential_rule(frame, logs, parts, delta, mode):
     got = trainlog.with_improvements(frame, mode=mode, min_delta=delta).toPandas().sort_values(["run_id", "epoch"])
     for run, pdf in logs.groupby("run_id"):
         want = sequential_stop(pdf.val_loss, 5, delta, mode)
@@ -76,14 +77,14 @@ def sequential_rate(values, patience, threshold, initial=1e-4, factor=0.5, minim
 
 
 @pytest.mark.parametrize("patience,threshold", [(5, 1e-4), (2, 0.02), (0, 1e-4)])
-def test_learning_rate_replay(frame, logs, chunks, patience, threshold):
+def test_learning_rate_replay(frame, logs, parts, patience, threshold):
     got = trainlog.plateau_learning_rate(frame, patience=patience, threshold=threshold).toPandas()
     got = got.sort_values(["run_id", "epoch"])
     for run, pdf in logs.groupby("run_id"):
         assert got[got.run_id == run].replayed_rate.tolist() == pytest.approx(sequential_rate(pdf.val_loss, patience, threshold))
 
 
-def test_curves(frame, logs, chunks):
+def test_curves(frame, logs, parts):
     got = trainlog.curve_features(frame).toPandas().sort_values(["run_id", "epoch"])
     for run, pdf in logs.groupby("run_id"):
         mine, v = got[got.run_id == run], pdf.val_loss.to_numpy()
