@@ -139,18 +139,18 @@ def _whole_groups(batches: Iterator[pd.DataFrame], group: list[str], work) -> It
 
 
 def _near(mask: np.ndarray, radius: int, axis: int) -> np.ndarray:
-    """Whether any cell within ``radius`` along ``axis`` is set, by prefix counts."""
-    size = mask.shape[axis]
-    counts = np.cumsum(mask, axis=axis, dtype=np.int32)
-    at = np.arange(size)
-    window = np.take(counts, np.minimum(at + radius, size - 1), axis=axis)
-    if size > radius + 1:
-        # Cells further than the radius from the start drop what lies before them.
-        tail = [slice(None)] * mask.ndim
-        head = list(tail)
-        tail[axis], head[axis] = slice(radius + 1, None), slice(0, size - radius - 1)
-        window[tuple(tail)] -= counts[tuple(head)]
-    return window > 0
+    """Whether any cell within ``radius`` along ``axis`` is set, by doubling the window."""
+    if not radius:
+        return mask
+    margin = [(radius, radius) if k == axis else (0, 0) for k in range(mask.ndim)]
+    wide, span, whole = np.pad(mask, margin), 1, 2 * radius + 1
+    upto = lambda array, start, stop: array[tuple(slice(start, stop) if k == axis else slice(None) for k in range(mask.ndim))]
+    while span < whole:
+        # A window of ``span`` cells and the one that ends the new window.
+        step = min(span, whole - span)
+        wide = upto(wide, 0, -step) | upto(wide, step, None)
+        span += step
+    return wide
 
 
 def _filter_bands(bands: np.ndarray, steps) -> np.ndarray:
@@ -207,14 +207,16 @@ def clean_green_mask(
                 members = pdf[pdf["_g"].isin(part.index)] if len(part) < len(heads) else pdf
                 slot = np.searchsorted(part.index.to_numpy(), members["_g"].to_numpy())
                 top = part["_top"].to_numpy()
-                edges = np.zeros((len(part), rows, width + 1), np.int32)
-                y = members["y"].to_numpy() - top[slot]
-                np.add.at(edges, (slot, y, members["x_start"].to_numpy()), 1)
-                np.add.at(edges, (slot, y, members["x_end"].to_numpy() + 1), -1)
-                bands = _filter_bands(np.cumsum(edges, axis=2)[:, :, :width] > 0, steps)
-                change = np.diff(bands.astype(np.int8), axis=2, prepend=0, append=0)
-                slot, y, start = np.nonzero(change == 1)
-                end = np.nonzero(change == -1)[2] - 1
+                line = (slot * rows + members["y"].to_numpy() - top[slot]) * (width + 1)
+                edges = np.bincount(line + members["x_start"].to_numpy(), minlength=len(part) * rows * (width + 1))
+                edges -= np.bincount(line + members["x_end"].to_numpy() + 1, minlength=len(edges))
+                bands = _filter_bands((np.cumsum(edges, dtype=np.int32) > 0).reshape(len(part), rows, width + 1)[:, :, :width], steps)
+                # A line of cells with a gap behind every row: runs begin and end where it changes.
+                cells = np.zeros((len(part), rows, width + 1), bool)
+                cells[:, :, :width] = bands
+                change = np.flatnonzero(np.diff(cells.ravel(), prepend=False))
+                start, end = change[::2] % (width + 1), change[1::2] % (width + 1) - 1
+                slot, y = np.divmod(change[::2] // (width + 1), rows)
                 y = y + top[slot]
                 core = y // tile_height == part["_band"].to_numpy()[slot]
                 out = part[keys].iloc[slot[core]].reset_index(drop=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from phenoweave.operators.ordering import positions, quantiles
+from phenoweave.operators.runs import merge_runs
 
 PHENOTYPES = (
     "mean_height_px",
@@ -56,6 +57,16 @@ def measure_strips(runs: DataFrame, masks: DataFrame | None = None) -> DataFrame
     return masks.join(measured, ["image_id", "strip_id"], "left").withColumns(zero)
 
 
+def measure_masks(runs: DataFrame, masks: DataFrame | None = None) -> DataFrame:
+    """:func:`measure_strips` of runs that may overlap.
+
+    The runs are dealt by mask once; every later step is inside a mask, whose
+    size the raster bounds, so it needs no further shuffle.
+    """
+    mask = ["image_id", "strip_id"]
+    return measure_strips(merge_runs(runs.repartition(*mask), mask), masks)
+
+
 def attach_boxes(measurements: DataFrame, boxes: DataFrame) -> DataFrame:
     """Left join of box text and score on (image, strip); absent sidecars stay null."""
     return measurements.join(boxes, ["image_id", "strip_id"], "left")

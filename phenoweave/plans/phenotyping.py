@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from phenoweave.operators.catalog import classify_boxes, pending, reusable
-from phenoweave.operators.runs import merge_runs
-from phenoweave.operators.strips import attach_boxes, measure_strips
+from phenoweave.operators import strips
+from phenoweave.operators.strips import attach_boxes
 from phenoweave.schemas import MEASUREMENT_COLUMNS
 
 
 def measure_masks(masks: DataFrame, runs: DataFrame, boxes: DataFrame) -> DataFrame:
     """Measurement table of decoded masks (image_id, strip_id) with their sidecars."""
-    measured = measure_strips(merge_runs(runs, ["image_id", "strip_id"]), masks.select("image_id", "strip_id"))
+    measured = strips.measure_masks(runs, masks.select("image_id", "strip_id"))
     return attach_boxes(measured, boxes).withColumn("image_name", F.col("image_id")).select(
         "image_id", *MEASUREMENT_COLUMNS
     )

@@ -14,8 +14,8 @@ _COLUMNS = """columns AS (
 register(
     "strip_heights",
     lambda t: rounded(
-        strips.measure_strips(
-            t.strip_runs, t.frames.select("image_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("strip_id"))
+        strips.measure_masks(
+            t.raw_runs, t.frames.select("image_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("strip_id"))
         )
     ),
     f"""WITH {_COLUMNS}, m AS (SELECT image_id, strip_id, avg(height) AS mean_h, median(height) AS med_h, min(height) AS min_h,
@@ -75,7 +75,47 @@ register(
       SELECT image_id, y, min(x) AS x_start, max(x) AS x_end FROM (
         SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS island FROM grown) GROUP BY image_id, y, island""",
 )
-register("clean_green_mask", lambda t: runs.clean_green_mask(t.raw_runs, t.frames))
+
+
+def _grown(source: str, width: int, height: int, iterations: int) -> str:
+    """Runs of a dilation: every run reaches into the rows around it, and what touches is one run."""
+    rx, ry = (width // 2) * iterations, (height // 2) * iterations
+    return f"""SELECT image_id, y, min(s) AS x_start, max(e) AS x_end FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY image_id, y ORDER BY s, e) AS island FROM (
+        SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY image_id, y ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh
+        FROM (SELECT DISTINCT image_id, y + dy AS y, greatest(x_start - {rx}, 0) AS s, least(x_end + {rx}, 149) AS e
+          FROM {source}, (SELECT unnest(generate_series(-{ry}, {ry})) AS dy) WHERE y + dy BETWEEN 0 AND 49))) GROUP BY image_id, y, island"""
+
+
+def _outside(source: str) -> str:
+    """Runs of the background."""
+    return f"""SELECT image_id, y, a AS x_start, b AS x_end FROM (
+      SELECT image_id, y, coalesce(lag(e) OVER (PARTITION BY image_id, y ORDER BY s) + 1, 0) AS a, s - 1 AS b FROM (
+        SELECT image_id, y, x_start AS s, x_end AS e FROM {source}
+        UNION ALL SELECT image_id, unnest(generate_series(0, height - 1)), width, width FROM frames)) WHERE a <= b"""
+
+
+def _steps(steps) -> str:
+    """A chain of (closing, opening, dilation or erosion, width, height, iterations) over the leaf runs."""
+    chain, last = [], "leaf_runs"
+    for step, w, h, n in steps:
+        for grow in {"close": (True, False), "open": (False, True), "dilate": (True,), "erode": (False,)}[step]:
+            for sql in (lambda x: _grown(x, w, h, n),) if grow else (_outside, lambda x: _grown(x, w, h, n), _outside):
+                chain.append(f"m{len(chain)} AS MATERIALIZED ({sql(last)})")
+                last = f"m{len(chain) - 1}"
+    return f"WITH {', '.join(chain)} SELECT image_id, CAST(y AS INTEGER) AS y, CAST(x_start AS BIGINT) AS x_start, CAST(x_end AS BIGINT) AS x_end FROM {last}"
+
+
+def _typed(df):
+    return df.select("image_id", F.col("y").cast("int").alias("y"), F.col("x_start").cast("bigint").alias("x_start"), F.col("x_end").cast("bigint").alias("x_end"))
+
+
+register("mask_erosion", lambda t: _typed(runs.erode(t.leaf_runs, t.frames, 5, 5)), _steps([("erode", 5, 5, 1)]))
+register("mask_closing_twice", lambda t: _typed(runs.close(t.leaf_runs, t.frames, 15, 15, 2)), _steps([("close", 15, 15, 2)]))
+register("mask_closing_wide", lambda t: _typed(runs.close(t.leaf_runs, t.frames, 25, 5)), _steps([("close", 25, 5, 1)]))
+register("mask_opening_square", lambda t: _typed(runs.open_(t.leaf_runs, t.frames, 5, 5)), _steps([("open", 5, 5, 1)]))
+# The whole chain in one shuffle of bands, against one step after another.
+register("clean_green_mask", lambda t: _typed(runs.clean_green_mask(t.raw_runs, t.frames)), _steps(runs.CLEANING))
 
 _EDGES = """adjacent AS (SELECT a.image_id, (a.y::BIGINT << 32) + a.x_start AS src, (b.y::BIGINT << 32) + b.x_start AS dst
     FROM leaf_runs a JOIN leaf_runs b ON a.image_id = b.image_id AND b.y = a.y + 1
