@@ -7,7 +7,9 @@ become lattices of what each character may stand for and, between single letters
 of where words end; a Viterbi search under noisy-channel costs and the language
 model restores the words. Words and word beginnings of the text and of its restored
 words, known by 64-bit hashes, feed a logistic model: a word that is no feature
-adds nothing to a score, however many of them a text has.
+adds nothing to a score, however many of them a text has. Weak evidence, how much
+likelier the text's character 4-grams are among toxic rows on average, ranks texts of
+the same features; it is bounded to half a nat.
 
 The classifier is fitted on a bounded sample of labelled rows (``sample``
 parameter); everything else covers all documents.
@@ -21,11 +23,13 @@ extra columns are ignored by the scores and kept by :func:`remove_toxic`.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from phenoweave.llm.words import WordHasher, mix, slices, text_buffer
@@ -42,8 +46,10 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SUBSTITUTED, REPEATED, DROPPED = 1.0, 0.4, 2.0  # channel costs in nats
 WAYS, MARGIN = 4, 8.0  # restorations of a token that count: so many, and so many nats behind the best
 GAP = 5  # bytes between single letters of one run
-RESTORED = 200_000  # restored tokens remembered by one worker process
+RESTORED = 20_000  # restored tokens remembered by one worker process
 REMEMBERED_LENGTH = 64  # longer tokens are not remembered
+WEAK, PRIOR_ROWS = 0.5, 10.0  # bound of the weak evidence in nats, and rows of the whole corpus mixed into the rarer kind
+UNIT = 1 << 40  # of summed shares, which are whole numbers so that their order does not matter
 
 
 def folded(raw: np.ndarray) -> np.ndarray:
@@ -54,6 +60,30 @@ def folded(raw: np.ndarray) -> np.ndarray:
     return table[raw]
 
 
+def _codes(raw: np.ndarray) -> np.ndarray:
+    """Numbers of the 4-grams that begin at each byte but the last three."""
+    symbols = folded(raw)
+    n = max(0, len(symbols) - ORDER + 1)
+    code = np.zeros(n, np.uint32)
+    for k in range(ORDER):
+        code = (code << LETTER) | symbols[k : k + n]
+    return code
+
+
+def _collected(found: DataFrame, size: int) -> np.ndarray:
+    """Sums (code, n) as an array; the alphabet fixes its size."""
+    rows = found.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[rows.column("code").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def _emitted(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    at = np.flatnonzero(total)
+    for i in range(0, len(at), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000], pa.int64()), pa.array(total[at[i : i + 50_000]], pa.int64())], ["code", "n"])
+
+
 def count_ngrams(documents: DataFrame, text: str = "text") -> np.ndarray:
     """Counts of all character 4-grams of all texts; the table's size is fixed by the alphabet."""
     size = 1 << (LETTER * ORDER)
@@ -64,21 +94,53 @@ def count_ngrams(documents: DataFrame, text: str = "text") -> np.ndarray:
             raw, offsets = text_buffer(batch.column(0))
             for i, j in slices(offsets, 1 << 20):
                 for a in range(int(offsets[i]), int(offsets[j]), 1 << 20):
-                    part = folded(raw[a : min(a + (1 << 20) + ORDER - 1, int(offsets[j]))])
-                    if len(part) >= ORDER:
-                        n = len(part) - ORDER + 1
-                        code = np.zeros(n, np.uint32)
-                        for k in range(ORDER):
-                            code = (code << LETTER) | part[k : k + n]
+                    code = _codes(raw[a : min(a + (1 << 20) + ORDER - 1, int(offsets[j]))])
+                    if len(code):
                         total += np.bincount(code, minlength=size)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000], pa.int64()), pa.array(total[at[i : i + 50_000]], pa.int64())], ["code", "n"])
+        yield from _emitted(total)
 
-    rows = documents.select(text).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size, np.int64)
-    out[rows.column("code").to_numpy()] = rows.column("n").to_numpy()
-    return out
+    return _collected(documents.select(text).mapInArrow(count, "code long, n long"), size)
+
+
+def _log_ratios(rows: DataFrame, counts: np.ndarray, positive: float, negative: float) -> np.ndarray:
+    """Per 4-gram the log of how much likelier it is among toxic rows than among others.
+
+    ``rows`` (text, y, share) are the sample; every row counts its share, however long it is.
+    """
+    size = len(counts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * size)
+        for batch in batches:
+            raw, offsets = text_buffer(batch.column(0))
+            kinds, shares = batch.column(1).to_numpy() > 0, batch.column(2).to_numpy()
+            for row in range(batch.num_rows):
+                code = _codes(raw[offsets[row] : offsets[row + 1]])
+                if len(code):
+                    at, n = np.unique(code, return_counts=True)
+                    total[at + size * int(kinds[row])] += np.floor(n * (shares[row] * UNIT / len(code)))
+        yield from _emitted(total.astype(np.int64))
+
+    found = _collected(rows.mapInArrow(count, "code long, n long"), 2 * size) / UNIT
+    # Both kinds get the same share of the corpus, so that 4-grams that neither has say nothing.
+    prior = PRIOR_ROWS / min(positive, negative) * (counts + 1e-9) / (counts + 1e-9).sum()
+    return np.log((found[size:] / positive + prior) / (found[:size] / negative + prior)).astype(np.float32)
+
+
+def weak_evidence(column: pa.Array, ratios: np.ndarray) -> np.ndarray:
+    """Mean log ratio of each text's 4-grams, within the bound; 0 for texts without any."""
+    raw, offsets = text_buffer(column)
+    out = np.zeros(len(column))
+    for i, j in slices(offsets, 1 << 20):
+        sums = np.zeros(j - i)
+        for a in range(int(offsets[i]), int(offsets[j]), 1 << 20):
+            value = ratios[_codes(raw[a : min(a + (1 << 20) + ORDER - 1, int(offsets[j]))])]
+            # 4-grams that run into the next text are left out.
+            until = np.clip(np.maximum(offsets[i + 1 : j + 1] - ORDER + 1, offsets[i:j]) - a, 0, len(value))
+            run = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
+            sums += run[until] - run[np.minimum(np.clip(offsets[i:j] - a, 0, len(value)), until)]
+        out[i:j] = sums / np.maximum(np.diff(offsets[i : j + 1]) - ORDER + 1, 1)
+    return np.clip(out, -WEAK, WEAK)
 
 
 class CharacterModel:
@@ -90,7 +152,7 @@ class CharacterModel:
         smooth = np.full(n, 1 / 28)
         for level in (four.sum((0, 1, 2)), four.sum((0, 1)), four.sum(0), four):
             smooth = (level + 4.0 * smooth) / (level.sum(-1, keepdims=True) + 4.0)
-        self.log = np.log(smooth).astype(np.float32).ravel().tolist()
+        self.log = array("f", np.log(smooth).astype(np.float32).tobytes())
 
     def restore(self, token: str, spaced: bool = False) -> list[str]:
         """Likely words behind a token of ASCII letters, digits and imitating signs, or texts of words behind a ``spaced`` one; the best first."""
@@ -283,15 +345,19 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(True))
 
 
-def fit(documents: DataFrame, labels: DataFrame, counts: np.ndarray, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted feature hashes, their weights and the constant, learnt from at most about ``sample`` labelled rows."""
-    spark = documents.sparkSession
+def fit(
+    documents: DataFrame, labels: DataFrame, counts: Broadcast, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE
+) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Sorted feature hashes, their weights, the constant and the log ratios of 4-grams, learnt from at most about ``sample`` labelled rows.
+
+    ``counts`` is :func:`shared_counts` of the corpus.
+    """
+    spark, shared = documents.sparkSession, counts
     usable = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     n = usable.count()
     share = min(1.0, sample / max(n, 1))
     # A sample by the id's hash: the same rows on every run; its size is bounded, so it may be broadcast.
     chosen = usable.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    shared = spark.sparkContext.broadcast({"counts": counts})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, deobfuscator = WordHasher(), _deobfuscator(shared.value)
@@ -317,7 +383,7 @@ def fit(documents: DataFrame, labels: DataFrame, counts: np.ndarray, doc_id: str
     kinds = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum("share").alias("n")).collect()}
     positive, negative = sum(v for k, v in kinds.items() if k > 0), sum(v for k, v in kinds.items() if k <= 0)
     if not positive or not negative:
-        return np.zeros(0, np.uint64), np.zeros(0, np.float32), -math.inf
+        return np.zeros(0, np.uint64), np.zeros(0, np.float32), -math.inf, np.zeros(1 << (LETTER * ORDER), np.float32)
     base = positive / (positive + negative)
     seen = durable(
         rows.select("y", "share", F.explode("features").alias("f")).groupBy("f")
@@ -343,7 +409,9 @@ def fit(documents: DataFrame, labels: DataFrame, counts: np.ndarray, doc_id: str
     at = np.array([k for f in data.column("f").to_pylist() for k in f], np.int64)
     y = (data.column("y").to_numpy() > 0).astype(np.float64)
     w, b = _logistic(np.repeat(np.arange(len(y)), counts_of), at, len(keys), y, data.column("share").to_numpy())
-    return keys, w, b
+    known.unpersist()
+    texts = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(rows.select("id", "y", "share").distinct()), "id")
+    return keys, w, b, _log_ratios(texts.select("text", "y", "share"), counts.value["counts"], float(positive), float(negative))
 
 
 def _signature(features: np.ndarray) -> np.ndarray:
@@ -439,16 +507,22 @@ def _deobfuscator(state: dict) -> Deobfuscator:
     return state["deobfuscator"]
 
 
+def shared_counts(documents: DataFrame, text: str = "text") -> Broadcast:
+    """The corpus's 4-gram counts for all tasks; a worker process builds one language model of them."""
+    return documents.sparkSession.sparkContext.broadcast({"counts": count_ngrams(documents, text)})
+
+
 def _scorer(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int, keep: bool = False):
     """A function from a string column to (scores, restored tokens), to be called in tasks."""
-    counts = count_ngrams(documents, text)
-    keys, weights, constant = fit(documents, labels, counts, doc_id, text, label, sample)
-    shared = documents.sparkSession.sparkContext.broadcast({"counts": counts, "keys": keys, "weights": weights, "constant": constant})
+    counts = shared_counts(documents, text)
+    keys, weights, constant, ratios = fit(documents, labels, counts, doc_id, text, label, sample)
+    learnt = documents.sparkSession.sparkContext.broadcast({"keys": keys, "weights": weights, "constant": constant, "ratios": ratios})
 
     def score(column: pa.Array, hasher: WordHasher) -> tuple[list[float], list[list]]:
-        state, scores, restored = shared.value, [], []
-        for _, features, found in text_features(column, hasher, _deobfuscator(state), state["keys"], keep):
-            total = float(state["weights"][features].sum(dtype=np.float64)) + state["constant"]
+        state, scores, restored = learnt.value, [], []
+        weak = weak_evidence(column, state["ratios"])
+        for row, features, found in text_features(column, hasher, _deobfuscator(counts.value), state["keys"], keep):
+            total = float(state["weights"][features].sum(dtype=np.float64)) + float(weak[row]) + state["constant"]
             scores.append(1 / (1 + math.exp(-total)) if total > -700 else 0.0)
             restored.append(found)
         return scores, restored

@@ -142,7 +142,7 @@ def test_disguised_words_are_restored(corpus, make_documents, odd_texts):
 @pytest.fixture(scope="module")
 def fitted(corpus):
     documents, labels = corpus
-    return toxicity.fit(documents, labels, toxicity.count_ngrams(documents)), toxicity.count_ngrams(documents)
+    return toxicity.fit(documents, labels, toxicity.shared_counts(documents)), toxicity.count_ngrams(documents)
 
 
 def test_a_large_vocabulary_alone_is_clean(spark, fitted, corpus, monkeypatch):
@@ -158,6 +158,18 @@ def test_a_large_vocabulary_alone_is_clean(spark, fitted, corpus, monkeypatch):
     assert toxicity.remove_toxic(docs, corpus[1]).count() == 3
 
 
+def test_weak_evidence_equals_a_plain_mean(monkeypatch):
+    ratios = np.random.default_rng(3).normal(size=1 << 20).astype(np.float32) / 20
+    texts = ["", None, "abc", "abcd", "Ünïcödé text, 12 ...", "abcd" * 400_000, "zyxw"]
+    want = []
+    for t in texts:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        symbols = toxicity.folded(raw).tolist()
+        codes = [((symbols[k] * 32 + symbols[k + 1]) * 32 + symbols[k + 2]) * 32 + symbols[k + 3] for k in range(len(symbols) - 3)]
+        want.append(float(np.clip(np.mean([float(ratios[c]) for c in codes]), -toxicity.WEAK, toxicity.WEAK)) if codes else 0.0)
+    assert toxicity.weak_evidence(toxicity.pa.array(texts), ratios) == pytest.approx(want, abs=1e-9)
+
+
 def test_many_rare_features_are_learnt(spark):
     """700 insults, each in a few toxic rows only, and a toxic text with 40 near copies that fill no model."""
     rng = random.Random(5)
@@ -174,7 +186,7 @@ def test_many_rare_features_are_learnt(spark):
         rows.append((20_000 + k, " ".join([f"copied{c}" for c in letters] + [f"x{k}x"])))
         labels.append((20_000 + k, 1))
     documents, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    keys, weights, constant = toxicity.fit(documents, marks, toxicity.count_ngrams(documents))
+    keys, weights, constant, _ = toxicity.fit(documents, marks, toxicity.shared_counts(documents))
     hasher = toxicity.WordHasher()
 
     def weight(word):
