@@ -112,7 +112,8 @@ def decisions(
     copies = _only(rows, hits.select("digest"))
     # The kept row's text, found by its locator, against that of every other row of the digest.
     originals = copies.join(hits.select(F.col("keeper.at").alias("at"), "digest"), ["digest", "at"], "left_semi").select("digest", F.col("text").alias("original"))
-    unequal = durable(copies.join(originals, "digest").filter("text <> original").select("digest").distinct(), "dedup-collisions")
+    # Written as they come, so that the join's hot digests can be split; nearly always there are none.
+    unequal = durable(copies.join(originals, "digest").filter("text <> original").select("digest"), "dedup-collisions").distinct()
     labelled = rows.select("id", "digest", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), "at").join(state, "digest")
     columns = ["id", F.col("keeper.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("at") == F.col("keeper.at")).alias("kept"), "sha256", "at"]
     if unequal.isEmpty():
