@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import functools
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from phenoweave.session import durable
 
 NOISE = -1
 TILE_ROWS = 512
+PIVOTS = 8  # of a cell that DBSCAN's metric tree splits
+WORTH = 0.8  # share of a cell's distances that a split may leave
 
 
 def global_stats(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -126,65 +129,106 @@ def _dimension_free_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def _cells(points: DataFrame, eps: float) -> DataFrame:
+    """(cell, id, weight, vec, home, gap): the leaves of a metric tree, each point at home in one of them.
+
+    A cell is split at a few of its points, the pivots; a point goes to the nearest. Another point within ``eps`` of it
+    is at most that far beyond the plane midway between both their pivots, so points so near to a plane are put
+    into the cell behind it as well, as guests: all neighbours of a point are in its home cell. A split is made only where it
+    saves distances, which wide neighbourhoods in many dimensions do not. ``gap`` is the distance to the cell's pivot.
+    """
+    key = points.schema["id"].dataType.simpleString()
+    schema = f"cell string, id {key}, weight bigint, vec array<double>, home boolean, gap double"
+    columns = ["cell", "id", "weight", "vec", "home", "gap"]
+
+    def placed(pdf: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per cell its rows, their distances to the pivots, the pivots they belong to and the nearest one."""
+        for cell, rows in pdf.groupby("cell", sort=False):
+            pivots = np.stack(rows["pivots"].iloc[0])
+            gaps, apart = _dimension_free_distance(np.stack(rows["vec"]), pivots), _dimension_free_distance(pivots, pivots)
+            own = gaps.argmin(1)
+            square = gaps * gaps
+            # Twice the distance to the plane, times that of the pivots; a hair more, for the rounding.
+            member = square - square.min(1, keepdims=True) <= 2 * eps * (1 + 1e-9) * apart[own] + 1e-12 * square
+            yield cell, rows, gaps, member, np.arange(gaps.shape[1]) == own[:, None]
+
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for cell, rows, _, member, nearest in placed(pdf):
+                homes = (nearest & rows["home"].to_numpy(bool)[:, None]).sum(0)
+                yield pd.DataFrame({"cell": cell, "sub": np.arange(len(homes)), "homes": homes, "rows": member.sum(0)})
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for cell, rows, gaps, member, nearest in placed(pdf):
+                at, sub = np.nonzero(member)
+                out = rows.iloc[at][["id", "weight", "vec"]].assign(cell=[f"{cell}/{j}" for j in sub], gap=gaps[at, sub])
+                yield out.assign(home=rows["home"].to_numpy(bool)[at] & nearest[at, sub])[columns]
+
+    current = points.select(F.lit("").alias("cell"), "id", "weight", "vec", F.lit(True).alias("home"), F.lit(float("inf")).alias("gap"))
+    work = lambda homes, rows: F.col(homes) * (F.col(rows) - F.col(homes) / 2)
+    leaves: list[DataFrame] = []
+    while True:
+        counted = current.groupBy("cell").agg(F.count_if("home").cast("bigint").alias("homes"), F.count(F.lit(1)).alias("rows"))
+        big = durable(counted.filter(F.col("rows") > TILE_ROWS), "dbscan-big")
+        if big.isEmpty():
+            leaves.append(current)
+            break
+        order = Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(len(leaves))), "id")
+        drawn = current.filter("home").join(big.select("cell"), "cell", "left_semi").withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= PIVOTS)
+        pivots = durable(drawn.groupBy("cell").agg(F.collect_list("vec").alias("pivots")), "dbscan-pivots")
+        ready = current.join(pivots, "cell")
+        subs = ready.mapInPandas(sizes, "cell string, sub int, homes bigint, rows bigint").groupBy("cell", "sub").agg(F.sum("homes").alias("h"), F.sum("rows").alias("r"))
+        after = subs.groupBy("cell").agg(F.sum(work("h", "r")).alias("_after"))
+        better = durable(after.join(big, "cell").filter(F.col("_after") < WORTH * work("homes", "rows")).select("cell"), "dbscan-splits")
+        leaves.append(current.join(better, "cell", "left_anti"))
+        if better.isEmpty():
+            break
+        parts = durable(ready.join(better, "cell", "left_semi").mapInPandas(split, schema), "dbscan-cells")
+        # Guests alone ask nothing.
+        current = parts.join(parts.filter("home").select("cell").distinct(), "cell", "left_semi")
+    return functools.reduce(DataFrame.unionByName, [x.select(*columns) for x in leaves])
+
+
 def _tiles(points: DataFrame, eps: float) -> DataFrame:
-    """(tile, side, id, weight, vec, ...): points replicated to the pairs of blocks they meet.
+    """(tile, side, itself, own, id, weight, vec, gap): points dealt to the pairs of blocks they meet.
 
-    Cells are bands of the distance to the centroid and to a far point; points
-    within ``eps`` lie in the same or neighbouring bands by the triangle
-    inequality. Crowded cells are split by a hash into blocks of about
-    ``TILE_ROWS`` points, and block pairs become independent tasks.
+    The home points of a leaf form blocks of about ``TILE_ROWS``, its guests too. Two home blocks meet once, a block
+    also itself; a home block meets every guest block, where only its own points ask (``own``).
     """
-    spark = points.sparkSession
-    entries = points.select(F.posexplode("vec").alias("i", "x"))
-    centre = (
-        entries.groupBy("i").agg(F.avg("x").alias("x")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"))
-        .select(F.transform("c", lambda s: s["x"]).alias("centre"))
-    )
-    gap = lambda u, v: F.sqrt(F.aggregate(F.zip_with(u, v, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    near = points.withColumn("_c", centre.scalar()).withColumn("_t1", gap(F.col("vec"), F.col("_c"))).drop("_c")
-    far = near.agg(F.max_by("vec", F.struct("_t1", "id")).alias("far"))
-    celled = durable(
-        near.withColumn("_far", far.scalar())
-        .withColumn("_t2", gap(F.col("vec"), F.col("_far")))
-        .withColumn("c1", F.floor(F.col("_t1") / eps))
-        .withColumn("c2", F.floor(F.col("_t2") / eps))
-        .drop("_far", "_t1", "_t2"),
-        "dbscan-cells",
-    )
-    sizes = celled.groupBy("c1", "c2").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("blocks"))
-    blocked = celled.join(sizes, ["c1", "c2"]).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks"))
-    )
-    ranges = sizes.select(
-        "c1", "c2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
-    )
-    offsets = F.array(
-        *[F.struct(F.lit(i).alias("d1"), F.lit(j).alias("d2")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]
-    )
-    wanted = ranges.withColumn("_o", F.explode(offsets)).select(
-        "c1", "c2", "block", (F.col("c1") + F.col("_o.d1")).alias("n1"), (F.col("c2") + F.col("_o.d2")).alias("n2")
+    cells = durable(_cells(points, eps), "dbscan-cells")
+    blocks = F.ceil(F.col("n") / TILE_ROWS)
+    sizes = cells.groupBy("cell").agg(F.count_if("home").alias("n"), F.count_if(~F.col("home")).alias("g")).select(
+        "cell", blocks.alias("homes"), F.ceil(F.col("g") / TILE_ROWS).alias("guests")
     )
-    other = ranges.select(F.col("c1").alias("n1"), F.col("c2").alias("n2"), F.col("block").alias("n_block"))
-    pairs = (
-        wanted.join(other, ["n1", "n2"])
-        .filter("c1 <> n1 or c2 <> n2 or block <= n_block")
-        .withColumn("tile", F.concat_ws("/", "c1", "c2", "block", "n1", "n2", "n_block"))
+    until = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    placed = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))))
+    place = lambda kind, a, b, side: F.struct(
+        F.concat_ws(":", "cell", F.lit(kind), a, b).alias("tile"), F.lit(side).alias("side"), (F.lit(kind == "home") & (a == b)).alias("itself")
     )
-    left = pairs.select("c1", "c2", "block", "tile", F.lit(0).alias("side"))
-    right = pairs.filter("c1 <> n1 or c2 <> n2 or block <> n_block").select(
-        F.col("n1").alias("c1"), F.col("n2").alias("c2"), F.col("n_block").alias("block"), "tile", F.lit(1).alias("side")
+    block = F.col("block")
+    among = F.transform(
+        until(F.col("homes")),
+        lambda other: F.when(other >= block, place("home", block, other, 0)).otherwise(place("home", other, block, 1)),
     )
-    return blocked.join(left.unionByName(right), ["c1", "c2", "block"]).drop("c1", "c2", "block", "blocks")
+    asks = F.transform(until(F.col("guests")), lambda other: place("guest", block, other, 0))
+    answers = F.transform(until(F.col("homes")), lambda other: place("guest", other, block, 1))
+    meets = F.explode(F.when(F.col("home"), F.concat(among, asks)).otherwise(answers))
+    return placed.withColumn("_t", meets).select("_t.tile", "_t.side", "_t.itself", F.col("home").alias("own"), "id", "weight", "vec", "gap")
 
 
 def _tile_distances(pdf: pd.DataFrame, eps: float):
-    """Frames of both sides and the within-eps matrix; one block meets itself once."""
+    """Frames of both sides and the within-eps matrix; one block meets itself once. None where a side has no points."""
     a = pdf[pdf["side"] == 0]
-    b = pdf[pdf["side"] == 1]
-    itself = b.empty
-    if itself:
-        b = a
-    close = _dimension_free_distance(np.stack(a["vec"]), np.stack(b["vec"])) <= eps
+    itself = bool(pdf["itself"].iloc[0])
+    b = a if itself else pdf[pdf["side"] == 1]
+    if a.empty or b.empty:
+        return None
+    if a["gap"].max() + b["gap"].max() <= eps * (1 - 1e-9):
+        # Both sides are so near the cell's pivot that no pair can be further apart.
+        close = np.ones((len(a), len(b)), bool)
+    else:
+        close = _dimension_free_distance(np.stack(a["vec"]), np.stack(b["vec"])) <= eps
     return a, b, close, itself
 
 
@@ -204,11 +248,12 @@ def dbscan(df: DataFrame, key: str, vector: str = "embedding", eps: float = 0.5,
     tiles = _tiles(points, eps)
 
     def count_neighbours(pdf: pd.DataFrame) -> pd.DataFrame:
-        if (pdf["side"] == 1).all() or pdf.empty:
+        met = _tile_distances(pdf, eps)
+        if met is None:
             return pd.DataFrame({"id": [], "n": []})
-        a, b, close, itself = _tile_distances(pdf, eps)
+        a, b, close, itself = met
         out = pd.DataFrame({"id": a["id"].to_numpy(), "n": close @ b["weight"].to_numpy()})
-        if not itself:
+        if not itself and b["own"].iloc[0]:
             out = pd.concat([out, pd.DataFrame({"id": b["id"].to_numpy(), "n": a["weight"].to_numpy() @ close})])
         return out
 
@@ -219,9 +264,10 @@ def dbscan(df: DataFrame, key: str, vector: str = "embedding", eps: float = 0.5,
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"src": [], "dst": [], "border": []})
-        if (pdf["side"] == 1).all() or pdf.empty:
+        met = _tile_distances(pdf, eps)
+        if met is None:
             return empty
-        a, b, close, itself = _tile_distances(pdf, eps)
+        a, b, close, itself = met
         ids = a["id"].tolist() if itself else a["id"].tolist() + b["id"].tolist()
         core = np.array(a["core"].tolist() if itself else a["core"].tolist() + b["core"].tolist(), bool)
         size, shift = len(ids), 0 if itself else len(a)

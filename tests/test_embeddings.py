@@ -47,6 +47,37 @@ def test_dbscan_equals_brute_force(spark, monkeypatch, tile_rows):
     assert -1 in want and want.max() >= 2
 
 
+def evaluated(points, eps):
+    """Distances that the tiles of these points take, those to pivots left out."""
+    rows = points.select(F.col("embedding").alias("vec"), "id", F.lit(1).cast("bigint").alias("weight"))
+    near, far = (F.when(F.col("side") == k, F.col("gap")) for k in (0, 1))
+    sides = embeddings._tiles(rows, eps).groupBy("tile", "itself").agg(F.count(near).alias("a"), F.count(far).alias("b"), F.max(near).alias("ga"), F.max(far).alias("gb"))
+    return sum(
+        0 if (r.ga or 0) + ((r.ga if r.itself else r.gb) or 0) <= eps * (1 - 1e-9) else r.a * (r.a - 1) // 2 if r.itself else r.a * r.b
+        for r in sides.collect()
+    )
+
+
+def test_metric_tree_saves_distances(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE_ROWS", 64)
+    rng = np.random.default_rng(2)
+    sizes, taken = (800, 3200), []
+    for n in sizes:
+        centres = rng.normal(0, 4, (n // 80, 16))
+        points = np.repeat(centres, 80, axis=0) + rng.normal(0, 0.2, (n, 16))
+        taken.append(evaluated(frame(spark, points), 1.0))
+        got = embeddings.dbscan(frame(spark, points), "id", eps=1.0, min_samples=5).orderBy("id").toPandas()
+        assert got.cluster.tolist() == brute_dbscan(points, 1.0, 5).tolist()
+    # Four times the points in clusters of the same size: nearly four times the distances, not sixteen.
+    assert taken[0] < sizes[0] ** 2 / 4 and taken[1] < 6 * taken[0]
+    # Points nearly as far from each other as eps: no split helps, every pair is taken once.
+    sphere = rng.normal(0, 1, (700, 64))
+    sphere /= np.linalg.norm(sphere, axis=1)[:, None]
+    assert evaluated(frame(spark, sphere), 1.16) <= 700 * 700 / 2
+    # Everything within reach of the pivot: counts without distances.
+    assert evaluated(frame(spark, rng.normal(0, 1e-3, (400, 8))), 0.9) <= 400 * 400 / 2
+
+
 def test_dbscan_without_core_points(spark):
     points = np.arange(12.0).reshape(4, 3) * 10
     got = embeddings.dbscan(frame(spark, points), "id", eps=0.5, min_samples=2).collect()
