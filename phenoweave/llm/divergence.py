@@ -22,73 +22,192 @@ extra columns are ignored; a table without rows gives none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from phenoweave.llm.words import WordHasher, slices, text_buffer
 from phenoweave.session import durable
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCS, TOP = 30, 50
-BROADCAST_TERMS = 500_000  # (language, digest) rows sent to all executors; more are joined by a shuffle
+SLICE = 8 << 20  # bytes of texts that are counted together
+BROADCAST_TERMS = 500_000  # digests of 8 bytes sent to all executors; beyond that strings are not filtered before their shuffle
 TILE_SOURCES, TILE_TERMS = 64, 2048
 WHOLE = 1_000_000_000
 TILE = "a long, b long, delta long"
+COUNTS, STRINGS = "lang string, source string, digest long, docs long, n long", "lang string, digest long, low string, high string"
+SPLITS = "lang string, source string, text string, docs long, n long"
 
 
-def terms_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), F.lit(TERM), F.lit(0))
+class TermReader:
+    """Terms of Arrow string columns, lower-cased, as spans of bytes with 64-bit digests."""
 
+    def __init__(self, bits: int = 64) -> None:
+        self.hasher, self.shift = WordHasher(), np.uint64(64 - bits)
+        code = np.arange(256)
+        self.lower = np.where((code >= 65) & (code <= 90), code + 32, code).astype(np.uint8)
+        self.hasher.is_word = ((code | 32) >= 97) & ((code | 32) <= 122) & (code < 128) | (code >= 128)
 
-def digest_of(term: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(term), 64 - bits)
+    def slices(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, last row, bytes, starts, ends, row, digest) of the terms of some texts at a time."""
+        raw_all, offsets_all = text_buffer(column)
+        for i, j in slices(offsets_all, SLICE):
+            raw, offsets = self.lower[raw_all[offsets_all[i] : offsets_all[j]]], offsets_all[i : j + 1] - offsets_all[i]
+            starts, ends, bounds = self.hasher.spans(raw, offsets)
+            row = np.repeat(np.arange(j - i), np.diff(bounds))
+            yield i, j, raw, starts, ends, row, self.hasher.hashes(raw, starts, ends) >> self.shift
 
 
-def _each(rows: DataFrame, values: Column) -> DataFrame:
-    """(lang, source, value, once): each element of the arrays, and before them each different one marked ``once``."""
-    both = rows.select("lang", "source", values.alias("all")).withColumn("different", F.array_distinct("all"))
-    each = both.select("lang", "source", F.size("different").alias("size"), F.posexplode(F.concat("different", "all")).alias("at", "value"))
-    return each.select("lang", "source", "value", (F.col("at") < F.col("size")).alias("once"))
+def strings_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans as an Arrow string column."""
+    size = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], size)
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[at])])
 
 
-def _sums(each: DataFrame) -> DataFrame:
-    """(lang, source, value, docs, n): documents that hold a value, and its occurrences."""
-    return each.groupBy("lang", "source", "value").agg(
-        F.sum(F.col("once").cast("long")).alias("docs"), F.sum((~F.col("once")).cast("long")).alias("n")
-    )
+def unequal(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, piece: int = 100_000) -> np.ndarray:
+    """Which terms are not byte for byte the term at place ``first[k]``."""
+    size = ends - starts
+    out = size != size[first]
+    for a in range(0, len(starts), piece):
+        same = a + np.flatnonzero(~out[a : a + piece] & (first[a : a + piece] != np.arange(a, min(a + piece, len(starts)))))
+        n = size[same]
+        begin = np.cumsum(n) - n
+        inside = np.arange(n.sum()) - np.repeat(begin, n)
+        differs = raw[np.repeat(starts[same], n) + inside] != raw[np.repeat(starts[first[same]], n) + inside]
+        out[same[np.unique(np.repeat(np.arange(len(same)), n)[differs])]] = True
+    return out
+
+
+def _groups(batch: pa.RecordBatch, i: int, j: int) -> tuple[np.ndarray, list, list]:
+    """Number of each row's (lang, source), and these pairs."""
+    langs, sources = (batch.column(c).slice(i, j - i).dictionary_encode() for c in (0, 1))
+    pair = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+    seen, number = np.unique(pair, return_inverse=True)
+    names = [langs.dictionary.to_pylist(), sources.dictionary.to_pylist()]
+    return number, [names[0][p // len(names[1])] for p in seen], [names[1][p % len(names[1])] for p in seen]
+
+
+def _summed(code: np.ndarray, row: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code, group, documents, occurrences) of terms numbered ``code`` in the rows of numbered groups."""
+    # Rows are renumbered by group, so that one sort orders by code, group and row.
+    order = np.argsort(group, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    pair, times = np.unique(code * len(order) + rank[row], return_counts=True)
+    of, where = pair // len(order), group[order][pair % len(order)]
+    first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (where[1:] != where[:-1])])) if len(pair) else np.zeros(0, np.int64)
+    docs = np.diff(np.append(first, len(pair)))
+    return of[first], where[first], docs, np.add.reduceat(times, first) if len(first) else docs
+
+
+def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(lang, source, digest, docs, n) of slices of the texts."""
+    reader = TermReader(bits)
+    for batch in batches:
+        for i, j, _, _, _, row, digest in reader.slices(batch.column(2)):
+            group, langs, sources = _groups(batch, i, j)
+            known, code = np.unique(digest, return_inverse=True)
+            of, where, docs, n = _summed(code, row, group)
+            names = [pa.DictionaryArray.from_arrays(pa.array(where, pa.int32()), pa.array(x, pa.string())).dictionary_decode() for x in (langs, sources)]
+            columns = [*names, pa.array(known[of].view(np.int64)), pa.array(docs, pa.int64()), pa.array(n, pa.int64())]
+            yield from _pieces(columns, ["lang", "source", "digest", "docs", "n"])
+
+
+def _spell(batches: Iterator[pa.RecordBatch], bits: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(lang, digest, low, high) of slices: smallest and largest string of each digest, of the ``wanted`` ones if they are given."""
+    reader = TermReader(bits)
+    for batch in batches:
+        for i, j, raw, starts, ends, row, digest in reader.slices(batch.column(1)):
+            langs = batch.column(0).slice(i, j - i).dictionary_encode()
+            known, first, code = np.unique(digest, return_index=True, return_inverse=True)
+            asked = np.ones(len(known), bool) if wanted is None else _member(known, wanted)
+            at = np.flatnonzero(asked[code])
+            if not len(at):
+                continue
+            low = strings_of(raw, starts[first], ends[first]).to_pylist() if (odd := unequal(raw, starts, ends, first[code]) & asked[code]).any() else None
+            pair = np.unique(code[at] * len(langs.dictionary) + langs.indices.to_numpy()[row[at]])
+            of, where = pair // len(langs.dictionary), pair % len(langs.dictionary)
+            texts = strings_of(raw, starts[first[of]], ends[first[of]]).cast(pa.string())
+            least = most = texts
+            if low is not None:
+                # A digest of several strings here: their smallest and largest, whatever the language.
+                ends_of = {}
+                for k in np.flatnonzero(odd):
+                    word, c = bytes(raw[starts[k] : ends[k]]).decode(), int(code[k])
+                    a, b = ends_of.get(c, (low[c], low[c]))
+                    ends_of[c] = (min(a, word), max(b, word))
+                least, most = (pa.array([ends_of[c][s] if c in ends_of else t for c, t in zip(of.tolist(), texts.to_pylist())], pa.string()) for s in (0, 1))
+            names = pa.DictionaryArray.from_arrays(pa.array(where, pa.int32()), langs.dictionary).dictionary_decode()
+            yield from _pieces([names, pa.array(known[of].view(np.int64)), least, most], ["lang", "digest", "low", "high"])
+
+
+def _split(batches: Iterator[pa.RecordBatch], bits: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(lang, source, text, docs, n) of slices, of the terms with the ``wanted`` digests, each string by itself."""
+    reader = TermReader(bits)
+    for batch in batches:
+        for i, j, raw, starts, ends, row, digest in reader.slices(batch.column(2)):
+            at = np.arange(len(digest)) if wanted is None else np.flatnonzero(_member(digest, wanted))
+            group, langs, sources = _groups(batch, i, j)
+            texts = strings_of(raw, starts[at], ends[at]).cast(pa.string()).dictionary_encode()
+            of, where, docs, n = _summed(texts.indices.to_numpy().astype(np.int64), row[at], group)
+            names = [pa.DictionaryArray.from_arrays(pa.array(where, pa.int32()), pa.array(x, pa.string())).dictionary_decode() for x in (langs, sources)]
+            yield from _pieces([*names, texts.dictionary.take(pa.array(of)), pa.array(docs, pa.int64()), pa.array(n, pa.int64())], ["lang", "source", "text", "docs", "n"])
+
+
+def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values if len(among) else np.zeros(len(values), bool)
+
+
+def _pieces(columns: list, names: list[str], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(columns, names)
+    for k in range(0, whole.num_rows, rows):
+        yield whole.slice(k, rows)
 
 
-def _among(rows: DataFrame, digests: DataFrame) -> DataFrame:
-    """Rows of the given (lang, digest)."""
-    return rows.join(F.broadcast(digests) if digests.count() <= BROADCAST_TERMS else digests, ["lang", "digest"], "left_semi")
+def _sent(digests: DataFrame) -> Broadcast:
+    """The sorted digests for all tasks; None where they are too many for that."""
+    few = digests.select("digest").distinct().limit(BROADCAST_TERMS + 1).toArrow()
+    values = None if few.num_rows > BROADCAST_TERMS else np.sort(few.column("digest").to_numpy().view(np.uint64))
+    return digests.sparkSession.sparkContext.broadcast(values)
 
 
 def kept_terms(rows: DataFrame, min_docs: int = MIN_DOCS, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """Kept terms (lang, t, text) and their counts in the groups (lang, source, t, n); ``t`` numbers a term.
 
-    ``rows`` has lang, source and the array ``terms``.
+    ``rows`` has lang, source and text, none of them null.
     """
-    hashed = F.transform("terms", lambda term: digest_of(term, bits))
-    counts = durable(_sums(_each(rows, hashed)).withColumnRenamed("value", "digest"), "term-counts")
+    narrow = rows.select("lang", "source", "text")
+    sums = lambda df, *by: df.groupBy(*by).agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    counts = durable(sums(narrow.mapInArrow(lambda b: _count(b, bits), COUNTS), "lang", "source", "digest"), "term-counts")
     often = durable(counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "digest"), "term-digests")
-    words = rows.select("lang", F.explode(F.array_distinct("terms")).alias("term")).withColumn("digest", digest_of(F.col("term"), bits))
-    # Each task sends a string of these digests once.
-    spelt = durable(_among(words, often).distinct().groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "term-strings")
+    wanted = _sent(often)
+    strings = rows.select("lang", "text").mapInArrow(lambda b: _spell(b, bits, wanted.value), STRINGS)
+    # Without filter, the strings of rare digests go no further than this join.
+    spelt = durable(strings.join(often, ["lang", "digest"], "left_semi").groupBy("lang", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high")), "term-strings")
     several = spelt.filter("low <> high").select("lang", "digest")
     single = spelt.filter("low = high").select("lang", "digest", F.col("low").alias("text"))
     if several.isEmpty():
         terms = durable(single.withColumn("t", F.monotonically_increasing_id()), "terms")
         return terms.select("lang", "t", "text"), counts.join(terms, ["lang", "digest"]).select("lang", "source", "t", "n")
-    # Digests that stand for several terms: their strings are counted themselves.
-    strings = _each(rows, F.col("terms")).withColumn("digest", digest_of(F.col("value"), bits))
-    split = durable(_sums(_among(strings, several)).withColumnRenamed("value", "text"), "term-splits")
+    # Digests that stand for several terms are split: in every language, their strings are counted themselves.
+    shared = several.select("digest").distinct()
+    split_by = _sent(shared)
+    split = durable(sums(narrow.mapInArrow(lambda b: _split(b, bits, split_by.value), SPLITS), "lang", "source", "text"), "term-splits")
+    if split_by.value is None:
+        single = single.limit(0)  # all terms were counted by their strings
     texts = split.groupBy("lang", "text").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", F.lit(None).cast("long").alias("digest"), "text")
-    terms = durable(single.unionByName(texts).withColumn("t", F.monotonically_increasing_id()), "terms")
-    found = counts.join(terms.filter("digest is not null"), ["lang", "digest"]).unionByName(
-        split.join(terms.filter("digest is null").drop("digest"), ["lang", "text"]), allowMissingColumns=True
+    terms = durable(single.join(shared, "digest", "left_anti").unionByName(texts).withColumn("t", F.monotonically_increasing_id()), "terms")
+    found = counts.join(terms.filter("digest is not null"), ["lang", "digest"]).select("lang", "source", "t", "n").unionByName(
+        split.join(terms.filter("digest is null").drop("digest"), ["lang", "text"]).select("lang", "source", "t", "n")
     )
-    return terms.select("lang", "t", "text"), found.select("lang", "source", "t", "n")
+    return terms.select("lang", "t", "text"), found
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -148,7 +267,7 @@ def source_divergence(
     ``bits`` is the width of a term's digest.
     """
     empty = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
-    rows = documents.select(empty(lang).alias("lang"), empty(source).alias("source"), terms_of(F.col(text)).alias("terms"))
+    rows = documents.select(empty(lang).alias("lang"), empty(source).alias("source"), empty(text).alias("text"))
     terms, found = kept_terms(rows, min_docs, bits)
     named = durable(rows.select("lang", "source").distinct().withColumn("g", F.monotonically_increasing_id()), "term-groups")
     counts = durable(found.join(named, ["lang", "source"]).select("lang", "g", "t", "n"), "kept-counts")

@@ -5,14 +5,15 @@ import pytest
 
 from phenoweave.llm import divergence
 
-FOLD = str.maketrans(divergence.UPPER, divergence.LOWER)
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def expected(rows, min_docs, top):
     """All rows by dense counting; ``rows`` are (text, lang, source)."""
     groups, docs = defaultdict(Counter), defaultdict(Counter)
     for text, lang, source in rows:
-        terms = re.findall(divergence.TERM, (text or "").translate(FOLD))
+        terms = re.findall(TERM, (text or "").translate(FOLD))
         groups[lang or "", source or ""].update(terms)
         docs[lang or ""].update(set(terms))
     kept = {lang: sorted(t for t, n in d.items() if n >= min_docs) for lang, d in docs.items()}
@@ -49,8 +50,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "x", 1, None) for r in rows], "text string, lang string, source string, g string, t int, terms string")
 
 
-@pytest.mark.parametrize("bits", [64, 6])
-def test_equals_dense_counts(spark, some_texts, odd_texts, bits):
+@pytest.mark.parametrize("bits,broadcast", [(64, 500_000), (64, 10), (6, 500_000), (6, 3), (11, 500_000)])
+def test_equals_dense_counts(spark, some_texts, odd_texts, monkeypatch, bits, broadcast):
+    monkeypatch.setattr(divergence, "BROADCAST_TERMS", broadcast)
     rows = [(t, ["en", "de", None][i % 3], f"src{i % 5}" if i % 7 else None) for i, (_, t) in enumerate(some_texts)]
     rows += [(t, "en", "odd") for _, t in odd_texts] + [("copy of a hot text Éa éa", "en", "src1")] * 90
     rows += [("few words", "lonely", "only"), (None, "lonely", "other"), ("1 2 3", "", "zz"), ("", "en", "ﬁ")]
