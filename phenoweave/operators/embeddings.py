@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
@@ -21,6 +22,8 @@ from phenoweave.session import durable
 NOISE = -1
 TILE_ROWS = 512
 PIVOTS = 8  # of a cell that DBSCAN's metric tree splits
+SEED_ROWS = 2_000  # rows that first centres of k-means are drawn from
+WHOLE_BITS = 30  # bits of the largest entry as a whole number, for sums that do not depend on their order
 WORTH = 0.8  # share of a cell's distances that a split may leave
 
 
@@ -59,17 +62,111 @@ def _labels(predicted: DataFrame, key: str) -> DataFrame:
     return predicted.join(F.broadcast(ranked), "prediction").select(key, "cluster")
 
 
-def kmeans(
+def _first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k different points of the sample, each drawn with a chance in proportion to its squared distance from those before."""
+    random = np.random.default_rng(seed)
+    chosen = [int(random.integers(len(sample)))]
+    gap = ((sample - sample[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k and gap.any():
+        chosen.append(int(np.searchsorted(np.cumsum(gap), random.random() * gap.sum(), "right").clip(0, len(sample) - 1)))
+        gap = np.minimum(gap, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    return sample[chosen]
+
+
+def _squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, each the same whatever other rows are there."""
+    out = np.zeros((len(points), len(centres)))
+    for i in range(points.shape[1]):
+        out += (points[:, i, None] - centres[None, :, i]) ** 2
+    return out
+
+
+def _advance(data: DataFrame, starts: list[np.ndarray], unit: float) -> tuple[list[np.ndarray], list[np.ndarray], list[float]]:
+    """Per start the sums and sizes of the clusters of its centres, and the cost; one scan for all starts.
+
+    Sums are of whole multiples of ``unit``, so that neither the layout nor the order of the rows matters.
+    """
+    shared = data.sparkSession.sparkContext.broadcast(starts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack(pdf["vec"])
+            whole = np.rint(x / unit).astype(np.int64)
+            for start, centres in enumerate(shared.value):
+                gaps = _squares(x, centres)
+                near = gaps.argmin(1)
+                sizes = np.bincount(near, minlength=len(centres))
+                sums = np.zeros((len(centres), x.shape[1]), np.int64)
+                np.add.at(sums, near, whole)
+                # A row per cluster: its sums, its size and its share of the cost.
+                cost = np.zeros(len(centres), np.int64)
+                np.add.at(cost, near, np.rint(gaps[np.arange(len(x)), near] / (unit * unit) / 2.0**20).astype(np.int64))
+                totals = np.concatenate([sums, sizes[:, None], cost[:, None]], 1)
+                yield pd.DataFrame({"start": start, "cluster": np.arange(len(centres)), "totals": list(totals)})
+
+    parts = data.select("vec").mapInPandas(run, "start int, cluster int, totals array<bigint>")
+    each = parts.select("start", "cluster", F.posexplode("totals").alias("i", "total"))
+    rows = each.groupBy("start", "cluster", "i").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect()
+    dimension = starts[0].shape[1]
+    out = [np.zeros((len(c), dimension + 2), object) for c in starts]
+    for r in rows:
+        out[r["start"]][r["cluster"], r["i"]] = int(r["total"])
+    shared.unpersist()
+    return [o[:, :dimension] for o in out], [o[:, dimension] for o in out], [int(o[:, dimension + 1].sum()) for o in out]
+
+
+def kmeans_centres(
     df: DataFrame, key: str, vector: str = "embedding", n_clusters: int = 5, seed: int = 42, n_init: int = 10,
     max_iter: int = 300, tol: float = 1e-4,
-):
-    """k-means; the lowest training cost of ``n_init`` seeded runs."""
-    data = _ordered_vectors(df, key, vector)
-    if data.isEmpty():
+) -> np.ndarray:
+    """Cluster means of lowest cost among ``n_init`` starts; every iteration is one scan for all starts that still move.
+
+    The first centres are drawn from the ``SEED_ROWS`` rows whose keys have the smallest hashes. The means do not depend on
+    the layout of the data or on the number of partitions.
+    """
+    data = df.select(key, F.col(vector).cast("array<double>").alias("vec"))
+    sample = [r["vec"] for r in data.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(SEED_ROWS).select("vec").collect()]
+    if not sample:
+        return np.zeros((0, 0))
+    largest = data.agg(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x))))).head()[0] or 1.0
+    unit = 2.0 ** (math.frexp(largest)[1] - WHOLE_BITS)
+    starts = [_first_centres(np.array(sample), n_clusters, seed + i) for i in range(n_init)]
+    moving, costs = list(range(n_init)), [0] * n_init
+    for _ in range(max_iter):
+        sums, sizes, cost = _advance(data, [starts[i] for i in moving], unit)
+        still = []
+        for i, total, n, c in zip(moving, sums, sizes, cost):
+            costs[i] = c
+            # A cluster without points keeps its centre.
+            means = np.array([[t * unit / m for t in row] if m else old for row, m, old in zip(total.tolist(), n.tolist(), starts[i].tolist())])
+            if ((means - starts[i]) ** 2).sum(1).max() > tol * tol:
+                still.append(i)
+            starts[i] = means
+        moving = still
+        if not moving:
+            break
+    return starts[min(range(n_init), key=lambda i: (costs[i], i))]
+
+
+def nearest_centres(df: DataFrame, key: str, vector: str, centres: np.ndarray) -> DataFrame:
+    """(key, prediction): the nearest centre of each row, the first of equals."""
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "prediction": _squares(np.stack(pdf["vec"]), shared.value).argmin(1)})
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, F.col(vector).cast("array<double>").alias("vec")).mapInPandas(run, f"`{key}` {kind}, prediction int")
+
+
+def kmeans(df: DataFrame, key: str, vector: str = "embedding", n_clusters: int = 5, seed: int = 42, n_init: int = 10, **options) -> DataFrame:
+    """(key, cluster) by :func:`kmeans_centres`."""
+    data = durable(df.select(key, F.col(vector).alias(vector)), "kmeans-vectors")
+    centres = kmeans_centres(data, key, vector, n_clusters, seed, n_init, **options)
+    if not len(centres):
         return data.select(key, F.lit(None).cast("int").alias("cluster"))
-    models = [KMeans(k=n_clusters, seed=seed + i, maxIter=max_iter, tol=tol).fit(data) for i in range(n_init)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return _labels(best.transform(data), key)
+    return _labels(durable(nearest_centres(data, key, vector, centres), "kmeans-labels"), key)
 
 
 def gaussian_mixture(

@@ -111,6 +111,34 @@ def test_kmeans_and_relatives_find_separate_blobs(spark):
         embeddings.cluster(df, "spectral", "id")
 
 
+def test_kmeans_does_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(8)
+    points = rng.normal(0, 1, (400, 6)) + 3 * rng.integers(0, 2, (400, 6))
+    df = frame(spark, points)
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts, setting in ((2, "3"), (7, "11")):
+            spark.conf.set("spark.sql.shuffle.partitions", setting)
+            centres = embeddings.kmeans_centres(df.repartition(parts), "id", n_clusters=4, n_init=3)
+            labels = embeddings.kmeans(df.repartition(parts), "id", n_clusters=4, n_init=3).orderBy("id").toPandas().cluster.tolist()
+            found.append((centres.tolist(), labels))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    # A fixed point of Lloyd's step: every point at its nearest mean, every centre the mean of its points.
+    centres, labels = np.array(found[0][0]), np.array(found[0][1])
+    near = ((points[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+    assert len(set(zip(near, labels))) == 4
+    assert np.array([points[near == k].mean(0) for k in range(4)]) == pytest.approx(centres, abs=1e-3)
+
+
+def test_kmeans_of_few_points(spark):
+    points = np.repeat(np.array([[0.0, 0.0], [5.0, 5.0]]), 4, axis=0)
+    got = embeddings.kmeans(frame(spark, points), "id", n_clusters=5, n_init=2).orderBy("id").toPandas().cluster.tolist()
+    assert got == [0] * 4 + [1] * 4
+    assert embeddings.kmeans(frame(spark, points).filter("id < 0"), "id").collect() == []
+
+
 def test_principal_components_match_numpy(spark):
     rng = np.random.default_rng(4)
     points = rng.normal(0, 1, (200, 6)) @ rng.normal(0, 1, (6, 6)) + 5
