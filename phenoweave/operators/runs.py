@@ -377,6 +377,37 @@ def component_features(labelled: DataFrame, keys=("image_id",)) -> DataFrame:
     )
 
 
+def contour_areas(labelled: DataFrame, keys=("image_id",)) -> DataFrame:
+    """(keys, component, contour_area): area of the polygon through the centres of a region's outer pixels.
+
+    By the lattice formula it is the pixels, less half the steps around them, less one; it is also what
+    2 x 2 windows of the region add up to, one for a full window and a half for one with three pixels. Both kinds
+    lie where two runs of neighbouring rows overlap, so no outline is traced. ``labelled`` has the merged runs
+    of regions without holes; lines one pixel wide have no area.
+    """
+    side = lambda start, end: (F.col("x_start").alias(start), F.col("x_end").alias(end))
+    upper = labelled.select(*keys, "component", F.col("y").cast("bigint").alias("_y"), *side("_as", "_ae"), _blocks(F.col("x_start"), F.col("x_end")).alias("_block"))
+    lower = labelled.select(*keys, "component", (F.col("y").cast("bigint") - 1).alias("_y"), *side("_bs", "_be"), _blocks(F.col("x_start"), F.col("x_end")).alias("_block"))
+    first, last = F.greatest("_as", "_bs"), F.least("_ae", "_be")
+    half = (F.col("_as") != F.col("_bs")).cast("int") + (F.col("_ae") != F.col("_be")).cast("int")
+    met = upper.join(lower, [*keys, "component", "_y", "_block"]).filter((first <= last) & (F.floor(first / BLOCK) == F.col("_block")))
+    # A region of one row meets nothing.
+    none = labelled.select(*keys, "component", F.lit(0.0).alias("_part"))
+    return met.select(*keys, "component", (last - first + half / 2).alias("_part")).unionByName(none).groupBy(*keys, "component").agg(
+        F.sum("_part").alias("contour_area")
+    )
+
+
+def contour_features(labelled: DataFrame, keys=("image_id",)) -> DataFrame:
+    """:func:`component_features` with the area, and so the extent, of the outline's polygon."""
+    return (
+        component_features(labelled, keys).join(contour_areas(labelled, keys), [*keys, "component"])
+        .withColumn("area", F.col("contour_area"))
+        .withColumn("extent", F.col("area") / (F.col("w") * F.col("h")))
+        .drop("contour_area")
+    )
+
+
 def leaf_bounding_box(runs: DataFrame, frames: DataFrame, padding: int = 10, keys=("image_id",)) -> DataFrame:
     """(y0, y1, x0, x1) around the mask, padded and clamped; empty masks give the frame.
 

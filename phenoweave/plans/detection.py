@@ -24,10 +24,11 @@ def detect_strips(
     tall box without midrib or valley.
     """
     mask = durable(runs.clean_green_mask(green, frames) if clean else runs.merge_runs(green), "green-mask")
-    outer = runs.components(runs.fill_holes(mask, frames))
+    # Read for the boxes and for the areas.
+    outer = durable(runs.components(runs.fill_holes(mask, frames)), "strip-regions")
     heights = frames.select("image_id", F.col("height").alias("image_height"))
     found = durable(
-        detection.candidates(runs.component_features(outer), min_area).join(heights, "image_id"), "strip-candidates"
+        detection.candidates(runs.contour_features(outer), min_area).join(heights, "image_id"), "strip-candidates"
     )
     chosen = durable(detection.separated(found, k=max_boxes), "strip-choice")
 
@@ -73,3 +74,18 @@ def detect_strips(
     ).unionByName(detection.split_at(cuts.filter("midrib_row is null"), F.col("_cut")))
     whole = chosen.join(cuts.select("image_id"), "image_id", "left_anti").select("image_id", *_BOX)
     return number_boxes(whole.unionByName(halves.select("image_id", *_BOX)))
+
+
+def box_counts(images: DataFrame, boxes: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
+    """``images`` with ``num_boxes_detected``: every image, with 0 where no box was found and -1 where it did not decode.
+
+    ``images`` has image_id and image_path, ``unreadable`` the paths that :func:`sources.rasters.failed_rasters` gives.
+    """
+    found = boxes.groupBy("image_id").agg(F.count(F.lit(1)).cast("int").alias("_boxes"))
+    counted = images.join(found, "image_id", "left").withColumn("num_boxes_detected", F.coalesce("_boxes", F.lit(0))).drop("_boxes")
+    if unreadable is None:
+        return counted
+    failed = unreadable.select("image_path").distinct().withColumn("_failed", F.lit(True))
+    return counted.join(failed, "image_path", "left").withColumn(
+        "num_boxes_detected", F.when(F.col("_failed"), F.lit(-1)).otherwise(F.col("num_boxes_detected"))
+    ).drop("_failed")

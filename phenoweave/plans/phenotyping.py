@@ -19,8 +19,9 @@ def measure_masks(masks: DataFrame, runs: DataFrame, boxes: DataFrame) -> DataFr
 
 
 def gate(images: DataFrame, done: DataFrame, detections: DataFrame, min_boxes: int = 2, max_boxes: int = 2) -> DataFrame:
-    """Classified box counts of the images that still need work."""
-    return classify_boxes(pending(images, done).select("image_id").join(detections, "image_id"), min_boxes, max_boxes)
+    """Classified box counts of the images that still need work; one without a count has no box."""
+    counted = pending(images, done).select("image_id").join(detections, "image_id", "left")
+    return classify_boxes(counted.withColumn("num_boxes_detected", F.coalesce("num_boxes_detected", F.lit(0))), min_boxes, max_boxes)
 
 
 def all_measurements(new: DataFrame, earlier: DataFrame, images: DataFrame) -> DataFrame:

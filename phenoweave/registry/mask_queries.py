@@ -146,6 +146,14 @@ register(
         FROM labelled GROUP BY 1, 2)
       SELECT *, round(w / h, 6) AS aspect_ratio, round(area / (w * h), 6) AS extent, round(y + h / 2, 6) AS centroid_y FROM f""",
 )
+register(
+    "contour_areas",
+    lambda t: runs.contour_areas(runs.components(t.leaf_runs)),
+    # Windows of two by two pixels: a full one counts one, three pixels of one region a half.
+    f"""WITH RECURSIVE {_LABELLED}, p AS (SELECT image_id, component, y, unnest(generate_series(x_start, x_end)) AS x FROM labelled),
+      w AS (SELECT image_id, component, y + dy AS wy, x + dx AS wx, count(*) AS n FROM p, (VALUES (0, 0), (0, -1), (-1, 0), (-1, -1)) d(dy, dx) GROUP BY ALL)
+      SELECT image_id, component, CAST(sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0 END) AS DOUBLE) AS contour_area FROM w GROUP BY 1, 2""",
+)
 register("filled_masks", lambda t: runs.fill_holes(t.leaf_runs, t.frames))
 register(
     "leaf_bounding_boxes",

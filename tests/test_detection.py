@@ -112,7 +112,7 @@ def sequential(mask, values, min_area, cleaned):
     found = []
     for k in range(1, labels.max() + 1):
         ys, xs = np.nonzero(labels == k)
-        x, y, w, h, area = xs.min(), ys.min(), np.ptp(xs) + 1, np.ptp(ys) + 1, len(xs)
+        x, y, w, h, area = xs.min(), ys.min(), np.ptp(xs) + 1, np.ptp(ys) + 1, rasters.outline_area(labels == k)
         if area > min_area:
             score = area * (1.5 if w / h > 2 else 1) * (1.3 if area / (w * h) > 0.5 else 1) * (1.2 if area > 50000 else 1)
             found.append((-score, y, x, (x, y, x + w, y + h), y + h / 2))
@@ -207,3 +207,19 @@ def test_detection_plan(spark, clean):
     for name, (mask, v) in pictures.items():
         cleaned = rasters.clean(mask) if clean else mask
         assert got.get(name, []) == sequential(mask, v, 40, cleaned), name
+
+
+def test_every_image_gets_a_box_count(spark):
+    from phenoweave.plans.detection import box_counts
+    from phenoweave.plans.phenotyping import gate
+
+    images = spark.createDataFrame([(n, f"/data/{n}.png") for n in ("two", "one", "none", "broken", "done")], "image_id string, image_path string")
+    boxes = spark.createDataFrame([("two", 0), ("two", 1), ("one", 0)], "image_id string, strip_id int")
+    unreadable = spark.createDataFrame([("/data/broken.png",), ("/data/broken.png",)], "image_path string")
+    counts = box_counts(images, boxes, unreadable)
+    assert {r.image_id: r.num_boxes_detected for r in counts.collect()} == {"two": 2, "one": 1, "none": 0, "broken": -1, "done": 0}
+    done = spark.createDataFrame([("done",)], "image_id string")
+    outcomes = {r.image_id: (r.outcome, r.needs_fallback) for r in gate(images, done, counts).collect()}
+    assert outcomes == {"two": ("ready", False), "one": ("skipped", True), "none": ("skipped", True), "broken": ("failed", False)}
+    # An image that detection has no row of counts as one without boxes, not as done.
+    assert {r.image_id: r.num_boxes_detected for r in gate(images, done, counts.filter("image_id = 'two'")).collect()}["none"] == 0

@@ -124,3 +124,31 @@ def test_union_of_overlapping_runs(spark):
     df = spark.createDataFrame(rows, "image_id string, y int, x_start bigint, x_end bigint")
     got = sorted((r["x_start"], r["x_end"]) for r in runs.union_masks(df, df).collect())
     assert got == [(0, 9), (11, 12)]
+
+
+def test_contour_areas_equal_polygons(spark):
+    """Known polygons through pixel centres, and many random regions."""
+    known = {
+        "dot": ([(2, 2)], 0.0), "line": ([(3, x) for x in range(9)], 0.0), "step": ([(1, 1), (2, 2), (3, 3)], 0.0),
+        "square": ([(y, x) for y in range(2, 7) for x in range(1, 6)], 16.0), "diamond": ([(2, 1), (1, 2), (2, 3), (3, 2), (2, 2)], 2.0),
+        "triangle": ([(y, x) for y in range(6) for x in range(y + 1)], 12.5), "l": ([(y, 0) for y in range(6)] + [(5, x) for x in range(7)], 0.5),
+        "wide": ([(y, x) for y in range(3) for x in range(200)], 398.0),
+    }
+    shapes = {name: np.zeros((12, 210), bool) for name in known}
+    for name, (pixels, _) in known.items():
+        for y, x in pixels:
+            shapes[name][y, x] = True
+    rng = np.random.default_rng(12)
+    for k in range(1000):
+        # Overlapping boxes around one point: one region, holes filled by construction of rows without gaps.
+        m = np.zeros((14, 150), bool)
+        for _ in range(rng.integers(1, 6)):
+            a, b = sorted(rng.integers(0, 14, 2))
+            c, d = sorted(rng.integers(0, 150, 2))
+            m[min(a, 7) : max(b, 7) + 1, min(c, 70) : max(d, 70) + 1] = True
+        shapes[f"r{k}"] = m
+    rows = [(*r, 0) for name, m in shapes.items() for r in rasters.to_runs(m, name)]
+    labelled = spark.createDataFrame(rows, "image_id string, y int, x_start bigint, x_end bigint, component bigint")
+    got = {r.image_id: r.contour_area for r in runs.contour_areas(labelled).collect()}
+    assert got == {name: rasters.outline_area(m) for name, m in shapes.items() if m.any()}
+    assert all(got[name] == area for name, (_, area) in known.items())
