@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,10 +54,15 @@ def read_log_stream(spark: SparkSession, path: str, schema: str, max_files: int
 
 
 def append_log(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch to its own folder; a replayed batch overwrites itself."""
+    """Append each micro-batch to a folder of its own query and number; a replayed batch overwrites itself only.
+
+    A query is what its checkpoint says it is, so one with a new checkpoint, which counts its batches anew, leaves
+    what is there.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+        about = batch.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata").head()[0]
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/query={json.loads(about)['id']}/batch={batch_id}")
 
     return (
         log.writeStream.foreachBatch(write)
@@ -83,21 +89,24 @@ def stopping_rules(
 ) -> DataFrame:
     """Per epoch: early-stopping counter, stop flag and the learning rate in force.
 
-    State per run is seven numbers. Epochs at or before the last one seen are
-    dropped as duplicates. The rows of a run in one micro-batch are sorted by
+    State per run is seven numbers. An epoch at or before the last one seen, late or a
+    repetition, is returned with ``late`` set and changes nothing. After a stop no epochs are returned. The rows of a run in one micro-batch are sorted by
     epoch in memory; the reader's ``max_files`` bounds a micro-batch.
     """
     key_type = log.schema[run].dataType.simpleString()
-    output = f"{run} {key_type}, epoch int, val_loss double, best double, stalled int, stopped boolean, rate double"
+    output = f"{run} {key_type}, epoch int, val_loss double, best double, stalled int, stopped boolean, rate double, late boolean"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, best, plateau, stalled, bad, current, stopped = (
             state.get if state.exists else (-1, float("inf"), float("inf"), 0, 0, rate, False)
         )
-        rows = pd.concat(list(batches)).sort_values("epoch", kind="stable").drop_duplicates("epoch")
+        rows = pd.concat(list(batches)).sort_values("epoch", kind="stable")
         out = []
         for epoch, value in zip(rows["epoch"].tolist(), rows["val_loss"].tolist()):
-            if epoch <= last or stopped:
+            if stopped:
+                continue
+            if epoch <= last:
+                out.append((key[0], epoch, value, best, stalled, stopped, current, True))
                 continue
             last, used = epoch, current
             if value < best - min_delta:
@@ -111,9 +120,9 @@ def stopping_rules(
                 bad += 1
             if bad > rate_patience:
                 current, bad = max(current * factor, minimum), 0
-            out.append((key[0], epoch, value, best, stalled, stopped, used))
+            out.append((key[0], epoch, value, best, stalled, stopped, used, False))
         state.update((int(last), float(best), float(plateau), int(stalled), int(bad), float(current), bool(stopped)))
-        yield pd.DataFrame(out, columns=[run, "epoch", "val_loss", "best", "stalled", "stopped", "rate"])
+        yield pd.DataFrame(out, columns=[run, "epoch", "val_loss", "best", "stalled", "stopped", "rate", "late"])
 
     return (
         log.select(run, F.col("epoch").cast("int").alias("epoch"), F.col("val_loss").cast("double").alias("val_loss"))

@@ -64,6 +64,11 @@ def test_log_append_and_running_best(spark, log_files, tmp_path):
     stream = jobs.read_log_stream(spark, path, schema, max_files=1)
     finish(jobs.append_log(stream, str(tmp_path / "out"), str(tmp_path / "c1")))
     assert spark.read.parquet(str(tmp_path / "out")).count() == log.count() + 2
+    # The same checkpoint has nothing to add; a new one starts at batch 0 again and overwrites nothing.
+    finish(jobs.append_log(stream, str(tmp_path / "out"), str(tmp_path / "c1")))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == log.count() + 2
+    finish(jobs.append_log(stream, str(tmp_path / "out"), str(tmp_path / "c3")))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2 * (log.count() + 2)
     query = (
         jobs.running_best(jobs.read_log_stream(spark, path, schema)).writeStream.outputMode("update").format("memory")
         .queryName("running_best").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
@@ -82,7 +87,9 @@ def test_stopping_rules_equal_the_batch_operators(spark, log_files, tmp_path):
         .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     )
     finish(query)
-    got = spark.table("stopping").orderBy("run_id", "epoch").collect()
+    got = spark.table("stopping").filter("not late").orderBy("run_id", "epoch").collect()
+    # The epoch that came again in a later batch is told of and changes nothing.
+    assert sorted((r["run_id"], r["epoch"], r["val_loss"]) for r in spark.table("stopping").filter("late").collect()) == [(1, 3, 0.0), (2, 3, 0.0)]
     rates = trainlog.plateau_learning_rate(log, patience=3).orderBy("run_id", "epoch").collect()
     stalls = trainlog.with_improvements(log).orderBy("run_id", "epoch").collect()
     assert [(r["run_id"], r["epoch"], r["stalled"]) for r in got] == [(r["run_id"], r["epoch"], r["stalled"]) for r in stalls]
