@@ -7,8 +7,8 @@ byte pieces. No piece of such a vocabulary has a space mark behind another
 character, none holds a line break, and no piece has certain stops behind certain letters,
 so a text falls apart into segments that never merge with each other; each
 distinct segment is encoded once per worker process while a bounded cache has
-room. The ids of every whole text are compared with the sentencepiece library's;
-a difference is an error.
+room. The ids of every whole text are compared with the sentencepiece library's; a
+text that differs is encoded again in one piece, and a difference that stays is an error.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text;
 repeated rows are encoded alike; extra columns are not looked at.
@@ -16,9 +16,11 @@ repeated rows are encoded alike; extra columns are not looked at.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from phenoweave.llm.merging import MergeTable
+from phenoweave.llm.words import slices, text_buffer
 
 MARK = "▁"
 STOPS = ",.;:!?"
@@ -33,6 +36,20 @@ STOPS = ",.;:!?"
 CACHE = 300_000
 #: Segments longer than this many characters are not remembered.
 CACHED_LENGTH = 64
+#: Texts are encoded together up to so many bytes, or one by one.
+BYTES_AT_ONCE = 1 << 20
+
+
+class _Symbols(dict):
+    """Symbols of characters; those above the vocabulary stand for characters without a piece."""
+
+    def __init__(self, ids: dict[str, int], n: int) -> None:
+        super().__init__((c, i) for c, i in ids.items() if len(c) == 1)
+        self.n = n
+
+    def __missing__(self, c: str) -> int:
+        self[c] = symbol = self.n + ord(c)
+        return symbol
 
 
 class PieceModel:
@@ -52,6 +69,12 @@ class PieceModel:
         normal = [i for i in range(n) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in normal}
         self.skipped = {i for i in range(n) if lib.is_control(i)}
+        self.decimals = [str(i) for i in range(n)]
+        # What a token stands for: bytes beyond ASCII are lone surrogates until a whole text is there.
+        self.texts = ["" if i in self.skipped else p for i, p in enumerate(self.pieces)]
+        for i, b in self.bytes_of.items():
+            self.texts[i] = bytes([b]).decode("ascii", "surrogateescape")
+        self.beyond = np.array([i in self.bytes_of and self.bytes_of[i] > 127 for i in range(n)])
         separable = all(MARK not in p.lstrip(MARK) and ("\n" not in p) for p in self.ids) and len(self.bytes_of) == 256 and MARK in self.ids
         if not separable or lib.decode(lib.encode(" x\n ")) != " x\n ":
             raise ValueError("the model is not a plain merge-type vocabulary with byte pieces")
@@ -70,68 +93,78 @@ class PieceModel:
         outside = "".join(sorted({re.escape(x) for c in stops for x in before[c] if re.match(r"[^\W\d_]", x)}))
         ends = f"[{''.join(stops)}{MARK}\n]|$"
         self.segments = re.compile(f"{MARK}*[^\\W\\d_{outside}]+(?={ends})|\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-        self.cache: dict[str, tuple[int, bytes, str, bytes]] = {}
+        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.changed: dict[str, str] = {}
+        self.symbols = _Symbols(self.ids, n)
 
     def normalise(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
     def merge(self, segments: list[str]) -> list[list[int]]:
         """Token ids of each segment."""
-        get, n = self.ids.get, len(self.pieces)
-        merged = self.table.merge([[get(c, n + ord(c)) for c in s] for s in segments])
+        n, symbol = len(self.pieces), self.symbols.__getitem__
+        merged = self.table.merge([list(map(symbol, s)) for s in segments])
         # What is above the vocabulary is a character without a piece.
         return [
             ids if max(ids) < n else [t for i in ids for t in ([i] if i < n else [self.byte_ids[b] for b in chr(i - n).encode()])]
             for ids in merged
         ]
 
-    def decode_segment(self, ids: list[int]) -> str:
-        """Text of a segment's tokens; runs of byte pieces are read as UTF-8."""
-        if self.bytes_of.keys().isdisjoint(ids) and self.skipped.isdisjoint(ids):
-            return "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
-        out, run = [], bytearray()
-        for i in ids:
-            if i in self.bytes_of:
-                run.append(self.bytes_of[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            if i not in self.skipped:
-                out.append(self.pieces[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ")
-
-    def learn(self, texts: list[list[str]]) -> list[str]:
-        """Encode the segments not yet known; returns them."""
-        known = self.cache
-        new = list(dict.fromkeys([s for segments in texts for s in segments if s not in known]))
+    def decode(self, ids: list[int]) -> str:
+        """Text of tokens, the space before the first one included; runs of byte pieces are read as UTF-8."""
+        text = "".join([self.texts[i] for i in ids])
+        if self.beyond[ids].any():
+            codecs.register_error("each-alone", _each_alone)
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "each-alone")
+        return text.replace(MARK, " ")
+
+    def learn(self, new: list[str]) -> None:
+        """Encode segments; those whose tokens do not stand for the segment itself are noted."""
+        known, decimals, texts = self.cache, self.decimals, self.texts
         for s, ids in zip(new, self.merge(new)):
-            known[s] = (len(ids), ",".join(map(str, ids)).encode(), self.decode_segment(ids), np.array(ids, np.int32).tobytes())
-        return new
+            known[s] = array("i", ids).tobytes(), ",".join([decimals[i] for i in ids]).encode()
+            if "".join([texts[i] for i in ids]) != s and (decoded := self.decode(ids)) != s.replace(MARK, " "):
+                self.changed[s] = decoded
 
-    def verify(self, text: str, parts: list[tuple]) -> None:
-        """Compare a whole text's ids and decoded text with the library's ids and the text."""
-        theirs = self.library.encode(text)
-        if b"".join([p[3] for p in parts]) != np.array(theirs, np.int32).tobytes() or "".join([p[2] for p in parts])[1:] != text.replace(MARK, " "):
-            raise ValueError(f"differs from the library: {text[:1000]!r}: {[p[1].decode() for p in parts[:100]]} and {theirs[:100]}")
+    def encode_batch(self, texts: list[str]) -> Iterator[tuple[list[int], bytes, str]]:
+        """Token ids of each text, the same in decimals joined by commas, and the text they stand for.
 
-    def encode_batch(self, texts: list[str]) -> Iterator[list[tuple[int, bytes, str, bytes]]]:
-        """Per text its segments' (tokens, ids joined by commas, decoded text, ids as 32-bit numbers)."""
+        Byte pieces of a character lie in one segment, so a text's tokens stand for what its segments' tokens stand for.
+        """
         known = self.cache
         if len(known) > CACHE:
             for s in list(itertools.islice(known, CACHE // 2)):
                 del known[s]
-        split = [self.segments.findall(self.normalise(t)) for t in texts]
-        new = self.learn(split)
-        for text, segments in zip(texts, split):
-            parts = [known[s] for s in segments]
-            self.verify(text, parts)
-            yield parts
+        normal = [self.normalise(t) for t in texts]
+        split = [self.segments.findall(t) for t in normal]
+        parts = [list(map(known.get, segments)) for segments in split]
+        new = list({s for segments, found in zip(split, parts) if None in found for s, p in zip(segments, found) if p is None})
+        self.learn(new)
+        for text, whole, segments, found, theirs in zip(texts, normal, split, parts, self.library.encode(texts, num_threads=1)):
+            if None in found:
+                found = [p or known[s] for s, p in zip(segments, found)]
+            packed, decimals = zip(*found) if found else ((), ())
+            if b"".join(packed) == np.array(theirs, np.int32).tobytes():
+                decimals = b",".join(decimals)
+                decoded = whole[1:].replace(MARK, " ")
+                if self.changed and not self.changed.keys().isdisjoint(segments):
+                    decoded = "".join([self.changed.get(s, s.replace(MARK, " ")) for s in segments])[1:]
+            else:
+                # The whole text in one agenda, without segments.
+                ids = self.merge([whole])[0] if text else []
+                if ids != theirs:
+                    raise ValueError(f"differs from the library: {text[:1000]!r}: {ids[:100]} and {theirs[:100]}")
+                decimals, decoded = ",".join([self.decimals[i] for i in ids]).encode(), self.decode(ids)[1:]
+            yield theirs, decimals, decoded
         for s in new:
             if len(s) > CACHED_LENGTH:
                 del known[s]
+                self.changed.pop(s, None)
+
+
+def _each_alone(error: UnicodeDecodeError) -> tuple[str, int]:
+    """One replacement character for every byte that is no UTF-8, as the library has it."""
+    return "\ufffd" * (error.end - error.start), error.end
 
 
 def encode(documents: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
@@ -148,20 +181,22 @@ def encode(documents: DataFrame, model: bytes, doc_id: str = "doc_id", text: str
         state = shared.value
         if "model" not in state:
             state["model"] = PieceModel(state["proto"])
+        model = state["model"]
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                rows = []
-                for parts in state["model"].encode_batch([t or "" for t in batch.column(1).to_pylist()]):
-                    ids, decoded = b",".join([p[1] for p in parts]), "".join([p[2] for p in parts])[1:]
-                    rows.append((sum([p[0] for p in parts]), ids, decoded))
-                columns = [
-                    batch.column(0), pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows]), pa.array([hashlib.sha256(r[2].encode()).hexdigest() for r in rows]),
-                ]
+            for start, end in slices(text_buffer(whole.column(1))[1], BYTES_AT_ONCE):
+                texts = [t or "" for t in whole.column(1).slice(start, end - start).to_pylist()]
+                counts, shas, decoded_shas, all_ids, all_texts = [], [], [], [], []
+                for ids, decimals, decoded in model.encode_batch(texts):
+                    counts.append(len(ids))
+                    shas.append(hashlib.sha256(decimals).hexdigest())
+                    decoded_shas.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if keep:
+                        all_ids.append(ids)
+                        all_texts.append(decoded)
+                columns = [whole.column(0).slice(start, end - start), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded_shas, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep:
-                    columns += [pa.array([list(map(int, r[1].split(b","))) if r[1] else [] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())]
+                    columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_texts, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -178,7 +213,7 @@ def decode(encoded: DataFrame, model: bytes, key: str = "doc_id", ids: str = "id
         if "model" not in state:
             state["model"] = PieceModel(state["proto"])
         for batch in batches:
-            texts = [state["model"].decode_segment(x or []) for x in batch.column(1).to_pylist()]
+            texts = [state["model"].decode(x or []) for x in batch.column(1).to_pylist()]
             texts = [t[1:] if t.startswith(" ") else t for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "decoded"])
 
