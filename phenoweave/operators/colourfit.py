@@ -56,8 +56,12 @@ def reference_patches(spark: SparkSession) -> DataFrame:
 
 
 def with_reference(patches: DataFrame) -> DataFrame:
-    """Measured patches joined with their reference colour."""
-    return patches.join(reference_patches(patches.sparkSession), "patch_idx")
+    """Measured patches joined with their reference colour.
+
+    The 24 constant rows go to the tasks. Left to its estimates, Spark takes the exploded patches for the
+    smaller side and sends all of them through the driver.
+    """
+    return patches.join(F.broadcast(reference_patches(patches.sparkSession)), "patch_idx")
 
 
 def feature(exponents: tuple[int, int, int], r: Column, g: Column, b: Column) -> Column:
@@ -147,16 +151,12 @@ def normal_sums(patches: DataFrame, method: str = "linear") -> DataFrame:
     joined = with_reference(patches)
     x = [feature(e, F.col("r"), F.col("g"), F.col("b")) for e in features]
     y = [F.col("ref_r"), F.col("ref_g"), F.col("ref_b")]
-    cells = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (x[i] * (x[j] if j < p else y[j - p])).alias("value"))
-        for i in range(p)
-        for j in range(p + 3)
-    ]
-    return (
-        joined.select("image_id", F.explode(F.array(*cells)).alias("c"))
-        .groupBy("image_id", "c.i", "c.j")
-        .agg(F.sum("c.value").alias("value"))
-    )
+    # All sums of an image in one row; the long form is made of the totals.
+    total = lambda i, j: F.sum(x[i] * (x[j] if j < p else y[j - p])).alias(f"_{i}_{j}")
+    cells = [(i, j) for i in range(p) for j in range(p + 3)]
+    sums = joined.groupBy("image_id").agg(*[total(i, j) for i, j in cells])
+    long = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_{i}_{j}").alias("value")) for i, j in cells]
+    return sums.select("image_id", F.explode(F.array(*long)).alias("c")).select("image_id", "c.i", "c.j", "c.value")
 
 
 def _least_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -176,12 +176,13 @@ def fit(patches: DataFrame, method: str = "linear") -> DataFrame:
     ``coef`` is three rows (r, g, b) of one coefficient per feature. The patches
     of an image are first averaged per patch index, so at most 24 of them meet
     in one array; many images are then solved together in each Arrow batch.
+    The rows are dealt by image once, for both groupings.
     """
     features, scale = METHODS[method] if method in METHODS else (method_features(method), 1.0)
     exponents = np.array(features)
     rescale = scale ** (1 - exponents.sum(axis=1).astype(float))
     per_image = (
-        with_reference(patches)
+        with_reference(patches.select("image_id", "patch_idx", "r", "g", "b").repartition("image_id"))
         .groupBy("image_id", "patch_idx", "ref_r", "ref_g", "ref_b")
         .agg(F.avg("r").alias("r"), F.avg("g").alias("g"), F.avg("b").alias("b"))
         .groupBy("image_id")
@@ -226,11 +227,14 @@ def coefficients(transforms: DataFrame) -> DataFrame:
 def apply_transform(
     pixels: DataFrame, transforms: DataFrame, method: str = "linear", truncate: bool = True
 ) -> DataFrame:
-    """Corrected r, g, b of every pixel, clipped to 0..255 and truncated."""
+    """Corrected r, g, b of every pixel, clipped to 0..255 and truncated.
+
+    Sizes of exploded rows and of fits are estimated far too low, so neither side may be broadcast by estimate.
+    """
     features, scale = METHODS[method]
     unit = 255.0 / scale
     chosen = transforms.filter(F.col("method") == method).select("image_id", "coef")
-    joined = pixels.join(chosen, "image_id").select(
+    joined = pixels.join(chosen.hint("merge"), "image_id").select(
         "*", *[(F.col(c).cast("double") / unit).alias(f"_{c}") for c in ("r", "g", "b")]
     )
     terms = [feature(e, F.col("_r"), F.col("_g"), F.col("_b")) for e in features]

@@ -129,3 +129,22 @@ def test_rank_deficient_systems_take_the_smallest_solution():
     got = colourfit._least_squares(x, y)
     for k in range(3):
         assert got[k] == pytest.approx(np.linalg.lstsq(x[k], y[k], rcond=None)[0])
+
+
+def test_patches_stay_distributed(spark, patches):
+    """Only the 24 reference rows are sent to every task, whatever Spark estimates of the patches."""
+    orders = spark.createDataFrame([(i,) for i in range(40)], "o int").repartition(2)
+    rows = orders.select(F.col("o").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("patch_idx"))
+    measured = rows.select("*", *[F.lit(float(i)).alias(c) for i, c in enumerate("rgb")])
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan(colourfit.with_reference(measured)) and "BuildLeft" not in plan(colourfit.with_reference(measured))
+    fits = colourfit.fit(measured, "linear")
+    assert "SortMergeJoin [image_id" in plan(colourfit.apply_transform(measured, fits))
+
+
+def test_normal_sums_in_long_form(spark):
+    rows = [("a", i, *map(float, rgb)) for i, rgb in enumerate(colourfit.REFERENCE_PATCHES)]
+    df = spark.createDataFrame(rows, "image_id string, patch_idx int, r double, g double, b double")
+    full = np.hstack([REFERENCE, np.ones((24, 1)), REFERENCE])
+    got = {(r["i"], r["j"]): r["value"] for r in colourfit.normal_sums(df).collect()}
+    assert got == {(i, j): pytest.approx(full[:, i] @ full[:, j]) for i in range(4) for j in range(7)}
