@@ -9,8 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from phenoweave.operators.graph import connected_components
@@ -192,32 +191,55 @@ def principal_components(df: DataFrame, key: str, vector: str = "embedding", k:
 
     The sign of a component makes its largest loading positive.
     """
-    data = _vectors(df, key, vector)
-    first = data.select("features").head()
+    data = df.select(key, F.col(vector).cast("array<double>").alias("vec"))
+    first = data.select("vec").head()
     ratios_schema = "component int, explained_variance_ratio double"
     if first is None:
         return (
             data.select(key, F.lit(None).cast("array<double>").alias("components")),
             df.sparkSession.createDataFrame([], ratios_schema),
         )
-    dimension = first[0].size
-    k = min(k, dimension)
-    centred = StandardScaler(inputCol="features", outputCol="centred", withMean=True, withStd=False)
-    ready = centred.fit(data).transform(data)
-    model = PCA(k=k, inputCol="centred", outputCol="scores").fit(ready)
-    loadings = model.pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
-    score = vector_to_array("scores")
-    out = model.transform(ready).select(
-        key, F.array(*[score[i] * float(signs[i]) for i in range(k)]).alias("components")
-    )
+    mean, covariance = _covariance(data)
+    k = min(k, len(mean))
+    variance, axes = np.linalg.eigh(covariance)
+    variance, loadings = np.maximum(variance[::-1], 0.0), axes[:, ::-1][:, :k]
+    loadings = loadings * np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "components": list((np.stack(pdf["vec"]) - mean) @ loadings)})
+
+    out = data.mapInPandas(project, f"`{key}` {df.schema[key].dataType.simpleString()}, components array<double>")
+    total = variance.sum()
     ratios = df.sparkSession.createDataFrame(
-        [(i + 1, float(r)) for i, r in enumerate(model.explainedVariance.toArray())],
-        ratios_schema,
+        [(i + 1, float(variance[i] / total) if total else float("nan")) for i in range(k)], ratios_schema
     )
     return out, ratios
 
 
+def _covariance(data: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample covariance of ``vec``; every task adds up one matrix, of entries centred by the mean."""
+    d = len(data.select("vec").head()[0])
+
+    def total(batches: Iterator[pd.DataFrame], centre: np.ndarray, power: int) -> Iterator[pd.DataFrame]:
+        rows, out = 0, np.zeros(d if power == 1 else d * d)
+        for pdf in batches:
+            x = np.stack(pdf["vec"]) - centre
+            rows, out = rows + len(x), out + (x.sum(0) if power == 1 else (x.T @ x).ravel())
+        yield pd.DataFrame({"n": [rows], "totals": [out]})
+
+    def added(centre: np.ndarray, power: int) -> tuple[int, np.ndarray]:
+        parts = data.select("vec").mapInPandas(lambda batches: total(batches, centre, power), "n bigint, totals array<double>")
+        each = parts.select("n", F.posexplode("totals").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+        # The size of one matrix.
+        sums = each.orderBy("i").collect()
+        return sums[0]["n"], np.array([r["x"] for r in sums])
+
+    n, sums = added(np.zeros(d), 1)
+    mean = sums / n
+    return mean, added(mean, 2)[1].reshape(d, d) / max(n - 1, 1)
+
+
 def _dimension_free_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Pairwise Euclidean distances without forming an n x m x d array."""
     out = np.zeros((len(a), len(b)))
@@ -226,6 +248,25 @@ def _dimension_free_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def _within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Which pairs are within ``eps``: by inner products, and by exact sums where these could be wrong."""
+    shift = a.mean(0)
+    x, y = a - shift, b - shift
+    sizes = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+    gap = sizes - 2 * (x @ y.T) - eps * eps
+    close = gap <= 0
+    # Far above the rounding of the inner products and of the shifted entries; not-a-numbers are unsure as well.
+    reach = np.abs(shift).max() + np.abs(a).max() + np.abs(b).max()
+    rows, cols = np.nonzero(~(np.abs(gap) > 1e-9 * (sizes + eps * eps) + 1e-13 * a.shape[1] * reach * reach))
+    for i in range(0, len(rows), TILE_ROWS * TILE_ROWS):
+        u, v = rows[i : i + TILE_ROWS * TILE_ROWS], cols[i : i + TILE_ROWS * TILE_ROWS]
+        out = np.zeros(len(u))
+        for k in range(a.shape[1]):
+            out += (a[u, k] - b[v, k]) ** 2
+        close[u, v] = np.sqrt(out) <= eps
+    return close
+
+
 def _cells(points: DataFrame, eps: float) -> DataFrame:
     """(cell, id, weight, vec, home, gap): the leaves of a metric tree, each point at home in one of them.
 
@@ -325,7 +366,7 @@ def _tile_distances(pdf: pd.DataFrame, eps: float):
         # Both sides are so near the cell's pivot that no pair can be further apart.
         close = np.ones((len(a), len(b)), bool)
     else:
-        close = _dimension_free_distance(np.stack(a["vec"]), np.stack(b["vec"])) <= eps
+        close = _within(np.stack(a["vec"]), np.stack(b["vec"]), eps)
     return a, b, close, itself
 
 

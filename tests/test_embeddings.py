@@ -150,3 +150,20 @@ def test_principal_components_match_numpy(spark):
     got = np.array([r["components"] for r in scores.orderBy("id").collect()])
     assert got == pytest.approx(want, abs=1e-8)
     assert [r[1] for r in ratios.orderBy("component").collect()] == pytest.approx(s[:2] ** 2 / (s**2).sum())
+
+
+def test_distances_by_inner_products_are_exact_at_the_limit():
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(60, 64)) + 1000.0, rng.normal(size=(50, 64)) + 1000.0
+    far = embeddings._dimension_free_distance(a, b)
+    for eps in (*far.ravel()[:20], *np.nextafter(far.ravel()[:20], 0), 0.0):
+        assert (embeddings._within(a, b, eps) == (far <= eps)).all()
+    assert embeddings._within(a, a, 0.0).diagonal().all()
+
+
+def test_explained_variance_of_few_rows_and_equal_rows(spark):
+    """A driver-side decomposition of the rows did not converge on some inputs; a symmetric matrix always does."""
+    rows = [(i, [float(i), 2.0 * i, 5.0]) for i in range(4)]
+    scores, ratios = embeddings.principal_components(spark.createDataFrame(rows, "k long, embedding array<double>"), "k")
+    assert [r[1] for r in ratios.orderBy("component").collect()] == pytest.approx([1.0, 0.0])
+    assert [r["components"][0] for r in scores.orderBy("k").collect()] == pytest.approx([(i - 1.5) * 5**0.5 for i in range(4)])
