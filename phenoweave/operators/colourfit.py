@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from phenoweave.functions.colour import add_lab, delta_e, to_byte
+from phenoweave.session import durable
 
 # sRGB (D65) reference colours of the 24 card patches, row by row.
 REFERENCE_PATCHES = (
@@ -173,15 +174,27 @@ def _least_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(patches: DataFrame, method: str = "linear") -> DataFrame:
     """Per-image least squares measured -> reference: (image_id, method, coef).
 
-    ``coef`` is three rows (r, g, b) of one coefficient per feature. The patches
-    of an image are first averaged per patch index, so at most 24 of them meet
-    in one array; many images are then solved together in each Arrow batch.
-    The rows are dealt by image once, for both groupings.
+    ``coef`` is three rows (r, g, b) of one coefficient per feature.
     """
-    features, scale = METHODS[method] if method in METHODS else (method_features(method), 1.0)
-    exponents = np.array(features)
-    rescale = scale ** (1 - exponents.sum(axis=1).astype(float))
-    per_image = (
+    method_features(method)
+    return _solved(_by_image(patches), method)
+
+
+def fit_each(patches: DataFrame, methods: Sequence[str]) -> dict[str, DataFrame]:
+    """:func:`fit` of each method; the patches are dealt by image once for all of them."""
+    for method in methods:
+        method_features(method)
+    collected = durable(_by_image(patches), "image-patches")
+    return {method: _solved(collected, method) for method in methods}
+
+
+def _by_image(patches: DataFrame) -> DataFrame:
+    """(image_id, flat): the patches of an image with their references in one array.
+
+    They are first averaged per patch index, so at most 24 of them meet. The
+    rows are dealt by image once, for both groupings.
+    """
+    return (
         with_reference(patches.select("image_id", "patch_idx", "r", "g", "b").repartition("image_id"))
         .groupBy("image_id", "patch_idx", "ref_r", "ref_g", "ref_b")
         .agg(F.avg("r").alias("r"), F.avg("g").alias("g"), F.avg("b").alias("b"))
@@ -194,7 +207,14 @@ def fit(patches: DataFrame, method: str = "linear") -> DataFrame:
             ).alias("flat"),
         )
     )
-    key_type = patches.schema["image_id"].dataType.simpleString()
+
+
+def _solved(per_image: DataFrame, method: str) -> DataFrame:
+    """Fits of many images together in each Arrow batch."""
+    features, scale = METHODS[method]
+    exponents = np.array(features)
+    rescale = scale ** (1 - exponents.sum(axis=1).astype(float))
+    key_type = per_image.schema["image_id"].dataType.simpleString()
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -206,7 +226,9 @@ def fit(patches: DataFrame, method: str = "linear") -> DataFrame:
             slot = np.arange(len(image)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             values[image, slot] = np.concatenate(pdf["flat"].to_numpy()).reshape(-1, 6) / 255.0
             present[image, slot] = 1.0
-            x = np.prod(values[:, :, None, :3] ** exponents[None, None, :, :], axis=3) * present
+            # Each power of a channel once, then the features as products of them.
+            power = values[:, :, :3, None] ** np.arange(exponents.max() + 1)
+            x = power[:, :, 0, exponents[:, 0]] * power[:, :, 1, exponents[:, 1]] * power[:, :, 2, exponents[:, 2]] * present
             solution = _least_squares(x, values[:, :, 3:])
             coef = (solution * rescale[None, :, None]).transpose(0, 2, 1)
             yield pd.DataFrame(

@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from phenoweave.operators.runs import whole_groups
+
 MIN_AREA = 5000
 SEPARATION = 0.1
 MARGIN = 0.02
@@ -118,37 +120,33 @@ def smooth_gaussian(
 ) -> DataFrame:
     """Gaussian smoothing along dense rows 0..n-1 with half-sample reflection.
 
-    Edge rows are mirrored past both ends, then one bounded window frame is
-    weighted; equal to a convolution of the reflected signal.
+    Signals are dealt whole, a value per raster row, and equally long ones are
+    weighted together, in one shuffle.
     """
     weights = gaussian_weights(sigma)
     radius = len(weights) // 2
-    count = profile.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    i, n = F.col(row).cast("bigint"), F.col("_n")
-    # A row appears at i + 2nm and at -1 - i + 2nm for every m that lands near the signal.
-    shifts = F.sequence(-F.ceil(F.lit(radius + 1) / (2 * n)) - 1, F.ceil(F.lit(radius + 1) / (2 * n)) + 1)
-    copies = F.flatten(
-        F.transform(shifts, lambda m: F.array(i + 2 * n * m, -1 - i + 2 * n * m))
-    )
-    mirrored = (
-        profile.join(count, list(keys))
-        .withColumn("_at", F.explode(copies))
-        .filter((F.col("_at") >= -radius) & (F.col("_at") < F.col("_n") + radius))
-    )
-    frame = Window.partitionBy(*keys).orderBy("_at").rowsBetween(-radius, radius)
-    weighted = F.aggregate(
-        F.zip_with(
-            F.collect_list(F.col(value).cast("double")).over(frame),
-            F.array(*[F.lit(w) for w in weights]),
-            lambda v, w: v * w,
-        ),
-        F.lit(0.0),
-        lambda a, x: a + x,
-    )
+    keys = list(keys)
+    kinds = {f.name: f.dataType.simpleString() for f in profile.schema.fields}
+
+    def smooth(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
+        sizes = np.diff(starts, append=len(pdf))
+        values, out = pdf[value].to_numpy(float), np.empty(len(pdf))
+        for n in np.unique(sizes):
+            cells = starts[sizes == n][:, None] + np.arange(n)
+            # The place of a mirrored row inside the signal.
+            turn = np.arange(-radius, n + radius) % (2 * n)
+            signal = values[cells][:, np.where(turn < n, turn, 2 * n - 1 - turn)]
+            total = np.zeros(cells.shape)
+            for k, w in enumerate(weights):
+                total += signal[:, k : k + n] * w
+            out[cells] = total
+        yield pdf.assign(**{name: out})
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in profile.columns) + f", {name} double"
     return (
-        mirrored.withColumn(name, weighted)
-        .filter(F.col("_at") == F.col(row))
-        .select(*profile.columns, name)
+        profile.repartition(*keys).sortWithinPartitions(*keys, row)
+        .mapInPandas(lambda batches: whole_groups(batches, keys, smooth), schema)
     )
 
 
@@ -163,9 +161,9 @@ def smooth_mean(
 
 def middle_third(profile: DataFrame, keys: Sequence[str], row: str = "row") -> DataFrame:
     """Rows n//3 .. 2n//3 - 1 of each dense profile."""
-    count = profile.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     return (
-        profile.join(count, list(keys))
+        profile.withColumn("_n", n)
         .filter((F.col(row) >= F.floor(F.col("_n") / 3)) & (F.col(row) < F.floor(2 * F.col("_n") / 3)))
         .drop("_n")
     )
@@ -176,15 +174,14 @@ def midrib_row(
     factor: float = MIDRIB_FACTOR,
 ) -> DataFrame:
     """Brightest row of the middle third, if clearly above the mean of lit rows."""
-    # One pass: the middle third needs n, so it is joined as a per-box aggregate.
-    count = smoothed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.avg(F.when(F.col(value) > 0, F.col(value))).alias("_mean"),
+    # One shuffle: a box's rows, which the raster bounds, are counted where they meet.
+    box = Window.partitionBy(*keys)
+    counted = smoothed.withColumns(
+        {"_n": F.count(F.lit(1)).over(box), "_mean": F.avg(F.when(F.col(value) > 0, F.col(value))).over(box)}
     )
     middle = (F.col(row) >= F.floor(F.col("_n") / 3)) & (F.col(row) < F.floor(2 * F.col("_n") / 3))
     return (
-        smoothed.join(count, list(keys))
-        .filter(middle)
+        counted.filter(middle)
         .groupBy(*keys)
         .agg(
             F.max(F.struct(F.col(value).alias("v"), (-F.col(row)).alias("r"))).alias("_peak"),
@@ -220,30 +217,27 @@ def valley_row(
 ) -> DataFrame:
     """Middle valley of the row projection with enough prominence, per box.
 
-    A projection becomes one array of at most one value per raster row; many
-    boxes are then searched in each Arrow batch.
+    Projections are dealt whole, at most one value per raster row; many boxes
+    are searched in each Arrow batch.
     """
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in profile.schema.fields}
 
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = []
-            for signal, wide in zip(pdf["_signal"], pdf["_width"]):
-                peaks = _prominent_peaks(-np.asarray(signal, float), wide * prominence)
-                found.append(peaks[len(peaks) // 2] if peaks else -1)
-            yield pdf[keys].assign(_at=found)
-
-    arrays = profile.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(row).alias("r"), F.col(value).alias("v")))).alias("_rows"),
-        F.max(width).cast("double").alias("_width"),
+    def pick(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
+        signals, wide = -pdf[value].to_numpy(float), np.fmax.reduceat(pdf[width].to_numpy(float), starts)
+        found = []
+        for at, past, across in zip(starts, np.append(starts[1:], len(pdf)), wide):
+            peaks = _prominent_peaks(signals[at:past], across * prominence)
+            found.append(peaks[len(peaks) // 2] if peaks else -1)
+        yield pdf[keys].iloc[starts].assign(valley_row=found).query("valley_row >= 0")
+
+    # Projections are dense, so the position in the signal is the row.
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["valley_row int"])
+    return (
+        profile.select(*keys, row, value, width).repartition(*keys).sortWithinPartitions(*keys, row)
+        .mapInPandas(lambda batches: whole_groups(batches, keys, pick), schema)
     )
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["_at int"])
-    found = arrays.select(
-        *keys, "_width", F.transform("_rows", lambda s: s["v"].cast("double")).alias("_signal")
-    ).mapInPandas(pick, schema)
-    # Projections are dense, so the position in the array is the row.
-    return found.filter("_at >= 0").select(*keys, F.col("_at").alias("valley_row"))
 
 
 def split_at(boxes: DataFrame, split_y: Column, margin: float = 0.0, keys: Sequence[str] = ("image_id",)) -> DataFrame:

@@ -25,10 +25,12 @@ def merge_runs(runs: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFram
     """Union of overlapping or touching runs per image row (gaps and islands).
 
     The first aggregate keeps one run per start, so a row of the image has at
-    most as many runs as it has columns before the window sees it.
+    most as many runs as it has columns before the window sees it. The rows are
+    dealt once, before it: few runs share a start, so combining them earlier
+    would only hold a task's whole input in memory.
     """
     row = [*keys, "y"]
-    longest = runs.groupBy(*row, "x_start").agg(F.max("x_end").alias("x_end"))
+    longest = runs.repartition(*row).groupBy(*row, "x_start").agg(F.max("x_end").alias("x_end"))
     ordered = Window.partitionBy(*row).orderBy("x_start")
     reach = F.max("x_end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     return (
@@ -70,12 +72,8 @@ def complement(runs: DataFrame, frames: DataFrame, keys: Sequence[str] = ("image
     )
 
 
-def dilate(
-    runs: DataFrame, frames: DataFrame, width: int, height: int, iterations: int = 1,
-    keys: Sequence[str] = ("image_id",),
-) -> DataFrame:
-    """Dilation by a centred rectangle; repeated dilations are one larger rectangle."""
-    rx, ry = (width // 2) * iterations, (height // 2) * iterations
+def _grown(runs: DataFrame, frames: DataFrame, rx: int, ry: int, keys: Sequence[str]) -> DataFrame:
+    """Dilation with one copy of a run per row it reaches, for runs of any kind."""
     size = frames.select(*keys, F.col("width").alias("_w"), F.col("height").alias("_h"))
     grown = (
         runs.join(size, list(keys))
@@ -94,24 +92,65 @@ def dilate(
     return merge_runs(grown, keys)
 
 
+def _sized(runs: DataFrame, frames: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(runs inside their frames with ``_w`` and ``_h``, all runs, keys of other images or None), written once.
+
+    An image with a null bound or a run beyond its frame is one of the others as a whole. Frames grow with the images,
+    so neither side may be broadcast by estimate.
+    """
+    size = frames.select(*keys, F.col("width").cast("int").alias("_w"), F.col("height").cast("int").alias("_h"))
+    written = durable(runs.select(*keys, "y", "x_start", "x_end").join(size.hint("merge"), list(keys)), "mask-runs")
+    inside = F.col("y").between(0, F.col("_h") - 1) & (F.col("x_start") >= 0) & (F.col("x_start") <= F.col("x_end")) & (F.col("x_end") < F.col("_w"))
+    odd = written.filter(~F.coalesce(inside, F.lit(False))).select(*keys).distinct()
+    if odd.isEmpty():
+        return written, written, None
+    return written.join(odd, list(keys), "left_anti"), written, odd
+
+
+def _morph(runs: DataFrame, frames: DataFrame, step: str, width: int, height: int, iterations: int, keys: Sequence[str]) -> DataFrame:
+    """One morphological step: in bands of cells where the mask lies in its frame, run by run elsewhere."""
+    keys = list(keys)
+    sound, written, odd = _sized(runs, frames, keys)
+    out = _filter_runs(sound, keys, ((step, width, height, iterations),))
+    if odd is None:
+        return out
+    rest = written.join(odd, keys, "left_semi").select(*keys, "y", "x_start", "x_end")
+    mine = frames.join(odd, keys, "left_semi")
+    rx, ry = (width // 2) * iterations, (height // 2) * iterations
+    for grow in STEPS[step]:
+        if grow:
+            rest = _grown(rest, mine, rx, ry, keys)
+        else:
+            rest = complement(_grown(complement(rest, mine, keys), mine, rx, ry, keys), mine, keys)
+    return out.unionByName(rest.select(*[F.col(c).cast(out.schema[c].dataType).alias(c) for c in out.columns]))
+
+
+def dilate(
+    runs: DataFrame, frames: DataFrame, width: int, height: int, iterations: int = 1,
+    keys: Sequence[str] = ("image_id",),
+) -> DataFrame:
+    """Dilation by a centred rectangle; repeated dilations are one larger rectangle."""
+    return _morph(runs, frames, "dilate", width, height, iterations, keys)
+
+
 def erode(
     runs: DataFrame, frames: DataFrame, width: int, height: int, iterations: int = 1,
     keys: Sequence[str] = ("image_id",),
 ) -> DataFrame:
     """Erosion by a centred rectangle; pixels outside the frame do not erode."""
-    background = complement(runs, frames, keys)
-    return complement(dilate(background, frames, width, height, iterations, keys), frames, keys)
+    return _morph(runs, frames, "erode", width, height, iterations, keys)
 
 
 def close(runs, frames, width: int, height: int, iterations: int = 1, keys=("image_id",)) -> DataFrame:
-    grown = dilate(runs, frames, width, height, iterations, keys)
-    return erode(grown, frames, width, height, iterations, keys)
+    return _morph(runs, frames, "close", width, height, iterations, keys)
 
 
 def open_(runs, frames, width: int, height: int, iterations: int = 1, keys=("image_id",)) -> DataFrame:
-    shrunk = erode(runs, frames, width, height, iterations, keys)
-    return dilate(shrunk, frames, width, height, iterations, keys)
+    return _morph(runs, frames, "open", width, height, iterations, keys)
+
 
+# Whether each part of a step grows the mask or the background.
+STEPS = {"close": (True, False), "open": (False, True), "dilate": (True,), "erode": (False,)}
 
 # Cleaning of a green mask: (step, kernel width, kernel height, iterations).
 CLEANING = (("close", 15, 15, 2), ("close", 25, 5, 1), ("open", 5, 5, 1))
@@ -121,7 +160,7 @@ TILE_HEIGHT = 256
 TILE_CELLS = 2_000_000
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame], group: list[str], work) -> Iterator[pd.DataFrame]:
+def whole_groups(batches: Iterator[pd.DataFrame], group: list[str], work) -> Iterator[pd.DataFrame]:
     """Feed ``work`` frames of complete groups from batches sorted by group.
 
     The last group of a batch may go on in the next one, so it is held back;
@@ -157,7 +196,7 @@ def _filter_bands(bands: np.ndarray, steps) -> np.ndarray:
     """Apply the steps to a stack of equally sized bands (band, row, column)."""
     for step, w, h, n in steps:
         rx, ry = (w // 2) * n, (h // 2) * n
-        for grow in (True, False) if step == "close" else (False, True):
+        for grow in STEPS[step]:
             bands = bands if grow else ~bands
             bands = _near(_near(bands, rx, 2), ry, 1)
             bands = bands if grow else ~bands
@@ -174,24 +213,25 @@ def clean_green_mask(
     bounded size is filled in, filtered and encoded again inside a task. Bands
     without runs do not exist, as none of the steps makes something of nothing.
     """
-    keys = list(keys)
-    reach = sum(2 * (h // 2) * n for _, _, h, n in steps)
     size = frames.select(*keys, F.col("width").cast("int").alias("_w"), F.col("height").cast("int").alias("_h"))
+    single = runs.groupBy(*keys, "y", "x_start").agg(F.max("x_end").alias("x_end"))
+    return _filter_runs(single.join(size, list(keys)), list(keys), steps, tile_height)
+
+
+def _filter_runs(sized: DataFrame, keys: list[str], steps, tile_height: int = TILE_HEIGHT) -> DataFrame:
+    """The steps on runs inside their frames (``_w``, ``_h``), in one shuffle by overlapping bands of rows."""
+    reach = sum(len(STEPS[step]) * (h // 2) * n for step, _, h, n in steps)
     last = F.floor((F.col("_h") - 1) / tile_height)
-    banded = (
-        runs.groupBy(*keys, "y", "x_start").agg(F.max("x_end").alias("x_end"))
-        .join(size, keys)
-        .withColumn(
-            "_band",
-            F.explode(
-                F.sequence(
-                    F.greatest(F.floor((F.col("y") - reach) / tile_height), F.lit(0)),
-                    F.least(F.floor((F.col("y") + reach) / tile_height), last),
-                )
-            ),
-        )
+    banded = sized.withColumn(
+        "_band",
+        F.explode(
+            F.sequence(
+                F.greatest(F.floor((F.col("y") - reach) / tile_height), F.lit(0)),
+                F.least(F.floor((F.col("y") + reach) / tile_height), last),
+            )
+        ),
     )
-    types = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
+    types = {f.name: f.dataType.simpleString() for f in sized.schema.fields}
 
     def clean(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Complete bands, sorted by key and band, a bounded stack at a time."""
@@ -227,7 +267,7 @@ def clean_green_mask(
     return (
         banded.repartition(*keys, "_band")
         .sortWithinPartitions(*keys, "_band")
-        .mapInPandas(lambda batches: _whole_groups(batches, [*keys, "_band"], clean), schema)
+        .mapInPandas(lambda batches: whole_groups(batches, [*keys, "_band"], clean), schema)
     )
 
 
@@ -310,7 +350,7 @@ def _band_roots(runs: DataFrame, keys: list[str], slack: int, band_height: int)
         runs.select(*columns, F.floor(F.col("y") / band_height).alias("_band"))
         .repartition(*group)
         .sortWithinPartitions(*group, "y", "x_start")
-        .mapInPandas(lambda batches: _whole_groups(batches, group, label), schema)
+        .mapInPandas(lambda batches: whole_groups(batches, group, label), schema)
     )
 
 
@@ -348,6 +388,32 @@ def fill_holes(runs: DataFrame, frames: DataFrame, keys=("image_id",)) -> DataFr
     Regions lying inside a hole merge into the region around it, so labelling
     the filled mask yields the outermost regions only.
     """
+    sound, written, odd = _sized(runs, frames, keys)
+    keys, row = list(keys), [*keys, "y"]
+    marks = sound.select(*row, "x_start", "x_end", "_w", "_h").distinct()
+    ordered = Window.partitionBy(*row).orderBy("x_start")
+    # Background beside the runs of a row reaches the frame, as do rows without runs: only gaps between runs can be holes.
+    gaps = durable(
+        marks.withColumn("_from", F.lag("x_end").over(ordered) + 1).filter(F.col("_from") < F.col("x_start"))
+        .select(*row, F.col("_from").cast("bigint").alias("x_start"), (F.col("x_start") - 1).cast("bigint").alias("x_end"), "_h"),
+        "mask-gaps",
+    )
+    region = components(gaps, keys, diagonal=False)
+    spans = marks.groupBy(*row).agg(F.min("x_start").alias("_left"), F.max("x_end").alias("_right"))
+    beside = gaps.select(*row, "x_start", "x_end", "_h", F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("_y"))
+    open_rows = beside.join(spans.withColumnRenamed("y", "_y"), [*keys, "_y"], "left").filter(
+        (F.col("_y") < 0) | (F.col("_y") >= F.col("_h")) | F.col("_left").isNull() | (F.col("x_start") < F.col("_left")) | (F.col("x_end") > F.col("_right"))
+    )
+    outside = region.join(open_rows.select(*row, "x_start").distinct(), [*row, "x_start"], "left_semi").select(*keys, "component").distinct()
+    holes = region.join(outside, [*keys, "component"], "left_anti")
+    if odd is None:
+        return union_masks(runs, holes, keys=keys)
+    rest = written.join(odd, keys, "left_semi").select(*row, "x_start", "x_end")
+    return union_masks(runs, holes, _holes(rest, frames.join(odd, keys, "left_semi"), keys), keys=keys)
+
+
+def _holes(runs: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Background regions that do not reach the frame, for runs of any kind."""
     background = components(complement(runs, frames, keys), keys, diagonal=False)
     size = frames.select(*keys, F.col("width").alias("_w"), F.col("height").alias("_h"))
     touches = (
@@ -356,8 +422,7 @@ def fill_holes(runs: DataFrame, frames: DataFrame, keys=("image_id",)) -> DataFr
     outside = (
         background.join(size, list(keys)).filter(touches).select(*keys, "component").distinct()
     )
-    holes = background.join(outside, [*keys, "component"], "left_anti")
-    return union_masks(runs, holes, keys=keys)
+    return background.join(outside, [*keys, "component"], "left_anti")
 
 
 def component_features(labelled: DataFrame, keys=("image_id",)) -> DataFrame:
@@ -447,37 +512,91 @@ def pixels_in_mask(pixels: DataFrame, runs: DataFrame, keys=("image_id",), flag:
     return hit.select(*[left[c] for c in pixels.columns], cover["_s"].isNotNull().alias(flag))
 
 
-def row_profile(runs: DataFrame, boxes: DataFrame, keys=("image_id",)) -> DataFrame:
-    """Mask pixels per row of each box (keys, box_id, row, pixels), empty rows as zero.
+BOX_CELLS = 1_000_000  # rows of boxes and meetings with marks that are held at a time
+
+
+def _box_rows(marks: DataFrame, boxes: DataFrame, keys: Sequence[str], name: str, kind: str, measure) -> DataFrame:
+    """(keys, box_id, row, ``name``) for all rows of each box, from the marks (keys, y, _s, _e, _v) of its rows.
 
-    ``boxes`` has (keys, box_id, x1, y1, x2, y2), half-open on the far sides.
+    Boxes and marks are dealt by bands of rows; the dense rows are made after that shuffle. ``measure`` gets per meeting of
+    a box and a mark the box's row, the clipped bounds and the value, then the number of rows and per row how often its box is there.
     """
-    rows = boxes.select(
-        *keys, "box_id", "x1", "y1", "x2",
-        F.explode(F.sequence(F.col("y1").cast("bigint"), F.col("y2").cast("bigint") - 1)).alias("y"),
+    keys = list(keys)
+    box_type, types = boxes.schema["box_id"].dataType.simpleString(), {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
+    whole = ["y", "_s", "_e", "x1", "y1", "x2", "y2"]
+    band = lambda y: F.floor(y / TILE_HEIGHT)
+    no = F.lit(0).cast("bigint")
+    met = marks.select(
+        *keys, band(F.col("y")).alias("_band"), F.lit(False).alias("_box"), F.lit(0).cast(box_type).alias("box_id"),
+        *[F.col(c).cast("bigint").alias(c) for c in whole[:3]], F.col("_v").cast("double").alias("_v"), *[no.alias(c) for c in whole[3:]],
+    ).dropna(subset=[*keys, "_band", "_s"])
+    dealt = boxes.filter("y1 < y2").select(
+        *keys, F.explode(F.sequence(band(F.col("y1")), band(F.col("y2") - 1))).alias("_band"), F.lit(True).alias("_box"), "box_id",
+        *[no.alias(c) for c in whole[:3]], F.lit(0.0).alias("_v"), *[F.col(c).cast("bigint").alias(c) for c in whole[3:]],
     )
-    shared = F.least(F.col("x_end") + 1, F.col("x2")) - F.greatest(F.col("x_start"), F.col("x1"))
-    inside = F.when(F.col("x_start").isNotNull(), F.greatest(shared, F.lit(0)))
+    group = [*keys, "_band"]
+
+    def rows(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        pdf = pdf.assign(_g=np.cumsum((pdf[group] != pdf[group].shift()).any(axis=1).to_numpy()) - 1)
+        is_box = pdf["_box"].to_numpy(bool)
+        held, mark = pdf[is_box], pdf[~is_box]
+        # Equal rows of one box count as often as they are there.
+        same = ["_g", "box_id", "x1", "y1", "x2", "y2"]
+        often = held.groupby(same, sort=False, dropna=False).size().reset_index(name="_n")
+        held = held.drop_duplicates(same).reset_index(drop=True).assign(_n=often["_n"].to_numpy())
+        g, low = held["_g"].to_numpy(), np.maximum(held["y1"], held["_band"] * TILE_HEIGHT).to_numpy()
+        tall = np.minimum(held["y2"], (held["_band"] + 1) * TILE_HEIGHT).to_numpy() - low
+        first, past = (np.searchsorted(mark["_g"].to_numpy(), g, side) for side in ("left", "right"))
+        y, start, end, value = (mark[c].to_numpy() for c in ("y", "_s", "_e", "_v"))
+        part = np.cumsum(tall + past - first) // BOX_CELLS
+        for chosen in np.split(np.arange(len(held)), np.flatnonzero(np.diff(part)) + 1):
+            if not len(chosen):
+                continue
+            n, size = (past - first)[chosen], tall[chosen]
+            box = np.repeat(chosen, n)
+            at = np.arange(len(box)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[chosen], n)
+            hit = (y[at] >= low[box]) & (y[at] < (low + tall)[box])
+            box, at = box[hit], at[hit]
+            offset = np.cumsum(size) - size
+            line = offset[box - chosen[0]] + y[at] - low[box]
+            left, right = (held[c].to_numpy()[box] for c in ("x1", "x2"))
+            every = np.repeat(chosen, size)
+            number = np.arange(len(every)) - np.repeat(offset, size) + np.repeat((low - held["y1"].to_numpy())[chosen], size)
+            out = held[[*keys, "box_id"]].iloc[every].reset_index(drop=True)
+            out["row"] = number
+            out[name] = measure(line, np.maximum(start[at], left), np.minimum(end[at] + 1, right), value[at], len(every), held["_n"].to_numpy()[every])
+            yield out
+
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"box_id {box_type}", "row bigint", f"{name} {kind}"])
     return (
-        rows.join(runs, [*keys, "y"], "left")
-        .groupBy(*keys, "box_id", (F.col("y") - F.col("y1")).alias("row"))
-        .agg(F.coalesce(F.sum(inside), F.lit(0)).cast("bigint").alias("pixels"))
+        met.unionByName(dealt).repartition(*group).sortWithinPartitions(*group)
+        .mapInPandas(lambda batches: whole_groups(batches, group, rows), schema)
     )
 
 
+def row_profile(runs: DataFrame, boxes: DataFrame, keys=("image_id",)) -> DataFrame:
+    """Mask pixels per row of each box (keys, box_id, row, pixels), empty rows as zero.
+
+    ``boxes`` has (keys, box_id, x1, y1, x2, y2), half-open on the far sides. A run without an end reaches every edge.
+    """
+    def count(line, left, right, _, size, often):
+        return np.bincount(line, np.maximum(right - left, 0), size).astype(np.int64) * often
+
+    ends = F.coalesce(F.col("x_end").cast("bigint"), F.lit(1 << 40))
+    marks = runs.select(*keys, "y", F.col("x_start").alias("_s"), ends.alias("_e"), F.lit(0.0).alias("_v"))
+    return _box_rows(marks, boxes, keys, "pixels", "bigint", count)
+
+
 def row_brightness(pixels: DataFrame, boxes: DataFrame, keys=("image_id",)) -> DataFrame:
     """Mean value of masked pixels per box row, zero for rows without any.
 
     ``pixels`` has (keys, y, x, v, in_mask). Zero-valued pixels do not count.
     """
-    rows = boxes.select(
-        *keys, "box_id", "x1", "y1", "x2",
-        F.explode(F.sequence(F.col("y1").cast("bigint"), F.col("y2").cast("bigint") - 1)).alias("y"),
-    )
-    lit = pixels.filter("in_mask and v > 0").groupBy(*keys, "y", "x").agg(F.max("v").alias("v"))
-    inside = (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2"))
-    return (
-        rows.join(lit, [*keys, "y"], "left")
-        .groupBy(*keys, "box_id", (F.col("y") - F.col("y1")).alias("row"))
-        .agg(F.coalesce(F.avg(F.when(inside, F.col("v"))), F.lit(0.0)).alias("brightness"))
-    )
+    def mean(line, left, right, value, size, _):
+        line, value = line[left < right], value[left < right]
+        pixels = np.bincount(line, minlength=size)
+        return np.bincount(line, value, size) / np.maximum(pixels, 1)
+
+    lit = pixels.filter("in_mask and v > 0").groupBy(*keys, "y", "x").agg(F.max("v").alias("_v"))
+    marks = lit.select(*keys, "y", F.col("x").alias("_s"), F.col("x").alias("_e"), "_v")
+    return _box_rows(marks, boxes, keys, "brightness", "double", mean)

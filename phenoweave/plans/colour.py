@@ -14,6 +14,7 @@ from phenoweave.operators.colourfit import (
     apply_transform,
     card_pixels,
     fit,
+    fit_each,
     mean_delta_e,
     patch_means,
     window_means,
@@ -31,8 +32,8 @@ def compare_methods(patches: DataFrame, methods: Sequence[str] = COMPARED) -> Da
     """
     patches = durable(patches, "card-patches")
     scored = [mean_delta_e(patches).withColumn("method", F.lit("original"))]
-    for method in methods:
-        corrected = apply_transform(patches, fit(patches, method), method)
+    for method, fitted in fit_each(patches, methods).items():
+        corrected = apply_transform(patches, fitted, method)
         scored.append(mean_delta_e(corrected).withColumn("method", F.lit(method)))
     return reduce(DataFrame.unionByName, scored).select("image_id", "method", "mean_delta_e")
 
@@ -48,8 +49,8 @@ def compare_methods_on_pixels(
     inside = durable(card_pixels(pixels, frames, card, straight), "card-pixels")
     measured = durable(window_means(inside), "card-patches")
     scored = [mean_delta_e(measured).withColumn("method", F.lit("original"))]
-    for method in methods:
-        corrected = window_means(apply_transform(inside, fit(measured, method), method))
+    for method, fitted in fit_each(measured, methods).items():
+        corrected = window_means(apply_transform(inside, fitted, method))
         scored.append(mean_delta_e(corrected).withColumn("method", F.lit(method)))
     return reduce(DataFrame.unionByName, scored).select("image_id", "method", "mean_delta_e")
 

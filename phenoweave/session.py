@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators rely on. Joins carry no broadcast hints: Spark
 # broadcasts a side only when its measured size is under the threshold, and
-# otherwise splits skewed partitions of the shuffled join.
+# otherwise splits skewed partitions of the shuffled join. Shuffles begin with many
+# partitions and are coalesced to a small size, so that a task's share of a large
+# input does not grow with it.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "400",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",

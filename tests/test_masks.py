@@ -152,3 +152,27 @@ def test_contour_areas_equal_polygons(spark):
     got = {r.image_id: r.contour_area for r in runs.contour_areas(labelled).collect()}
     assert got == {name: rasters.outline_area(m) for name, m in shapes.items() if m.any()}
     assert all(got[name] == area for name, (_, area) in known.items())
+
+
+def test_merging_shuffles_once_and_steps_make_no_row_copies(spark):
+    """A dilation or closing deals runs by bands; no run becomes one row per raster row it reaches."""
+    masks = spark.createDataFrame([(1, 3, 2, 5), (1, 3, 6, 7), (2, 0, 0, 9)], "image_id long, y int, x_start long, x_end long")
+    frames = spark.createDataFrame([(1, 10, 8), (2, 10, 8)], "image_id long, width int, height int")
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert str(runs.merge_runs(masks)._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 1
+    assert "PythonMapInArrow" in plan(runs.dilate(masks, frames, 3, 3)) or "MapInPandas" in plan(runs.dilate(masks, frames, 3, 3))
+    assert sorted(map(tuple, runs.dilate(masks, frames, 3, 3).collect())) == [(1, y, 1, 8) for y in (2, 3, 4)] + [(2, y, 0, 9) for y in (0, 1)]
+
+
+def test_steps_keep_images_with_runs_beyond_the_frame(spark):
+    masks = spark.createDataFrame([(1, 3, 2, 14), (2, 0, None, 4), (3, 2, 1, 3)], "image_id long, y int, x_start long, x_end long")
+    frames = spark.createDataFrame([(i, 10, 5) for i in (1, 2, 3)], "image_id long, width int, height int")
+    got = sorted(map(tuple, runs.dilate(masks, frames, 3, 3).collect()))
+    assert got == [(1, y, 1, 9) for y in (2, 3, 4)] + [(2, y, 0, 5) for y in (0, 1)] + [(3, y, 0, 4) for y in (1, 2, 3)]
+
+
+def test_heights_of_whole_masks(spark):
+    rows = [("a", 0, 2, 0, 3), ("a", 0, 5, 2, 4), ("b", 1, 7, 9, 9), ("c", 0, None, 1, 2)]
+    frame = spark.createDataFrame(rows, "image_id string, strip_id int, y int, x_start long, x_end long")
+    got = sorted((r["image_id"], r["height"] or 0, r["columns"], r["pixels"]) for r in strips.height_counts(frame).collect())
+    assert got == [("a", 1, 3, 3), ("a", 4, 2, 4), ("b", 1, 1, 1), ("c", 0, 2, 2)]
