@@ -252,6 +252,7 @@ def apply_transform(
     """Corrected r, g, b of every pixel, clipped to 0..255 and truncated.
 
     Sizes of exploded rows and of fits are estimated far too low, so neither side may be broadcast by estimate.
+    The products are added over arrays: written out, those of 20 features make code too long to be compiled.
     """
     features, scale = METHODS[method]
     unit = 255.0 / scale
@@ -259,10 +260,11 @@ def apply_transform(
     joined = pixels.join(chosen.hint("merge"), "image_id").select(
         "*", *[(F.col(c).cast("double") / unit).alias(f"_{c}") for c in ("r", "g", "b")]
     )
-    terms = [feature(e, F.col("_r"), F.col("_g"), F.col("_b")) for e in features]
+    joined = joined.withColumn("_t", F.array(*[feature(e, F.col("_r"), F.col("_g"), F.col("_b")) for e in features]))
     out = {}
     for k, channel in enumerate(("r", "g", "b")):
-        value = sum((F.col("coef")[k][i] * t for i, t in enumerate(terms)), F.lit(0.0)) * unit
+        products = F.zip_with(F.col("coef")[k], F.col("_t"), lambda c, t: c * t)
+        value = F.aggregate(products, F.lit(0.0), lambda total, x: total + x) * unit
         out[channel] = to_byte(value) if truncate else F.least(F.greatest(value, F.lit(0.0)), F.lit(255.0))
     kept = [F.col(c) if c not in out else out[c].alias(c) for c in pixels.columns]
     return joined.select(*kept)
