@@ -7,8 +7,11 @@ byte pieces. No piece of such a vocabulary has a space mark behind another
 character, none holds a line break, and no piece has certain stops behind certain letters,
 so a text falls apart into segments that never merge with each other; each
 distinct segment is encoded once per worker process while a bounded cache has
-room. The ids of every whole text are compared with the sentencepiece library's; a
-text that differs is encoded again in one piece, and a difference that stays is an error.
+room, and its ids are compared with the sentencepiece library's. The model's own rules say
+what the normal form of a text is (where they do not, every text's is compared), and each cut
+of every text is looked up among the neighbours inside pieces: where none is there, no merge
+crosses a cut and the ids of the segments are those of the text. A text that fails is encoded again in one piece and compared as a whole;
+a difference that stays is an error.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text;
 repeated rows are encoded alike; extra columns are not looked at.
@@ -32,8 +35,11 @@ from phenoweave.llm.words import slices, text_buffer
 
 MARK = "▁"
 STOPS = ",.;:!?"
-#: Segments remembered by one worker process; the cache starts anew beyond it.
+#: Segments remembered by one worker process, in two halves: a full one becomes the older one, whose segments
+#: move over when they are met again.
 CACHE = 300_000
+#: Segments compared with the library in one text.
+COMPARED = 2_000
 #: Segments longer than this many characters are not remembered.
 CACHED_LENGTH = 64
 #: Texts are encoded together up to so many bytes, or one by one.
@@ -93,7 +99,12 @@ class PieceModel:
         outside = "".join(sorted({re.escape(x) for c in stops for x in before[c] if re.match(r"[^\W\d_]", x)}))
         ends = f"[{''.join(stops)}{MARK}\n]|$"
         self.segments = re.compile(f"{MARK}*[^\\W\\d_{outside}]+(?={ends})|\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        #: Neighbouring characters inside pieces.
+        self.inside = np.unique(_neighbours("\0".join(self.ids)))
+        self.plain = _plain(proto)
+        self.line = lib.encode("\n")
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.changed: dict[str, str] = {}
         self.symbols = _Symbols(self.ids, n)
 
@@ -120,48 +131,101 @@ class PieceModel:
 
     def learn(self, new: list[str]) -> None:
         """Encode segments; those whose tokens do not stand for the segment itself are noted."""
-        known, decimals, texts = self.cache, self.decimals, self.texts
-        for s, ids in zip(new, self.merge(new)):
-            known[s] = array("i", ids).tobytes(), ",".join([decimals[i] for i in ids]).encode()
+        known, texts = self.cache, self.texts
+        merged = self.merge(new)
+        self.compare(new, merged)
+        for s, ids in zip(new, merged):
+            known[s] = array("i", ids).tobytes()
             if "".join([texts[i] for i in ids]) != s and (decoded := self.decode(ids)) != s.replace(MARK, " "):
                 self.changed[s] = decoded
 
+    def compare(self, segments: list[str], merged: list[list[int]]) -> None:
+        """Compare the ids of segments with the library's, many in one text: no merge crosses a line break."""
+        lead, stop = self.line[:-1], self.line[-1:]
+        for k in range(0, len(segments), COMPARED):
+            ours = list(lead)
+            for ids in merged[k : k + COMPARED]:
+                ours += stop
+                ours += ids
+            text = "\n" + "\n".join(segments[k : k + COMPARED]).replace(MARK, " ")
+            if ours != self.library.encode(text, num_threads=1):
+                for s, ids in zip(segments[k : k + COMPARED], merged[k : k + COMPARED]):
+                    theirs = self.library.encode("\n" + s.replace(MARK, " "))[len(self.line) :]
+                    if ids != theirs:
+                        raise ValueError(f"differs from the library: {s[:1000]!r}: {ids[:100]} and {theirs[:100]}")
+                raise ValueError(f"differs from the library: {text[:1000]!r}")
+
+    def torn(self, normal: list[str], split: list[list[str]]) -> set[int]:
+        """Texts whose segments are not all of them, or with a cut between neighbours that some piece holds."""
+        flat = list(itertools.chain.from_iterable(split))
+        joined, out = "".join(flat), set()
+        if joined != "".join(normal):
+            out.update(i for i, segments in enumerate(split) if "".join(segments) != normal[i])
+        if len(flat) > 1:
+            cut = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)))[:-1] - 1
+            pair = _neighbours(joined)[cut]
+            at = np.minimum(np.searchsorted(self.inside, pair), len(self.inside) - 1)
+            held = np.flatnonzero(self.inside[at] == pair)
+            if len(held):
+                # A cut is behind the segment of its number; the last one of a text is none.
+                ends = np.cumsum([len(segments) for segments in split])
+                out.update(int(i) for k in held for i in [np.searchsorted(ends, k, "right")] if ends[i] != k + 1)
+        return out
+
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[list[int], bytes, str]]:
         """Token ids of each text, the same in decimals joined by commas, and the text they stand for.
 
         Byte pieces of a character lie in one segment, so a text's tokens stand for what its segments' tokens stand for.
         """
-        known = self.cache
-        if len(known) > CACHE:
-            for s in list(itertools.islice(known, CACHE // 2)):
-                del known[s]
+        if len(self.cache) > CACHE // 2:
+            self.older, self.cache = self.cache, {}
+        known, older, decimal = self.cache, self.older, self.decimals.__getitem__
         normal = [self.normalise(t) for t in texts]
         split = [self.segments.findall(t) for t in normal]
-        parts = [list(map(known.get, segments)) for segments in split]
-        new = list({s for segments, found in zip(split, parts) if None in found for s, p in zip(segments, found) if p is None})
+        missed = set(itertools.chain.from_iterable(split)).difference(known)
+        new = [s for s in missed if s not in older]
+        known.update((s, older[s]) for s in missed if s in older)
         self.learn(new)
-        for text, whole, segments, found, theirs in zip(texts, normal, split, parts, self.library.encode(texts, num_threads=1)):
-            if None in found:
-                found = [p or known[s] for s, p in zip(segments, found)]
-            packed, decimals = zip(*found) if found else ((), ())
-            if b"".join(packed) == np.array(theirs, np.int32).tobytes():
-                decimals = b",".join(decimals)
+        torn = self.torn(normal, split)
+        for i, (text, whole, segments) in enumerate(zip(texts, normal, split)):
+            if i not in torn and (self.plain or self.library.normalize(text) == whole):
+                ids = np.frombuffer(b"".join(map(known.__getitem__, segments)), np.int32).tolist()
                 decoded = whole[1:].replace(MARK, " ")
                 if self.changed and not self.changed.keys().isdisjoint(segments):
                     decoded = "".join([self.changed.get(s, s.replace(MARK, " ")) for s in segments])[1:]
             else:
                 # The whole text in one agenda, without segments.
-                ids = self.merge([whole])[0] if text else []
+                ids, theirs = self.merge([whole])[0] if text else [], self.library.encode(text, num_threads=1)
                 if ids != theirs:
                     raise ValueError(f"differs from the library: {text[:1000]!r}: {ids[:100]} and {theirs[:100]}")
-                decimals, decoded = ",".join([self.decimals[i] for i in ids]).encode(), self.decode(ids)[1:]
-            yield theirs, decimals, decoded
+                decoded = self.decode(ids)[1:]
+            yield ids, ",".join(map(decimal, ids)).encode(), decoded
         for s in new:
             if len(s) > CACHED_LENGTH:
                 del known[s]
                 self.changed.pop(s, None)
 
 
+def _neighbours(text: str) -> np.ndarray:
+    """Each character and the next one as one number."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return codes[:-1] << 32 | codes[1:]
+
+
+def _plain(proto: bytes) -> bool:
+    """Whether the model says that its normal form is a space mark before the text and one for each space; False if it cannot be read."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:
+        return False
+    model = sentencepiece_model_pb2.ModelProto.FromString(proto)
+    rules = model.normalizer_spec
+    return (
+        not rules.precompiled_charsmap and rules.add_dummy_prefix and rules.escape_whitespaces
+        and not rules.remove_extra_whitespaces and not model.trainer_spec.treat_whitespace_as_suffix
+    )
+
+
 def _each_alone(error: UnicodeDecodeError) -> tuple[str, int]:
     """One replacement character for every byte that is no UTF-8, as the library has it."""
     return "\ufffd" * (error.end - error.start), error.end

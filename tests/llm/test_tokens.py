@@ -86,6 +86,33 @@ def test_a_difference_from_the_library_is_an_error():
         list(model.encode_batch(["hello"]))
 
 
+def test_whole_texts_are_not_encoded_twice():
+    """Segments are compared with the library once, and a full cache keeps what is met again."""
+    model, seen = pieces.PieceModel(PIECES), []
+    library, encode = model.library, model.library.encode
+    texts = ["the same words again, and again. " * 40, "the same\n words² ▁ ", "", "\n\n"]
+    want = [encode(t) for t in texts]
+
+    class Counted:
+        def encode(self, text, **options):
+            seen.append(text)
+            return encode(text, **options)
+
+        normalize = library.normalize
+
+    model.library = Counted()
+    assert [ids for ids, *_ in model.encode_batch(texts)] == want
+    assert sum(map(len, seen)) < len(texts[0]) / 2
+    model.cache.update((f"filler{i}", b"") for i in range(pieces.CACHE // 2))
+    del seen[:]
+    assert [ids for ids, *_ in model.encode_batch(texts)] == want and not seen
+    model.plain = False  # a model that does not say how it normalises
+    assert [ids for ids, *_ in model.encode_batch(texts)] == want and not seen
+    model.normalise = lambda text: "▁" + text.upper()
+    with pytest.raises(ValueError, match="differs from the library"):
+        list(model.encode_batch(["the"]))
+
+
 def test_counts_equal_the_library(make_documents, odd_texts, some_texts):
     from tokenizers import Tokenizer
 
