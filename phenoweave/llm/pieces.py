@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from phenoweave.llm.merging import MergeTable
 from phenoweave.llm.words import slices, text_buffer
+from phenoweave.session import bound_batches
 
 MARK = "▁"
 STOPS = ",.;:!?"
@@ -237,6 +238,7 @@ def encode(documents: DataFrame, model: bytes, doc_id: str = "doc_id", text: str
     ``model`` is the content of the vocabulary file, so executors need no file.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast({"proto": model})
     ident = documents.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {ident}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep

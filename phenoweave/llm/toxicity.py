@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from phenoweave.llm.words import WordHasher, mix, slices, text_buffer
-from phenoweave.session import durable
+from phenoweave.session import bound_batches, durable
 
 ORDER = 4
 LETTER = 5  # bits of a folded character: 0 boundary, 1-26 letters, 27 others
@@ -277,7 +277,7 @@ def text_features(column: pa.Array, hasher: WordHasher, deobfuscator: Deobfuscat
     """(row, distinct feature hashes, [(token, restored)]) of each text; with sorted ``keys`` the features' places among
     them instead, tokens only with ``keep``."""
     raw_all, offsets_all = text_buffer(column)
-    for i, j in slices(offsets_all, 1 << 20):
+    for i, j in slices(offsets_all, 1 << 18):
         raw, offsets = raw_all[offsets_all[i] : offsets_all[j]], offsets_all[i : j + 1] - offsets_all[i]
         starts, ends, bounds = hasher.spans(raw, offsets)
         features, owners = _hashed(raw, starts, ends, hasher)
@@ -514,6 +514,7 @@ def shared_counts(documents: DataFrame, text: str = "text") -> Broadcast:
 
 def _scorer(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int, keep: bool = False):
     """A function from a string column to (scores, restored tokens), to be called in tasks."""
+    bound_batches(documents.sparkSession)
     counts = shared_counts(documents, text)
     keys, weights, constant, ratios = fit(documents, labels, counts, doc_id, text, label, sample)
     learnt = documents.sparkSession.sparkContext.broadcast({"keys": keys, "weights": weights, "constant": constant, "ratios": ratios})
