@@ -25,11 +25,11 @@ RUNTIME_CONF = {
 
 # Rows of documents that meet in a Python worker at once. A batch is held by the
 # worker and by Spark, whole texts included, twice where texts are returned.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 2_000
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``BATCH_ROWS``; smaller ones stay, and no result depends on them."""
+    """Lower the session's Arrow batches to ``BATCH_ROWS``; smaller ones stay."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
