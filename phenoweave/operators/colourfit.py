@@ -6,9 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from phenoweave.functions.colour import add_lab, delta_e, to_byte
+from phenoweave.operators.packing import map_groups, pack
 from phenoweave.session import durable
 
 # sRGB (D65) reference colours of the 24 card patches, row by row.
@@ -191,22 +193,33 @@ def fit_each(patches: DataFrame, methods: Sequence[str]) -> dict[str, DataFrame]
 def _by_image(patches: DataFrame) -> DataFrame:
     """(image_id, flat): the patches of an image with their references in one array.
 
-    They are first averaged per patch index, so at most 24 of them meet. The
-    rows are dealt by image once, for both groupings.
+    They are averaged per patch index, so at most 24 of them are left. Rows of
+    an image are packed before they are dealt by image.
     """
-    return (
-        with_reference(patches.select("image_id", "patch_idx", "r", "g", "b").repartition("image_id"))
-        .groupBy("image_id", "patch_idx", "ref_r", "ref_g", "ref_b")
-        .agg(F.avg("r").alias("r"), F.avg("g").alias("g"), F.avg("b").alias("b"))
-        .groupBy("image_id")
-        .agg(F.sort_array(F.collect_list(F.struct("patch_idx", "r", "g", "b", "ref_r", "ref_g", "ref_b"))).alias("p"))
-        .select(
-            "image_id",
-            F.flatten(
-                F.transform("p", lambda s: F.array(s["r"], s["g"], s["b"], s["ref_r"], s["ref_g"], s["ref_b"]))
-            ).alias("flat"),
-        )
+    known = patches.filter(F.col("patch_idx").isin(*range(len(REFERENCE_PATCHES)))).select(
+        "image_id", F.col("patch_idx").cast("int").alias("patch_idx"), *[F.col(c).cast("double").alias(c) for c in ("r", "g", "b")]
     )
+    key_type = patches.schema["image_id"].dataType.simpleString()
+    reference = np.array(REFERENCE_PATCHES, float)
+    slots = len(reference)
+
+    def meet(images: pa.RecordBatch, sizes: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        cell = np.repeat(np.arange(len(sizes)) * slots, sizes) + columns["patch_idx"].to_numpy()
+        cells = len(sizes) * slots
+        flat = np.empty((cells, 6))
+        with np.errstate(invalid="ignore"):
+            for k, c in enumerate(("r", "g", "b")):
+                # As in SQL, a mean leaves nulls out; that of nulls alone is unknown.
+                there = columns[c].is_valid().to_numpy(zero_copy_only=False)
+                value = columns[c].drop_null().to_numpy()
+                flat[:, k] = np.bincount(cell[there], value, cells) / np.bincount(cell[there], minlength=cells)
+        flat[:, 3:] = np.tile(reference, (len(sizes), 1))
+        seen = np.bincount(cell, minlength=cells) > 0
+        offsets = np.append(0, np.cumsum(seen.reshape(-1, slots).sum(axis=1)) * 6)
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[seen].ravel()))
+        return pa.RecordBatch.from_arrays([images.column("image_id"), lists], names=["image_id", "flat"])
+
+    return map_groups(pack(known, ["image_id"]), ["image_id"], meet, f"image_id {key_type}, flat array<double>", nulls_meet=True)
 
 
 def _solved(per_image: DataFrame, method: str) -> DataFrame:

@@ -12,6 +12,8 @@ from phenoweave.session import tune
 
 FRAME_WIDTH, FRAME_HEIGHT = 150, 50
 DETECTION_HEIGHT = 1210
+# Tasks that make the patches. A few splits of a small file would each make 24 rows of all their images.
+SPREAD = 200
 
 
 class Tables:
@@ -172,7 +174,9 @@ class Tables:
         tint = (F.col("image_id") % 7).cast("double")
         return (
             self.read("orders")
-            .select(F.col("o_orderkey").alias("image_id"), F.explode(reference).alias("s"))
+            .select(F.col("o_orderkey").alias("image_id"))
+            .repartition(SPREAD, "image_id")
+            .select("image_id", F.explode(reference).alias("s"))
             .select(
                 "image_id",
                 F.col("s.p").alias("patch_idx"),

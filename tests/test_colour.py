@@ -148,3 +148,31 @@ def test_normal_sums_in_long_form(spark):
     full = np.hstack([REFERENCE, np.ones((24, 1)), REFERENCE])
     got = {(r["i"], r["j"]): r["value"] for r in colourfit.normal_sums(df).collect()}
     assert got == {(i, j): pytest.approx(full[:, i] @ full[:, j]) for i in range(4) for j in range(7)}
+
+
+def test_patches_of_an_image_meet_in_any_order(spark):
+    rng = np.random.default_rng(7)
+    rows, cards = [], {}
+    for image in (1, 2, 3, None):
+        cards[image] = measured(rng)
+        rows += [(image, i, *map(float, cards[image][i])) for i in range(24)]
+    # A patch measured twice counts by its mean, unknown channels do not, nor do patches off the card.
+    rows += [(2, 5, None, 40.0, 60.0), (2, 5, 10.0, 20.0, 30.0), (3, 24, 9.0, 9.0, 9.0), (3, None, 9.0, 9.0, 9.0), (4, 30, 1.0, 2.0, 3.0)]
+    cards[2][5] = ((cards[2][5][0] + 10) / 2, (cards[2][5][1] + 60) / 3, (cards[2][5][2] + 90) / 3)
+    patches = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "image_id long, patch_idx int, r double, g double, b double").repartition(5)
+    found = {r["image_id"]: np.array(r["coef"]) for r in colourfit.fit(patches, "linear").collect()}
+    assert found.keys() == cards.keys()
+    for image, card in cards.items():
+        x = np.column_stack([card / 255, np.ones(24)])
+        want = np.linalg.lstsq(x, REFERENCE / 255, rcond=None)[0] * np.array([1, 1, 1, 255])[:, None]
+        assert found[image] == pytest.approx(want.T, abs=1e-8)
+
+
+def test_patches_travel_packed(spark, tables):
+    """One row an image is shuffled for a fit, made by many small tasks and not by the few that read the file."""
+    from phenoweave.operators.packing import pack
+
+    packed = pack(tables.patches, ["image_id"])
+    images = tables.frames.count()
+    assert images <= packed.count() < 1.2 * images
+    assert packed.rdd.getNumPartitions() >= 100
