@@ -157,7 +157,7 @@ CLEANING = (("close", 15, 15, 2), ("close", 25, 5, 1), ("open", 5, 5, 1))
 TILE_HEIGHT = 256
 
 
-TILE_CELLS = 2_000_000
+TILE_CELLS = 16_000_000  # of bands that are held at a time, a bit for each
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], group: list[str], work) -> Iterator[pd.DataFrame]:
@@ -178,7 +178,7 @@ def whole_groups(batches: Iterator[pd.DataFrame], group: list[str], work) -> Ite
 
 
 def _near(mask: np.ndarray, radius: int, axis: int) -> np.ndarray:
-    """Whether any cell within ``radius`` along ``axis`` is set, by doubling the window."""
+    """Whether any cell within ``radius`` along ``axis`` is set (for words: each of their cells), by doubling the window."""
     if not radius:
         return mask
     margin = [(radius, radius) if k == axis else (0, 0) for k in range(mask.ndim)]
@@ -192,17 +192,93 @@ def _near(mask: np.ndarray, radius: int, axis: int) -> np.ndarray:
     return wide
 
 
-def _filter_bands(bands: np.ndarray, steps) -> np.ndarray:
-    """Apply the steps to a stack of equally sized bands (band, row, column)."""
+def _later(words: np.ndarray, step: int) -> np.ndarray:
+    """Every cell moved ``step`` columns to the right; ``words[i]`` holds columns 64 i to 64 i + 63 of all rows."""
+    whole, part = divmod(step, 64)
+    out = np.zeros_like(words)
+    kept = words[: len(words) - whole]
+    out[whole:] = kept << part
+    if part:
+        out[whole + 1 :] |= kept[:-1] >> (64 - part)
+    return out
+
+
+def _earlier(words: np.ndarray, step: int) -> np.ndarray:
+    """Every cell moved ``step`` columns to the left."""
+    whole, part = divmod(step, 64)
+    out = np.zeros_like(words)
+    kept, size = words[whole:], len(words) - whole
+    out[:size] = kept >> part
+    if part:
+        out[: size - 1] |= kept[1:] << (64 - part)
+    return out
+
+
+def _beside(words: np.ndarray, radius: int) -> np.ndarray:
+    """Whether any cell within ``radius`` along the row is set; the words have room for twice the radius."""
+    span, whole = 1, 2 * radius + 1
+    while span < whole:
+        step = min(span, whole - span)
+        words = words | _later(words, step)
+        span += step
+    return _earlier(words, radius) if radius else words
+
+
+def _fill_words(row: np.ndarray, start: np.ndarray, end: np.ndarray, rows: int, width: int, room: int) -> np.ndarray:
+    """(word, row) with the cells of the runs set, the first column in the lowest bit."""
+    size = (width + room + 63) // 64
+    start, end = np.maximum(start, 0), np.minimum(end, width - 1)
+    kept = start <= end
+    row, start, end = row[kept], start[kept], end[kept]
+    n = (end >> 6) - (start >> 6) + 1
+    run = np.repeat(np.arange(len(n)), n)
+    word = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + (start >> 6)[run]
+    low, high = np.maximum(start[run] - word * 64, 0), np.minimum(end[run] - word * 64, 63)
+    full = np.uint64(2**64 - 1)
+    cells = (full << low.astype(np.uint64)) & (full >> (63 - high).astype(np.uint64))
+    at = word * rows + row[run]
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    out = np.zeros(size * rows, np.uint64)
+    if len(first):
+        out[at[first]] = np.bitwise_or.reduceat(cells[order], first)
+    return out.reshape(size, rows)
+
+
+def _set_cells(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the set cells, in order of rows."""
+    flat = words.reshape(len(words), -1).T.ravel()
+    held = np.flatnonzero(flat)
+    which, bit = np.nonzero(np.unpackbits(flat[held].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    row, word = np.divmod(held[which], len(words))
+    return row, word * 64 + bit
+
+
+def _filter_words(bands: np.ndarray, steps, width: int) -> np.ndarray:
+    """Apply the steps to a stack of equally sized bands (word, band, row)."""
+    one = np.zeros(1, int)
+    frame = _fill_words(one, one, one + width - 1, 1, width, len(bands) * 64 - width)[:, :, None]
     for step, w, h, n in steps:
         rx, ry = (w // 2) * n, (h // 2) * n
         for grow in STEPS[step]:
-            bands = bands if grow else ~bands
-            bands = _near(_near(bands, rx, 2), ry, 1)
-            bands = bands if grow else ~bands
+            bands = bands if grow else ~bands & frame
+            bands = _near(_beside(bands, rx) & frame, ry, 2)
+            bands = bands if grow else ~bands & frame
     return bands
 
 
+def _filter_bands(bands: np.ndarray, steps) -> np.ndarray:
+    """:func:`_filter_words` on cells (band, row, column)."""
+    count, rows, width = bands.shape
+    line, column = np.nonzero(bands.reshape(-1, width))
+    room = 2 * max((w // 2) * n for _, w, _, n in steps)
+    words = _fill_words(line, column, column, count * rows, width, room).reshape(-1, count, rows)
+    out = np.zeros((count * rows, width), bool)
+    out[_set_cells(_filter_words(words, steps, width))] = True
+    return out.reshape(bands.shape)
+
+
 def clean_green_mask(
     runs: DataFrame, frames: DataFrame, keys=("image_id",), steps=CLEANING, tile_height: int = TILE_HEIGHT
 ) -> DataFrame:
@@ -221,6 +297,7 @@ def clean_green_mask(
 def _filter_runs(sized: DataFrame, keys: list[str], steps, tile_height: int = TILE_HEIGHT) -> DataFrame:
     """The steps on runs inside their frames (``_w``, ``_h``), in one shuffle by overlapping bands of rows."""
     reach = sum(len(STEPS[step]) * (h // 2) * n for step, _, h, n in steps)
+    room = 2 * max((w // 2) * n for _, w, _, n in steps)
     last = F.floor((F.col("_h") - 1) / tile_height)
     banded = sized.withColumn(
         "_band",
@@ -247,16 +324,13 @@ def _filter_runs(sized: DataFrame, keys: list[str], steps, tile_height: int = TI
                 members = pdf[pdf["_g"].isin(part.index)] if len(part) < len(heads) else pdf
                 slot = np.searchsorted(part.index.to_numpy(), members["_g"].to_numpy())
                 top = part["_top"].to_numpy()
-                line = (slot * rows + members["y"].to_numpy() - top[slot]) * (width + 1)
-                edges = np.bincount(line + members["x_start"].to_numpy(), minlength=len(part) * rows * (width + 1))
-                edges -= np.bincount(line + members["x_end"].to_numpy() + 1, minlength=len(edges))
-                bands = _filter_bands((np.cumsum(edges, dtype=np.int32) > 0).reshape(len(part), rows, width + 1)[:, :, :width], steps)
-                # A line of cells with a gap behind every row: runs begin and end where it changes.
-                cells = np.zeros((len(part), rows, width + 1), bool)
-                cells[:, :, :width] = bands
-                change = np.flatnonzero(np.diff(cells.ravel(), prepend=False))
-                start, end = change[::2] % (width + 1), change[1::2] % (width + 1) - 1
-                slot, y = np.divmod(change[::2] // (width + 1), rows)
+                line = slot * rows + members["y"].to_numpy() - top[slot]
+                cells = _fill_words(line, members["x_start"].to_numpy(), members["x_end"].to_numpy(), len(part) * rows, width, room)
+                bands = _filter_words(cells.reshape(-1, len(part), rows), steps, width)
+                # Runs begin at cells without one before them and end at those without one behind.
+                line, start = _set_cells(bands & ~_later(bands, 1))
+                end = _set_cells(bands & ~_earlier(bands, 1))[1]
+                slot, y = np.divmod(line, rows)
                 y = y + top[slot]
                 core = y // tile_height == part["_band"].to_numpy()[slot]
                 out = part[keys].iloc[slot[core]].reset_index(drop=True)

@@ -176,3 +176,18 @@ def test_heights_of_whole_masks(spark):
     frame = spark.createDataFrame(rows, "image_id string, strip_id int, y int, x_start long, x_end long")
     got = sorted((r["image_id"], r["height"] or 0, r["columns"], r["pixels"]) for r in strips.height_counts(frame).collect())
     assert got == [("a", 1, 3, 3), ("a", 4, 2, 4), ("b", 1, 1, 1), ("c", 0, 2, 2)]
+
+
+@pytest.mark.parametrize("width", [1, 63, 64, 65, 130, 192])
+def test_steps_on_words_equal_steps_on_cells(width):
+    """Sixty-four columns to a word, across the borders of words and up to the frame."""
+    rng = np.random.default_rng(width)
+    bands = rng.random((3, 12, width)) < 0.7
+    dense = {"close": lambda m, w, h: rasters.erode(rasters.dilate(m, w, h), w, h), "open": lambda m, w, h: rasters.dilate(rasters.erode(m, w, h), w, h),
+             "dilate": rasters.dilate, "erode": rasters.erode}
+    for step, w, h in (("erode", 3, 1), ("dilate", 5, 3), ("close", 131, 3), ("open", 3, 3), ("open", 1, 5)):
+        line, column = np.nonzero(bands.reshape(-1, width))
+        words = runs._fill_words(line, column, column, 36, width, w).reshape(-1, 3, 12)
+        got = np.zeros((36, width), bool)
+        got[runs._set_cells(runs._filter_words(words, ((step, w, h, 1),), width))] = True
+        assert (got.reshape(bands.shape) == np.array([dense[step](m, w, h) for m in bands])).all(), step
