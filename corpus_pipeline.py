@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from phenoweave.llm import decontaminate, line_dedup, near_text, pieces, toxicity
 from phenoweave.llm.queries import vocabulary
-from phenoweave.session import checkpoint_folder
+from phenoweave.session import checkpoint_folder, text_batches
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``."""
     folder = f"{checkpoint_folder(spark).rstrip('/')}/phenoweave/pipeline-{uuid.uuid4().hex}"
+    text_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)

@@ -7,11 +7,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phenoweave.llm import decontaminate, divergence, hard_negatives, line_dedup, near_text, near_vectors, pieces, quotations, sharding, stream_dedup, token_counts, toxicity, warc
+from phenoweave.session import text_batches
 
 TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files; read by the driver
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,19 +7,20 @@ over one box is bounded by the raster's height.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from phenoweave.operators.runs import whole_groups
+from phenoweave.operators.packing import in_order, map_groups, pack
 
 MIN_AREA = 5000
 SEPARATION = 0.1
 MARGIN = 0.02
 MIDRIB_FACTOR = 1.05
 PROMINENCE = 0.1
+SIGNAL_CELLS = 50_000  # rows of equally long signals that are weighted together
 
 
 def candidate_score(area: Column, aspect: Column, extent: Column) -> Column:
@@ -120,34 +121,39 @@ def smooth_gaussian(
 ) -> DataFrame:
     """Gaussian smoothing along dense rows 0..n-1 with half-sample reflection.
 
-    Signals are dealt whole, a value per raster row, and equally long ones are
-    weighted together, in one shuffle.
+    Signals are dealt whole, packed, a value per raster row, and equally long
+    ones are weighted together, in one shuffle.
     """
     weights = gaussian_weights(sigma)
     radius = len(weights) // 2
     keys = list(keys)
     kinds = {f.name: f.dataType.simpleString() for f in profile.schema.fields}
-
-    def smooth(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
-        sizes = np.diff(starts, append=len(pdf))
-        values, out = pdf[value].to_numpy(float), np.empty(len(pdf))
+    names = profile.columns
+
+    def smooth(heads: pa.RecordBatch, sizes: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        place = in_order(sizes, columns[row].to_numpy(zero_copy_only=False))
+        if place is not None:
+            columns = {c: v.take(pa.array(place)) for c, v in columns.items()}
+        values, out = columns[value].to_numpy(zero_copy_only=False).astype(float), np.empty(sizes.sum())
+        starts = np.cumsum(sizes) - sizes
         for n in np.unique(sizes):
-            cells = starts[sizes == n][:, None] + np.arange(n)
             # The place of a mirrored row inside the signal.
             turn = np.arange(-radius, n + radius) % (2 * n)
-            signal = values[cells][:, np.where(turn < n, turn, 2 * n - 1 - turn)]
-            total = np.zeros(cells.shape)
-            for k, w in enumerate(weights):
-                total += signal[:, k : k + n] * w
-            out[cells] = total
-        yield pdf.assign(**{name: out})
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in profile.columns) + f", {name} double"
-    return (
-        profile.repartition(*keys).sortWithinPartitions(*keys, row)
-        .mapInPandas(lambda batches: whole_groups(batches, keys, smooth), schema)
-    )
+            turn = np.where(turn < n, turn, 2 * n - 1 - turn)
+            chosen = starts[sizes == n]
+            for part in np.array_split(chosen, -(-len(chosen) * n // SIGNAL_CELLS)):
+                cells = part[:, None] + np.arange(n)
+                signal = values[cells].T[turn]
+                total = np.zeros((n, len(part)))
+                for k, w in enumerate(weights):
+                    total += signal[k : k + n] * w
+                out[cells] = total.T
+        group = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        whole = {**{k: heads.column(k).take(group) for k in keys}, **columns}
+        return pa.RecordBatch.from_arrays([*[whole[c] for c in names], pa.array(out)], names=[*names, name])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", `{name}` double"
+    return map_groups(pack(profile, keys), keys, smooth, schema)
 
 
 def smooth_mean(
@@ -211,33 +217,46 @@ def _prominent_peaks(signal: np.ndarray, minimum: float) -> list[int]:
     return found
 
 
+def _middle_valleys(signal: np.ndarray, sizes: np.ndarray, minimum: np.ndarray) -> np.ndarray:
+    """Per signal the middle one of its prominent peaks, or -1; flat signals have none."""
+    starts = np.cumsum(sizes) - sizes
+    # A peak needs a fall of the minimum inside the signal: most signals are too flat to be searched.
+    fall = np.maximum.reduceat(signal, starts) - np.minimum.reduceat(signal, starts)
+    found = np.full(len(sizes), -1)
+    for at in np.flatnonzero(~(fall < minimum)):
+        peaks = _prominent_peaks(signal[starts[at] : starts[at] + sizes[at]], minimum[at])
+        if peaks:
+            found[at] = peaks[len(peaks) // 2]
+    return found
+
+
 def valley_row(
     profile: DataFrame, keys: Sequence[str], width: str = "box_width", row: str = "row", value: str = "pixels",
     prominence: float = PROMINENCE,
 ) -> DataFrame:
     """Middle valley of the row projection with enough prominence, per box.
 
-    Projections are dealt whole, at most one value per raster row; many boxes
-    are searched in each Arrow batch.
+    Projections are dealt whole, packed, at most one value per raster row; many
+    boxes are searched in each Arrow batch.
     """
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in profile.schema.fields}
 
-    def pick(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
-        signals, wide = -pdf[value].to_numpy(float), np.fmax.reduceat(pdf[width].to_numpy(float), starts)
-        found = []
-        for at, past, across in zip(starts, np.append(starts[1:], len(pdf)), wide):
-            peaks = _prominent_peaks(signals[at:past], across * prominence)
-            found.append(peaks[len(peaks) // 2] if peaks else -1)
-        yield pdf[keys].iloc[starts].assign(valley_row=found).query("valley_row >= 0")
+    def pick(heads: pa.RecordBatch, sizes: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        place = in_order(sizes, columns[row].to_numpy(zero_copy_only=False))
+        if place is not None:
+            columns = {c: v.take(pa.array(place)) for c, v in columns.items()}
+        starts = np.cumsum(sizes) - sizes
+        signals, across = (columns[c].to_numpy(zero_copy_only=False).astype(float) for c in (value, width))
+        found = _middle_valleys(-signals, sizes, np.fmax.reduceat(across, starts) * prominence)
+        kept = np.flatnonzero(found >= 0)
+        return pa.RecordBatch.from_arrays(
+            [*[heads.column(k).take(pa.array(kept)) for k in keys], pa.array(found[kept].astype(np.int32))], names=[*keys, "valley_row"]
+        )
 
     # Projections are dense, so the position in the signal is the row.
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["valley_row int"])
-    return (
-        profile.select(*keys, row, value, width).repartition(*keys).sortWithinPartitions(*keys, row)
-        .mapInPandas(lambda batches: whole_groups(batches, keys, pick), schema)
-    )
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["valley_row int"])
+    return map_groups(pack(profile.select(*keys, row, value, width), keys), keys, pick, schema)
 
 
 def split_at(boxes: DataFrame, split_y: Column, margin: float = 0.0, keys: Sequence[str] = ("image_id",)) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phenoweave.operators.colourfit import REFERENCE_PATCHES
 from phenoweave.operators.runs import merge_runs
-from phenoweave.session import tune
+from phenoweave.session import numeric_batches, tune
 
 FRAME_WIDTH, FRAME_HEIGHT = 150, 50
 DETECTION_HEIGHT = 1210
@@ -21,6 +21,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = tune(spark)
+        numeric_batches(spark)
         self.sf_dir = str(sf_dir).rstrip("/")
 
     def read(self, name: str) -> DataFrame:

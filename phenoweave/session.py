@@ -35,6 +35,22 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def numeric_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by rows alone: for rows of a few numbers.
+
+    With a bound in bytes Spark measures the batch after every row, which costs more than to send the row.
+    """
+    spark.conf.set(BATCH_BYTES, str(2**31 - 1))
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches in bytes as the session was set up to: for rows that hold texts."""
+    spark.conf.unset(BATCH_BYTES)
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session created elsewhere."""
     for key, value in RUNTIME_CONF.items():

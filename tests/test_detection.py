@@ -223,3 +223,33 @@ def test_every_image_gets_a_box_count(spark):
     assert outcomes == {"two": ("ready", False), "one": ("skipped", True), "none": ("skipped", True), "broken": ("failed", False)}
     # An image that detection has no row of counts as one without boxes, not as done.
     assert {r.image_id: r.num_boxes_detected for r in gate(images, done, counts.filter("image_id = 'two'")).collect()}["none"] == 0
+
+
+def test_signals_travel_packed(spark):
+    """Long and short signals and rows without a key; neighbouring rows are shuffled as one, the other columns stay with theirs."""
+    from phenoweave.operators.packing import pack
+
+    signals = {f"s{k}": RNG.random(n) * 100 for k, n in enumerate((1, 2, 63, 64, 65, 128, 200, 200, 41))}
+    rows = [(name, i, float(v), f"{name}-{i}") for name, s in signals.items() for i, v in enumerate(s)] + [(None, 0, 5.0, "x"), (None, 3, 7.0, None)]
+    shape = "image_id string, row int, brightness double, note string"
+    whole = spark.createDataFrame(rows, shape).coalesce(1)
+    assert pack(whole, ["image_id"]).count() == sum(-(-len(s) // 64) for s in signals.values()) + 2
+    mixed = spark.createDataFrame([rows[i] for i in RNG.permutation(len(rows))], shape).repartition(3)
+    for profile in (whole, mixed):
+        found = detection.smooth_gaussian(profile, ["image_id"]).collect()
+        assert len(found) == len(rows)
+        for r in found:
+            if r["image_id"] is None:
+                assert r["smoothed"] == pytest.approx(r["brightness"]) and r["note"] == {0: "x", 3: None}[r["row"]]
+            else:
+                assert r["smoothed"] == pytest.approx(gaussian(signals[r["image_id"]])[r["row"]]) and r["note"] == f"{r['image_id']}-{r['row']}"
+
+
+def test_batches_of_numbers_and_of_texts(spark):
+    from phenoweave import session
+
+    before = spark.conf.get(session.BATCH_BYTES)
+    session.numeric_batches(spark)
+    assert spark.conf.get(session.BATCH_BYTES) == str(2**31 - 1)
+    session.text_batches(spark)
+    assert int(spark.conf.get(session.BATCH_BYTES).rstrip("b")) < 2**31 - 1 and before
