@@ -20,6 +20,10 @@ from phenoweave.session import durable
 
 NOISE = -1
 TILE_ROWS = 512
+STRIP_ROWS = 2_048  # that TILE_ROWS rows of a tile are compared with at once
+BLOCKS = 48  # that the points of a large cell are dealt to: each point is copied as often, whatever their number,
+BLOCK_ENTRIES = 2**21  # unless a block would hold more numbers than these
+DEALT_ROWS = 4_096  # points that one task copies
 PIVOTS = 8  # of a cell that DBSCAN's metric tree splits
 SEED_ROWS = 2_000  # rows that first centres of k-means are drawn from
 WHOLE_BITS = 30  # bits of the largest entry as a whole number, for sums that do not depend on their order
@@ -248,23 +252,62 @@ def _dimension_free_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def _entries(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors).astype(float)
+
+
+class _Near:
+    """Which rows of two tables are within ``eps``.
+
+    By inner products in single precision; where these could be wrong by exact sums, or where that is often, by
+    inner products in double precision before.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, eps: float):
+        self.sides, self.eps = (a, b), eps
+        finite = [np.isfinite(side).all(1) for side in self.sides]
+        shift = a[finite[0]].mean(0) if finite[0].any() else np.zeros(a.shape[1])
+        reach = np.abs(shift).max(initial=0.0) + max(np.abs(side[ok]).max(initial=0.0) for side, ok in zip(self.sides, finite))
+        x, y = (np.where(ok[:, None], side - shift, 0.0) for side, ok in zip(self.sides, finite))
+        # No entry is beyond 1, so that squares are within the range of single precision.
+        unit = max(np.abs(x).max(initial=0.0), np.abs(y).max(initial=0.0), eps) or 1.0
+        x, y, limit = x / unit, y / unit, (eps / unit) ** 2
+        # A row with an entry that is no finite number is near to none.
+        sizes = [np.where(ok, (side * side).sum(1), np.inf)[:, None] for side, ok in zip((x, y), finite)]
+        # The inner product of two such rows is their squared distance less that of eps.
+        self.forms = {np.float64: (np.hstack([-2 * x, sizes[0], np.ones_like(sizes[0])]), np.hstack([y, np.ones_like(sizes[1]), sizes[1] - limit]))}
+        self.forms[np.float32] = tuple(side.astype(np.float32) for side in self.forms[np.float64])
+        # Far above the rounding of the inner products and of the shifted entries.
+        largest = 2 * sum(size[ok].max(initial=0.0) for size, ok in zip(sizes, finite)) + limit
+        moved = 1e-13 * a.shape[1] * (reach / unit) ** 2
+        slack = lambda kind: max(2 * (a.shape[1] + 8) * float(np.finfo(kind).eps), 1e-9) * largest + moved
+        self.slack = {kind: slack(kind) if math.isfinite(eps) else math.nan for kind in self.forms}
+
+    def table(self, rows: np.ndarray | slice, cols: np.ndarray | slice) -> np.ndarray:
+        """Whether each of these rows of the first table is near each of those of the second."""
+        for kind in (np.float32, np.float64):
+            left, right = self.forms[kind]
+            gap = left[rows] @ right[cols].T
+            # Not-a-numbers are unsure as well.
+            close = ~(gap > self.slack[kind])
+            at = np.flatnonzero(close)
+            unsure = at[~(gap.ravel()[at] < -self.slack[kind])]
+            if len(unsure) <= gap.size / 64:
+                break
+        a, b = self.sides[0][rows], self.sides[1][cols]
+        for k in range(0, len(unsure), TILE_ROWS * TILE_ROWS):
+            few = unsure[k : k + TILE_ROWS * TILE_ROWS]
+            u, v = np.divmod(few, gap.shape[1])
+            out = np.zeros(len(few))
+            for c in range(a.shape[1]):
+                out += (a[u, c] - b[v, c]) ** 2
+            close.flat[few] = np.sqrt(out) <= self.eps
+        return close
+
+
 def _within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
-    """Which pairs are within ``eps``: by inner products, and by exact sums where these could be wrong."""
-    shift = a.mean(0)
-    x, y = a - shift, b - shift
-    sizes = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
-    gap = sizes - 2 * (x @ y.T) - eps * eps
-    close = gap <= 0
-    # Far above the rounding of the inner products and of the shifted entries; not-a-numbers are unsure as well.
-    reach = np.abs(shift).max() + np.abs(a).max() + np.abs(b).max()
-    rows, cols = np.nonzero(~(np.abs(gap) > 1e-9 * (sizes + eps * eps) + 1e-13 * a.shape[1] * reach * reach))
-    for i in range(0, len(rows), TILE_ROWS * TILE_ROWS):
-        u, v = rows[i : i + TILE_ROWS * TILE_ROWS], cols[i : i + TILE_ROWS * TILE_ROWS]
-        out = np.zeros(len(u))
-        for k in range(a.shape[1]):
-            out += (a[u, k] - b[v, k]) ** 2
-        close[u, v] = np.sqrt(out) <= eps
-    return close
+    """Which pairs are within ``eps``."""
+    return _Near(a, b, eps).table(slice(None), slice(None))
 
 
 def _cells(points: DataFrame, eps: float) -> DataFrame:
@@ -276,14 +319,14 @@ def _cells(points: DataFrame, eps: float) -> DataFrame:
     saves distances, which wide neighbourhoods in many dimensions do not. ``gap`` is the distance to the cell's pivot.
     """
     key = points.schema["id"].dataType.simpleString()
-    schema = f"cell string, id {key}, weight bigint, vec array<double>, home boolean, gap double"
+    schema = f"cell string, id {key}, weight bigint, vec {points.schema['vec'].dataType.simpleString()}, home boolean, gap double"
     columns = ["cell", "id", "weight", "vec", "home", "gap"]
 
     def placed(pdf: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
         """Per cell its rows, their distances to the pivots, the pivots they belong to and the nearest one."""
         for cell, rows in pdf.groupby("cell", sort=False):
-            pivots = np.stack(rows["pivots"].iloc[0])
-            gaps, apart = _dimension_free_distance(np.stack(rows["vec"]), pivots), _dimension_free_distance(pivots, pivots)
+            pivots = np.stack(rows["pivots"].iloc[0]).astype(float)
+            gaps, apart = _dimension_free_distance(_entries(rows["vec"]), pivots), _dimension_free_distance(pivots, pivots)
             own = gaps.argmin(1)
             square = gaps * gaps
             # Twice the distance to the plane, times that of the pivots; a hair more, for the rounding.
@@ -328,19 +371,36 @@ def _cells(points: DataFrame, eps: float) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, [x.select(*columns) for x in leaves])
 
 
-def _tiles(points: DataFrame, eps: float) -> DataFrame:
-    """(tile, side, itself, own, id, weight, vec, gap): points dealt to the pairs of blocks they meet.
+def _blocks(points: DataFrame, eps: float) -> DataFrame:
+    """The rows of :func:`_cells` with their ``block`` and the numbers of blocks of their leaf, ``homes`` and ``guests``.
 
-    The home points of a leaf form blocks of about ``TILE_ROWS``, its guests too. Two home blocks meet once, a block
-    also itself; a home block meets every guest block, where only its own points ask (``own``).
+    The home points of a leaf form blocks of about ``TILE_ROWS``, its guests too, but no more than ``BLOCKS`` unless
+    they grew beyond ``BLOCK_ENTRIES``: what is sent grows with the points, not with their square.
     """
     cells = durable(_cells(points, eps), "dbscan-cells")
-    blocks = F.ceil(F.col("n") / TILE_ROWS)
-    sizes = cells.groupBy("cell").agg(F.count_if("home").alias("n"), F.count_if(~F.col("home")).alias("g")).select(
-        "cell", blocks.alias("homes"), F.ceil(F.col("g") / TILE_ROWS).alias("guests")
+    blocks = lambda n: F.greatest(
+        F.least(F.ceil(F.col(n) / TILE_ROWS), F.lit(BLOCKS)), F.ceil(F.col(n) * F.col("entries") / BLOCK_ENTRIES)
     )
+    sizes = cells.groupBy("cell").agg(
+        F.count_if("home").alias("n"), F.count_if(~F.col("home")).alias("g"), F.coalesce(F.max(F.size("vec")), F.lit(1)).alias("entries")
+    ).select("cell", blocks("n").alias("homes"), blocks("g").alias("guests"))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests")))
+    # The copies are made by many tasks, not by the few that read the file.
+    return cells.join(sizes, "cell").withColumn("block", block).repartition(1 + cells.count() // DEALT_ROWS, "id")
+
+
+def _tiles(points: DataFrame, eps: float) -> DataFrame:
+    """(tile, side, itself, own, id, weight, vec, gap): points dealt to the pairs of blocks they meet."""
+    return _meetings(_blocks(points, eps))
+
+
+def _meetings(blocks: DataFrame, *more: str) -> DataFrame:
+    """The tiles of :func:`_blocks`, with ``more`` of its columns.
+
+    Two home blocks meet once, a block also itself; a home block meets every guest block, where only its own
+    points ask (``own``).
+    """
     until = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
-    placed = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))))
     place = lambda kind, a, b, side: F.struct(
         F.concat_ws(":", "cell", F.lit(kind), a, b).alias("tile"), F.lit(side).alias("side"), (F.lit(kind == "home") & (a == b)).alias("itself")
     )
@@ -352,22 +412,87 @@ def _tiles(points: DataFrame, eps: float) -> DataFrame:
     asks = F.transform(until(F.col("guests")), lambda other: place("guest", block, other, 0))
     answers = F.transform(until(F.col("homes")), lambda other: place("guest", other, block, 1))
     meets = F.explode(F.when(F.col("home"), F.concat(among, asks)).otherwise(answers))
-    return placed.withColumn("_t", meets).select("_t.tile", "_t.side", "_t.itself", F.col("home").alias("own"), "id", "weight", "vec", "gap")
+    return blocks.withColumn("_t", meets).select("_t.tile", "_t.side", "_t.itself", F.col("home").alias("own"), "id", "weight", "vec", "gap", *more)
 
 
-def _tile_distances(pdf: pd.DataFrame, eps: float):
-    """Frames of both sides and the within-eps matrix; one block meets itself once. None where a side has no points."""
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool] | None:
+    """Both sides of a tile and whether they are one block, which meets itself once. None where a side has no points."""
     a = pdf[pdf["side"] == 0]
     itself = bool(pdf["itself"].iloc[0])
     b = a if itself else pdf[pdf["side"] == 1]
-    if a.empty or b.empty:
-        return None
-    if a["gap"].max() + b["gap"].max() <= eps * (1 - 1e-9):
-        # Both sides are so near the cell's pivot that no pair can be further apart.
-        close = np.ones((len(a), len(b)), bool)
-    else:
-        close = _within(np.stack(a["vec"]), np.stack(b["vec"]), eps)
-    return a, b, close, itself
+    return None if a.empty or b.empty else (a, b, itself)
+
+
+def _all_close(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> bool:
+    """Whether both sides are so near the cell's pivot that no pair can be further apart."""
+    return bool(a["gap"].max() + b["gap"].max() <= eps * (1 - 1e-9))
+
+
+def _strips(rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i in range(0, len(rows), TILE_ROWS):
+        for j in range(0, len(cols), STRIP_ROWS):
+            yield rows[i : i + TILE_ROWS], cols[j : j + STRIP_ROWS]
+
+
+def _neighbours(a: pd.DataFrame, b: pd.DataFrame, eps: float, enough: int, answers: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of the neighbours among b of each point of a, and where b asks as well (``answers``) the other way round.
+
+    What is beyond ``enough`` need not be counted: points that have so much are only compared with those that have less.
+    """
+    left, right = (side["weight"].to_numpy(np.int64) for side in (a, b))
+    if _all_close(a, b, eps):
+        return np.full(len(a), right.sum()), np.full(len(b), left.sum())
+    near = _Near(_entries(a["vec"]), _entries(b["vec"]), eps)
+    n, m = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    for rows, cols in _strips(np.arange(len(a)), np.arange(len(b))):
+        short, behind = n[rows] < enough, answers & (m[cols] < enough)
+        for u, v in ((rows[short], cols), (rows[~short], cols[behind])):
+            if len(u) and len(v):
+                i, j = np.nonzero(near.table(u, v))
+                n += np.bincount(u[i], right[v[j]], len(a)).astype(np.int64)
+                m += np.bincount(v[j], left[u[i]], len(b)).astype(np.int64)
+    return n, m
+
+
+def _reached(a: pd.DataFrame, b: pd.DataFrame, itself: bool, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A label per point, equal for core points that reach each other in the tile; and the pairs (other point, core point).
+
+    Points are numbered through a and, unless they are one block, b. Core points that reach each other already
+    are not compared.
+    """
+    first, size = len(a), len(a) if itself else len(a) + len(b)
+    core = a["core"].to_numpy(bool) if itself else np.concatenate([a["core"].to_numpy(bool), b["core"].to_numpy(bool)])
+    shift = 0 if itself else first
+    places = np.arange(first), np.arange(shift, size)
+    near = None if _all_close(a, b, eps) else _Near(_entries(a["vec"]), _entries(b["vec"]), eps)
+
+    def met(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(u) or not len(v):
+            return u[:0], v[:0]
+        i, j = np.nonzero(np.ones((len(u), len(v)), bool) if near is None else near.table(u, v - shift))
+        return u[i], v[j]
+
+    label, edges, held = np.arange(size), [], 0
+    rows, cols = (p[core[p]] for p in places)
+    for u, v in _strips(rows, cols):
+        known, times = np.unique(label[np.concatenate([u, v])], return_counts=True)
+        most = known[times.argmax()]
+        in_u, in_v = label[u] == most, label[v] == most
+        for x, y in (met(u[~in_u], v), met(u[in_u], v[~in_v])):
+            apart = label[x] != label[y]
+            if apart.any():
+                edges.append((label[x[apart]], label[y[apart]]))
+                held += len(edges[-1][0])
+        if held >= STRIP_ROWS:
+            label, edges, held = smallest_labels(size, *map(np.concatenate, zip(*edges)))[label], [], 0
+    if edges:
+        label = smallest_labels(size, *map(np.concatenate, zip(*edges)))[label]
+
+    fringe = [met(u, v) for u, v in _strips(places[0][~core[places[0]]], cols)]
+    # Guests ask in their own cell.
+    if not itself and b["own"].iloc[0]:
+        fringe += [met(u, v)[::-1] for u, v in _strips(rows, places[1][~core[places[1]]])]
+    return label, *(np.concatenate([places[0][:0], *(pair[k] for pair in fringe)]) for k in (0, 1))
 
 
 def dbscan(df: DataFrame, key: str, vector: str = "embedding", eps: float = 0.5, min_samples: int = 5) -> DataFrame:
@@ -379,50 +504,42 @@ def dbscan(df: DataFrame, key: str, vector: str = "embedding", eps: float = 0.5,
     close pairs is ever written.
     """
     key_type = df.schema[key].dataType.simpleString()
-    vectors = df.select(key, F.col(vector).cast("array<double>").alias("vec"))
+    # Floats are sent as such and become doubles where they are compared.
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    vectors = df.select(key, F.col(vector).cast(kind).alias("vec"))
     points = durable(
         vectors.groupBy("vec").agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("weight")), "dbscan-points"
     )
-    tiles = _tiles(points, eps)
+    blocks = _blocks(points, eps)
 
     def count_neighbours(pdf: pd.DataFrame) -> pd.DataFrame:
-        met = _tile_distances(pdf, eps)
+        met = _sides(pdf)
         if met is None:
             return pd.DataFrame({"id": [], "n": []})
-        a, b, close, itself = met
-        out = pd.DataFrame({"id": a["id"].to_numpy(), "n": close @ b["weight"].to_numpy()})
-        if not itself and b["own"].iloc[0]:
-            out = pd.concat([out, pd.DataFrame({"id": b["id"].to_numpy(), "n": a["weight"].to_numpy() @ close})])
-        return out
+        a, b, itself = met
+        answers = not itself and bool(b["own"].iloc[0])
+        n, m = _neighbours(a, b, eps, min_samples, answers)
+        out = pd.DataFrame({"id": a["id"].to_numpy(), "n": n})
+        return pd.concat([out, pd.DataFrame({"id": b["id"].to_numpy(), "n": m})]) if answers else out
 
-    counts = tiles.groupBy("tile").applyInPandas(count_neighbours, f"id {key_type}, n bigint")
+    counts = _meetings(blocks).groupBy("tile").applyInPandas(count_neighbours, f"id {key_type}, n bigint")
     cores = durable(
         counts.groupBy("id").agg((F.sum("n") >= min_samples).alias("core")), "dbscan-cores"
     )
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"src": [], "dst": [], "border": []})
-        met = _tile_distances(pdf, eps)
+        met = _sides(pdf)
         if met is None:
-            return empty
-        a, b, close, itself = met
-        ids = a["id"].tolist() if itself else a["id"].tolist() + b["id"].tolist()
-        core = np.array(a["core"].tolist() if itself else a["core"].tolist() + b["core"].tolist(), bool)
-        size, shift = len(ids), 0 if itself else len(a)
-        rows, cols = np.nonzero(close)
-        cols = cols + shift
-        both = core[rows] & core[cols] & (rows != cols)
-        label = smallest_labels(size, rows[both], cols[both])
-        star = [(ids[i], ids[label[i]], False) for i in range(size) if core[i] and label[i] != i]
-        edge = core[rows] != core[cols]
-        fringe = {
-            (ids[i], ids[j], True) if core[j] else (ids[j], ids[i], True)
-            for i, j in zip(rows[edge].tolist(), cols[edge].tolist())
-        }
-        return pd.DataFrame(star + sorted(fringe), columns=["src", "dst", "border"]) if star or fringe else empty
+            return pd.DataFrame({"src": [], "dst": [], "border": []})
+        a, b, itself = met
+        ids = a["id"].to_numpy() if itself else np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()])
+        label, other, core = _reached(a, b, itself, eps)
+        star = np.flatnonzero(label != np.arange(len(ids)))
+        links = np.concatenate([star, other]), np.concatenate([label[star], core])
+        return pd.DataFrame({"src": ids[links[0]], "dst": ids[links[1]], "border": np.arange(len(links[0])) >= len(star)})
 
     links = durable(
-        tiles.join(cores, "id")
+        _meetings(blocks.join(cores, "id"), "core")
         .groupBy("tile")
         .applyInPandas(link, f"src {key_type}, dst {key_type}, border boolean"),
         "dbscan-links",

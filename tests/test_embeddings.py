@@ -167,3 +167,51 @@ def test_explained_variance_of_few_rows_and_equal_rows(spark):
     scores, ratios = embeddings.principal_components(spark.createDataFrame(rows, "k long, embedding array<double>"), "k")
     assert [r[1] for r in ratios.orderBy("component").collect()] == pytest.approx([1.0, 0.0])
     assert [r["components"][0] for r in scores.orderBy("k").collect()] == pytest.approx([(i - 1.5) * 5**0.5 for i in range(4)])
+
+
+def test_dbscan_sends_each_point_to_few_blocks(spark, monkeypatch):
+    """What is shuffled grew with the square of the points that no split parts."""
+    monkeypatch.setattr(embeddings, "TILE_ROWS", 4)
+    rng = np.random.default_rng(12)
+    sphere = rng.normal(0, 1, (500, 64))
+    sphere /= np.linalg.norm(sphere, axis=1)[:, None]
+    rows = frame(spark, sphere).select(F.col("embedding").alias("vec"), "id", F.lit(1).cast("bigint").alias("weight"))
+    tiles = embeddings._tiles(rows, 1.16)
+    assert tiles.groupBy("id").count().agg(F.max("count")).head()[0] <= embeddings.BLOCKS < 500 / 4
+    sides = tiles.groupBy("tile", "itself").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    # Still every pair once.
+    assert sum(r.a * (r.a - 1) // 2 if r.itself else r.a * r.b for r in sides.collect()) == 500 * 499 // 2
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_dbscan_in_strips_of_few_blocks(spark, monkeypatch, kind):
+    """Core points, border points, noise and vectors that are no numbers, in blocks of many strips."""
+    for name, value in {"TILE_ROWS": 8, "STRIP_ROWS": 16, "BLOCKS": 2, "DEALT_ROWS": 40}.items():
+        monkeypatch.setattr(embeddings, name, value)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (4, 24))
+    points = np.vstack([rng.normal(0, 1, (60, 24)), *(c + rng.normal(0, 0.13, (40, 24)) for c in centres)])
+    points[[5, 70, 71], [0, 3, 9]] = np.nan, np.inf, -np.inf
+    points = np.vstack([points, np.repeat(points[[1, 80]], [6, 2], axis=0)]).astype(np.float32 if kind == "float" else float)
+    points = points[rng.permutation(len(points))]
+    df = frame(spark, points).withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    got = embeddings.dbscan(df, "id", eps=0.85, min_samples=5).orderBy("id").toPandas()
+    with np.errstate(invalid="ignore"):
+        want = brute_dbscan(points.astype(float), 0.85, 5)
+    assert got.cluster.tolist() == want.tolist()
+    assert (want == -1).sum() > 10 and want.max() >= 2
+
+
+def test_pairs_in_single_precision_are_exact_at_the_limit():
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(90, 64)), rng.normal(size=(80, 64))
+    for scale in (1.0, 1e30, 1e-30):
+        far = embeddings._dimension_free_distance(a * scale, b * scale)
+        for eps in (*far.ravel()[:10], *np.nextafter(far.ravel()[:10], 0)):
+            assert (embeddings._within(a * scale, b * scale, eps) == (far <= eps)).all()
+    # Nearly all pairs too near the limit for single precision.
+    close = a[:1] + 1e-5 * rng.normal(size=(70, 64))
+    far = embeddings._dimension_free_distance(close, close)
+    points = np.vstack([close, 50 * a])
+    eps = np.median(far)
+    assert (embeddings._within(points, points, eps) == (embeddings._dimension_free_distance(points, points) <= eps)).all()
