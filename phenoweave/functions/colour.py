@@ -6,6 +6,7 @@ computed once per pixel and the whole chain stays in one codegen stage.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Linear sRGB -> XYZ (D65), its inverse, and the D65 white point.
@@ -103,6 +104,15 @@ def add_lab(df: DataFrame, r: str, g: str, b: str, out=("L", "a", "b_"), encodin
     )
 
 
+def lab_values(rgb: np.ndarray) -> np.ndarray:
+    """:func:`add_lab` for arrays in tasks: CIE Lab of 0..255 sRGB colours, channels along the first axis."""
+    unit = rgb / 255.0
+    linear = np.where(unit <= 0.04045, unit / 12.92, ((np.maximum(unit, 0.0) + 0.055) / 1.055) ** 2.4)
+    t = (np.array(RGB_TO_XYZ) / np.array(WHITE)[:, None]) @ linear
+    x, y, z = np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16.0 / 116.0)
+    return np.stack([116.0 * y - 16.0, 500.0 * (x - y), 200.0 * (y - z)])
+
+
 def add_rgb_from_lab(
     df: DataFrame, light: str, a: str, b: str, out=("r", "g", "b"), encoding: str = "cie",
     clip_light: bool = True,

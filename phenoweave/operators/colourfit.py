@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from phenoweave.functions.colour import add_lab, delta_e, to_byte
+from phenoweave.functions.colour import add_lab, delta_e, lab_values, to_byte
 from phenoweave.operators.packing import map_groups, pack
 from phenoweave.session import durable
 
@@ -33,6 +35,7 @@ _THIRD = (
     (3, 0, 0), (0, 3, 0), (0, 0, 3), (2, 1, 0), (2, 0, 1), (1, 2, 0), (0, 2, 1), (1, 0, 2), (0, 1, 2), (1, 1, 1),
 )
 _ONE = ((0, 0, 0),)
+CHUNK_CARDS = 128  # whose features are in memory at once: they fit into the caches
 
 # Feature lists as exponents of (r, g, b), and the channel scale of the coefficients.
 METHODS: dict[str, tuple[tuple[tuple[int, int, int], ...], float]] = {
@@ -162,13 +165,31 @@ def normal_sums(patches: DataFrame, method: str = "linear") -> DataFrame:
     return sums.select("image_id", F.explode(F.array(*long)).alias("c")).select("image_id", "c.i", "c.j", "c.value")
 
 
+def _features(rgb: np.ndarray, exponents: np.ndarray) -> np.ndarray:
+    """Products of powers of the channels, which are the first axis; one feature along the last."""
+    powers = [rgb]
+    for _ in range(exponents.max() - 1):
+        powers.append(powers[-1] * rgb)
+    out = np.empty((*rgb.shape[1:], len(exponents)))
+    for k, exponent in enumerate(exponents):
+        factors = [powers[e - 1][c] for c, e in enumerate(exponent) if e]
+        out[..., k] = factors[0] if factors else 1.0
+        for other in factors[1:]:
+            out[..., k] *= other
+    return out
+
+
 def _least_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Least squares of a stack of systems; minimum norm where one lacks rank."""
-    q, r = np.linalg.qr(x)
-    diagonal = np.abs(np.diagonal(r, axis1=1, axis2=2))
+    p = x.shape[2]
+    # Beside x, y becomes its share of the orthogonal columns.
+    r = np.linalg.qr(np.concatenate([x, y], axis=2), mode="r")
+    diagonal = np.abs(np.diagonal(r[:, :p, :p], axis1=1, axis2=2))
     full = diagonal.min(axis=1) > 1e-12 * diagonal.max(axis=1)
-    out = np.empty((len(x), x.shape[2], y.shape[2]))
-    out[full] = np.linalg.solve(r[full], q[full].transpose(0, 2, 1) @ y[full])
+    out = np.empty((len(x), p, y.shape[2]))
+    if full.all():
+        return np.linalg.solve(r[:, :p, :p], r[:, :p, p:])
+    out[full] = np.linalg.solve(r[full, :p, :p], r[full, :p, p:])
     out[~full] = np.linalg.pinv(x[~full]) @ y[~full]
     return out
 
@@ -182,56 +203,80 @@ def fit(patches: DataFrame, method: str = "linear") -> DataFrame:
     return _solved(_by_image(patches), method)
 
 
-def fit_each(patches: DataFrame, methods: Sequence[str]) -> dict[str, DataFrame]:
-    """:func:`fit` of each method; the patches are dealt by image once for all of them."""
+def fit_each(patches: DataFrame | Cards, methods: Sequence[str]) -> dict[str, DataFrame | CardFits]:
+    """:func:`fit` of each method; the patches are dealt by image once for all of them, which :func:`cards` are already."""
     for method in methods:
         method_features(method)
+    if isinstance(patches, Cards):
+        return {method: CardFits(patches, method) for method in methods}
     collected = durable(_by_image(patches), "image-patches")
     return {method: _solved(collected, method) for method in methods}
 
 
+def _known(patches: DataFrame) -> DataFrame:
+    """Patches of the card, with the types that packing needs."""
+    return patches.filter(F.col("patch_idx").isin(*range(len(REFERENCE_PATCHES)))).select(
+        "image_id", F.col("patch_idx").cast("int").alias("patch_idx"), *[F.col(c).cast("double").alias(c) for c in ("r", "g", "b")]
+    )
+
+
+def _patch_means(sizes: np.ndarray, patch_idx: np.ndarray, rgb: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean colours (images, 24, 3) of rows that come image by image, and which of the patches have rows.
+
+    As in SQL, a mean leaves nulls out; that of nulls alone is unknown. Channels are the first axis of rows.
+    """
+    slots = len(REFERENCE_PATCHES)
+    cell = np.repeat(np.arange(len(sizes)) * slots, sizes) + patch_idx
+    cells = len(sizes) * slots
+    out = np.empty((cells, 3))
+    with np.errstate(invalid="ignore"):
+        for k in range(3):
+            at, value = (cell, rgb[k]) if there[k].all() else (cell[there[k]], rgb[k][there[k]])
+            out[:, k] = np.bincount(at, value, cells) / np.bincount(at, minlength=cells)
+    return out.reshape(-1, slots, 3), (np.bincount(cell, minlength=cells) > 0).reshape(-1, slots)
+
+
+def _channels(columns: dict[str, pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Channels along the first axis and where they are not null."""
+    there = np.array([columns[c].is_valid().to_numpy(zero_copy_only=False) for c in ("r", "g", "b")])
+    return np.array([columns[c].fill_null(np.nan).to_numpy(zero_copy_only=False) for c in ("r", "g", "b")]), there
+
+
 def _by_image(patches: DataFrame) -> DataFrame:
     """(image_id, flat): the patches of an image with their references in one array.
 
     They are averaged per patch index, so at most 24 of them are left. Rows of
     an image are packed before they are dealt by image.
     """
-    known = patches.filter(F.col("patch_idx").isin(*range(len(REFERENCE_PATCHES)))).select(
-        "image_id", F.col("patch_idx").cast("int").alias("patch_idx"), *[F.col(c).cast("double").alias(c) for c in ("r", "g", "b")]
-    )
     key_type = patches.schema["image_id"].dataType.simpleString()
     reference = np.array(REFERENCE_PATCHES, float)
-    slots = len(reference)
 
     def meet(images: pa.RecordBatch, sizes: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-        cell = np.repeat(np.arange(len(sizes)) * slots, sizes) + columns["patch_idx"].to_numpy()
-        cells = len(sizes) * slots
-        flat = np.empty((cells, 6))
-        with np.errstate(invalid="ignore"):
-            for k, c in enumerate(("r", "g", "b")):
-                # As in SQL, a mean leaves nulls out; that of nulls alone is unknown.
-                there = columns[c].is_valid().to_numpy(zero_copy_only=False)
-                value = columns[c].drop_null().to_numpy()
-                flat[:, k] = np.bincount(cell[there], value, cells) / np.bincount(cell[there], minlength=cells)
-        flat[:, 3:] = np.tile(reference, (len(sizes), 1))
-        seen = np.bincount(cell, minlength=cells) > 0
-        offsets = np.append(0, np.cumsum(seen.reshape(-1, slots).sum(axis=1)) * 6)
+        means, seen = _patch_means(sizes, columns["patch_idx"].to_numpy(), *_channels(columns))
+        flat = np.concatenate([means, np.broadcast_to(reference, means.shape)], axis=2)
+        offsets = np.append(0, np.cumsum(seen.sum(axis=1)) * 6)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[seen].ravel()))
         return pa.RecordBatch.from_arrays([images.column("image_id"), lists], names=["image_id", "flat"])
 
-    return map_groups(pack(known, ["image_id"]), ["image_id"], meet, f"image_id {key_type}, flat array<double>", nulls_meet=True)
+    packed = pack(_known(patches), ["image_id"])
+    return map_groups(packed, ["image_id"], meet, f"image_id {key_type}, flat array<double>", nulls_meet=True)
 
 
-def _solved(per_image: DataFrame, method: str) -> DataFrame:
-    """Fits of many images together in each Arrow batch."""
+def _coefficients(measured: np.ndarray, reference: np.ndarray, present: np.ndarray, method: str) -> np.ndarray:
+    """(images, channels, features) from unit colours (images, 24, 3); rows of zeros stand for patches that are not present."""
     features, scale = METHODS[method]
     exponents = np.array(features)
     rescale = scale ** (1 - exponents.sum(axis=1).astype(float))
+    x = _features(np.ascontiguousarray(np.moveaxis(measured, 2, 0)), exponents) * present
+    return (_least_squares(x, reference) * rescale[None, :, None]).transpose(0, 2, 1)
+
+
+def _solved(per_image: DataFrame, method: str) -> DataFrame:
+    """Fits of many images together in each Arrow batch."""
     key_type = per_image.schema["image_id"].dataType.simpleString()
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            # Rows of zeros stand for missing patches; they leave the fit unchanged.
             values = np.zeros((len(pdf), 24, 6))
             present = np.zeros((len(pdf), 24, 1))
             sizes = pdf["flat"].str.len().to_numpy() // 6
@@ -239,11 +284,7 @@ def _solved(per_image: DataFrame, method: str) -> DataFrame:
             slot = np.arange(len(image)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             values[image, slot] = np.concatenate(pdf["flat"].to_numpy()).reshape(-1, 6) / 255.0
             present[image, slot] = 1.0
-            # Each power of a channel once, then the features as products of them.
-            power = values[:, :, :3, None] ** np.arange(exponents.max() + 1)
-            x = power[:, :, 0, exponents[:, 0]] * power[:, :, 1, exponents[:, 1]] * power[:, :, 2, exponents[:, 2]] * present
-            solution = _least_squares(x, values[:, :, 3:])
-            coef = (solution * rescale[None, :, None]).transpose(0, 2, 1)
+            coef = _coefficients(values[:, :, :3], values[:, :, 3:], present, method)
             yield pd.DataFrame(
                 {"image_id": pdf["image_id"], "method": method, "coef": [c.tolist() for c in coef]}
             )
@@ -251,6 +292,124 @@ def _solved(per_image: DataFrame, method: str) -> DataFrame:
     return per_image.mapInPandas(solve, f"image_id {key_type}, method string, coef array<array<double>>")
 
 
+# --- whole cards --------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class CardBatch:
+    """Patches of some images, one image after the other; channels are the first axis."""
+
+    images: pa.Array
+    sizes: np.ndarray
+    patch_idx: np.ndarray
+    rgb: np.ndarray
+    there: np.ndarray  # where a channel is not null
+
+    @cached_property
+    def image(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    @cached_property
+    def means(self) -> tuple[np.ndarray, np.ndarray]:
+        return _patch_means(self.sizes, self.patch_idx, self.rgb, self.there)
+
+    def named(self) -> CardBatch:
+        """Without patches of no image, which joins by image leave out as well."""
+        if not self.images.null_count:
+            return self
+        keep = self.images.is_valid().to_numpy(zero_copy_only=False)
+        rows = np.repeat(keep, self.sizes)
+        return CardBatch(self.images.filter(pa.array(keep)), self.sizes[keep], self.patch_idx[rows], self.rgb[:, rows], self.there[:, rows])
+
+
+@dataclass(frozen=True)
+class Cards:
+    """Packed patches, and the steps that tasks take one after the other with those of whole images.
+
+    Fits, corrections and scores of an image need no other image: all of them are made where its patches
+    meet, in one shuffle without joins.
+    """
+
+    packed: DataFrame
+    steps: tuple[Callable[[CardBatch], CardBatch], ...] = ()
+
+
+@dataclass(frozen=True)
+class CardFits:
+    """The fits of whole cards by one method, made where they are applied."""
+
+    cards: Cards
+    method: str
+
+
+def cards(patches: DataFrame) -> Cards:
+    """Patches for fits, corrections and scores that are all made in one go."""
+    return Cards(pack(_known(patches), ["image_id"]))
+
+
+def _card_coefficients(card: CardBatch, method: str) -> np.ndarray:
+    """Of :class:`CardFits`."""
+    means, seen = card.means
+    present = seen[:, :, None].astype(float)
+    reference = np.array(REFERENCE_PATCHES, float) / 255.0
+    return _coefficients(np.where(seen[:, :, None], means, 0.0) / 255.0, reference * present, present, method)
+
+
+def _corrected_card(card: CardBatch, coef: np.ndarray, method: str, truncate: bool) -> CardBatch:
+    features, scale = METHODS[method]
+    exponents, unit = np.array(features), 255.0 / scale
+    x = _features(card.rgb / unit, exponents)
+    value, starts = np.empty((len(x), 3)), np.cumsum(card.sizes) - card.sizes
+    for size in np.unique(card.sizes):
+        which = np.flatnonzero(card.sizes == size)
+        at = slice(None) if len(which) == len(card.sizes) else (starts[which, None] + np.arange(size)).ravel()
+        value[at] = (x[at].reshape(len(which), size, -1) @ coef[which].transpose(0, 2, 1)).reshape(-1, 3)
+    # As in SQL, a number beyond a limit gives the limit, one that is no number the upper and a null the lower.
+    value = np.ascontiguousarray((value * unit).T)
+    value = np.minimum(np.maximum(value, 0.0), 255.0)
+    if not card.there.all():
+        value[:, ~card.there[exponents.any(axis=0)].all(axis=0)] = 0.0
+    value[np.isnan(value)] = 255.0
+    return replace(card, rgb=np.floor(value) if truncate else value, there=np.ones_like(card.there))
+
+
+def _card_scores(card: CardBatch, space: str) -> tuple[pa.Array, pa.Array]:
+    """Images and their mean colour differences."""
+    reference, rgb = np.array(REFERENCE_PATCHES, float).T, card.rgb
+    if space != "rgb":
+        reference, rgb = lab_values(reference), lab_values(rgb)
+    delta = np.sqrt(((rgb - reference[:, card.patch_idx]) ** 2).sum(axis=0))
+    image, known = card.image, card.there.all(axis=0)
+    if not known.all():
+        image, delta = image[known], delta[known]
+    n = np.bincount(image, minlength=len(card.sizes))
+    total = np.bincount(image, delta, len(card.sizes))
+    return card.images, pa.array(total / np.maximum(n, 1), mask=n == 0)
+
+
+def _score_cards(variants: dict[str, Cards], space: str) -> DataFrame:
+    """(image_id, method, mean_delta_e) of corrections of the same cards, whose patches meet once."""
+    packed = next(iter(variants.values())).packed
+    if any(variant.packed is not packed for variant in variants.values()):
+        raise ValueError("corrections of other cards")
+    steps = {method: variant.steps for method, variant in variants.items()}
+
+    def scores(images: pa.RecordBatch, sizes: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        patch_idx, (rgb, there) = columns["patch_idx"].to_numpy(), _channels(columns)
+        ends, found = np.append(0, np.cumsum(sizes)), []
+        for i in range(0, len(sizes), CHUNK_CARDS):
+            few = sizes[i : i + CHUNK_CARDS]
+            rows = slice(ends[i], ends[i + len(few)])
+            card = CardBatch(images.column("image_id").slice(i, len(few)), few, patch_idx[rows], rgb[:, rows], there[:, rows])
+            for method in steps:
+                scored, means = _card_scores(reduce(lambda done, step: step(done), steps[method], card), space)
+                found.append((scored, pa.repeat(method, len(scored)), means))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*found)], names=["image_id", "method", "mean_delta_e"])
+
+    key_type = packed.schema["image_id"].dataType.simpleString()
+    return map_groups(packed, ["image_id"], scores, f"image_id {key_type}, method string, mean_delta_e double", nulls_meet=True)
+
+
 def coefficients(transforms: DataFrame) -> DataFrame:
     """Long form: (image_id, method, channel, feature, coef)."""
     return (
@@ -260,13 +419,18 @@ def coefficients(transforms: DataFrame) -> DataFrame:
 
 
 def apply_transform(
-    pixels: DataFrame, transforms: DataFrame, method: str = "linear", truncate: bool = True
-) -> DataFrame:
-    """Corrected r, g, b of every pixel, clipped to 0..255 and truncated.
+    pixels: DataFrame | Cards, transforms: DataFrame | CardFits, method: str = "linear", truncate: bool = True
+) -> DataFrame | Cards:
+    """Corrected r, g, b of every pixel, clipped to 0..255 and truncated. Whole cards take the fits made of them.
 
     Sizes of exploded rows and of fits are estimated far too low, so neither side may be broadcast by estimate.
     The products are added over arrays: written out, those of 20 features make code too long to be compiled.
     """
+    if isinstance(pixels, Cards):
+        if not isinstance(transforms, CardFits) or transforms.cards is not pixels or transforms.method != method:
+            raise ValueError("cards are corrected by their own fits")
+        step = lambda card: _corrected_card(card, _card_coefficients(card, method), method, truncate)
+        return replace(pixels, steps=(*pixels.steps, CardBatch.named, step))
     features, scale = METHODS[method]
     unit = 255.0 / scale
     chosen = transforms.filter(F.col("method") == method).select("image_id", "coef")
@@ -295,5 +459,17 @@ def patch_delta_e(patches: DataFrame, space: str = "lab") -> DataFrame:
     return joined.select(*patches.columns, diff.alias("delta_e"))
 
 
-def mean_delta_e(patches: DataFrame, space: str = "lab", by=("image_id",)) -> DataFrame:
+def mean_delta_e(patches: DataFrame | Cards, space: str = "lab", by=("image_id",)) -> DataFrame:
+    if isinstance(patches, Cards):
+        if tuple(by) != ("image_id",):
+            raise ValueError("cards are scored by image")
+        return _score_cards({"": patches}, space).drop("method")
     return patch_delta_e(patches, space).groupBy(*by).agg(F.avg("delta_e").alias("mean_delta_e"))
+
+
+def mean_delta_e_each(variants: dict[str, DataFrame] | dict[str, Cards], space: str = "lab") -> DataFrame:
+    """(image_id, method, mean_delta_e): :func:`mean_delta_e` of each correction, by the name of its method."""
+    if all(isinstance(variant, Cards) for variant in variants.values()):
+        return _score_cards(variants, space)
+    scored = [mean_delta_e(variant, space).withColumn("method", F.lit(method)) for method, variant in variants.items()]
+    return reduce(DataFrame.unionByName, scored).select("image_id", "method", "mean_delta_e")

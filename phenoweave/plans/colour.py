@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,9 +12,10 @@ from phenoweave.operators.colourfit import (
     STRAIGHT,
     apply_transform,
     card_pixels,
+    cards,
     fit,
     fit_each,
-    mean_delta_e,
+    mean_delta_e_each,
     patch_means,
     window_means,
 )
@@ -28,14 +28,13 @@ def compare_methods(patches: DataFrame, methods: Sequence[str] = COMPARED) -> Da
     """Mean colour difference per image and method, the uncorrected one included.
 
     Patches are corrected as means; correcting only them keeps the pixels of the
-    photographs out of the plan.
+    photographs out of the plan. The patches of an image meet once, for all methods.
     """
-    patches = durable(patches, "card-patches")
-    scored = [mean_delta_e(patches).withColumn("method", F.lit("original"))]
-    for method, fitted in fit_each(patches, methods).items():
-        corrected = apply_transform(patches, fitted, method)
-        scored.append(mean_delta_e(corrected).withColumn("method", F.lit(method)))
-    return reduce(DataFrame.unionByName, scored).select("image_id", "method", "mean_delta_e")
+    measured = cards(patches)
+    compared = {"original": measured}
+    for method, fitted in fit_each(measured, methods).items():
+        compared[method] = apply_transform(measured, fitted, method)
+    return mean_delta_e_each(compared)
 
 
 def compare_methods_on_pixels(
@@ -48,11 +47,10 @@ def compare_methods_on_pixels(
     """
     inside = durable(card_pixels(pixels, frames, card, straight), "card-pixels")
     measured = durable(window_means(inside), "card-patches")
-    scored = [mean_delta_e(measured).withColumn("method", F.lit("original"))]
+    compared = {"original": measured}
     for method, fitted in fit_each(measured, methods).items():
-        corrected = window_means(apply_transform(inside, fitted, method))
-        scored.append(mean_delta_e(corrected).withColumn("method", F.lit(method)))
-    return reduce(DataFrame.unionByName, scored).select("image_id", "method", "mean_delta_e")
+        compared[method] = window_means(apply_transform(inside, fitted, method))
+    return mean_delta_e_each(compared)
 
 
 def normalise_images(pixels: DataFrame, frames: DataFrame, method: str = "linear", card: dict = CARD, straight: dict = STRAIGHT) -> DataFrame:

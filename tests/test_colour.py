@@ -176,3 +176,63 @@ def test_patches_travel_packed(spark, tables):
     images = tables.frames.count()
     assert images <= packed.count() < 1.2 * images
     assert packed.rdd.getNumPartitions() >= 100
+
+
+def odd_patches(spark):
+    """Cards with repeated, missing, unknown and partly unknown patches, and patches of no image."""
+    rng = np.random.default_rng(21)
+    rows = [(image, i, *map(float, rgb)) for image in (*range(300), None) for i, rgb in enumerate(measured(rng)) if not (image == 3 and i in (2, 19))]
+    rows += [(5, 7, None, 40.0, 60.0), (5, 7, 10.0, None, 30.0), (5, 7, 12.0, 20.0, 31.0), (6, 24, 9.0, 9.0, 9.0), (6, None, 9.0, 9.0, 9.0)]
+    # Off the card alone; the same colour everywhere; a few patches only; every patch twice.
+    rows += [(900, 30, 1.0, 2.0, 3.0), *((901, i, 80.0, 80.0, 80.0) for i in range(24)), *((902, i, 9.0 * i, 5.0, 250.0 - i) for i in range(5))]
+    rows += [(8, i, *map(float, rgb)) for i, rgb in enumerate(measured(rng))] + [(903, 3, -20.0, 300.0, 70.0)]
+    schema = "image_id long, patch_idx int, r double, g double, b double"
+    return spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], schema).repartition(3)
+
+
+@pytest.mark.parametrize("space", ["lab", "rgb"])
+def test_cards_score_as_their_patches_do(spark, space):
+    patches = odd_patches(spark)
+    whole = colourfit.cards(patches)
+    rows, found = {"original": patches}, {"original": whole}
+    for method in colourfit.METHODS:
+        fitted = colourfit.fit(patches, method)
+        for cut in (True, False):
+            name = f"{method} {cut}"
+            rows[name] = colourfit.apply_transform(patches, fitted, method, truncate=cut)
+            found[name] = colourfit.apply_transform(whole, colourfit.fit_each(whole, [method])[method], method, truncate=cut)
+    scores = lambda df: {(r["method"], r["image_id"]): r["mean_delta_e"] for r in df.collect()}
+    got = scores(colourfit.mean_delta_e_each(found, space))
+    want = {}
+    for name in ("original", "linear True", "polynomial2 False", "polynomial3 True", "cheung2004 False", "vandermonde True"):
+        want |= scores(colourfit.mean_delta_e_each({name: rows[name]}, space))
+    assert len(got) == 304 + 14 * 303 and ("original", None) in got and ("linear True", None) not in got
+    assert {k: got.get(k) for k in want} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    assert len(want) == 304 + 5 * 303
+    assert colourfit.mean_delta_e(whole, space).count() == 304
+
+
+def test_cards_take_their_own_fits_only(spark, patches):
+    one, other = colourfit.cards(patches[1]), colourfit.cards(patches[1])
+    fitted = colourfit.fit_each(one, ["linear", "cheung2004"])
+    for cards, fits in ((other, fitted["linear"]), (one, fitted["cheung2004"]), (one, colourfit.fit(patches[1], "linear"))):
+        with pytest.raises(ValueError):
+            colourfit.apply_transform(cards, fits, "linear")
+    with pytest.raises(ValueError):
+        colourfit.mean_delta_e_each({"a": one, "b": other})
+
+
+def test_methods_are_compared_in_one_shuffle(spark, patches):
+    """The patches were joined with the fits and dealt by image once more for every method."""
+    compared = colour_plan.compare_methods(patches[1])
+    plan = compared._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Union" not in plan and plan.count("MapInArrow") == 2
+    assert {(r["image_id"], r["method"]) for r in compared.collect()} == {(i, m) for i in patches[0] for m in ("original", *colour_plan.COMPARED)}
+
+
+def test_lab_values_equal_lab_columns(spark):
+    rng = np.random.default_rng(2)
+    rgb = np.vstack([rng.uniform(0, 255, (40, 3)), rng.integers(0, 256, (40, 3)), [[-5, 0, 300], [0, 0, 0], [255, 255, 255]]])
+    df = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(rgb)], "i int, r double, g double, b double")
+    rows = colour.add_lab(df, "r", "g", "b", ("x", "y", "z")).orderBy("i").select("x", "y", "z").collect()
+    assert colour.lab_values(rgb.T).T == pytest.approx(np.array(rows, float), abs=1e-9)
