@@ -21,7 +21,7 @@ from phenoweave.session import durable
 NOISE = -1
 TILE_ROWS = 512
 STRIP_ROWS = 2_048  # that TILE_ROWS rows of a tile are compared with at once
-BLOCKS = 48  # that the points of a large cell are dealt to: each point is copied as often, whatever their number,
+BLOCKS = 24  # that the points of a large cell are dealt to: each point is copied as often, whatever their number,
 BLOCK_ENTRIES = 2**21  # unless a block would hold more numbers than these
 DEALT_ROWS = 4_096  # points that one task copies
 PIVOTS = 8  # of a cell that DBSCAN's metric tree splits
